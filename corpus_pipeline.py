@@ -1,10 +1,71 @@
-"""From raw documents to token ids, in stages written and read again one by one."""
+"""From raw documents to token ids, in stages written and read again one by one.
+
+Every stage takes (spark, docs, sf_dir), works on all rows its predecessor
+kept, and returns the columns of documents, but for the last, which returns
+token ids.  Rows with a null text fail the quality rules and go.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexiloom.llm import bpe, decontam, lang_id, ngram_join, quality
+from lexiloom.llm.common import read_table, stored
+
+
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is in ids; a shuffle join unless Spark sees that ids are few."""
+    return docs.join(ids.select("doc_id"), "doc_id", "left_semi")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps what passes the base rules and its group's adaptive fences."""
+    measured = stored(quality.measure(docs, ["doc_id", "lang", "source"]))
+    judged = quality.apply_rules(measured, quality.thresholds(stored(quality.sketch(measured, ["lang", "source"]))))
+    return _only(docs, judged.where("kept"))
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps what is near enough to a learned language; learns from the rows not held out."""
+    model = lang_id.fit(docs.where(~lang_id.held_out(F.col("doc_id"))))
+    return _only(docs, lang_id.predict(docs, model, ["doc_id"]).where(~F.col("rejected")))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps of each group of linked documents the one with the least doc_id."""
+    linked = ngram_join.link_components(docs, percent=80, width=5)
+    return _only(docs, linked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents that hold no window of ten words of the benchmark."""
+    return decontam.remove(docs, read_table(spark, sf_dir, "benchmark"), width=10)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens, ids and whether decoding them gives the text back."""
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    coded = bpe.decode(bpe.encode(docs, path, pattern), path, pattern)
+    same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
+    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("token_ids", token_ids),
+]
+
+#: The stages hold a fitted classifier and a tokenizer, which SQL cannot express; tests/llm has the plain version.
 ORACLE_SQL = None
-STAGES: list = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, lang_id, ngram_join, quality, token_counts
+from . import bpe, decontam, lang_id, licenses, ngram_join, quality, shards, token_counts, url_filters, warc
 from .common import read_table, stored
 
 
@@ -19,21 +19,45 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    return warc.audit(stored(warc.records(pages)), stored(warc.damaged_replica(pages)))
+
+
+def op4_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.assign(read_table(spark, sf_dir, "documents"), shards=24)
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_components(read_table(spark, sf_dir, "documents"), percent=80, width=5)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), width=10)
+
+
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.verdicts(read_table(spark, sf_dir, "pages"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = stored(quality.measure(read_table(spark, sf_dir, "documents"), ["doc_id", "lang", "source"]))
     judged = quality.apply_rules(measured, quality.thresholds(stored(quality.sketch(measured, ["lang", "source"]))))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_bpe_round_trip, op5_ngram_jaccard_join, op8_quality_rules, op10_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_language_id, op2_bpe_round_trip, op3_warc_fixity, op4_balanced_shards, op5_ngram_jaccard_join, op6_decontamination, op7_url_filters, op8_quality_rules, op9_license_scan, op10_token_counts)
+}
 
 #: Queries with a DuckDB equivalent; the others are tested in tests/llm.
 ORACLES: dict[str, str] = {}
