@@ -36,6 +36,15 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a narrow table that may be sent to all tasks.
+BROADCAST_ROWS = 500_000
+
+
+def small_or_shuffled(df: DataFrame) -> DataFrame:
+    """df, marked for broadcast if it is counted to be small; otherwise joins shuffle it."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

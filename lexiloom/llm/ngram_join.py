@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import stored
+from .common import small_or_shuffled, stored
 from .components import components
 from .shingles import shingle_set
 
@@ -144,35 +144,33 @@ def _least_overlap(a: Column, b: Column, percent: int) -> Column:
 
 
 def _prefixes(shared: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """fragment, gram, class, n, pos, before, is_index of the shared n-grams within probe prefixes.
+    """fragment, gram, class, n, many, pos, before, is_index of the shared n-grams within probe prefixes.
 
     ``before`` is the shared n-gram just before in the class's order; a pair
     with equal ones is found there already.
     """
-    joined = shared.join(sizes, "class")
-    total = joined.groupBy("class").agg(F.count("*").alias("many"))
-    order = W.partitionBy("class").orderBy("df", "fragment", "gram")
-    k = F.row_number().over(order) - 1
-    placed = joined.withColumn("k", k).withColumn("before", F.lag(F.struct("fragment", "gram")).over(order))
-    placed = placed.join(total, "class").withColumn("pos", F.col("n") - F.col("many") + F.col("k"))
+    own = W.partitionBy("class")
+    order = own.orderBy("df", "fragment", "gram")
+    placed = shared.join(sizes, "class").withColumn("k", F.row_number().over(order) - 1).withColumn("many", F.count("*").over(own)).withColumn("before", F.lag(F.struct("fragment", "gram")).over(order))
+    placed = placed.withColumn("pos", F.col("n") - F.col("many") + F.col("k"))
     probe = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1
     index = F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent)) + 1
-    return placed.where(F.col("pos") < probe).select("fragment", "gram", "class", "n", "pos", "before", (F.col("pos") < index).alias("is_index"))
+    return placed.where(F.col("pos") < probe).select("fragment", "gram", "class", "n", "many", "pos", "before", (F.col("pos") < index).alias("is_index"))
 
 
 def _bitmaps(shared: DataFrame, of: DataFrame) -> DataFrame:
     """class, bits: for each bit, whether an odd number of the class's shared n-grams fall on it."""
     spot = F.pmod(F.xxhash64("fragment", "gram"), F.lit(64 * BITMAP)).cast("int")
-    odd = shared.join(of, "class", "left_semi").groupBy("class", spot.alias("spot")).agg((F.count("*") % 2).alias("odd")).where("odd = 1")
+    odd = shared.join(small_or_shuffled(of), "class", "left_semi").groupBy("class", spot.alias("spot")).agg((F.count("*") % 2).alias("odd")).where("odd = 1")
     word = [F.bit_or(F.when((F.col("spot") / 64).cast("int") == w, F.call_function("shiftleft", F.lit(1).cast("long"), F.col("spot") % 64)).otherwise(F.lit(0).cast("long"))).alias(f"b{w}") for w in range(BITMAP)]
     return odd.groupBy("class").agg(*word)
 
 
 def _overlaps(pairs: DataFrame, shared: DataFrame) -> DataFrame:
     """a, b, overlap: partial counts in each vertical part, summed per pair."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    ends = small_or_shuffled(stored(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()))
     part = F.pmod(F.col("fragment"), F.lit(PARTS))
-    lists = stored(shared.join(ends, "class", "left_semi").groupBy("class", part.alias("part")).agg(F.collect_list(F.struct("fragment", "gram")).alias("grams")))  # a list is part of one text's set
+    lists = stored(shared.join(ends, "class", "left_semi").groupBy("class", part.alias("part")).agg(F.collect_list(F.xxhash64("fragment", "gram")).alias("grams")))  # a list is part of one text's set
     left = lists.select(F.col("class").alias("a"), "part", F.col("grams").alias("x"))
     right = lists.select(F.col("class").alias("b"), "part", F.col("grams").alias("y"))
     partial = pairs.join(left, "a").join(right, ["b", "part"]).select("a", "b", F.size(F.array_intersect("x", "y")).alias("n"))
@@ -236,9 +234,8 @@ def link_components(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
     shared = stored(_shared(_blocks(docs, width, fragments)))
 
     bare = stored(_prefixes(shared, sizes, percent))
-    many = shared.groupBy("class").agg(F.count("*").alias("many"))
-    extra = _bitmaps(shared, bare.select("class").distinct()).join(many, "class", "right").na.fill(0)
-    prefixes = stored(bare.join(extra, "class"))
+    bits = _bitmaps(shared, stored(bare.select("class").distinct()))
+    prefixes = stored(bare.join(bits, "class", "left").na.fill(0, [f"b{w}" for w in range(BITMAP)]))
 
     links = stored(_linked(stored(_chains(prefixes, percent)), shared, sizes, percent))
     labels = components(links)
