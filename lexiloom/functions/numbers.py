@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where the value is computed once however often it is used.
+
+    Column expressions are substituted into one another; inside a lambda that
+    would compute an array anew for each of its elements.
+    """
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def round_half_up(x: Column, places: int = 0) -> Column:
     """Rounds halves towards positive infinity; Spark's round goes away from zero."""
     k = float(10**places)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .numbers import units
+from .numbers import let, units
 
 #: White space as the data model counts it: Java's class, no-break space and byte order mark.
 SPACE = r"[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
@@ -40,8 +40,12 @@ def similarity_words(html: Column) -> Column:
 
 def word_ngrams(words: Column, n: int = 5) -> Column:
     """Distinct runs of n words; the guard keeps short arrays out of the sequence."""
-    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - n, F.lit(0))), lambda i: F.array_join(F.slice(words, i + 1, F.lit(n)), " "))
-    return F.when(F.size(words) >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+
+    def runs(w: Column) -> Column:
+        made = F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0))), lambda i: F.array_join(F.slice(w, i + 1, F.lit(n)), " "))
+        return F.when(F.size(w) >= n, F.array_distinct(made)).otherwise(F.array().cast("array<string>"))
+
+    return let(words, runs)
 
 
 def slugify(text: Column) -> Column:

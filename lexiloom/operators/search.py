@@ -59,14 +59,14 @@ def query_terms(queries: DataFrame, key: str = "query_id", text: str = "query")
 
 
 def score(index: Index, queries: DataFrame, doc_key: str = "doc_id", query_key: str = "query_id", query_text: str = "query") -> DataFrame:
-    """query_key, doc_key, score of every pair with a common term."""
+    """query_key, doc_key, score (9 places, so that equal texts tie) of every pair with a common term."""
     terms = query_terms(queries, query_key, query_text)
     if terms.count() <= BROADCAST_TERMS:
         terms = F.broadcast(terms)
     wanted = index.postings.join(terms, "term")
     with_df = wanted.join(index.df, "term").crossJoin(F.broadcast(index.meta))  # meta has one row
     one = term_score(F.col("tf"), F.col("doc_len"), F.col("n"), F.col("doc_count"), F.col("avg_doc_len"))
-    return with_df.groupBy(query_key, doc_key).agg(F.sum(one).alias("score")).where("score > 0")
+    return with_df.groupBy(query_key, doc_key).agg(F.round(F.sum(one), 9).alias("score")).where("score > 0")
 
 
 def top_k(scores: DataFrame, k: int | None, doc_key: str = "doc_id", query_key: str = "query_id") -> DataFrame:
@@ -115,18 +115,18 @@ def index_info(index: Index) -> DataFrame:
     return index.meta
 
 
-def content_version(docs: DataFrame, key: str = "id", text: str = "text", by: list[str] | None = None, blocks: int = 256) -> DataFrame:
+def content_version(docs: DataFrame, key: str = "id", text: str = "text", by: list[str] | None = None, whole: bool = False) -> DataFrame:
     """First 16 hex digits of a SHA-256 over ids and texts in id order.
 
-    With ``blocks`` over 1 each block of ids, by hash, is digested apart and
-    the digests are digested again, so no row holds all texts of a corpus;
-    one block gives the digest of the plain concatenation.
+    Texts are digested first, then the digests of 256 blocks of ids, then the
+    blocks, so no row holds a corpus; with ``whole`` it is the digest of the
+    plain concatenation, which fits small packages only.
     """
     by = by or []
-    part = F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("\u0000"), F.coalesce(text if isinstance(text, Column) else F.col(text), F.lit("")), F.lit("\u0000"))
-    rows = docs.select(*by, F.col(key).cast("string").alias("_k"), F.sha2(part, 256).alias("_d") if blocks > 1 else part.alias("_d"), (F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(blocks)) if blocks > 1 else F.lit(0)).alias("_b"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_d"))), lambda x: x["_d"]), "")
-    first = rows.groupBy(*by, "_b").agg(F.sha2(joined, 256).alias("_d"))
-    if blocks > 1:
-        return first.groupBy(*by).agg(F.left(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_b", "_d"))), lambda x: x["_d"]), ""), 256), F.lit(16)).alias("index_version"))
-    return first.select(*by, F.left("_d", F.lit(16)).alias("index_version"))
+    name = F.col(key).cast("string")
+    part = F.concat(F.coalesce(name, F.lit("")), F.lit("\u0000"), F.coalesce(F.col(text), F.lit("")), F.lit("\u0000"))
+    rows = docs.select(*by, name.alias("_k"), (part if whole else F.sha2(part, 256)).alias("_d"), (F.lit("") if whole else F.left(F.md5(name.cast("binary")), F.lit(2))).alias("_b"))
+    in_order = lambda key: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, "_d"))), lambda x: x["_d"]), "")
+    first = rows.groupBy(*by, "_b").agg(F.sha2(in_order("_k"), 256).alias("_d"))
+    made = first if whole else first.groupBy(*by).agg(F.sha2(in_order("_b"), 256).alias("_d"))
+    return made.select(*by, F.left("_d", F.lit(16)).alias("index_version"))
