@@ -40,7 +40,7 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 #: A document is rejected above q75 + SPREAD * (q75 - q25) + margin.
 METRICS = {
     "symbols": ("n_symbols * 1000 div greatest(n_words, 1)", 250),
-    "dup_lines": ("n_dup_lines * 1000 div greatest(n_lines, 1)", 300),
+    "dup_lines": ("n_dup_lines * 1000 div greatest(n_lines, 1)", 600),
     "repeats": ("n_repeat_words * 1000 div greatest(n_words, 1)", 250),
     "upper": ("n_upper * 1000 div greatest(n_letters, 1)", 250),
     "word_length": ("word_chars * 100 div greatest(n_words, 1)", 600),
