@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .numbers import round_half_up, units
-from .text import plain_words, strip_tags, text_or_empty, word_count
+from .text import plain_words, strip, strip_tags, text_or_empty, word_count
 
 #: Fixed values.
 VOID_ELEMENTS = "area base br col embed hr img input link meta param source track wbr".split()
@@ -119,7 +119,7 @@ def stuffing(html: Column, phrase: Column) -> Column:
     """Whether the phrase makes up more than two occurrences per hundred words."""
     bare = strip_tags(html)
     quoted = F.concat(F.lit("(?i)\\Q"), phrase, F.lit("\\E"))
-    return F.coalesce((F.trim(phrase) != "") & (word_count(bare) > 0) & (F.regexp_count(bare, quoted) / word_count(bare) > 0.02), F.lit(False))
+    return F.coalesce((strip(phrase) != "") & (word_count(bare) > 0) & (F.regexp_count(bare, quoted) / word_count(bare) > 0.02), F.lit(False))
 
 
 def required_issues(seo: Column, html: Column) -> Column:
@@ -136,7 +136,7 @@ def bundle_warnings(seo: Column, html: Column, notes: Column, memory: Column) ->
     return F.concat(
         F.array_compact(F.array(F.when(bare_h3(html), "BARE_H3"), F.when(stuffing(html, seo["focusKeyword"]), "POSSIBLE_STUFFING"))),
         F.transform(F.filter(paragraph_words(html), lambda n: n > 130), lambda _: F.lit("LONG_PARAGRAPH")),
-        F.array_compact(F.array(F.when(units(F.trim(text_or_empty(notes))) < 20, "THIN_PUBLISHER_NOTES"))),
+        F.array_compact(F.array(F.when(units(strip(text_or_empty(notes))) < 20, "THIN_PUBLISHER_NOTES"))),
         F.when(memory.isNull(), F.array(F.lit("MISSING_CONTENT_MEMORY"))).otherwise(missing),
     )
 
@@ -166,7 +166,7 @@ def card_sentences(html: Column) -> Column:
         out = F.regexp_replace(p, "<[^>]+>", " ")
         for entity, c in (("nbsp", " "), ("amp", "&"), ("quot", '"')):
             out = F.regexp_replace(out, f"(?i)&{entity};", c)
-        return F.trim(F.regexp_replace(out, r"\s+", " "))
+        return strip(F.regexp_replace(out, r"\s+", " "))
 
     return F.array_distinct(F.filter(F.transform(inner, plain), lambda p: p != ""))
 
@@ -177,7 +177,7 @@ def heading_shape(html: Column) -> Column:
 
 
 def heading_concepts(html: Column) -> Column:
-    found = F.transform(find_all(html, "(?is)<h2[^>]*>(.*?)</h2>"), lambda h: F.trim(F.regexp_replace(F.trim(F.regexp_replace(strip_tags(h), r"\s+", " ")), r"^[^\p{L}\p{N}]+", "")))
+    found = F.transform(find_all(html, "(?is)<h2[^>]*>(.*?)</h2>"), lambda h: strip(F.regexp_replace(strip(F.regexp_replace(strip_tags(h), r"\s+", " ")), r"^[^\p{L}\p{N}]+", "")))
     return F.filter(found, lambda h: h != "")
 
 
@@ -190,7 +190,7 @@ def cited_hosts(html: Column, allowed: list[str]) -> Column:
 
 def keyphrase_counts(text: Column, phrase: Column) -> Column:
     """struct(exact, variant, total): whole phrases, and those with hyphens for spaces or the reverse."""
-    norm = lambda c: F.regexp_replace(F.lower(F.trim(text_or_empty(c))), r"\s+", " ")
+    norm = lambda c: F.regexp_replace(F.lower(strip(text_or_empty(c))), r"\s+", " ")
     hay, key = F.concat(F.lit(" "), norm(text), F.lit(" ")), norm(phrase)
     quoted = F.regexp_replace(key, r"([.*+?^${}()|\[\]\\])", r"\\$1")
     edge = lambda p: F.concat(F.lit(r"(?<![A-Za-z0-9_])"), p, F.lit(r"(?![A-Za-z0-9_])"))
@@ -206,7 +206,7 @@ def hard_failures(seo: Column, html: Column, least_words: int = 2500) -> Column:
     empty = lambda f: F.coalesce(seo[f], F.lit("")) == ""
     return F.array_compact(
         F.array(
-            F.when(units(F.trim(body)) < 200, "EMPTY_BODY"),
+            F.when(units(strip(body)) < 200, "EMPTY_BODY"),
             F.when(F.rlike(body, F.lit(r"(?i)<script[\s>]")), "SCRIPT_TAG"),
             F.when(F.rlike(body, F.lit(r"(?i)\{\*\s*[a-z]+")), "UNEXPANDED_BLOCKS"),
             F.when(empty("focusKeyword"), "MISSING_FOCUS_KEYWORD"),

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from .html import keyphrase_counts, strip_tags
 from .numbers import units
-from .text import text_or_empty
+from .text import strip, text_or_empty
 
 
 def _norm(c: Column) -> Column:
-    return F.regexp_replace(F.lower(F.trim(text_or_empty(c))), r"\s+", " ")
+    return F.regexp_replace(F.lower(strip(text_or_empty(c))), r"\s+", " ")
 
 
 def title_ok(title: Column, phrase: Column) -> Column:
@@ -30,7 +30,7 @@ def slug_ok(slug: Column, phrase: Column) -> Column:
 
 def heading_ok(h1: Column, phrase: Column, hindi_percent: int = 70) -> Column:
     if hindi_percent >= 50:
-        return (units(F.trim(text_or_empty(h1))) >= 10) & F.rlike(text_or_empty(h1), F.lit(r"[\x{0900}-\x{097F}]"))
+        return (units(strip(text_or_empty(h1))) >= 10) & F.rlike(text_or_empty(h1), F.lit(r"[\x{0900}-\x{097F}]"))
     return (_norm(phrase) != "") & F.startswith(_norm(h1), _norm(phrase))
 
 
@@ -38,7 +38,7 @@ def template_leftovers(html: Column, seo_json: Column) -> Column:
     """Codes of template text that should have been replaced."""
     body = text_or_empty(html)
     hay = F.concat(body, F.lit(" "), text_or_empty(seo_json))
-    prose = F.trim(F.regexp_replace(strip_tags(html), r"\s+", " "))
+    prose = strip(F.regexp_replace(strip_tags(html), r"\s+", " "))
     images = F.regexp_count(body, F.lit(r"(?i)<img[^>]*via\.placeholder\.com[^>]*>"))
     brackets = r"(?i)\[exact keyphrase\]|\[insert[^\]]*\]|\[write here\]|\[entire notes body html\]|\[per formula above[^\]]*\]|\[\s*n\s*\]|\[\s*list[^\]]*\]"
     test = lambda pattern, code, where=body: F.when(F.rlike(where, F.lit(pattern)), code)

@@ -17,6 +17,11 @@ LEGACY_WORDS = ("esa", "gSa", "osQ", "fd", "dks", "gS")
 LEGACY_WORDS_SHORT = ("esa", "gSa", "osQ", "fd")
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at both ends; Spark's trim takes spaces only."""
+    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+
+
 def text_or_empty(text: Column) -> Column:
     return F.coalesce(text.cast("string"), F.lit(""))
 
@@ -49,14 +54,14 @@ def word_ngrams(words: Column, n: int = 5) -> Column:
 
 
 def slugify(text: Column) -> Column:
-    low = F.regexp_replace(F.lower(F.trim(text_or_empty(text))), "^/+|/+$", "")
+    low = F.regexp_replace(F.lower(strip(text_or_empty(text))), "^/+|/+$", "")
     return F.regexp_replace(F.regexp_replace(low, "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
 def slugify_unicode(text: Column) -> Column:
     """Folder name of a book: without language and download suffixes, words joined by '-'."""
     bare = F.regexp_replace(text_or_empty(text), r"\s*[–-]\s*अंग्रेजी\s*$", "")
-    bare = F.trim(F.regexp_replace(bare, r"\s*\(\d+\)$", ""))
+    bare = strip(F.regexp_replace(bare, r"\s*\(\d+\)$", ""))
     bare = F.regexp_replace(bare, r"[^\p{L}\p{N}_\s()-]", "")
     made = F.lower(F.regexp_replace(F.regexp_replace(bare, r"\s+", "-"), "^-+|-+$", ""))
     return F.when(made == "", "book").otherwise(made)
@@ -71,11 +76,11 @@ def chapter_number(name: Column) -> Column:
 
 
 def title_from_folder(slug: Column) -> Column:
-    return F.trim(F.translate(slug, "-()", " "))
+    return strip(F.translate(slug, "-()", " "))
 
 
 def normalize_topic(text: Column) -> Column:
-    return F.regexp_replace(F.lower(F.trim(text_or_empty(text))), r"\s+", " ")
+    return F.regexp_replace(F.lower(strip(text_or_empty(text))), r"\s+", " ")
 
 
 def fix_glyphs(text: Column) -> Column:
@@ -131,8 +136,8 @@ def legacy_suspicious(text: Column) -> Column:
 
 def hit_reasons(text: Column, subject: Column, chapter_title: Column, chapter: Column, score: Column) -> Column:
     """Reason codes of a retrieval hit; none means that it is valid."""
-    bare = F.trim(text_or_empty(text))
-    blank = lambda c: F.trim(text_or_empty(c)) == ""
+    bare = strip(text_or_empty(text))
+    blank = lambda c: strip(text_or_empty(c)) == ""
     return F.array_compact(
         F.array(
             F.when(bare == "", "EMPTY_TEXT").when(units(bare) < 20, "TEXT_TOO_SHORT"),
@@ -146,8 +151,8 @@ def hit_reasons(text: Column, subject: Column, chapter_title: Column, chapter: C
 
 
 def truncate(text: Column, most: int) -> Column:
-    bare = F.trim(text_or_empty(text))
-    return F.when(units(bare) > most, F.concat(F.trim(F.substring(bare, 1, most)), F.lit("…"))).otherwise(bare)
+    bare = strip(text_or_empty(text))
+    return F.when(units(bare) > most, F.concat(strip(F.substring(bare, 1, most)), F.lit("…"))).otherwise(bare)
 
 
 def escape_html(text: Column) -> Column:
@@ -158,11 +163,11 @@ def escape_html(text: Column) -> Column:
 
 
 def strip_fences(text: Column) -> Column:
-    return F.trim(F.replace(F.regexp_replace(text_or_empty(text), r"```(?:json|html)?\s*", ""), F.lit("```"), F.lit("")))
+    return strip(F.replace(F.regexp_replace(text_or_empty(text), r"```(?:json|html)?\s*", ""), F.lit("```"), F.lit("")))
 
 
 def strip_comments(html: Column) -> Column:
-    return F.trim(F.regexp_replace(text_or_empty(html), "(?s)<!--.*?-->", ""))
+    return strip(F.regexp_replace(text_or_empty(html), "(?s)<!--.*?-->", ""))
 
 
 #: Subjects by folder name, the first rule that fits.

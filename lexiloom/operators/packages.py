@@ -9,6 +9,9 @@ indexed line by line.
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -150,15 +153,44 @@ def chunk_issues(chunks: DataFrame, key: str = "file") -> DataFrame:
     return numbered.select(key, "idx", errors.alias("errors"), warnings.alias("warnings"), usable.alias("usable"))
 
 
+def _strings(value: object, out: list[str]) -> None:
+    if isinstance(value, str):
+        out.append(value)
+    elif isinstance(value, (list, dict)):
+        for x in value.values() if isinstance(value, dict) else value:
+            _strings(x, out)
+
+
+def json_strings(raw: str | None) -> str:
+    """All string values of a JSON text, or of the lines of a .jsonl text, joined by line feeds."""
+    out: list[str] = []
+    for part in [raw or ""] if _parses(raw) else (raw or "").splitlines():
+        if _parses(part):
+            _strings(json.loads(part), out)
+    return "\n".join(out)
+
+
+def _parses(text: str | None) -> bool:
+    try:
+        json.loads(text or "")
+    except ValueError:
+        return False
+    return True
+
+
 def collected_strings(raw: Column) -> Column:
-    """All string values of a JSON text, joined by line feeds: values are told from keys by what follows them."""
-    quoted = F.regexp_extract_all(F.coalesce(raw, F.lit("")), F.lit(r'("(?:[^"\\]|\\.)*")\s*(?!\s*:)(?=[,\]\}\s]|$)'), F.lit(1))
-    return F.array_join(F.transform(quoted, lambda q: F.coalesce(F.try_variant_get(F.try_parse_json(q), "$", "string"), F.lit(""))), "\n")
+    """json_strings in Arrow batches: the depth of a JSON value is open, which no column expression walks."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(json_strings)
+
+    return run(raw)
 
 
 def validate(files: DataFrame) -> DataFrame:
     """One verdict for each file: status, source, chunks, usable_chunks, errors, warnings, content_hash."""
-    parsed = parse(files)
+    parsed = parse(files).withColumn("_strings", collected_strings(F.col("raw")))
     issues = chunk_issues(chunk_rows(parsed))
     summed = issues.groupBy("file").agg(
         F.count("*").alias("_chunks"),
@@ -169,7 +201,7 @@ def validate(files: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     kind = _kind(F.try_variant_get("pkg", "$.chunks", "variant"))
     listing = F.when(kind.isNull(), F.array(F.lit("MISSING_CHUNKS"))).when(~F.startswith(kind, F.lit("ARRAY")), F.array(F.lit("CHUNKS_NOT_ARRAY"))).when(F.size(F.try_variant_get("pkg", "$.chunks", "array<variant>")) == 0, F.array(F.lit("EMPTY_CORPUS"))).otherwise(none)
-    strings = collected_strings(F.when(F.col("pkg").isNotNull(), F.col("raw")))
+    strings = F.col("_strings")
     body = F.when(F.col("pkg").isNull(), none).otherwise(F.concat(structure_errors(F.col("pkg")), listing, F.coalesce("_ce", none), safety_errors(strings)))
     errors = F.concat("read_errors", body)
     return parsed.join(summed, "file", "left").select(

@@ -80,13 +80,14 @@ def top_k(scores: DataFrame, k: int | None, doc_key: str = "doc_id", query_key:
 
 def matches_filter(wanted: dict[str, str], doc: dict[str, Column]) -> Column:
     """Conjunction of case-insensitive filters: equality, or membership for array fields (topic, concept)."""
+    def one(column: Column, value: str, member: bool) -> Column:
+        low = F.lit(value.lower())
+        return F.exists(column, lambda x: F.lower(x) == low) if member else F.lower(column.cast("string")) == low
+
     out = F.lit(True)
     for field, value in wanted.items():
         if value:
-            column = doc[field]
-            low = F.lit(value.lower())
-            test = F.exists(column, lambda x, low=low: F.lower(x) == low) if field in ("topic", "concept") else F.lower(column.cast("string")) == low
-            out = out & F.coalesce(test, F.lit(False))
+            out = out & F.coalesce(one(doc[field], value, field in ("topic", "concept")), F.lit(False))
     return out
 
 

@@ -429,9 +429,9 @@ def quality_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(rf"""SELECT doc_id, len({sql_words('text')}) AS words, len({sql_similarity_words('text')}) AS similarity_words,
-regexp_replace(regexp_replace(regexp_replace(lower(trim(left(text, 60))), '^/+|/+$', '', 'g'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug,
-md5(regexp_replace(lower(trim(text)), '\s+', ' ', 'g')) AS topic_md5,
-CASE WHEN length(trim(text)) > 80 THEN trim(left(trim(text), 80)) || '…' ELSE trim(text) END AS short,
+regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(left(text, 60), '^\s+|\s+$', '', 'g')), '^/+|/+$', '', 'g'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug,
+md5(regexp_replace(lower(regexp_replace(text, '^\s+|\s+$', '', 'g')), '\s+', ' ', 'g')) AS topic_md5,
+CASE WHEN length(regexp_replace(text, '^\s+|\s+$', '', 'g')) > 80 THEN regexp_replace(left(regexp_replace(text, '^\s+|\s+$', '', 'g'), 80), '\s+$', '') || '…' ELSE regexp_replace(text, '^\s+|\s+$', '', 'g') END AS short,
 md5(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')) AS escaped_md5,
 CASE WHEN length(text) = 0 THEN 1 ELSE ceil(length(text) / 1000)::BIGINT END AS n_pieces,
 0::BIGINT AS legacy_hits FROM documents WHERE text IS NOT NULL""")

@@ -36,7 +36,7 @@ def numbered_topics(spark: SparkSession, path: str, start: int = 0, limit: int |
     subjects decodes the list's labels; rows with a blank number are skipped.
     Positions come from the line order of one file, which is small.
     """
-    lines = spark.read.option("wholetext", "true").text(path).select(F.posexplode(F.split(F.regexp_replace("value", "^\ufeff", ""), r"\r?\n")).alias("line", "value"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", "^\ufeff", ""), r"\r?\n")).alias("line", "value"))
     row = F.from_csv("value", F.lit("a string, b string, c string"), {"quote": '"', "escape": '"'})
     rows = lines.where("line > 0 and trim(value) <> ''").select("line", row.alias("r")).where("r.c is not null and trim(r.a) <> ''")
     from pyspark.sql import Window as W
@@ -68,7 +68,7 @@ def by_manifest(records: DataFrame, manifest: DataFrame) -> DataFrame:
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """slug of a JSON array of names."""
-    return spark.read.option("wholetext", "true").text(path).select(F.explode(F.from_json("value", "array<string>")).alias("slug")).where("slug is not null")
+    return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<string>")).alias("slug")).where("slug is not null")
 
 
 def text_tree(spark: SparkSession, path: str) -> DataFrame:

@@ -6,11 +6,13 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 os.environ["PYTHONPATH"] = sys.path[0] + os.pathsep + os.environ.get("PYTHONPATH", "")
 
+from lexiloom.session import local_session  # noqa: E402
+
+# columns in the parameters of tests need a session while tests are collected
+SESSION = local_session(8, 4, "6g")
+SESSION.sparkContext.setLogLevel("ERROR")
+
 
 @pytest.fixture(scope="session")
 def spark():
-    from lexiloom.session import local_session
-
-    session = local_session(8, 4, "6g")
-    session.sparkContext.setLogLevel("ERROR")
-    return session
+    return SESSION
