@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, lang_id, licenses, ngram_join, quality, shards, token_counts, url_filters, warc
+from . import bpe, decontam, lang_id, licenses, ngram_join, oracles, quality, shards, token_counts, url_filters, warc
 from .common import read_table, stored
 
 
@@ -60,4 +60,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: Queries with a DuckDB equivalent; the others are tested in tests/llm.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_warc_fixity": oracles.fixity(),
+    "op5_ngram_jaccard_join": oracles.components(),
+    "op6_decontamination": oracles.decontamination(),
+    "op7_url_filters": oracles.urls(),
+    "op8_quality_rules": oracles.quality(),
+    "op9_license_scan": oracles.licenses(),
+}
