@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexiloom.functions.numbers import let
+
 from .common import stored
 from .words import GAP_ANY_CASE, WORD_ANY_CASE, word_array
 
@@ -49,28 +51,26 @@ def find_hits(docs: DataFrame, grams: DataFrame, keep: list[str], text: str = "t
     known = distinct.limit(max_windows + 1).collect()  # bounded by max_windows
     if len(known) > max_windows:
         return find_hits_by_join(docs, grams, keep, text)
-    words = docs.select(*keep, word_array(F.col(text)).alias("_w"))
     none = F.array().cast("array<struct<start:int,size:int,gram:string>>")
     if not known:
-        return words.select(*keep, F.size("_w").alias("n_words"), none.alias("hits"))
-    w, n = F.col("_w"), F.size("_w")
+        return docs.select(*keep, F.size(word_array(F.col(text))).alias("n_words"), none.alias("hits"))
     anchors = sorted({r.anchor for r in known})
-    found = []
-    for size in sorted({r["size"] for r in known}):
-        own = sorted(r.gram for r in known if r["size"] == size)
-
-        def around(at: Column, size: int = size, own: list[str] = own) -> Column:
-            first, last = F.greatest(at - (size - 1), F.lit(0)), F.least(at, n - size)
-            starts = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
-            made = F.transform(starts, lambda s: F.struct(s.alias("start"), F.lit(size).alias("size"), F.array_join(F.slice("_w", s + 1, F.lit(size)), " ").alias("gram")))
-            return F.filter(made, lambda x: x["gram"].isin(own))
-
-        found.append(around)
-    places = F.transform(w, lambda x, i: F.when(x.isin(anchors), i))
-    marked = words.select(*keep, n.alias("n_words"), F.when(F.exists(w, lambda x: x.isin(anchors)), w).otherwise(F.array().cast("array<string>")).alias("_w"))
-    at = F.filter(places, lambda i: i.isNotNull())
-    hits = F.flatten(F.transform(at, lambda i: F.concat(*[around(i) for around in found])))
-    return marked.select(*keep, "n_words", F.array_sort(F.array_distinct(hits)).alias("hits"))
+    by_size = [(size, sorted(r.gram for r in known if r["size"] == size)) for size in sorted({r["size"] for r in known})]
+
+    def around(w: Column, at: Column, size: int, own: list[str]) -> Column:
+        """The hits of one size that hold the word at this place."""
+        first, last = F.greatest(at - (size - 1), F.lit(0)), F.least(at, F.size(w) - size)
+        starts = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+        made = F.transform(starts, lambda s: F.struct(s.alias("start"), F.lit(size).alias("size"), F.array_join(F.slice(w, s + 1, F.lit(size)), " ").alias("gram")))
+        return F.filter(made, lambda x: x["gram"].isin(own))
+
+    def found(w: Column) -> Column:
+        at = F.filter(F.transform(w, lambda x, i: F.when(x.isin(anchors), i)), lambda i: i.isNotNull())
+        hits = F.flatten(F.transform(at, lambda i: F.concat(*[around(w, i, size, own) for size, own in by_size])))
+        return F.struct(F.size(w).alias("n_words"), F.array_sort(F.array_distinct(hits)).alias("hits"))
+
+    # one expression binds the words: a filter on the hits is pushed into the scan, and must not split the text again for each word
+    return docs.select(*keep, let(word_array(F.col(text)), found).alias("_f")).select(*keep, "_f.n_words", "_f.hits")
 
 
 def find_hits_by_join(docs: DataFrame, grams: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
