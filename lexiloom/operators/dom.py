@@ -141,3 +141,31 @@ def checks(df: DataFrame, key: str, html: str = "html", phrase: str | None = Non
             yield pd.DataFrame(rows, columns=[key, "check", "tier", "ok", "detail"])
 
     return df.select(*columns).mapInPandas(run, f"{key} {kind}, check string, tier string, ok boolean, detail string")
+
+
+def gate(df: DataFrame, key: str, own_host: str) -> DataFrame:
+    """key, publishable, failed: whether all hard checks hold for (key, seo, html), native ones and those of the tree.
+
+    The native checks are title, meta, slug and h1 of the search fields, tag
+    balance and template leftovers.
+    """
+    from pyspark.sql import functions as F
+
+    from lexiloom.functions import html as fh
+    from lexiloom.functions import seo
+
+    k, h = F.col("seo.focusKeyword"), F.col("html")
+    own = F.array_compact(
+        F.array(
+            F.when(~F.coalesce(seo.title_ok(F.col("seo.seoTitle"), k), F.lit(False)), "title"),
+            F.when(~F.coalesce(seo.meta_ok(F.col("seo.metaDescription"), k), F.lit(False)), "meta"),
+            F.when(~F.coalesce(seo.slug_ok(F.col("seo.slug"), k), F.lit(False)), "slug"),
+            F.when(~F.coalesce(seo.heading_ok(F.col("seo.h1"), k), F.lit(False)), "h1"),
+            F.when(F.size(fh.tag_issues(h)) > 0, "tag-balance"),
+            F.when(F.size(seo.template_leftovers(h, F.to_json("seo"))) > 0, "pipeline-artifacts"),
+        )
+    )
+    tree = checks(df.select(key, h, k.alias("phrase")), key, "html", "phrase", own_host)
+    bad = tree.where("tier = 'hard' and not ok").groupBy(key).agg(F.array_sort(F.collect_list("check")).alias("bad"))  # ten checks at most
+    failed = F.concat(own, F.coalesce("bad", F.array().cast("array<string>")))
+    return df.select(key, "seo", "html").join(bad, key, "left").select(key, (F.size(failed) == 0).alias("publishable"), failed.alias("failed"))

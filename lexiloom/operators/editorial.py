@@ -50,7 +50,7 @@ def exam_profile(exam: Column) -> Column:
     made = lambda k: F.struct(F.lit(k).alias("key"), F.lit(EXAM_KEYS[k]).alias("label"))
     generic = F.struct(F.lit(None).cast("string").alias("key"), F.trim(exam).alias("label"))
     out = F.when(F.contains(norm, F.lit("bihar")) & F.contains(norm, F.lit("tre")), made("bpsc tre")).otherwise(generic)
-    for key in sorted(EXAM_KEYS, key=len):
+    for key in sorted(reversed(EXAM_KEYS), key=len):  # the longest is tested first, then the order above
         out = F.when(F.contains(norm, F.lit(key)), made(key)).otherwise(out)
     return F.when(norm == "", made("ctet")).otherwise(out)
 

@@ -566,3 +566,87 @@ def import_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tumbling hours; the same function runs on a stream with a watermark."""
     return ingest.windowed_counts(table(spark, sf_dir, "events"), by=["event_type"]).withColumn("total", F.round("total", 6))
+
+
+@register("SELECT source, count(*) AS n FROM documents GROUP BY source")
+def subject_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"))
+
+
+@register("""WITH c AS (SELECT DISTINCT CASE WHEN c_nationkey % 5 = 0 THEN '' ELSE c_nationkey::VARCHAR END AS exam, c_mktsegment AS subject FROM customer),
+r AS (SELECT CASE WHEN s_nationkey % 7 = 0 THEN NULL ELSE s_nationkey::VARCHAR END AS exam, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE 'BUILDING' END AS subject, s_acctbal AS v FROM supplier)
+SELECT c.exam, c.subject, count(*) AS n, round(sum(v), 6) AS total FROM c JOIN r ON (c.exam = '' OR coalesce(r.exam, '') = '' OR c.exam = r.exam) AND (c.subject = '' OR r.subject = '' OR c.subject = r.subject) GROUP BY ALL""")
+def learned_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One aggregate for each context, over the records that fit it loosely: suppliers as records, customers' nations and segments as contexts."""
+    c = table(spark, sf_dir, "customer").select(F.when(F.col("c_nationkey") % 5 == 0, "").otherwise(F.col("c_nationkey").cast("string")).alias("c_exam"), F.col("c_mktsegment").alias("c_subject")).distinct()
+    r = table(spark, sf_dir, "supplier").select(F.when(F.col("s_nationkey") % 7 != 0, F.col("s_nationkey").cast("string")).alias("exam"), F.when(F.col("s_suppkey") % 3 == 0, "").otherwise("BUILDING").alias("subject"), F.col("s_acctbal").alias("v"))
+    return st.match_contexts(c, r).groupBy(F.col("c_exam").alias("exam"), F.col("c_subject").alias("subject")).agg(F.count("*").alias("n"), F.round(F.sum("v"), 6).alias("total"))
+
+
+@register("""WITH r AS (SELECT p_name || ' ' || p_type AS query, count(*)::DOUBLE AS impressions, count_if(l_returnflag = 'R') / count(*) / 10 AS ctr, avg(l_linenumber) * 6 AS position FROM part JOIN lineitem ON l_partkey = p_partkey GROUP BY 1),
+s AS (SELECT *, len(list_intersect(list_distinct(string_split(lower(query), ' ')), ['blue', 'ring'])) AS overlap FROM r WHERE impressions >= 5),
+t AS (SELECT * FROM s WHERE overlap > 0 ORDER BY overlap DESC, impressions DESC, query LIMIT 15)
+SELECT count(*) AS matches, least(1.0::DOUBLE, coalesce(sum(impressions), 0) / 500) AS confidence, coalesce(bool_or(ctr < 0.02 AND position > 15), false) AS weak_coverage FROM t""")
+def search_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sold = table(spark, sf_dir, "part").join(table(spark, sf_dir, "lineitem"), F.col("l_partkey") == F.col("p_partkey"))
+    rows = sold.groupBy(F.concat_ws(" ", "p_name", "p_type").alias("query")).agg(F.count("*").cast("double").alias("impressions"), (F.count_if(F.col("l_returnflag") == "R") / F.count("*") / 10).alias("ctr"), (F.avg("l_linenumber") * 6).alias("position"))
+    return coverage.search_confidence(coverage.search_matches(rows, "Blue ring"))
+
+
+FOLDERS = ("hindi-vasant", "bhugol-7", "our-pasts", "science-8", "social-science", "ganit", "jeev-vigyan", "rasayan", "arthashastra", "misc")
+EXAMS = ("CTET Paper 1", "CTET Paper II", "BPSC TRE Class 6-8", "DSSSB TGT", "KVS PGT", "Bihar TRE", "RAS", "", "UPTET class 11", "nvs")
+SUBJECTS_OF = ("Hindi", "Geography", "History", "Science", "Political Science", "Maths", "Biology", "Chemistry", "Economics", "General")
+LEVELS_OF = (ft.PRIMARY, ft.UPPER, ft.UPPER, ft.UPPER, ft.SENIOR, ft.LEVEL_UNSTATED, ft.LEVEL_UNSTATED, ft.LEVEL_UNSTATED, ft.SENIOR, ft.LEVEL_UNSTATED)
+PROFILES_OF = ("ctet", "ctet", "bpsc tre", "dsssb tgt", "kvs", "bpsc tre", None, "ctet", "uptet", "nvs")
+
+
+def _sql_list(values: tuple) -> str:
+    return "[" + ", ".join("NULL" if v is None else "'" + v + "'" for v in values) + "]"
+
+
+@register(f"""SELECT p_partkey, {_sql_list(SUBJECTS_OF)}[p_partkey % 10 + 1] AS subject, {_sql_list(LEVELS_OF)}[p_partkey % 10 + 1] AS level, {_sql_list(PROFILES_OF)}[p_partkey % 10 + 1] AS profile,
+{_sql_list(('primary', 'upper_primary_secondary', 'upper_primary_secondary', 'upper_primary_secondary', 'senior_secondary_pgt', None, None, None, 'senior_secondary_pgt', None))}[p_partkey % 10 + 1] AS level_key FROM part""")
+def rule_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ordered rules over folder and exam names, one of each for every part."""
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("p_partkey") % 10 + 1).cast("int"))
+    level = ft.teaching_level(pick(EXAMS))
+    return table(spark, sf_dir, "part").select("p_partkey", ft.guess_subject(pick(FOLDERS)).alias("subject"), level.alias("level"), editorial.exam_profile(pick(EXAMS))["key"].alias("profile"), ft.level_key(level).alias("level_key"))
+
+
+@register("""SELECT p_partkey AS id, p_name AS concepts, lower(p_type) AS shape, CASE WHEN p_size % 2 = 0 THEN 'ncert.nic.in' ELSE '' END AS sources, 'Note ' || p_name || ' & more' AS cards,
+CASE WHEN p_size % 3 = 0 THEN 'DUPLICATE_ID,BROKEN_ANCHOR' ELSE '' END AS issues FROM part""")
+def derived_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An article for every part, and what is derived from its HTML."""
+    html = F.concat(
+        F.lit('<h2 id="toc">★</h2><h2 class="x" id="'), F.col("p_type"), F.lit('">★ <b>'), F.col("p_name"), F.lit('</b></h2><div style="border-left:6px solid red"><p>Note '), F.col("p_name"), F.lit(" &amp; more</p></div>"),
+        F.when(F.col("p_size") % 2 == 0, '<a href="https://www.ncert.nic.in/a">n</a>').otherwise('<a href="https://other.org/">o</a>'),
+        F.when(F.col("p_size") % 3 == 0, '<i id="q"></i><i id="q"></i><a href="#none">z</a>').otherwise(""),
+    )
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.lit("note").alias("type"), F.col("p_name").alias("topic"), F.col("p_type").alias("subject"), F.col("p_brand").alias("exam"), html.alias("html"), F.lit("2026").alias("published"))
+    records = similarity.derive_records(parts, ["ncert.nic.in"]).join(parts.select("id", "html"), "id")
+    return records.select("id", F.array_join("concepts_taught", ",").alias("concepts"), F.array_join("article_shape", ",").alias("shape"), F.array_join("sources", ",").alias("sources"), F.array_join(fh.card_sentences(F.col("html")), ",").alias("cards"), F.array_join(fh.integrity_issues(F.col("html")), ",").alias("issues"))
+
+
+@register(f"SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, {sql_half_up('1 - least(1.0::DOUBLE, l_discount * 0.25::DOUBLE + l_tax * 0.2::DOUBLE + l_discount * 0.15::DOUBLE + l_tax * 0.1::DOUBLE + 0.5::DOUBLE * 0.15::DOUBLE + l_tax * 0.15::DOUBLE)', 3)} AS novelty FROM lineitem")
+def novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, t = F.col("l_discount"), F.col("l_tax")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", fh.novelty_score(d, t, d, t, F.lit(0.5), t).alias("novelty"))
+
+
+@register("SELECT c_custkey AS id, c_acctbal AS v, c_custkey % 2 = 0 AS derived FROM customer WHERE c_custkey < 1000 UNION ALL SELECT s_suppkey + 950, s_acctbal, true FROM supplier WHERE s_suppkey + 950 NOT IN (SELECT c_custkey FROM customer WHERE c_custkey < 1000)")
+def history_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers inserted among customers as records, where their id is new."""
+    from lexiloom.sources.sinks import insert_missing
+
+    old = table(spark, sf_dir, "customer").where("c_custkey < 1000").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("v"), (F.col("c_custkey") % 2 == 0).alias("derived"))
+    return insert_missing(old, table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + 950).alias("id"), F.col("s_acctbal").alias("v"), F.lit(True).alias("derived")))
+
+
+@register(r"""WITH a AS (SELECT p_partkey, p_name AS k, upper(p_name) || ' notes' AS title, replace(p_name, ' ', '-') || '-x' AS slug FROM part)
+SELECT p_partkey, length(title) <= 60 AS title_ok, true AS slug_ok, 2::BIGINT AS exact, 1::BIGINT AS variant FROM a""")
+def search_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexiloom.functions import seo
+
+    k = F.col("p_name")
+    counts = fh.keyphrase_counts(F.concat(k, F.lit(", "), F.upper(k), F.lit(" "), F.replace(k, F.lit(" "), F.lit("-"))), k)
+    return table(spark, sf_dir, "part").select("p_partkey", seo.title_ok(F.concat(F.upper(k), F.lit(" notes")), k).alias("title_ok"), seo.slug_ok(F.concat(F.replace(k, F.lit(" "), F.lit("-")), F.lit("-x")), k).alias("slug_ok"), counts["exact"].alias("exact"), counts["variant"].alias("variant"))

@@ -327,3 +327,48 @@ def test_evidence(spark):
     assert [r.reasons for r in made.orderBy("rank").collect()] == [[], ["LOOKS_LIKE_MARKUP"], ["MISSING_SUBJECT", "MISSING_CHAPTER_IDENTITY"]]
     r = editorial.evidence(made, ["q"]).first()
     assert (r.provenance, r.source_confidence, len(r.excerpts), len(r.excerpts[0].excerpt)) == (1, 0.07, 1, 161)
+
+
+def test_evaluate(spark):
+    seo = "struct<focusKeyword:string,seoTitle:string,slug:string,metaDescription:string,h1:string,imageAltText:string,imagePrompt:string>"
+    memory = "struct<concepts_taught:array<string>,misconceptions_used:array<string>,examples_used:array<string>,pedagogical_strategy:string,article_shape:array<string>,question_types:array<string>,sources:array<string>,flavour:string>"
+    fields = "concepts_taught array<string>, examples_used array<string>, misconceptions_used array<string>, question_types array<string>, card_sentences_used array<string>, article_shape array<string>, html string"
+    card = '<div style="border-left:6px solid red"><p>Same words.</p></div>'
+    words = " ".join(f"w{i}" for i in range(40))
+    hist = spark.createDataFrame([("h", ["A"], [], [], [], None, ["x"], f"<p>{words}</p>{card}")], f"id string, {fields}")
+    cand = spark.createDataFrame([("c", ["a"], [], [], [], None, ["x"], f"<p>{words}</p>{card}", None, "short", None), ("d", [], [], [], [], None, [], "<p>new</p>", ("k",) * 7, "n" * 30, None)], f"id string, {fields}, seo {seo}, publisher_notes string, memory {memory}")
+    got = {r.cand_id: r for r in similarity.evaluate(cand, hist).collect()}
+    assert (got["c"].overlap_concepts_taught, got["c"].lexical, got["c"].repeats, got["c"].divergence) == (1.0, 1.0, 1, 0.0)
+    assert got["c"].novelty == 0.6 and "MISSING_SEO" in got["c"].errors and set(got["c"].warnings) == {"THIN_PUBLISHER_NOTES", "MISSING_CONTENT_MEMORY"}
+    assert got["d"].novelty == 1.0 and got["d"].errors == ["MISSING_BODY"]
+
+
+def test_gate(spark):
+    seo = "struct<focusKeyword:string,seoTitle:string,slug:string,metaDescription:string,h1:string>"
+    row = ("number system", "Number System Notes", "number-system", "number system " + "x" * 137, "संख्या पद्धति क्या है")
+    df = spark.createDataFrame([(1, row, "<p>number system</p>"), (2, None, None)], f"id int, seo {seo}, html string")
+    got = {r.id: r for r in dom.gate(df, "id", "example.com").collect()}
+    assert got[1].failed == ["citations", "image-alt", "links"] and not got[1].publishable
+    assert {"title", "slug", "h1", "meta", "first-100"} <= set(got[2].failed)
+
+
+def test_corpus_sinks(spark, tmp_path):
+    rows = spark.createDataFrame([("Bio", "b", 'a "q", x\ny'), ("Hist", "h", "z")], "subject string, book string, text string")
+    sinks.corpus(rows, str(tmp_path / "corpus"))
+    sinks.corpus(rows, str(tmp_path / "corpus"))
+    assert sorted(r.text for r in files.csv_rows(spark, str(tmp_path / "corpus" / "csv")).collect()) == ['a "q", x\ny', "z"]
+    sinks.route(rows.withColumn("status", F.lit("approved")), str(tmp_path / "routed"))
+    assert spark.read.json(str(tmp_path / "routed")).where("status = 'approved'").count() == 2
+    sinks.state_file(rows.limit(1), str(tmp_path / "state"))
+    assert spark.read.json(str(tmp_path / "state")).count() == 1
+    checks = cleaning.cross_checks(rows, rows.limit(1), spark.createDataFrame([(1,)], "doc_count int"))
+    assert {r.check: r.ok for r in checks.collect()} == {"files_rows": False, "rows_index": True, "books_present": False}
+
+
+def test_dashboard(spark):
+    rows = spark.createDataFrame([("a", None, "Cell"), ("b", "2024", "Atom"), ("c", "2025", "cell wall")], "id string, published string, topic string")
+    assert [r.id for r in coverage.newest_first(rows).collect()] == ["c", "b", "a"]
+    assert {r.id for r in coverage.free_text(rows, "CELL", ["topic"]).collect()} == {"a", "c"}
+    assert rows.select(prompts.reference_sources(F.col("topic"), ["g"], {"Cell": ["own"]}).alias("s"), "id").orderBy("id").first().s == ["g", "own"]
+    header = rows.limit(1).select(prompts.run_header(F.lit("t"), F.lit("e"), F.lit("s"), F.lit(70), F.lit(2026)).alias("x")).first().x
+    assert "LANGUAGE MIX: Hindi 70% + English 30%" in header
