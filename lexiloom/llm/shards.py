@@ -115,7 +115,8 @@ def assign(docs: DataFrame, shards: int = 24, rounds: int = 3) -> DataFrame:
     # a group of any size is counted in parts; only groups that are too large are split
     counts = facts.where("group is not null").groupBy("group").agg(F.count("*").alias("copies")).where("copies > 1")
     large = counts.where(F.col("copies") > most).withColumn("parts", F.ceil(F.col("copies") / most))
-    cut = facts.alias("f").join(large.alias("l"), F.col("f.group") == F.col("l.group"), "left")
+    # each large group has over 1 / (shards * SHARE) of the rows, so there are fewer than shards * SHARE of them
+    cut = facts.alias("f").join(F.broadcast(large).alias("l"), F.col("f.group") == F.col("l.group"), "left")
     unit = F.when(F.col("f.group").isNotNull(), F.concat_ws("/", F.col("f.group"), F.pmod(F.xxhash64("f.tie", "f.row"), F.coalesce("l.parts", F.lit(1))).cast("string")))
     nodes = stored(cut.select("f.row", "f.tie", unit.alias("unit")))
     placed = stored(propagate(nodes, shards, rounds))
