@@ -29,7 +29,8 @@ def text_or_empty(text: Column) -> Column:
 def search_tokens(text: Column) -> Column:
     """Lower-cased words of letters, marks and digits, longer than one character."""
     clean = F.regexp_replace(F.lower(text_or_empty(text)), r"[^\p{L}\p{M}\p{N}\s]", " ")
-    return F.filter(F.split(clean, r"\s+"), lambda w: units(w) > 1)
+    # longer than one UTF-16 unit: two characters, or one that UTF-8 writes in four bytes
+    return F.filter(F.split(clean, r"\s+"), lambda w: (F.length(w) > 1) | (F.octet_length(w) >= 4))
 
 
 def strip_tags(html: Column) -> Column:

@@ -33,7 +33,8 @@ class Index:
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, term, tf, doc_len."""
     tokens = docs.select(key, search_tokens(F.col(text)).alias("_t"))
-    return tokens.select(key, F.size("_t").alias("doc_len"), F.explode("_t").alias("term")).groupBy(key, "doc_len", "term").agg(F.count("*").alias("tf"))
+    # the outer form keeps Catalyst from testing the array's size, and so splitting the text, below the scan
+    return tokens.select(key, F.size("_t").alias("doc_len"), F.explode_outer("_t").alias("term")).where("term is not null").groupBy(key, "doc_len", "term").agg(F.count("*").alias("tf"))
 
 
 def document_lengths(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -61,10 +62,12 @@ def query_terms(queries: DataFrame, key: str = "query_id", text: str = "query")
 def score(index: Index, queries: DataFrame, doc_key: str = "doc_id", query_key: str = "query_id", query_text: str = "query") -> DataFrame:
     """query_key, doc_key, score (9 places, so that equal texts tie) of every pair with a common term."""
     terms = query_terms(queries, query_key, query_text)
+    asked = terms.select("term").distinct()
     if terms.count() <= BROADCAST_TERMS:
-        terms = F.broadcast(terms)
-    wanted = index.postings.join(terms, "term")
-    with_df = wanted.join(index.df, "term").crossJoin(F.broadcast(index.meta))  # meta has one row
+        terms, asked = F.broadcast(terms), F.broadcast(asked)
+    # semi joins on a grouping key are pushed below the aggregations of an index that is not stored yet
+    wanted = index.postings.join(asked, "term", "left_semi").join(terms, "term")
+    with_df = wanted.join(index.df.join(asked, "term", "left_semi"), "term").crossJoin(F.broadcast(index.meta))  # meta has one row
     one = term_score(F.col("tf"), F.col("doc_len"), F.col("n"), F.col("doc_count"), F.col("avg_doc_len"))
     return with_df.groupBy(query_key, doc_key).agg(F.round(F.sum(one), 9).alias("score")).where("score > 0")
 

@@ -18,6 +18,7 @@ from lexiloom.functions import numbers as fn
 from lexiloom.functions import text as ft
 from lexiloom.operators import cleaning, coverage, dom, editorial, packages, replies, search, similarity
 from lexiloom.operators import statistics as st
+from lexiloom.session import spread
 from lexiloom.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,7 +42,8 @@ def register(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in ("documents", "pages", "conversations") else df  # tables of texts
 
 
 # --- SQL fragments ---------------------------------------------------------

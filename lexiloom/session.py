@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "12g") -> SparkSession:
@@ -26,6 +26,16 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "12g
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files come in fewer splits than half the cores; else as it is.
+
+    A small table in one file would otherwise be tokenised by one task.  Large
+    tables have many splits and are never shuffled by this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
 def ship_code(spark: SparkSession) -> None:
     """Sends this package to the Python workers, once per application."""
     sc = spark.sparkContext
