@@ -53,13 +53,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 RANK_BLOCK = 100_000
 
 
-def ranked(df: DataFrame, parts: list[str], spread: Column, order: list[Column], rows: int, name: str = "rank") -> DataFrame:
+def ranked(df: DataFrame, parts: list[str], spread: Column, order: list[Column], rows: int, name: str = "rank", least: int = 1) -> DataFrame:
     """Adds a gapless rank from 0 within parts, without one window per part.
 
     ``spread`` is an integer hash; its blocks are ranked apart and shifted by
     the counts of the blocks before them, so a part's order is (block, order).
+    There are ``least`` blocks or more.
     """
-    blocks = max(1, -(-rows // RANK_BLOCK))
+    blocks = max(least, -(-rows // RANK_BLOCK))
     keyed = df.withColumn("_block", F.pmod(spread, F.lit(blocks)).cast("int"))
     keys = [*parts, "_block"]
     inner = keyed.withColumn("_rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1)

@@ -10,9 +10,11 @@ the next round, with shards that still have room.  Documents without links,
 and those that never found room, then fill the shards up to their quotas, in
 the order of their groups, so that a group is cut only where a shard ends.
 
-The law is ``rows``: the counts of any two shards differ by at most one.  A
-group with more members than a part of a shard's quota cannot stay whole; it is
-split by row hash into parts that can, each of which is placed as one.
+The law is ``rows``: the counts of any two shards differ by at most one.
+Groups of more than a ``SHARE``-th of a quota, of which there can only be a
+few, are laid before the rounds, largest first, each whole in the fullest shard
+that can hold it.  A group is cut only where no shard has room for all of it:
+it fills the emptiest shard, and what is left of it is laid like a group.
 
 Null texts have no group, size 8 and checksum 0.  Empty texts are equal texts.
 Repeated rows are members of the same group.  With fewer rows than shards some
@@ -21,33 +23,58 @@ shards are empty.  Other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import heapq
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .common import RANK_BLOCK, ranked, stored
 
-#: Parts of a quota that one part of a group may take.
+#: Groups of more than this part of a quota are laid one by one.
 SHARE = 8
-
-
-def _capacity(n: int, shards: int, shard: Column) -> Column:
-    return F.lit(n // shards).cast("long") + F.when(shard < n % shards, 1).otherwise(0)
+#: Blocks in which the members of a large group are numbered, at least.
+BLOCKS = 256
+
+
+def lay(groups: list[tuple[str, int]], room: list[int]) -> list[tuple[str, int, int, int]]:
+    """unit, lo, hi, shard: where members lo to hi - 1 of each group go, largest first; takes their places from room."""
+    queue = [(-members, unit, 0) for unit, members in groups]
+    heapq.heapify(queue)
+    laid = []
+    while queue:
+        members, unit, lo = heapq.heappop(queue)
+        members = -members
+        shard = min((s for s in range(len(room)) if room[s] >= members), key=lambda s: room[s], default=None)
+        if shard is None:
+            shard = max(range(len(room)), key=lambda s: room[s])
+        hi = lo + min(members, room[shard])
+        room[shard] -= hi - lo
+        laid.append((unit, lo, hi, shard))
+        if hi - lo < members:
+            heapq.heappush(queue, (hi - lo - members, unit, hi))
+    return laid
 
 
 def propagate(nodes: DataFrame, shards: int, rounds: int = 3) -> DataFrame:
     """row, shard for nodes (row, tie, unit): exact quotas by rows, members of a unit together.
 
     ``row`` tells rows apart, ``tie`` is a hash of the row, ``unit`` the linked
-    group or null.  A unit has at most a small part of a quota's rows.
+    group or null.
     """
     spark = nodes.sparkSession
     n = nodes.count()
-    base = _capacity(n, shards, F.col("shard"))
-    room = spark.range(shards).select(F.col("id").cast("int").alias("shard")).withColumn("room", base)
+    sizes = stored(nodes.where("unit is not null").groupBy("unit").agg(F.count("*").alias("members")).where("members > 1"))
+    # each has over 1 / (shards * SHARE) of the rows, so there are at most shards * SHARE
+    large = sizes.where(F.col("members") > max(1, n // shards // SHARE)).collect()
+    free = [n // shards + (s < n % shards) for s in range(shards)]
+    laid = F.broadcast(stored(spark.createDataFrame(lay([(r["unit"], r["members"]) for r in large], free), "unit string, lo long, hi long, shard int")))
+    room = spark.createDataFrame(list(enumerate(free)), "shard int, room long")
+    held = ranked(nodes.join(laid, "unit", "left_semi"), ["unit"], F.xxhash64("row"), [F.col("tie"), F.col("row")], n, "member", BLOCKS)
+    fixed = stored(held.join(laid, "unit").where("member >= lo and member < hi").select("row", "shard"))
+    nodes = nodes.join(laid, "unit", "left_anti")
     linked = nodes.where("unit is not null")
-    sizes = linked.groupBy("unit").agg(F.count("*").alias("members"))
-    state = stored(linked.join(sizes.where("members > 1"), "unit").select("row", "unit", "members", F.pmod("tie", F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("placed")))
+    state = stored(linked.join(sizes, "unit").select("row", "unit", "members", F.pmod("tie", F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("placed")))
     for turn in range(rounds):
         # votes: the shard that most members have now; ties go to a shard drawn by the unit
         votes = state.where("not placed").groupBy("unit", "members", "shard").agg(F.count("*").alias("votes"))
@@ -74,18 +101,18 @@ def propagate(nodes: DataFrame, shards: int, rounds: int = 3) -> DataFrame:
     placed = ranked(rest.withColumn("spread", spread), [], F.col("spread"), [F.col("spread"), F.col("tie"), F.col("row")], n, "place")
     spans = F.broadcast(room.withColumn("hi", F.sum("room").over(W.orderBy("shard"))).withColumn("lo", F.col("hi") - F.col("room")).select("shard", "lo", "hi"))
     filled = placed.join(spans, (F.col("place") >= F.col("lo")) & (F.col("place") < F.col("hi"))).select("row", "shard")
-    return done.unionByName(filled)
+    return fixed.unionByName(done).unionByName(filled)
 
 
 def _admit(claims: DataFrame, room: DataFrame, units: int) -> DataFrame:
-    """unit, shard of the claims that fit: each shard takes units by votes until its room ends.
+    """unit, shard of the claims that fit: each shard takes units, large ones first, until its room ends.
 
     Claims are ordered in blocks by hash, and blocks start where those before
     them end, so no window holds all claims of a shard.
     """
     blocks = max(1, -(-units // RANK_BLOCK))
     keyed = claims.withColumn("block", F.pmod(F.xxhash64("unit"), F.lit(blocks)))
-    inner = W.partitionBy("shard", "block").orderBy(F.desc("votes"), "unit").rowsBetween(W.unboundedPreceding, 0)
+    inner = W.partitionBy("shard", "block").orderBy(F.desc("members"), F.desc("votes"), "unit").rowsBetween(W.unboundedPreceding, 0)
     within = keyed.withColumn("upto", F.sum("members").over(inner))
     sums = keyed.groupBy("shard", "block").agg(F.sum("members").alias("rows"))
     before = sums.withColumn("start", F.coalesce(F.sum("rows").over(W.partitionBy("shard").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("shard", "block", "start")
@@ -111,15 +138,7 @@ def assign(docs: DataFrame, shards: int = 24, rounds: int = 3) -> DataFrame:
     )
     facts = stored(facts)
     n = facts.count()
-    most = max(1, n // shards // SHARE)
-    # a group of any size is counted in parts; only groups that are too large are split
-    counts = facts.where("group is not null").groupBy("group").agg(F.count("*").alias("copies")).where("copies > 1")
-    large = counts.where(F.col("copies") > most).withColumn("parts", F.ceil(F.col("copies") / most))
-    # each large group has over 1 / (shards * SHARE) of the rows, so there are fewer than shards * SHARE of them
-    cut = facts.alias("f").join(F.broadcast(large).alias("l"), F.col("f.group") == F.col("l.group"), "left")
-    unit = F.when(F.col("f.group").isNotNull(), F.concat_ws("/", F.col("f.group"), F.pmod(F.xxhash64("f.tie", "f.row"), F.coalesce("l.parts", F.lit(1))).cast("string")))
-    nodes = stored(cut.select("f.row", "f.tie", unit.alias("unit")))
-    placed = stored(propagate(nodes, shards, rounds))
+    placed = stored(propagate(facts.select("row", "tie", F.col("group").alias("unit")), shards, rounds))
     joined = facts.join(placed, "row")
     slotted = ranked(joined, ["shard"], F.xxhash64("row"), [F.col("row")], max(1, n // shards), "slot")
     return slotted.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

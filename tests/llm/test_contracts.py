@@ -135,6 +135,21 @@ def test_shards_keep_groups_together(spark):
     assert cut <= 60, cut
 
 
+def test_shards_cut_large_groups_least(spark):
+    """Shards that hold each group, by the group's size: none is cut that a shard could hold."""
+    small = [(i, f"pair {i % 10}") for i in range(20)] + [(100 + i, f"single {i}") for i in range(20)]
+    sizes = {"a": 60, "b": 60, "c": 60, "d": 13, "e": 250, "f": 100}
+    mixed = [t for t, n in sizes.items() for _ in range(n)]
+    mixed = list(enumerate(mixed + [f"single {i}" for i in range(2400 - len(mixed))]))
+    for rows, want in ((small, {f"pair {i}": 1 for i in range(10)}), (mixed, {t: -(-n // 100) for t, n in sizes.items()})):
+        text, where, counts = dict(rows), {}, [0] * 24
+        for r in shards.assign(spark.createDataFrame(rows, "doc_id long, text string"), 24).collect():
+            where.setdefault(text[r.doc_id], set()).add(r.shard)
+            counts[r.shard] += 1
+        assert {t: len(where[t]) for t in want} == want
+        assert max(counts) - min(counts) <= 1 and sum(counts) == len(rows)
+
+
 def test_bpe(docs):
     import tiktoken
 
