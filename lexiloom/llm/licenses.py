@@ -5,8 +5,7 @@ Native: DataFrame functions only.
 1. ``scan`` splits each text into words once and keeps, per text, the places
    of the phrases and the places of all index words of the templates.
 2. Document frequencies of the index words over all texts give their IDF.
-3. Each text looks up its highest-IDF licence words in the templates'
-   postings.  Places are intersected by relative position: occurrences that
+3. Each text looks up all its licence words in the templates' postings.  Places are intersected by relative position: occurrences that
    stand as far apart as in a template share one shift.
 4. A template is found where the words of one shift carry at least ``LEAST``
    of its IDF weight, and where its mandatory key phrase stands in the text.
@@ -44,7 +43,7 @@ TEMPLATES = (
 )
 #: Words too common to index.
 COMMON = frozenset("a all and any are by in is of or the this to under use v with 0 2 3 4".split())
-#: Different licence words that a text looks up, and the share of a template's weight that must be met.
+#: Different licence words that a text looks up in the SQL equivalent alone, and the share of a template's weight that must be met.
 LOOKUPS, LEAST = 8, 0.6
 
 
@@ -86,10 +85,7 @@ def scan(docs: DataFrame) -> DataFrame:
     df = with_words.select(F.explode(F.array_distinct(F.col("seen.word"))).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
     index = postings(spark).join(df, "word", "left").withColumn("idf", F.log((F.lit(total) + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 0.1)
     index = F.broadcast(stored(index.withColumn("weight", F.col("idf") / F.sum("idf").over(W.partitionBy("template")))))  # as many rows as the templates have words
-    ranked = index.select("word", "idf").distinct()
-    rare = with_words.select("row", F.explode(F.array_distinct(F.col("seen.word"))).alias("word")).join(F.broadcast(ranked), "word")
-    top = rare.groupBy("row").agg(F.slice(F.sort_array(F.collect_set(F.struct("idf", "word")), asc=False), 1, LOOKUPS).alias("top"))  # a set of index words
-    looked = with_words.join(top, "row").select("row", "keys", F.explode(F.filter("seen", lambda s: F.exists("top", lambda t: t["word"] == s["word"]))).alias("s"))
+    looked = with_words.where(F.size("keys") > 0).select("row", "keys", F.explode("seen").alias("s"))
     # places of one template that stand as far apart as in it share a shift
     met = looked.join(index, F.col("s.word") == F.col("word")).where(F.array_contains("keys", F.col("key")))
     shifts = met.groupBy("row", "template", "label", (F.col("s.at") - F.col("at")).alias("shift")).agg(F.sum("weight").alias("weight"))

@@ -110,6 +110,16 @@ def test_license_templates(hard):
     assert labels[14] == "cc-by,cc-by-nc-4.0" and labels[15] == "gpl,gpl-3.0"
 
 
+def test_licenses_of_several_notices(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software."
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted."
+    mpl = "Subject to the terms of the Mozilla Public License, v. 2.0."
+    apache = "Licensed under the Apache License, Version 2.0"
+    texts = {1: f"{mit}\n{bsd}", 2: f"{bsd} x {mpl} y {mit} z {apache}", 3: mit}
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == {1: ("bsd,mit", 1.0), 2: ("apache-2.0,bsd,mit,mpl-2.0", 1.0), 3: ("mit", 1.0)}
+
+
 def test_shards(docs):
     rows = shards.assign(docs, 24).collect()
     texts = dict(pairs(docs))
