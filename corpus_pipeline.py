@@ -2,7 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir), works on all rows its predecessor
 kept, and returns the columns of documents, but for the last, which returns
-token ids.  Rows with a null text fail the quality rules and go.
+token ids.  Rows with a null text fail the quality rules and go.  Every row is
+judged by itself: ids may be null or repeated.
 """
 
 from __future__ import annotations
@@ -15,28 +16,25 @@ from lexiloom.llm import bpe, decontam, lang_id, ngram_join, quality
 from lexiloom.llm.common import read_table, stored
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in ids; a shuffle join unless Spark sees that ids are few."""
-    return docs.join(ids.select("doc_id"), "doc_id", "left_semi")
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps what passes the base rules and its group's adaptive fences."""
-    measured = stored(quality.measure(docs, ["doc_id", "lang", "source"]))
-    judged = quality.apply_rules(measured, quality.thresholds(stored(quality.sketch(measured, ["lang", "source"]))))
-    return _only(docs, judged.where("kept"))
+    measured = stored(quality.measure(docs, docs.columns))
+    limits = stored(quality.thresholds(stored(quality.sketch(measured, ["lang", "source"]))))  # its size is known, so a small one is not shuffled
+    return quality.apply_rules(measured, limits).where("kept").select(docs.columns)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps what is near enough to a learned language; learns from the rows not held out."""
     model = lang_id.fit(docs.where(~lang_id.held_out(F.col("doc_id"))))
-    return _only(docs, lang_id.predict(docs, model, ["doc_id"]).where(~F.col("rejected")))
+    return lang_id.predict(docs, model, docs.columns).where(~F.col("rejected")).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of linked documents the one with the least doc_id."""
-    linked = ngram_join.link_components(docs, percent=80, width=5)
-    return _only(docs, linked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """Keeps of each group of linked rows one with the least doc_id, or any if all ids are null; rows without words have no group."""
+    keyed = stored(docs.withColumn("_row", F.monotonically_increasing_id()))
+    linked = stored(ngram_join.link(keyed, 80, 5, ["doc_id", "_row"]).select("doc_id", "_row", "label"))
+    first = linked.where("label is not null").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first")).select("first._row")
+    return keyed.join(first.union(linked.where("label is null").select("_row")), "_row", "left_semi").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

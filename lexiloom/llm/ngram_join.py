@@ -59,20 +59,20 @@ def _digest(found: np.ndarray) -> bytes:
     return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
 
 
-def classes(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, class_key (16 bytes; null for the empty set)."""
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("n_shingles", T.LongType()), T.StructField("class_key", T.BinaryType())])
+def classes(docs: DataFrame, width: int, keep: list[str]) -> DataFrame:
+    """keep, n_shingles, class_key (16 bytes; null for the empty set)."""
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("n_shingles", T.LongType()), T.StructField("class_key", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, keys = [], []
-            for t in batch.column(1):
+            for t in batch.column(len(keep)):
                 found = shingle_set(t.as_py(), width)
                 n.append(len(found))
                 keys.append(_digest(found) if len(found) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary())], ["doc_id", "n_shingles", "class_key"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(n, pa.int64()), pa.array(keys, pa.binary())], [*keep, "n_shingles", "class_key"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select(*keep, "text").mapInArrow(run, schema)
 
 
 def _blocks(docs: DataFrame, width: int, fragments: int) -> DataFrame:
@@ -224,7 +224,15 @@ def link_components(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
     class_id is the least doc_id with an equal set, component_id the least
     doc_id that links reach; both are the row's own doc_id for the empty set.
     """
-    per_doc = stored(classes(docs, width))
+    return link(docs, percent, width, ["doc_id"]).select("doc_id", "n_shingles", "class_id", "component_id")
+
+
+def link(docs: DataFrame, percent: int, width: int, keep: list[str]) -> DataFrame:
+    """keep, which holds doc_id, n_shingles, class_id, component_id and label of every row of docs.
+
+    label tells components apart whatever their ids are; it is null for the empty set.
+    """
+    per_doc = stored(classes(docs, width, keep))
     grouped = per_doc.where("class_key is not null").groupBy("class_key").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.count("*").alias("copies"))
     to_long = F.expr("aggregate(sequence(8, 1, -1), 0L, (h, i) -> shiftleft(h, 8) | cast(conv(hex(substring(class_key, i, 1)), 16, 10) as long))")
     known = stored(grouped.withColumn("class", to_long))
@@ -245,6 +253,6 @@ def link_components(docs: DataFrame, percent: int = 80, width: int = 5) -> DataF
 
     member = known.join(final, known["class"] == final["node"], "left").select("class_key", "least", F.coalesce("label", "class").alias("label"))
     least = member.groupBy("label").agg(F.min("least").alias("component"))
-    named = member.join(least, "label").select("class_key", "least", "component")
+    named = member.join(least, "label").select("class_key", "least", "component", "label")
     out = per_doc.alias("d").join(named.alias("n"), F.col("d.class_key") == F.col("n.class_key"), "left")
-    return out.select("d.doc_id", "d.n_shingles", F.coalesce("n.least", "d.doc_id").alias("class_id"), F.coalesce("n.component", "d.doc_id").alias("component_id"))
+    return out.select(*[F.col(f"d.{c}") for c in keep], "d.n_shingles", F.coalesce("n.least", "d.doc_id").alias("class_id"), F.coalesce("n.component", "d.doc_id").alias("component_id"), "n.label")

@@ -3,6 +3,7 @@
 import brute
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lexiloom.llm import bpe
@@ -66,5 +67,22 @@ def test_token_stage(spark, stages):
     assert all(r.round_trip and r.n_tokens == len(r.ids) for r in got.values())
 
 
+def test_null_and_repeated_ids(spark):
+    """Each stage judges rows, not ids."""
+    docs = stored(spark.read.parquet(f"{SF}/documents.parquet").where("length(text) > 400").limit(60))
+    nameless = docs.withColumn("doc_id", F.lit(None).cast("long"))
+    assert corpus_pipeline.quality_rules(spark, nameless, SF).count() == corpus_pipeline.quality_rules(spark, docs, SF).count() > 0
+    assert corpus_pipeline.language_id(spark, nameless, SF).count() > 0
+    bad = docs.withColumn("text", F.lit("$ # " * 200))
+    assert {r.text for r in corpus_pipeline.quality_rules(spark, docs.union(bad), SF).collect()} <= {r.text for r in docs.collect()}
+    a, b, c = (" ".join(f"{x}{i}" for i in range(80)) for x in "abc")
+    rows = [(7, a), (7, a), (None, a), (None, b), (None, b), (3, c), (3, b + " end"), (7, ""), (7, None), (None, "")]
+    table = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], docs.schema)
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, table, SF).collect()), key=str)
+    assert got == sorted([(7, a), (3, b + " end"), (3, c), (7, ""), (7, None), (None, "")], key=str)
+    none = table.where("doc_id is null and text <> ''")
+    assert sorted(r.text for r in corpus_pipeline.near_duplicates(spark, none, SF).collect()) == [a, b]
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 50
