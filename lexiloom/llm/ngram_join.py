@@ -1,29 +1,43 @@
-"""N-gram Jaccard self-join of whole texts, with vertical partitioning.
+"""N-gram Jaccard self-join of whole texts, by vertical partitioning.
 
 Texts are sets of distinct word shingles (see ``shingles``).  Two sets link
 when ``100 * |A & B| >= percent * |A | B|``.  Equal sets form one class; the
 join runs over classes, so copies cost nothing.
 
-1. *Fragments.*  The n-gram space is cut into fragments by hash.  Arrow
-   functions send, for each batch of texts and each fragment, one block of
-   n-grams with their classes; each fragment counts how many classes hold each
-   of its n-grams and passes on only n-grams that two or more classes share.
-2. *Order.*  The global order is (number of classes, fragment, n-gram), rarest
-   first.  N-grams of one class only come first and need not be listed: a
+1. *Order.*  The n-gram space is cut into bins by hash.  Each bin counts how
+   many classes hold each of its n-grams and passes on those that two or more
+   hold.  The global order is (band of that number, hash), rarest first; one
+   64-bit key holds both.  N-grams of one class only come before all others: a
    class's position of a shared n-gram is known from its set size.
+2. *Fragments.*  The order is cut into ``FRAGMENTS`` contiguous ranges that
+   hold about equally many (class, n-gram) tuples.  A class's keys are thus cut
+   into segments, one for each fragment.
 3. *Candidates.*  A linked pair shares an n-gram within the longer set's probe
-   prefix and the shorter set's index prefix.  Length, position and bitmap
-   bounds on the overlap drop candidates inside the join.
-4. *Overlaps.*  The order is cut into vertical parts; each candidate pair's
-   overlap is counted in every part separately and summed per pair.
-5. *Components.*  Lists of a prefix n-gram are first linked like chains and
-   stars, which joins most of a group of near copies by few pairs.  All other
-   candidates whose ends still lie in different components follow, so no
-   component is missed, while groups are never expanded into all their pairs.
+   prefix and the shorter set's index prefix.  Lists of prefix n-grams are cut
+   into blocks of about ``LIST`` classes, so no task holds a whole long list.
+   Neighbours within a block, the block's least class and the leasts of a
+   list's blocks are linked first, which joins a group of near copies by few
+   pairs.
+4. *Partial overlaps.*  In each fragment, segments meet and give a partial
+   count; the counts are summed per pair.  Classes of one component meet in
+   pairs of blocks of ``BLOCK`` classes, so all links within it are found while
+   each segment is sent once for each block, not once for each pair.
+   Candidates whose ends lie in different components meet pair by pair.
+   Bounds by length, position and bitmap, and by the part of the difference
+   that a fragment shows, drop pairs that cannot link; they never drop a link.
+5. *Links.*  Every link between different texts is found and counted.
+
+Widths: shingles have 64 bits, the keys of classes 128 (64 inside the join),
+n-grams inside the join 56 bits and 7 bits of band.  Two n-grams of one pair
+with equal 56 bits would count as one; with sets of a million n-grams that
+happens to about one pair in 100,000.
 
 Null texts and texts without words have the empty set: n_shingles 0, no
-links.  Rows with a null doc_id take part, but never name a component while a
-non-null id is in it.  Repeated rows are copies.  Other columns are ignored.
+links.  Very long texts are one row of their keys (8 bytes a shingle).  Rows
+with a null doc_id take part, but never name a component while a non-null id
+is in it.  Repeated rows are copies, which are links too.  Ties of the order
+are broken by hash.  An empty table gives no rows.  Other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -39,20 +53,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import small_or_shuffled, stored
+from .common import discard, small_or_shuffled, stored
 from .components import components
 from .shingles import shingle_set
 
-#: N-grams of a fragment, on average, and the least number of fragments.
-FRAGMENT, LEAST_FRAGMENTS = 1_000_000, 48
+#: Contiguous ranges of the global order.
+FRAGMENTS = 4
+#: N-grams of a bin, on average, and the least number of bits of a bin's number.
+BIN, LEAST_BIN_BITS = 1_000_000, 6
 #: N-grams that a batch gathers before its blocks are sent.
 BATCH = 1_500_000
-#: Bits of an n-gram inside its fragment.
-BITS = 48
+#: Bits of an n-gram below its band in a key, and those sent besides the bin.
+BITS, SENT = 56, 48
 #: 64-bit words of a bitmap that bounds the overlap of two sets.
 BITMAP = 8
-#: Vertical parts in which the overlaps of candidate pairs are counted.
-PARTS = 2
+#: Classes of a block of a prefix list, and of a block of a component, on average.
+LIST, BLOCK = 512, 192
 
 
 def _digest(found: np.ndarray) -> bytes:
@@ -75,26 +91,26 @@ def classes(docs: DataFrame, width: int, keep: list[str]) -> DataFrame:
     return docs.select(*keep, "text").mapInArrow(run, schema)
 
 
-def _blocks(docs: DataFrame, width: int, fragments: int) -> DataFrame:
-    """fragment, grams (6 bytes each), classes (8 bytes each) and runs (grams of each class, 4 bytes)."""
+def _blocks(docs: DataFrame, width: int, bin_bits: int) -> DataFrame:
+    """bin, grams (6 bytes each), classes (8 bytes each) and runs (grams of each class, 4 bytes)."""
 
     def pack(sets: dict[int, np.ndarray]) -> pa.RecordBatch:
         keys = np.fromiter(sets, np.int64, len(sets))
         sizes = np.array([len(s) for s in sets.values()])
         grams = np.concatenate(list(sets.values()))
         owner = np.repeat(np.arange(len(keys)), sizes)
-        part = ((grams >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32)
+        part = (grams >> np.uint64(64 - bin_bits)).astype(np.int64)
         order = np.lexsort((owner, part))
         part, owner, grams = part[order], owner[order], grams[order]
-        edges = np.flatnonzero(np.diff(part, prepend=part[0] + np.uint64(1), append=part[-1] + np.uint64(1)))
+        edges = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
         rows: tuple[list, list, list, list] = ([], [], [], [])
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             own = owner[a:b]
             first = np.flatnonzero(np.diff(own, prepend=-1))
-            low = np.ascontiguousarray(grams[a:b]).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+            low = np.ascontiguousarray(grams[a:b]).astype("<u8").view(np.uint8).reshape(-1, 8)[:, : SENT // 8]
             for column, x in zip(rows, (int(part[a]), low.tobytes(), keys[own[first]].tobytes(), np.diff(np.append(first, b - a)).astype(np.int32).tobytes()), strict=True):
                 column.append(x)
-        return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(c, pa.binary()) for c in rows[1:])], ["fragment", "grams", "classes", "runs"])
+        return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(c, pa.binary()) for c in rows[1:])], ["bin", "grams", "classes", "runs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[int, np.ndarray] = {}
@@ -113,16 +129,27 @@ def _blocks(docs: DataFrame, width: int, fragments: int) -> DataFrame:
         if sets:
             yield pack(sets)
 
-    return docs.select("text").mapInArrow(run, "fragment int, grams binary, classes binary, runs binary")
+    return docs.select("text").mapInArrow(run, "bin int, grams binary, classes binary, runs binary")
 
 
-def _shared(blocks: DataFrame) -> DataFrame:
-    """fragment, gram, class, df: the n-grams that two or more classes hold."""
+def band(df: np.ndarray) -> np.ndarray:
+    """0 to 127, growing with the number of classes: exact below 64, then four steps a doubling."""
+    return np.minimum(np.where(df < 64, df, 64 + 4 * np.log2(np.maximum(df, 64) / 64)), 127).astype(np.int64)
+
+
+def _most_of_band(key: Column) -> Column:
+    """The most classes that an n-gram of the key's band has."""
+    b = F.shiftright(key, BITS)
+    return F.when(b < 64, b.cast("double")).otherwise(64 * F.pow(F.lit(2.0), (b - 63) / 4.0))
+
+
+def _shared(blocks: DataFrame, bin_bits: int) -> DataFrame:
+    """class, key of the n-grams that two or more classes hold; a bin is one group."""
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
-        raw = np.frombuffer(b"".join(group["grams"]), np.uint8).reshape(-1, 6)
+        raw = np.frombuffer(b"".join(group["grams"]), np.uint8).reshape(-1, SENT // 8)
         grams = np.zeros((len(raw), 8), np.uint8)
-        grams[:, :6] = raw
+        grams[:, : SENT // 8] = raw
         grams = grams.view("<u8").ravel().astype(np.int64)
         owner = np.repeat(np.frombuffer(b"".join(group["classes"]), np.int64), np.frombuffer(b"".join(group["runs"]), np.int32))
         order = np.lexsort((owner, grams))
@@ -130,57 +157,64 @@ def _shared(blocks: DataFrame) -> DataFrame:
         new = np.ones(len(grams), bool)
         new[1:] = (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])  # a class may come from several batches
         grams, owner = grams[new], owner[new]
-        starts = np.flatnonzero(np.diff(grams, prepend=-1))
-        n = np.diff(np.append(starts, len(grams)))
+        n = np.diff(np.append(np.flatnonzero(np.diff(grams, prepend=-1)), len(grams)))
         df = np.repeat(n, n)
         many = df > 1
-        return pd.DataFrame({"fragment": group["fragment"].iloc[0], "gram": grams[many], "class": owner[many], "df": df[many].astype(np.int32)})
+        whole = (np.int64(group["bin"].iloc[0]) << np.int64(SENT)) | grams[many]
+        key = (band(df[many]) << np.int64(BITS)) | (whole >> np.int64(max(0, bin_bits + SENT - BITS)))
+        return pd.DataFrame({"class": owner[many], "key": key})
 
-    return blocks.groupBy("fragment").applyInPandas(one, "fragment int, gram long, class long, df int")
+    return blocks.repartition(1 << bin_bits, "bin").groupBy("bin").applyInPandas(one, "class long, key long")
 
 
-def _least_overlap(a: Column, b: Column, percent: int) -> Column:
-    return F.ceil(percent * (a + b) / (100 + percent))
+def _cuts(shared: DataFrame) -> list[int]:
+    """The keys at which fragments 1, 2, ... start; from a histogram of at most 8192 cells."""
+    cells = sorted(shared.groupBy(F.shiftright("key", BITS - 6).alias("cell")).agg(F.count("*").alias("n")).collect())
+    total, seen, cuts = sum(r.n for r in cells), 0, []
+    for r in cells:
+        if seen >= total * (len(cuts) + 1) / FRAGMENTS:
+            cuts.append(r.cell << (BITS - 6))
+        seen += r.n
+    return cuts
 
 
-def _prefixes(shared: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """fragment, gram, class, n, many, pos, before, is_index of the shared n-grams within probe prefixes.
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """key, class, n, many, pos, before, is_index and bitmap words of the shared n-grams within probe prefixes.
 
     ``before`` is the shared n-gram just before in the class's order; a pair
-    with equal ones is found there already.
+    with equal ones is found there already.  A bit of the bitmap says whether
+    an odd number of the class's shared n-grams fall on it.
     """
-    own = W.partitionBy("class")
-    order = own.orderBy("df", "fragment", "gram")
-    placed = shared.join(sizes, "class").withColumn("k", F.row_number().over(order) - 1).withColumn("many", F.count("*").over(own)).withColumn("before", F.lag(F.struct("fragment", "gram")).over(order))
-    placed = placed.withColumn("pos", F.col("n") - F.col("many") + F.col("k"))
-    probe = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1
-    index = F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent)) + 1
-    return placed.where(F.col("pos") < probe).select("fragment", "gram", "class", "n", "many", "pos", "before", (F.col("pos") < index).alias("is_index"))
-
+    names = ["key", "class", "n", "many", "pos", "before", "is_index", *(f"b{w}" for w in range(BITMAP))]
 
-def _bitmaps(shared: DataFrame, of: DataFrame) -> DataFrame:
-    """class, bits: for each bit, whether an odd number of the class's shared n-grams fall on it."""
-    spot = F.pmod(F.xxhash64("fragment", "gram"), F.lit(64 * BITMAP)).cast("int")
-    odd = shared.join(small_or_shuffled(of), "class", "left_semi").groupBy("class", spot.alias("spot")).agg((F.count("*") % 2).alias("odd")).where("odd = 1")
-    word = [F.bit_or(F.when((F.col("spot") / 64).cast("int") == w, F.call_function("shiftleft", F.lit(1).cast("long"), F.col("spot") % 64)).otherwise(F.lit(0).cast("long"))).alias(f"b{w}") for w in range(BITMAP)]
-    return odd.groupBy("class").agg(*word)
-
-
-def _overlaps(pairs: DataFrame, shared: DataFrame) -> DataFrame:
-    """a, b, overlap: partial counts in each vertical part, summed per pair."""
-    ends = small_or_shuffled(stored(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()))
-    part = F.pmod(F.col("fragment"), F.lit(PARTS))
-    lists = stored(shared.join(ends, "class", "left_semi").groupBy("class", part.alias("part")).agg(F.collect_list(F.xxhash64("fragment", "gram")).alias("grams")))  # a list is part of one text's set
-    left = lists.select(F.col("class").alias("a"), "part", F.col("grams").alias("x"))
-    right = lists.select(F.col("class").alias("b"), "part", F.col("grams").alias("y"))
-    partial = pairs.join(left, "a").join(right, ["b", "part"]).select("a", "b", F.size(F.array_intersect("x", "y")).alias("n"))
-    return partial.groupBy("a", "b").agg(F.sum("n").alias("overlap"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[] for _ in names]
+            for cls, n, keys in zip(batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2), strict=True):
+                keys = np.asarray(keys.values, np.int64)
+                many = len(keys)
+                least = n - many  # the position of the first shared n-gram
+                probe = min(many, int(n + (percent * n // -100)) + 1 - least)
+                if probe <= 0:
+                    continue
+                index = int(n + (2 * percent * n // -(100 + percent))) + 1
+                spot = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 9)
+                odd = np.bincount(spot.astype(np.int64), minlength=64 * BITMAP) & 1
+                words = np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+                pos = np.arange(least, least + probe)
+                fixed = [np.full(probe, x, np.int64) for x in (cls, n, many)]
+                row = [keys[:probe], *fixed, pos, np.append(np.int64(-1), keys[: probe - 1]), pos < index, *(np.full(probe, w, np.int64) for w in words)]
+                for column, x in zip(out, row, strict=True):
+                    column.append(x)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names)
+
+    kinds = ", ".join(f"{c} {'boolean' if c == 'is_index' else 'long'}" for c in names)
+    return sets.select("class", "n", "keys").mapInArrow(run, kinds)
 
 
-def _linked(pairs: DataFrame, shared: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    found = _overlaps(pairs, shared)
-    sized = found.join(sizes.select(F.col("class").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("class").alias("b"), F.col("n").alias("nb")), "b")
-    return sized.where(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b")
+def _least_overlap(a: Column, b: Column, percent: int) -> Column:
+    return F.ceil(percent * (a + b) / (100 + percent))
 
 
 def _near_enough(x: str, y: str, percent: int) -> Column:
@@ -192,43 +226,131 @@ def _near_enough(x: str, y: str, percent: int) -> Column:
     return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & (differ <= nx + ny - 2 * _least_overlap(nx, ny, percent))
 
 
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """rows with ``blocks``, into how many blocks the list of a key is cut, and ``block``, the row's own."""
+    blocks = F.greatest(F.ceil(_most_of_band(F.col("key")) / LIST), F.lit(1)).cast("int")
+    return rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+
+
 def _chains(prefixes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of neighbours, by set size, in the list of each prefix n-gram, and pairs with one hub of the list."""
-    rows = prefixes.select("fragment", "gram", F.struct("n", "class", "many", *[f"b{w}" for w in range(BITMAP)]).alias("e"))
-    order = W.partitionBy("fragment", "gram").orderBy("e.n", "e.class")
+    """Pairs of neighbours, by set size, in each block of a prefix list, pairs with the block's least class, and pairs of a list's leasts."""
+    entry = F.struct("n", "class", "many", *[f"b{w}" for w in range(BITMAP)])
+    rows = _in_blocks(prefixes).select("key", "block", entry.alias("e"))
+    order = W.partitionBy("key", "block").orderBy("e.n", "e.class")
     chain = rows.withColumn("o", F.lag("e").over(order)).where("o is not null").select("e", "o")
-    hubs = rows.groupBy("fragment", "gram").agg(F.min("e").alias("o"))
-    star = rows.join(hubs, ["fragment", "gram"]).where("e.class <> o.class").select("e", "o")
-    both = chain.union(star).select(F.least("e.class", "o.class").alias("a"), F.greatest("e.class", "o.class").alias("b"), F.col("e").alias("x"), F.col("o").alias("y"))
-    return both.where(_near_enough("x", "y", percent)).select("a", "b").distinct()
+    hubs = rows.groupBy("key", "block").agg(F.min("e").alias("o"))
+    star = rows.join(hubs, ["key", "block"]).where("e.class <> o.class").select("e", "o")
+    tops = hubs.select(F.col("o").alias("e"), F.lag("o").over(W.partitionBy("key").orderBy("o.n", "o.class")).alias("o")).where("o is not null")  # one row for LIST classes
+    every = chain.union(star).union(tops).select(F.least("e.class", "o.class").alias("a"), F.greatest("e.class", "o.class").alias("b"), F.col("e").alias("x"), F.col("o").alias("y"))
+    return every.where(_near_enough("x", "y", percent)).select("a", "b").distinct()
 
 
-def _rest(prefixes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """All other candidates: pairs within a list whose ends lie in different components."""
+def _across(prefixes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """All candidates whose ends lie in different components; lists meet block by block."""
     rows = prefixes.join(labels.select(F.col("node").alias("class"), "label"), "class", "left").withColumn("label", F.coalesce("label", "class"))
     # a list whose classes are all in one component has nothing left to join
-    spread = rows.groupBy("fragment", "gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("fragment", "gram")
-    rows = stored(rows.join(spread, ["fragment", "gram"], "left_semi"))
-    x, y = rows.alias("x"), rows.where("is_index").alias("y")  # x is the longer set
+    mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+    rows = stored(_in_blocks(rows.join(mixed, "key", "left_semi")))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    x = rows.withColumn("other", F.explode(every)).alias("x")  # x is the longer set
+    y = rows.where("is_index").withColumn("other", F.explode(every)).alias("y")
     longer = (F.col("x.n") > F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.class") > F.col("y.class")))
-    apart = F.col("x.label") != F.col("y.label")
     reach = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) >= _least_overlap(F.col("x.n"), F.col("y.n"), percent)
-    first = ~F.col("x.before").eqNullSafe(F.col("y.before")) | F.col("x.before").isNull()
-    met = (F.col("x.fragment") == F.col("y.fragment")) & (F.col("x.gram") == F.col("y.gram")) & longer & apart & reach & first & _near_enough("x", "y", percent)
-    return x.join(y, met).select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
+    first = (F.col("x.before") != F.col("y.before")) | (F.col("x.before") == -1)
+    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.block") == F.col("y.other")) & (F.col("x.other") == F.col("y.block"))
+    met = x.join(y, same & longer & (F.col("x.label") != F.col("y.label")) & reach & first & _near_enough("x", "y", percent))
+    return met.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
+
+
+def _segments(sets: DataFrame, of: DataFrame, cuts: list[int]) -> DataFrame:
+    """class, n, many, fragment, before, seg of the classes in ``of``: their keys in each fragment, and how many lie before."""
+    edges = [F.lit(-1).cast("long"), *(F.lit(c).cast("long") for c in cuts), F.lit((1 << 63) - 1).cast("long")]
+    inside = lambda lo, hi: F.filter("keys", lambda k: (k >= lo) & (k < hi))
+    before = lambda lo: F.size(F.filter("keys", lambda k: k < lo))
+    pieces = [F.struct(F.lit(f).alias("fragment"), before(lo).alias("before"), inside(lo, hi).alias("seg")) for f, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True))]
+    some = sets.join(small_or_shuffled(of), "class", "left_semi")
+    return some.select("class", "n", F.size("keys").alias("many"), F.explode(F.array(*pieces)).alias("s")).select("class", "n", "many", "s.*")
+
+
+def _enough(pairs: DataFrame, percent: int) -> DataFrame:
+    """a, b of partial counts (a, b, na, nb, c) whose sums link; the partial sums of a pair come from all fragments."""
+    summed = pairs.groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
+    return summed.where(100 * F.col("c") >= percent * (F.col("na") + F.col("nb") - F.col("c"))).select("a", "b")
+
+
+def _linked_pairs(pairs: DataFrame, sets: DataFrame, cuts: list[int], percent: int) -> DataFrame:
+    """The pairs that link: each fragment counts its part of a pair's overlap."""
+    ends = stored(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct())
+    segments = stored(_segments(sets, ends, cuts))
+    left = segments.select(F.col("class").alias("a"), F.col("n").alias("na"), "fragment", F.col("seg").alias("x"))
+    right = segments.select(F.col("class").alias("b"), F.col("n").alias("nb"), "fragment", F.col("seg").alias("y"))
+    return _enough(pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("x", "y")).alias("c")), percent)
+
+
+def partial_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many keys each left segment shares with each right one.
+
+    Lists of the keys that both sides hold, one after the other: a product of
+    two 0/1 matrices, some columns at a time.
+    """
+    out = np.zeros((len(left), len(right)), np.float32)
+    both = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    at = [[np.searchsorted(both, s[np.isin(s, both, assume_unique=True)]) for s in side] for side in (left, right)]
+    for lo in range(0, len(both), 4096):
+        made = []
+        for side in at:
+            m = np.zeros((len(side), 4096), np.float32)
+            for row, cols in zip(m, side, strict=True):
+                row[cols[(cols >= lo) & (cols < lo + 4096)] - lo] = 1
+            made.append(m)
+        out += made[0] @ made[1].T
+    return out.astype(np.int64)
+
+
+def _within(labels: DataFrame, sets: DataFrame, cuts: list[int], percent: int) -> DataFrame:
+    """All links inside components of three or more classes: pairs of blocks meet in each fragment."""
+    sizes = labels.groupBy("label").agg(F.count("*").alias("members")).where("members > 2")
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    member = stored(labels.join(sizes, "label").select(F.col("node").alias("class"), "label", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")))
+    segments = _segments(sets, member.select("class"), cuts).join(member, "class")
+    # every pair of blocks has one meeting place; a block meets itself too
+    place = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j"))))
+    met = segments.withColumn("p", place).select("label", "p.i", "p.j", "fragment", "block", "class", "n", "many", "before", "seg")
+
+    def one(group: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
+        x, y = (group[group["block"] == b] for b in (i, j))
+        if not len(x) or not len(y):
+            return pd.DataFrame({"a": [], "b": [], "na": [], "nb": [], "c": []})
+        c = partial_counts([np.asarray(s) for s in x["seg"]], [np.asarray(s) for s in y["seg"]])
+        size = lambda g: np.array([len(s) for s in g["seg"]])
+        col = lambda name: (x[name].to_numpy()[:, None], y[name].to_numpy()[None, :])
+        (na, nb), (ma, mb), (ha, hb), (ca, cb) = col("n"), col("many"), col("before"), col("class")
+        sa, sb = size(x)[:, None], size(y)[None, :]
+        # what differs: n-grams of one class only, those of this fragment, and at least the lengths before and after it
+        differ = (na - ma) + (nb - mb) + sa + sb - 2 * c + np.abs(ha - hb) + np.abs((ma - ha - sa) - (mb - hb - sb))
+        ok = (c > 0) & (differ <= (na + nb) * (100 - percent) // (100 + percent)) & ((ca < cb) if i == j else np.ones(c.shape, bool))
+        p, q = np.nonzero(ok)
+        a, b = x["class"].to_numpy()[p], y["class"].to_numpy()[q]
+        na, nb = x["n"].to_numpy()[p], y["n"].to_numpy()[q]
+        swap = a > b
+        return pd.DataFrame({"a": np.where(swap, b, a), "b": np.where(swap, a, b), "na": np.where(swap, nb, na), "nb": np.where(swap, na, nb), "c": c[p, q]})
+
+    return _enough(met.groupBy("label", "i", "j", "fragment").applyInPandas(one, "a long, b long, na long, nb long, c long"), percent)
 
 
 def link_components(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
-    """doc_id, n_shingles, class_id, component_id of every row of docs.
+    """doc_id, n_shingles, class_id, component_id, n_links of every row of docs.
 
     class_id is the least doc_id with an equal set, component_id the least
     doc_id that links reach; both are the row's own doc_id for the empty set.
+    n_links counts the other rows that the row links with, copies included.
     """
-    return link(docs, percent, width, ["doc_id"]).select("doc_id", "n_shingles", "class_id", "component_id")
+    return link(docs, percent, width, ["doc_id"]).select("doc_id", "n_shingles", "class_id", "component_id", "n_links")
 
 
 def link(docs: DataFrame, percent: int, width: int, keep: list[str]) -> DataFrame:
-    """keep, which holds doc_id, n_shingles, class_id, component_id and label of every row of docs.
+    """keep, which holds doc_id, n_shingles, class_id, component_id, label and n_links of every row of docs.
 
     label tells components apart whatever their ids are; it is null for the empty set.
     """
@@ -237,22 +359,29 @@ def link(docs: DataFrame, percent: int, width: int, keep: list[str]) -> DataFram
     to_long = F.expr("aggregate(sequence(8, 1, -1), 0L, (h, i) -> shiftleft(h, 8) | cast(conv(hex(substring(class_key, i, 1)), 16, 10) as long))")
     known = stored(grouped.withColumn("class", to_long))
     total = known.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    sizes = known.select("class", "n")
-    fragments = max(LEAST_FRAGMENTS, -(-total // FRAGMENT))
-    shared = stored(_shared(_blocks(docs, width, fragments)))
-
-    bare = stored(_prefixes(shared, sizes, percent))
-    bits = _bitmaps(shared, stored(bare.select("class").distinct()))
-    prefixes = stored(bare.join(bits, "class", "left").na.fill(0, [f"b{w}" for w in range(BITMAP)]))
-
-    links = stored(_linked(stored(_chains(prefixes, percent)), shared, sizes, percent))
-    labels = components(links)
-    more = _linked(stored(_rest(prefixes, labels, percent)), shared, sizes, percent)
-    joined = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more)
+    bin_bits = max(LEAST_BIN_BITS, (total // BIN).bit_length())
+    shared = stored(_shared(_blocks(docs, width, bin_bits), bin_bits))
+    cuts = _cuts(shared)
+    keys = shared.groupBy("class").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # the set of one text
+    sets = stored(keys.join(known.select("class", "n"), "class"))
+    discard(shared)
+
+    prefixes = stored(_prefixes(sets, percent))
+    first = stored(_linked_pairs(stored(_chains(prefixes, percent)), sets, cuts, percent))
+    labels = components(first)
+    within = _within(labels, sets, cuts, percent)
+    pairs_of_two = first.join(labels.select(F.col("node").alias("a"), "label"), "a").join(labels.groupBy("label").agg(F.count("*").alias("members")).where("members = 2"), "label").select("a", "b")
+    across = stored(_linked_pairs(stored(_across(prefixes, labels, percent)), sets, cuts, percent))
+    links = stored(within.union(pairs_of_two).union(across))
+    joined = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(across)
     final = components(joined)
+    discard(sets, prefixes)
 
-    member = known.join(final, known["class"] == final["node"], "left").select("class_key", "least", F.coalesce("label", "class").alias("label"))
+    copies = known.select("class", "copies")
+    both = links.union(links.select("b", "a")).toDF("class", "other")
+    linked = both.join(copies.toDF("other", "n_other"), "other").groupBy("class").agg(F.sum("n_other").alias("n_other"))
+    member = known.join(final, known["class"] == final["node"], "left").select("class_key", "class", "least", "copies", F.coalesce("label", "class").alias("label")).join(linked, "class", "left")
     least = member.groupBy("label").agg(F.min("least").alias("component"))
-    named = member.join(least, "label").select("class_key", "least", "component", "label")
+    named = member.join(least, "label").select("class_key", "least", "component", "label", (F.col("copies") - 1 + F.coalesce("n_other", F.lit(0))).alias("n_links"))
     out = per_doc.alias("d").join(named.alias("n"), F.col("d.class_key") == F.col("n.class_key"), "left")
-    return out.select(*[F.col(f"d.{c}") for c in keep], "d.n_shingles", F.coalesce("n.least", "d.doc_id").alias("class_id"), F.coalesce("n.component", "d.doc_id").alias("component_id"), "n.label")
+    return out.select(*[F.col(f"d.{c}") for c in keep], "d.n_shingles", F.coalesce("n.least", "d.doc_id").alias("class_id"), F.coalesce("n.component", "d.doc_id").alias("component_id"), "n.label", F.coalesce("n.n_links", F.lit(0)).cast("long").alias("n_links"))

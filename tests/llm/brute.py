@@ -37,11 +37,13 @@ def components(docs, percent=80):
             for j in holders.setdefault(g, []):
                 shared[j, i] += 1
             holders[g].append(i)
+    links = Counter()
     for (a, b), n in shared.items():
         if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n):
             x, y = find(a), find(b)
             parent[max(x, y)] = min(x, y)
-    return {i: (len(sets[i]), find(i)) for i in sets}
+            links.update((a, b))
+    return {i: (len(sets[i]), find(i), links[i]) for i in sets}
 
 
 def decontaminate(docs, items, width=10):

@@ -40,11 +40,14 @@ def pairs(docs):
 
 
 def test_components(docs):
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link_components(docs).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in ngram_join.link_components(docs).collect()}
     assert got == brute.components(pairs(docs))
 
 
-def test_components_of_many_near_copies(spark):
+@pytest.mark.parametrize("blocks", [(ngram_join.LIST, ngram_join.BLOCK), (9, 20)])
+def test_components_of_many_near_copies(spark, monkeypatch, blocks):
+    monkeypatch.setattr(ngram_join, "LIST", blocks[0])
+    monkeypatch.setattr(ngram_join, "BLOCK", blocks[1])
     words = [f"t{i}" for i in range(120)]
     rows = []
     for i in range(150):
@@ -54,7 +57,7 @@ def test_components_of_many_near_copies(spark):
             w[(11 * i + 5) % 110] = f"other{i}"
         rows.append((i, " ".join(w)))
     rows += [(1000 + i, " ".join(words[:60] + [f"p{i}x{k}" for k in range(20)])) for i in range(100)]
-    found = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in ngram_join.link_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found == brute.components(rows)
 
 

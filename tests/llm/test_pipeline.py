@@ -49,7 +49,7 @@ def test_language_stage(stages):
 
 def test_duplicate_stage(stages):
     before, after = rows(stages[2]), rows(stages[3])
-    want = {i for i, (_, c) in brute.components(sorted(before.items())).items() if i == c}
+    want = {i for i, (_, c, _) in brute.components(sorted(before.items())).items() if i == c}
     assert set(after) == want and len(after) < len(before)
 
 
