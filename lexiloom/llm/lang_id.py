@@ -9,11 +9,16 @@ cosine lies below the language's own limit, which is learned from the
 distances of its training texts, is marked as rejected.
 
 Document frequencies count every training row.  Centroids are fitted on a
-bounded sample of them: the ``per_lang`` rows of each language with the
-smallest row hash.  Languages beyond the ``max_langs`` most frequent are not
-learned.  A null text, or one without letters, is ``und`` with score 0.  With
-no training rows every text is ``und``.  Repeated rows count as often as they
-stand there; other columns are never read.
+bounded sample: of each language the ``per_lang`` distinct texts with the
+smallest hash, so a language of many copies is learned like any other, and a
+text that repeats counts once in the centroids.  Every language that has a text
+with letters is learned.  The model is sent to the tasks in parts of
+``LANGS_AT_ONCE`` languages, so any number of languages works.
+
+A null text, or one without letters, is ``und`` with score 0.  With no training
+rows every text is ``und``.  Of centroids with equal cosines the first language
+by name wins.  Very long texts are counted in blocks of ``BLOCK`` characters.
+Columns named like the results are replaced; others are never read.
 """
 
 from __future__ import annotations
@@ -30,10 +35,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from .common import small_or_shuffled, stored
+
 #: Buckets that n-grams are hashed into.
 DIMS = 1 << 13
 #: Characters vectorised at one time.
 BLOCK = 1 << 20
+#: Languages in one part of the model: some 33 MB with 4 centroids each.
+LANGS_AT_ONCE = 256
+#: Range of the hash by which texts are sampled.
+SPACE = 1 << 40
 
 
 @functools.lru_cache(maxsize=1)
@@ -90,7 +101,9 @@ def vector(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 @dataclass
-class Model:
+class Part:
+    """The centroids of some languages."""
+
     idf: np.ndarray
     langs: list[str]
     centroids: np.ndarray  # one row each
@@ -109,6 +122,23 @@ class Model:
         return self.langs[lang], score, score < self.limits[lang] * min(1.0, (grams / 400) ** 0.5)
 
 
+@dataclass
+class Model:
+    """The languages by name, and a stored table of their centroids (lang, centroid, least)."""
+
+    idf: np.ndarray
+    langs: list[str]
+    centroids: DataFrame
+
+    def parts(self) -> Iterator[Part]:
+        """Parts of LANGS_AT_ONCE languages in order of name, one in memory at a time."""
+        for a in range(0, max(1, len(self.langs)), LANGS_AT_ONCE):
+            langs = self.langs[a : a + LANGS_AT_ONCE]
+            found = sorted(self.centroids.where(F.col("lang").isin(langs)).collect(), key=lambda r: (r.lang, r.centroid))
+            rows = np.stack([np.frombuffer(r.centroid, np.float32) for r in found]) if found else np.zeros((0, DIMS), np.float32)
+            yield Part(self.idf, langs, rows, np.array([langs.index(r.lang) for r in found], int), np.array([max(r.least for r in found if r.lang == x) for x in langs]))
+
+
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     """In how many texts of docs each bucket occurs, and how many texts have letters.
 
@@ -147,22 +177,27 @@ def _clusters(vectors: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centres
 
 
-def fit(train: DataFrame, per_lang: int = 1000, k: int = 4, max_langs: int = 256, text: str = "text", lang: str = "lang") -> Model:
+def sample(rows: DataFrame, per_lang: int) -> DataFrame:
+    """lang, text: of each language the per_lang distinct texts with the smallest hash."""
+    hashed = rows.withColumn("h", F.xxhash64("text"))
+    texts = stored(hashed.select("lang", "h").distinct())
+    sizes = texts.groupBy("lang").agg(F.count("*").alias("n"), F.min(F.pmod("h", F.lit(SPACE))).alias("first"))
+    # about twice the bound is kept by hash before ranking, so that a frequent language is never ranked as a whole
+    place = F.pmod("h", F.lit(SPACE))
+    near = texts.join(small_or_shuffled(stored(sizes)), "lang").where((place < F.lit(2.0 * per_lang) / F.col("n") * SPACE) | (place == F.col("first")))
+    order = W.partitionBy("lang").orderBy(place, "h")
+    chosen = stored(near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_lang).select("lang", "h"))
+    return hashed.join(small_or_shuffled(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text")
+
+
+def fit(train: DataFrame, per_lang: int = 1000, k: int = 4, text: str = "text", lang: str = "lang") -> Model:
     """A model from the labelled rows of ``train``; rows with null lang or text are left out.
 
-    per_lang bounds the sample of a language, so its clustering is one small
-    group; max_langs bounds the model that is sent to all tasks.
+    per_lang bounds the sample of a language, so its clustering is one small group.
     """
     rows = train.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     seen, n = document_frequencies(rows)
     idf = np.log((1 + n) / (1 + seen)).astype(np.float32) + np.float32(0.1)
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs)
-    # keep about twice the bound by hash before ranking, so that a frequent language is never ranked as a whole
-    share = counts.select(F.col("lang").alias("l"), F.least(F.lit(1.0), F.lit(2.0 * per_lang) / F.col("n")).alias("share"))
-    hashed = rows.withColumn("h", F.xxhash64("text"))
-    some = hashed.join(F.broadcast(share), F.col("lang") == F.col("l")).where(F.pmod("h", F.lit(1 << 20)) < F.col("share") * (1 << 20))
-    ranked = some.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h", "text"))).where(F.col("r") <= per_lang)
-    sample = ranked.select("lang", "text")
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         name = group["lang"].iloc[0]
@@ -176,26 +211,37 @@ def fit(train: DataFrame, per_lang: int = 1000, k: int = 4, max_langs: int = 256
         least = 0.6 * float(np.quantile(best, 0.01))
         return pd.DataFrame({"lang": name, "centroid": [c.tobytes() for c in centres], "least": least})
 
-    made = sample.groupBy("lang").applyInPandas(one, "lang string, centroid binary, least double")
-    found = sorted(made.collect(), key=lambda r: (r.lang, r.centroid))  # max_langs * k rows at most
-    langs = sorted({r.lang for r in found})
-    centroids = np.stack([np.frombuffer(r.centroid, np.float32) for r in found]) if found else np.zeros((0, DIMS), np.float32)
-    return Model(idf, langs, centroids, np.array([langs.index(r.lang) for r in found], int), np.array([max(r.least for r in found if r.lang == x) for x in langs]))
+    made = stored(sample(rows, per_lang).groupBy("lang").applyInPandas(one, "lang string, centroid binary, least double"))
+    return Model(idf, sorted(r.lang for r in made.select("lang").distinct().collect()), made)
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
-    """keep, lang_pred, score and rejected for every row; reads only the text."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # max_langs * k * DIMS floats at most
-    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
+    """keep, lang_pred, score and rejected for every row; reads only the text.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, batch.num_rows, 1024):
-                part = batch.slice(a, 1024)
-                found = [sent.value.judge(t.as_py()) for t in part.column(len(keep))]
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *(pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_())))], [*keep, "lang_pred", "score", "rejected"])
-
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
+    Each part of the model is one pass over the texts and keeps what is best so far.
+    """
+    made = ("lang_pred", "score", "rejected")
+    keep = [c for c in keep if c not in made]
+    own = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
+    out = docs.select(F.struct(*keep).alias("keep"), F.col(text).alias("text"), F.lit(None).cast(own).alias("best"))
+
+    def one(sent) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for a in range(0, batch.num_rows, 1024):
+                    part = batch.slice(a, 1024)
+                    best = []
+                    for t, before in zip(part.column(1), part.column(2), strict=True):
+                        lang, score, rejected = sent.value.judge(t.as_py())
+                        old = before.as_py()
+                        best.append(old if old and old["score"] >= score else {"lang_pred": lang, "score": score, "rejected": rejected})
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(best, part.schema.field(2).type)], part.schema.names)
+
+        return out.mapInArrow(run, out.schema)
+
+    for part in model.parts():
+        out = one(docs.sparkSession.sparkContext.broadcast(part))  # LANGS_AT_ONCE * k * DIMS floats at most
+    return out.select("keep.*", "best.*")
 
 
 def held_out(doc_id: Column) -> Column:
