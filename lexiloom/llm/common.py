@@ -50,9 +50,9 @@ def discard(*tables: DataFrame) -> None:
 BROADCAST_ROWS = 500_000
 
 
-def small_or_shuffled(df: DataFrame) -> DataFrame:
-    """df, marked for broadcast if it is counted to be small; otherwise joins shuffle it."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def small_or_shuffled(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df, marked for broadcast if it is counted to have at most so many rows; otherwise joins shuffle it."""
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
