@@ -16,9 +16,14 @@ few, are laid before the rounds, largest first, each whole in the fullest shard
 that can hold it.  A group is cut only where no shard has room for all of it:
 it fills the emptiest shard, and what is left of it is laid like a group.
 
+The result depends on the rows alone, not on how they are split into tasks:
+all order is by a hash of doc_id, text and the row's number among equal rows.
+
 Null texts have no group, size 8 and checksum 0.  Empty texts are equal texts.
-Repeated rows are members of the same group.  With fewer rows than shards some
-shards are empty.  Other columns are ignored.
+Very long texts count by their size alone, as only digests move.  Repeated rows
+are members of the same group; which of them takes which of their places is
+the same.  With fewer rows than shards some shards are empty, and an empty
+table gives no rows.  Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import RANK_BLOCK, ranked, stored
+from .common import RANK_BLOCK, ranked, small_or_shuffled, stored
 
 #: Groups of more than this part of a quota are laid one by one.
 SHARE = 8
@@ -59,8 +64,8 @@ def lay(groups: list[tuple[str, int]], room: list[int]) -> list[tuple[str, int,
 def propagate(nodes: DataFrame, shards: int, rounds: int = 3) -> DataFrame:
     """row, shard for nodes (row, tie, unit): exact quotas by rows, members of a unit together.
 
-    ``row`` tells rows apart, ``tie`` is a hash of the row, ``unit`` the linked
-    group or null.
+    ``row`` is a hash that tells rows apart, ``tie`` a second one that orders
+    them, ``unit`` the linked group or null.
     """
     spark = nodes.sparkSession
     n = nodes.count()
@@ -70,7 +75,7 @@ def propagate(nodes: DataFrame, shards: int, rounds: int = 3) -> DataFrame:
     free = [n // shards + (s < n % shards) for s in range(shards)]
     laid = F.broadcast(stored(spark.createDataFrame(lay([(r["unit"], r["members"]) for r in large], free), "unit string, lo long, hi long, shard int")))
     room = spark.createDataFrame(list(enumerate(free)), "shard int, room long")
-    held = ranked(nodes.join(laid, "unit", "left_semi"), ["unit"], F.xxhash64("row"), [F.col("tie"), F.col("row")], n, "member", BLOCKS)
+    held = ranked(nodes.join(laid, "unit", "left_semi"), ["unit"], F.col("tie"), [F.col("tie"), F.col("row")], n, "member", BLOCKS)
     fixed = stored(held.join(laid, "unit").where("member >= lo and member < hi").select("row", "shard"))
     nodes = nodes.join(laid, "unit", "left_anti")
     linked = nodes.where("unit is not null")
@@ -125,6 +130,21 @@ def _left(room: DataFrame, admitted: DataFrame) -> DataFrame:
     return stored(room.join(taken, "shard", "left").select("shard", (F.col("room") - F.coalesce("taken", F.lit(0))).alias("room")))
 
 
+def _numbered(facts: DataFrame, n: int) -> DataFrame:
+    """facts with row and tie made of the row's hash and its number among equal rows.
+
+    Equal rows, which may be a third of all, are numbered in blocks.
+    """
+    many = stored(facts.groupBy("tie").agg(F.count("*").alias("equal")).where("equal > 1").select("tie"))
+    if many.isEmpty():
+        numbered = facts.withColumn("number", F.lit(0).cast("long"))
+    else:
+        many = small_or_shuffled(many)
+        again = ranked(facts.join(many, "tie", "left_semi"), ["tie"], F.xxhash64("row"), [F.col("row")], n, "number", BLOCKS)
+        numbered = facts.join(many, "tie", "left_anti").withColumn("number", F.lit(0).cast("long")).unionByName(again)
+    return stored(numbered.withColumn("row", F.xxhash64("tie", "number")).withColumn("tie", F.xxhash64("row", F.lit(1))).drop("number"))
+
+
 def assign(docs: DataFrame, shards: int = 24, rounds: int = 3) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row."""
     text = F.coalesce("text", F.lit("")).cast("binary")
@@ -134,11 +154,12 @@ def assign(docs: DataFrame, shards: int = 24, rounds: int = 3) -> DataFrame:
         (F.octet_length(text) + 8).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
         F.when(F.col("text").isNotNull(), F.md5(text)).alias("group"),
-        F.xxhash64("doc_id", F.md5(text)).alias("tie"),
+        F.xxhash64("doc_id", F.md5(text), F.col("text").isNull()).alias("tie"),
     )
     facts = stored(facts)
     n = facts.count()
+    facts = _numbered(facts, n)
     placed = stored(propagate(facts.select("row", "tie", F.col("group").alias("unit")), shards, rounds))
     joined = facts.join(placed, "row")
-    slotted = ranked(joined, ["shard"], F.xxhash64("row"), [F.col("row")], max(1, n // shards), "slot")
+    slotted = ranked(joined, ["shard"], F.col("tie"), [F.col("tie"), F.col("row")], max(1, n // shards), "slot")
     return slotted.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
