@@ -7,7 +7,8 @@ them (see ``safe_pieces``), so the ids equal those of the whole text.
 
 Nulls and empty texts have no ids and decode to no bytes; null ids decode to
 null.  All other columns, of whatever name, pass through, except that columns
-called like the output are replaced.  Repeated rows are encoded each.
+called like the output are replaced.  Repeated rows are encoded each; an empty
+table gives no rows, and ties do not occur.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 
 #: Characters of a piece, roughly; longer texts are cut.
 PIECE = 1 << 16
-#: Characters of text that go into one Arrow batch of results.
-BATCH = 1 << 22
+#: Bytes of text, or of ids, that go into one Arrow batch of results.
+BATCH = 1 << 20
 
 _cut = re.compile(r"(?<=[A-Za-z0-9])(?=[ \n])")
 

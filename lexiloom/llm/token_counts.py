@@ -7,7 +7,11 @@ so a text's count is the sum over its segments.  Each distinct segment is
 encoded once per worker, in batches balanced by bytes; lengths of earlier
 batches are kept in a table of bounded size.
 
-A null text counts as empty: 0 bytes, 0 tokens.  Texts with rare kinds of
+Tokenizers that are not known to cut there count whole texts (see
+``cuts_at_space``).
+
+A null text counts as empty: 0 bytes, 0 tokens.  An empty table gives no rows,
+ties do not occur, and other columns are ignored, whatever their names.  Texts with rare kinds of
 white space, on which regular expression engines disagree, are encoded whole
 or in the pieces of ``bpe.safe_pieces``.  Repeated rows are counted each.
 """
@@ -15,6 +19,7 @@ or in the pieces of ``bpe.safe_pieces``.  Repeated rows are counted each.
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -56,7 +61,7 @@ def _calls(segments: list[str], most: int = CALL_BYTES) -> Iterator[list[str]]:
     batch, total = [], 0
     for x in sorted(segments, key=len):
         batch.append(x)
-        total += len(x)
+        total += len(x) if x.isascii() else len(x.encode("utf-8", "surrogatepass"))
         if total >= most:
             yield batch
             batch, total = [], 0
@@ -64,12 +69,30 @@ def _calls(segments: list[str], most: int = CALL_BYTES) -> Iterator[list[str]]:
         yield batch
 
 
+def cuts_at_space(model: bytes) -> bool:
+    """Whether a tokenizer file is known to cut texts where white space follows other characters.
+
+    That holds for pre-tokenisers made of byte levels and removing or isolating
+    patterns which add no space before a text, whose normaliser changes no
+    such place, and whose special strings hold and take up no white space.
+    Other tokenizers count whole texts.
+    """
+    made = json.loads(model)
+    steps = lambda x, many: [] if x is None else x[many] if x["type"] == "Sequence" else [x]
+    before, normal = steps(made.get("pre_tokenizer"), "pretokenizers"), steps(made.get("normalizer"), "normalizers")
+    level = [x for x in before if x["type"] == "ByteLevel"]
+    space_only = all(x["type"] in ("NFC", "Lowercase") or (x["type"] == "Replace" and x["pattern"] == {"Regex": r"\s+"} and x["content"] == " ") for x in normal)
+    splits = all(x["type"] == "Split" and x["behavior"] in ("Removed", "Isolated") for x in before if x["type"] != "ByteLevel")
+    special = all(not (t["lstrip"] or t["rstrip"]) and not re.search(r"\s", t["content"]) for t in made.get("added_tokens", []))
+    return bool(level) and not any(x["add_prefix_space"] for x in level) and space_only and splits and special
+
+
 class Counter:
     """Counts the tokens of texts with one library object per worker."""
 
     def __init__(self, model: bytes, kind: str):
         self.count = _library(model, kind)
-        self.whole = kind == "sentencepiece"  # its pieces do cross white space
+        self.whole = kind == "sentencepiece" or not cuts_at_space(model)
         self.known: dict[str, int] = {}
 
     def segments(self, text: str) -> list[str]:
@@ -83,15 +106,11 @@ class Counter:
         split = [self.segments(t) for t in texts]
         if len(self.known) > KEPT:
             self.known.clear()
-        now = self.known
-        new = {s for parts in split for s in parts if s not in now}
-        found = dict(now) if any(len(s) > KEPT_CHARS for s in new) else now
-        for call in _calls(list(new)):
+        now, long = self.known, {}
+        for call in _calls([s for s in {s for parts in split for s in parts} if s not in now]):
             for s, n in zip(call, self.count(call), strict=True):
-                found[s] = n
-                if found is not now and len(s) <= KEPT_CHARS:
-                    now[s] = n
-        return [sum(map(found.__getitem__, parts)) for parts in split]
+                (now if len(s) <= KEPT_CHARS else long)[s] = n
+        return [sum(now[s] if s in now else long[s] for s in parts) for parts in split]
 
 
 @functools.lru_cache(maxsize=2)
