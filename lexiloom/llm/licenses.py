@@ -5,13 +5,18 @@ Native: DataFrame functions only.
 1. ``scan`` splits each text into words once and keeps, per text, the places
    of the phrases and the places of all index words of the templates.
 2. Document frequencies of the index words over all texts give their IDF.
-3. Each text looks up all its licence words in the templates' postings.  Places are intersected by relative position: occurrences that
-   stand as far apart as in a template share one shift.
+3. Each text looks up all its licence words in the templates' postings; the
+   index is fixed, so their number is bounded.  Places are intersected by
+   relative position: occurrences that stand as far apart as in a template
+   share one shift.
 4. A template is found where the words of one shift carry at least ``LEAST``
    of its IDF weight, and where its mandatory key phrase stands in the text.
 
-Null and empty texts have no words, no places and no labels.  Repeated rows
-are judged each; other columns are ignored.
+Null and empty texts have no words, no places and no labels; an empty table
+gives no rows.  Repeated rows are judged each.  Of templates with equal scores
+all give their labels.  Work is linear in the length of a text; the array of
+its licence words is its largest row.  Other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -26,25 +31,39 @@ from .words import word_array
 #: Phrases whose places count, and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Notices as they are commonly written: label, words, mandatory key phrase.
+#: Notices as they are commonly written, in lower-case words: label, words, mandatory key phrase.
 TEMPLATES = (
     ("mit", "released under the mit license", "mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "permission is hereby granted"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement", "permission notice shall be included"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "with or without fee is hereby granted"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "source and binary forms"),
+    ("bsd-2-clause", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", "this list of conditions"),
+    ("bsd-3-clause", "may be used to endorse or promote products derived from this software without specific prior written permission", "endorse or promote products"),
+    ("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions", "alter it and redistribute it freely"),
+    ("boost-1.0", "distributed under the boost software license version 1 0", "boost software license"),
+    ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
     ("apache-2.0", "licensed under the apache license version 2 0", "apache license"),
+    ("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license", "in compliance with the license"),
     ("gpl-3.0", "licensed under the gnu general public license version 3", "public license version 3"),
     ("gpl-2.0", "licensed under the gnu general public license version 2", "public license version 2"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "free software foundation"),
     ("lgpl", "licensed under the gnu lesser general public license", "lesser general public license"),
+    ("agpl-3.0", "under the terms of the gnu affero general public license as published by the free software foundation", "affero general public license"),
+    ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0", "source code form is subject"),
+    ("epl-2.0", "made available under the terms of the eclipse public license 2 0", "eclipse public license"),
     ("cc-by-4.0", "licensed under cc by 4 0", "cc by 4 0"),
+    ("cc-by-4.0", "licensed under a creative commons attribution 4 0 international license", "creative commons attribution 4 0"),
     ("cc-by-nc-4.0", "licensed under cc by nc 4 0", "cc by nc"),
     ("cc-by-sa-4.0", "licensed under cc by sa 4 0", "cc by sa"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "source and binary forms"),
-    ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
+    ("cc0-1.0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "related or neighboring rights"),
     ("proprietary", "all rights reserved", "all rights reserved"),
 )
-#: Words too common to index.
-COMMON = frozenset("a all and any are by in is of or the this to under use v with 0 2 3 4".split())
-#: Different licence words that a text looks up in the SQL equivalent alone, and the share of a template's weight that must be met.
-LOOKUPS, LEAST = 8, 0.6
+#: Words too common to index.
+COMMON = frozenset("a an and any all are as at be been but by can do either for form forms from has have http if in is it may must no not of on one or other out see shall so some such than that the their there they this to under use used v was we were what when which who whom will with without you your 0 1 2 3 4".split())
+#: The share of a template's weight that must be met.
+LEAST = 0.6
 
 
 def _places(phrase: str, anchor: int) -> Column:
@@ -77,7 +96,10 @@ def places(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every row."""
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every row.
+
+    score is the largest share of a template's weight that stands in one shift.
+    """
     spark = docs.sparkSession
     found = stored(places(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")), ["doc_id", "row"]))
     total = found.count()
@@ -88,7 +110,7 @@ def scan(docs: DataFrame) -> DataFrame:
     looked = with_words.where(F.size("keys") > 0).select("row", "keys", F.explode("seen").alias("s"))
     # places of one template that stand as far apart as in it share a shift
     met = looked.join(index, F.col("s.word") == F.col("word")).where(F.array_contains("keys", F.col("key")))
-    shifts = met.groupBy("row", "template", "label", (F.col("s.at") - F.col("at")).alias("shift")).agg(F.sum("weight").alias("weight"))
+    shifts = met.groupBy("row", "template", "label", (F.col("s.at") - F.col("at")).alias("shift")).agg(F.round(F.sum("weight"), 9).alias("weight"))
     named = shifts.groupBy("row").agg(F.collect_set(F.when(F.col("weight") >= LEAST, F.col("label"))).alias("more"), F.max("weight").alias("best"))
     joined = found.join(named, "row", "left")
     parts = [F.col(f"p{n}") for n in range(len(PHRASES))]

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import string
 
-from .licenses import COMMON, LEAST as LEAST_WEIGHT, LOOKUPS, PHRASES, TEMPLATES
-from .quality import LEAST, METRICS, SPREAD
+from .licenses import COMMON, LEAST as LEAST_WEIGHT, PHRASES, TEMPLATES
+from .quality import METRICS, PRIOR
 from .url_filters import GLOBS, RULES
 
 LOWER = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
@@ -62,20 +62,19 @@ def urls() -> str:
     glob = " ".join(f"WHEN regexp_full_match(s, {_q(pattern(g))}) THEN {_q(g)}" for g in GLOBS)
     return rf"""WITH a AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 b AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{string.ascii_uppercase}', '{string.ascii_lowercase}') AS host, regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM a),
-c AS (SELECT *, CASE WHEN host = '' AND path = '' THEN '' ELSE '.' || host || path END AS s, CASE {rule} END AS rule FROM b),
+e AS (SELECT *, string_split(translate(url_decode(path), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '/')[2:] AS seg, regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '\.$', '') AS bare FROM b),
+f AS (SELECT *, list_reduce(list_concat([''], seg), lambda acc, x: CASE WHEN x = '..' THEN regexp_replace(acc, '/[^/]*$', '') WHEN x = '.' THEN acc ELSE acc || '/' || x END) || CASE WHEN seg[-1] IN ('.', '..') THEN '/' ELSE '' END AS clean FROM e),
+c AS (SELECT page_id, host, path, CASE WHEN host = '' AND path = '' THEN '' ELSE '.' || bare || CASE WHEN clean = '' THEN '/' ELSE clean END END AS s, CASE {rule} END AS rule FROM f),
 d AS (SELECT *, CASE {glob} END AS "glob" FROM c)
 SELECT page_id, host, path, rule, CASE {effect} WHEN "glob" IS NOT NULL OR (host = '' AND path = '') THEN 'block' ELSE 'allow' END AS verdict, "glob" FROM d"""
 
 
 def quality() -> str:
-    values = " UNION ALL ".join(f"SELECT doc_id, lang, source, {_q(k)} AS metric, ({e.replace(' div ', ' // ')})::BIGINT AS v FROM m WHERE NOT base_failed" for k, (e, _) in METRICS.items())
-    margin = "CASE metric " + " ".join(f"WHEN {_q(k)} THEN {m}" for k, (_, m) in METRICS.items()) + " END"
-
-    def fences(name: str, by: str) -> str:
-        keys, part = (f"{by}, ", f"{by}, ") if by else ("", "")
-        return f"""{name}_c AS (SELECT {keys}metric, b, sum(count(*)) OVER (PARTITION BY {part}metric ORDER BY b) AS cum, sum(count(*)) OVER (PARTITION BY {part}metric) AS n FROM k GROUP BY {keys}metric, b),
-{name} AS (SELECT {keys}metric, any_value(n) AS n, min(CASE WHEN cum >= ceil(n * 0.75) THEN b END) AS hi, min(CASE WHEN cum >= ceil(n * 0.25) THEN b END) AS lo FROM {name}_c GROUP BY {keys}metric),
-{name}_f AS (SELECT *, hi + {SPREAD} * (hi - lo) + {margin} AS fence FROM {name})"""
+    values = " UNION ALL ".join(f"SELECT doc_id, lang, source, {_q(k)} AS metric, ({e[0].replace(' div ', ' // ')})::BIGINT AS v FROM m WHERE NOT base_failed" for k, e in METRICS.items())
+    of = lambda n: "CASE metric " + " ".join(f"WHEN {_q(k)} THEN {e[n]}" for k, e in METRICS.items()) + " END"
+    shrunk = lambda own, parent, keys, on: f"""SELECT {", ".join("g." + c for c in keys)}, p.metric, p.b, coalesce(o.n, 0) * 1000 + (p.n * {1000 * PRIOR}) // p.whole AS n
+  FROM (SELECT DISTINCT {", ".join(keys)}, metric FROM {own}) g JOIN (SELECT *, sum(n) OVER (PARTITION BY {", ".join([*on, "metric"])}) AS whole FROM {parent}) p ON {" AND ".join(f"g.{c} IS NOT DISTINCT FROM p.{c}" for c in [*on, "metric"])}
+  LEFT JOIN {own} o ON {" AND ".join(f"g.{c} IS NOT DISTINCT FROM o.{c}" for c in keys)} AND o.metric = p.metric AND o.b = p.b"""
 
     return rf"""WITH t AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, {SPACED.format("coalesce(text, '')")} AS w FROM documents),
 u AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM t), g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i+1], w[i+2]) AS c FROM u),
@@ -85,9 +84,12 @@ m AS (SELECT doc_id, lang, source, len(w) AS n_words, length(array_to_string(w,
   coalesce(n_repeat_words, 0) AS n_repeat_words, len(ls) AS n_lines, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS n_letters,
   len(w) < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * len(w) AS base_failed FROM t JOIN l USING (doc_id) LEFT JOIN rep USING (doc_id)),
 v AS ({values}), k AS (SELECT *, (v >> greatest(length(bin(v)) - 5, 0)) << greatest(length(bin(v)) - 5, 0) AS b FROM v),
-{fences("own", "lang, source")}, {fences("per", "lang")}, {fences("everything", "")},
-bad AS (SELECT DISTINCT v.doc_id FROM v JOIN own_f o ON v.lang IS NOT DISTINCT FROM o.lang AND v.source IS NOT DISTINCT FROM o.source AND v.metric = o.metric
-  JOIN per_f p ON v.lang IS NOT DISTINCT FROM p.lang AND v.metric = p.metric JOIN everything_f a ON v.metric = a.metric WHERE v.v > CASE WHEN o.n >= {LEAST} THEN o.fence WHEN p.n >= {LEAST} THEN p.fence ELSE a.fence END)
+g3 AS (SELECT lang, source, metric, b, count(*) AS n FROM k GROUP BY ALL), g2 AS (SELECT lang, metric, b, sum(n) AS n FROM g3 GROUP BY ALL), g1 AS (SELECT metric, b, sum(n) AS n FROM g2 GROUP BY ALL),
+s2 AS ({shrunk("g2", "g1", ["lang"], [])}), s3 AS ({shrunk("g3", "s2", ["lang", "source"], ["lang"])}),
+c AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, metric ORDER BY b) AS seen, sum(n) OVER (PARTITION BY lang, source, metric) AS whole FROM s3),
+q AS (SELECT lang, source, metric, min(CASE WHEN seen * 100 >= whole * 25 THEN b END) AS lo, min(CASE WHEN seen * 100 >= whole * 75 THEN b END) AS hi FROM c GROUP BY ALL),
+f AS (SELECT *, greatest({of(1)} * (hi - lo), {of(2)}) AS reach, {of(3)} AS both_sides FROM q),
+bad AS (SELECT DISTINCT v.doc_id FROM v JOIN f ON v.lang IS NOT DISTINCT FROM f.lang AND v.source IS NOT DISTINCT FROM f.source AND v.metric = f.metric WHERE v.v > hi + reach OR (both_sides AND v.v < lo - reach))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM m"""
 
 
@@ -99,8 +101,7 @@ base AS ({phrase}), b AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_w
 seen AS (SELECT * FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM d) WHERE word IN (SELECT word FROM post)),
 idf AS (SELECT word, ln(((SELECT count(*) FROM documents) + 1) / (count(DISTINCT doc_id) + 1)) + 0.1::DOUBLE AS idf FROM (SELECT DISTINCT word FROM post) LEFT JOIN seen USING (word) GROUP BY word),
 wt AS (SELECT post.*, idf / sum(idf) OVER (PARTITION BY template) AS weight FROM post JOIN idf USING (word)),
-top AS (SELECT doc_id, word FROM (SELECT DISTINCT doc_id, word, idf FROM seen JOIN idf USING (word)) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY idf DESC, word DESC) <= {LOOKUPS}),
-sh AS (SELECT s.doc_id, template, label, s.pos - wt.pos AS shift, sum(weight) AS weight FROM seen s JOIN top USING (doc_id, word) JOIN wt ON wt.word = s.word JOIN d ON d.doc_id = s.doc_id WHERE contains(' ' || array_to_string(w, ' ') || ' ', ' ' || key || ' ') GROUP BY ALL),
+sh AS (SELECT s.doc_id, template, label, s.pos - wt.pos AS shift, round(sum(weight), 9) AS weight FROM seen s JOIN wt ON wt.word = s.word JOIN d ON d.doc_id = s.doc_id WHERE contains(' ' || array_to_string(w, ' ') || ' ', ' ' || key || ' ') GROUP BY ALL),
 best AS (SELECT doc_id, max(weight) AS best FROM sh GROUP BY doc_id),
 lab AS (SELECT DISTINCT doc_id, label FROM base UNION SELECT doc_id, label FROM sh WHERE weight >= {LEAST_WEIGHT}),
 agg AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM lab GROUP BY doc_id), bl AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS base_labels FROM (SELECT DISTINCT doc_id, label FROM base) GROUP BY doc_id)
@@ -110,8 +111,12 @@ FROM d LEFT JOIN b USING (doc_id) LEFT JOIN bl USING (doc_id) LEFT JOIN agg USIN
 
 def fixity() -> str:
     head = "'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || coalesce(page_id::VARCHAR, 'none') || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'WARC-Payload-Digest: sha256:' || repeat('0', 64) || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(html)::VARCHAR || chr(13) || chr(10) || chr(13) || chr(10)"
-    laid = f"SELECT page_id, page_id // 500 AS file, sha256(html) AS h, sum(strlen({head}) + strlen(html) + 4) OVER (PARTITION BY page_id // 500 ORDER BY page_id) - (strlen({head}) + strlen(html) + 4) AS start FROM"
-    return f"""WITH a AS ({laid} (SELECT page_id, url, coalesce(html, '') AS html FROM pages)),
-b AS ({laid} (SELECT page_id, url, CASE WHEN page_id % 97 = 7 AND length(html) > 0 THEN left(html, length(html) - 1) || chr(0) ELSE coalesce(html, '') END AS html FROM pages WHERE NOT (page_id % 1000 = 999 OR page_id % 4000 = 1700)))
-SELECT a.page_id, a.file, CASE WHEN b.page_id IS NULL THEN 'missing' WHEN a.h <> b.h THEN 'changed' ELSE 'moved' END AS kind, a.start::BIGINT AS left_start, b.start::BIGINT AS right_start
-FROM a LEFT JOIN b USING (page_id) WHERE b.page_id IS NULL OR a.h <> b.h OR a.start <> b.start"""
+    size = f"strlen({head}) + strlen(html) + 4"
+    laid = f"SELECT page_id, page_id // 100 AS nr, sha256(html) AS h, copy, sum({size}) OVER (PARTITION BY page_id // 100 ORDER BY page_id, copy) - ({size}) AS start FROM"
+    return f"""WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages), a AS ({laid} (SELECT *, 1 AS copy FROM p)),
+c AS (SELECT page_id, url, CASE WHEN page_id % 97 = 7 AND length(html) > 0 THEN left(html, length(html) - 1) || chr(0) ELSE html END AS html FROM p WHERE page_id % 1000 <> 60),
+b AS ({laid} (SELECT *, 1 AS copy FROM c UNION ALL SELECT *, 2 FROM c WHERE page_id % 1000 = 110)),
+k AS (SELECT a.page_id, a.nr, CASE WHEN b.page_id IS NULL THEN 'missing' WHEN a.h <> b.h THEN 'changed' WHEN a.start <> b.start THEN 'moved' END AS kind, a.start AS l, b.start AS r
+  FROM a LEFT JOIN (SELECT * FROM b WHERE copy = 1 AND page_id % 1000 <> 230) b USING (page_id)
+  UNION ALL SELECT page_id, nr, 'extra', NULL, start FROM b WHERE copy = 2 UNION ALL SELECT NULL, nr, 'broken', NULL, start FROM b WHERE page_id % 1000 = 230)
+SELECT page_id, 'pages-' || nr || '.warc' AS file, kind, l::BIGINT AS left_start, r::BIGINT AS right_start FROM k WHERE kind IS NOT NULL"""

@@ -5,13 +5,23 @@
    each bucket of a metric.  Buckets keep the top bits of an integer value
    (relative error at most 1/16), so counts of any parts of the data add up
    to the sketch of the whole, in any order: partial aggregation merges them.
-3. ``thresholds`` reads quartiles from the sketches and sets a fence for each
-   language and source.  A group with few documents takes its language's
-   merged sketch, a small language that of all documents.
+3. ``thresholds`` shrinks each language's sketch towards that of all documents
+   and each (language, source) sketch towards its language's: ``PRIOR``
+   documents spread like the parent's are added, so a large group speaks for
+   itself and a small one mostly for its parent, without a switch between them.
+   The quartiles of the shrunk sketch give the group's fences.
 4. ``apply_rules`` joins the fences and rejects what lies beyond them.
 
+A fence lies ``spread`` times the distance of the quartiles beyond the outer
+one, and at least ``tolerance``: where most texts of a group have none of a
+thing, quartiles are 0 and say nothing of how much is still ordinary.
+
 Words are ``[^\\x20\\x09-\\x0D]+``.  A null or empty text has no words, so it
 fails the base rule.  Null languages and sources are groups like any other.
+Repeated rows are counted and judged each.  An empty table gives no rows, and a
+group whose texts all fail the base rules has no fences and needs none.  A very
+long text is measured as a whole in one task.  Columns called like the counts
+are replaced; put others into a struct to keep them.
 """
 
 from __future__ import annotations
@@ -25,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_or_shuffled
 from .shingles import _SPACE, word_hashes
 
 _SYMBOL = np.zeros(256, bool)
@@ -36,18 +47,16 @@ _LETTER[65:91] = _LETTER[97:123] = True
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters")
 
-#: Metrics: an integer column expression, and what a fence adds to the spread.
-#: A document is rejected above q75 + SPREAD * (q75 - q25) + margin.
+#: Metrics: an integer column expression, spread, tolerance, and whether low values are rejected too.
 METRICS = {
-    "symbols": ("n_symbols * 1000 div greatest(n_words, 1)", 250),
-    "dup_lines": ("n_dup_lines * 1000 div greatest(n_lines, 1)", 600),
-    "repeats": ("n_repeat_words * 1000 div greatest(n_words, 1)", 250),
-    "upper": ("n_upper * 1000 div greatest(n_letters, 1)", 250),
-    "word_length": ("word_chars * 100 div greatest(n_words, 1)", 600),
+    "symbols": ("n_symbols * 1000 div greatest(n_words, 1)", 6, 250, False),
+    "dup_lines": ("n_dup_lines * 1000 div greatest(n_lines, 1)", 6, 500, False),
+    "repeats": ("n_repeat_words * 1000 div greatest(n_words, 1)", 6, 250, False),
+    "upper": ("n_upper * 1000 div greatest(n_letters, 1)", 6, 30, False),
+    "word_length": ("word_chars * 100 div greatest(n_words, 1)", 4, 100, True),
 }
-SPREAD = 4
-#: Documents that a group needs for fences of its own.
-LEAST = 50
+#: Documents of the parent's sketch that a group's sketch is shrunk by.
+PRIOR = 50
 
 
 def measure_text(text: str | None) -> tuple[int, ...]:
@@ -104,7 +113,7 @@ def sketch(measured: DataFrame, by: list[str]) -> DataFrame:
 
     Documents that fail the base rule are no measure of what is usual.
     """
-    values = [F.struct(F.lit(k).alias("metric"), F.expr(e).cast("long").alias("value")) for k, (e, _) in METRICS.items()]
+    values = [F.struct(F.lit(k).alias("metric"), F.expr(e[0]).cast("long").alias("value")) for k, e in METRICS.items()]
     long = measured.where(~base_failed()).select(*by, F.explode(F.array(*values)).alias("m"))
     return long.groupBy(*by, F.col("m.metric").alias("metric"), bucket(F.col("m.value")).alias("bucket")).agg(F.count("*").alias("n"))
 
@@ -113,26 +122,39 @@ def merge(sketches: DataFrame, by: list[str]) -> DataFrame:
     return sketches.groupBy(*by, "metric", "bucket").agg(F.sum("n").alias("n"))
 
 
+def shrunk(own: DataFrame, parent: DataFrame, by: list[str], above: list[str]) -> DataFrame:
+    """by, metric, bucket, n in thousandths of documents: own counts and PRIOR documents spread like the parent's."""
+    whole = parent.groupBy(*above, "metric").agg(F.sum("n").alias("whole"))
+    keyed = lambda x, y, names: [F.col(f"{x}.{c}").eqNullSafe(F.col(f"{y}.{c}")) for c in names]
+    share = parent.alias("p").join(whole.alias("w"), keyed("p", "w", [*above, "metric"])).select("p.*", F.expr(f"p.n * {1000 * PRIOR} div w.whole").alias("prior"))
+    groups = own.select(*by, "metric").distinct()
+    every = groups.alias("g").join(share.alias("s"), keyed("g", "s", [*above, "metric"])).select("g.*", "s.bucket", "s.prior")
+    met = every.alias("e").join(own.alias("o"), keyed("e", "o", [*by, "metric", "bucket"]), "left")
+    return met.select("e.*", (F.coalesce("o.n", F.lit(0)) * 1000 + F.col("e.prior")).alias("n")).drop("prior")
+
+
 def fences(sketches: DataFrame, by: list[str]) -> DataFrame:
-    """by, metric, n_docs, fence.  A sketch has few buckets, so its quartiles come from one small array."""
-    packed = sketches.groupBy(*by, "metric").agg(F.array_sort(F.collect_list(F.struct("bucket", "n"))).alias("b"), F.sum("n").alias("n_docs"))
+    """by, metric, low, high.  A sketch has few buckets, so its quartiles come from one small array."""
+    packed = sketches.groupBy(*by, "metric").agg(F.array_sort(F.collect_list(F.struct("bucket", "n"))).alias("b"), F.sum("n").alias("whole"))
 
-    def quantile(q: float) -> Column:
-        need = F.ceil(F.col("n_docs") * q)
-        step = F.aggregate("b", F.struct(F.lit(0).cast("long").alias("seen"), F.lit(-1).cast("long").alias("at")), lambda a, x: F.struct((a["seen"] + x["n"]).alias("seen"), F.when((a["at"] < 0) & (a["seen"] + x["n"] >= need), x["bucket"]).otherwise(a["at"]).alias("at")))
+    def quantile(percent: int) -> Column:
+        enough = lambda seen: seen * 100 >= F.col("whole") * percent
+        step = F.aggregate("b", F.struct(F.lit(0).cast("long").alias("seen"), F.lit(-1).cast("long").alias("at")), lambda a, x: F.struct((a["seen"] + x["n"]).alias("seen"), F.when((a["at"] < 0) & enough(a["seen"] + x["n"]), x["bucket"]).otherwise(a["at"]).alias("at")))
         return step["at"]
 
-    margin = F.create_map(*[F.lit(x) for k, (_, m) in METRICS.items() for x in (k, m)])
-    return packed.select(*by, "metric", "n_docs", quantile(0.25).alias("q25"), quantile(0.75).alias("q75")).select(*by, "metric", "n_docs", (F.col("q75") + SPREAD * (F.col("q75") - F.col("q25")) + margin[F.col("metric")]).alias("fence"))
+    of = lambda k: F.create_map(*[F.lit(x) for name, e in METRICS.items() for x in (name, e[k])])[F.col("metric")]
+    quartiles = packed.select(*by, "metric", quantile(25).alias("lo"), quantile(75).alias("hi"))
+    reach = F.greatest(of(1) * (F.col("hi") - F.col("lo")), of(2))
+    return quartiles.select(*by, "metric", F.when(of(3), F.col("lo") - reach).alias("low"), (F.col("hi") + reach).alias("high"))
 
 
 def thresholds(sketches: DataFrame) -> DataFrame:
-    """lang, source and one column of fences, by metric, for every group."""
+    """lang, source and the columns min_ and max_ of every metric, for every group."""
     by_lang = merge(sketches, ["lang"])
-    own, lang, all_ = fences(sketches, ["lang", "source"]), fences(by_lang, ["lang"]), fences(merge(by_lang, []), [])
-    both = own.alias("o").join(lang.alias("l"), F.col("o.lang").eqNullSafe(F.col("l.lang")) & (F.col("o.metric") == F.col("l.metric"))).join(all_.alias("a"), F.col("o.metric") == F.col("a.metric"))
-    chosen = F.when(F.col("o.n_docs") >= LEAST, F.col("o.fence")).when(F.col("l.n_docs") >= LEAST, F.col("l.fence")).otherwise(F.col("a.fence"))
-    return both.groupBy("o.lang", "o.source").agg(*[F.max(F.when(F.col("o.metric") == k, chosen)).alias(f"max_{k}") for k in METRICS])
+    lang = shrunk(by_lang, merge(by_lang, []), ["lang"], [])
+    own = fences(shrunk(sketches, lang, ["lang", "source"], ["lang"]), ["lang", "source"])
+    one = lambda k, c: F.max(F.when(F.col("metric") == k, F.col(c)))
+    return own.groupBy("lang", "source").agg(*[one(k, c).alias(f"{name}_{k}") for k in METRICS for name, c in (("min", "low"), ("max", "high"))])
 
 
 def base_failed() -> Column:
@@ -142,9 +164,11 @@ def base_failed() -> Column:
 def apply_rules(measured: DataFrame, limits: DataFrame) -> DataFrame:
     """measured with base_failed, rejected_by (array of metric names) and kept.
 
-    The limits have a row for each group; the join is left open to Spark, which
-    splits the partitions of a group that holds much of the rows.
+    The limits, which should be stored, have a row for each group; they are
+    broadcast while they are counted to be few, else Spark splits the
+    partitions of a group that holds much of the rows.
     """
-    joined = measured.alias("d").join(limits.alias("t"), F.col("d.lang").eqNullSafe(F.col("t.lang")) & F.col("d.source").eqNullSafe(F.col("t.source")), "left").select("d.*", *[F.col(f"t.max_{k}") for k in METRICS])
-    over = F.array_compact(F.array(*[F.when(F.expr(e) > F.col(f"max_{k}"), F.lit(k)) for k, (e, _) in METRICS.items()]))
-    return joined.withColumn("base_failed", base_failed()).withColumn("rejected_by", over).drop(*[f"max_{k}" for k in METRICS]).withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0))
+    names = [f"{side}_{k}" for k in METRICS for side in ("min", "max")]
+    joined = measured.alias("d").join(small_or_shuffled(limits).alias("t"), F.col("d.lang").eqNullSafe(F.col("t.lang")) & F.col("d.source").eqNullSafe(F.col("t.source")), "left").select("d.*", *[F.col(f"t.{c}") for c in names])
+    over = F.array_compact(F.array(*[F.when((F.expr(e[0]) > F.col(f"max_{k}")) | F.coalesce(F.expr(e[0]) < F.col(f"min_{k}"), F.lit(False)), F.lit(k)) for k, e in METRICS.items()]))
+    return joined.withColumn("base_failed", base_failed()).withColumn("rejected_by", over).drop(*names).withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0))

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bpe, decontam, lang_id, licenses, ngram_join, oracles, quality, shards, token_counts, url_filters, warc
 from .common import read_table, stored
@@ -19,9 +20,28 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def damaged(laid: DataFrame) -> DataFrame:
+    """file, page_id, record of a replica with damage by rule.
+
+    Ids that leave 7 when divided by 97 have their last character replaced.  Of
+    every thousand ids, 60 is lost, 110 stands there twice and the record of
+    230 has a damaged first line.
+    """
+    i = F.col("page_id")
+    rest = lambda n, r: F.coalesce(i % n == r, F.lit(False))
+    html = F.when(rest(97, 7) & (F.length("html") > 0), F.concat(F.expr("left(html, length(html) - 1)"), F.lit("\x00"))).otherwise(F.col("html"))
+    whole = warc.record_bytes(i, F.col("url"), html)
+    record = F.when(rest(1000, 230), F.concat(F.lit("XARC").cast("binary"), F.substring(whole, 5, 1 << 30))).otherwise(whole)
+    times = F.when(rest(1000, 60), 0).when(rest(1000, 110), 2).otherwise(1)
+    return laid.select("file", "page_id", record.alias("record"), F.explode(F.array_repeat(F.lit(1), times)).alias("one")).drop("one")
+
+
 def op3_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = read_table(spark, sf_dir, "pages")
-    return warc.audit(stored(warc.records(pages)), stored(warc.damaged_replica(pages)))
+    """Two replicas of the pages' archive are written as WARC bytes, one with damage, read back and audited."""
+    laid = stored(warc.lay_out(read_table(spark, sf_dir, "pages")))
+    whole = laid.select("file", "page_id", warc.record_bytes(F.col("page_id"), F.col("url"), F.col("html")).alias("record"))
+    left, right = (stored(warc.facts(warc.read_archives(warc.archives(r)))) for r in (whole, damaged(laid)))
+    return warc.audit(left, right)
 
 
 def op4_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +62,7 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = stored(quality.measure(read_table(spark, sf_dir, "documents"), ["doc_id", "lang", "source"]))
-    judged = quality.apply_rules(measured, quality.thresholds(stored(quality.sketch(measured, ["lang", "source"]))))
+    judged = quality.apply_rules(measured, stored(quality.thresholds(stored(quality.sketch(measured, ["lang", "source"])))))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 

@@ -6,20 +6,26 @@ there.  ``*`` lets its state stay on any byte but '/', ``**`` on any byte.
 ``verdicts`` advances the machine over all URLs of an Arrow batch at once, one
 byte position at a time, so every rule is simulated at the same time.
 
-The canonical URL is '.' + host + path: the host is what stands between the
-first '://' and the next '/', '?', '#' or end, with A-Z lower-cased, the path
-goes on up to '?', '#' or end.  A host rule ``net/es/`` becomes the glob
-``**.net/es/**`` restricted to the host part, so it fits subdomains too.
+The host is what stands between the first '://' and the next '/', '?', '#' or
+end, with A-Z lower-cased; the path goes on up to '?', '#' or end.  Rules of
+hosts and paths see '.' + host + path as it stands: ``net/es/`` becomes the
+glob ``*.net/es/**``, so it fits subdomains too.  The globs see the canonical
+URL: '.' + host without user, port and closing dot + path with percent escapes
+decoded, A-Z lower-cased, '.' and '..' segments resolved, and '/' for an empty
+one.
 
 A null URL, or one without '://', has an empty host and path, fits no rule and
 gets the verdict for malformed URLs, block.  Among the rules that fit, the one
 with the longest text wins, then the first by text.  If none fits, the globs
 of the method decide: one that fits blocks, else the URL is allowed.  Repeated
-rows are judged each, other columns are ignored.
+rows are judged each; an empty table gives no rows.  A batch takes as many
+steps as its longest URL has bytes, over the URLs that are still that long.
+Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,7 +38,16 @@ from pyspark.sql import types as T
 #: Host and path rules.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 #: Globs of the method for URLs that no rule fits.
-GLOBS = ("*.ads.*/**", "*spam*/**", "*cheap-pills*/**", "**/ads/**", "**/login**", "**.exe", "**.zip")
+GLOBS = (
+    "*.ad.*/**", "*.ads.*/**", "*.adserver.*/**", "*.track.*/**", "*.tracking.*/**", "*spam*/**", "*cheap-pills*/**", "*casino*/**", "*.onion/**",
+    "**/ads/**", "**/adserver/**", "**/login**", "**/signin**", "**/logout**", "**/cart/**", "**/checkout/**", "**/wp-admin/**", "**/cgi-bin/**",
+    "**.exe", "**.msi", "**.apk", "**.dmg", "**.zip", "**.rar", "**.7z", "**.tar.gz", "**.iso", "**.mp4", "**.mp3",
+)
+#: Rules and globs that a table of them may hold; the machine of so many takes some 20 MB.
+MOST_RULES = 10_000
+
+
+_ESCAPE = re.compile(rb"%([0-9A-Fa-f]{2})")
 
 
 @dataclass
@@ -124,6 +139,32 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(host, upper, lower), path
 
 
+def canonical(host: str, path: str) -> bytes:
+    """What the globs see; empty for a malformed URL."""
+    if not (host or path):
+        return b""
+    host = re.sub(r":[0-9]*$", "", host.rpartition("@")[2]).removesuffix(".")
+    raw = _ESCAPE.sub(lambda m: bytes([int(m[1], 16)]), path.encode("utf-8", "surrogatepass")).lower()  # bytes.lower changes A-Z only
+    out: list[bytes] = []
+    segments = raw.split(b"/")[1:]
+    for segment in segments:
+        if segment == b"..":
+            del out[-1:]
+        elif segment != b".":
+            out.append(segment)
+    if segments and segments[-1] in (b".", b".."):
+        out.append(b"")
+    return b"." + host.encode("utf-8", "surrogatepass") + b"/" + b"/".join(out)
+
+
+def load_rules(table: DataFrame) -> tuple[tuple[tuple[str, str], ...], tuple[str, ...]]:
+    """Rules and globs of a table (kind: rule or glob; pattern; verdict of a rule), for ``verdicts``; too large a table is refused."""
+    rows = table.select("kind", "pattern", "verdict").distinct().limit(MOST_RULES + 1).collect()
+    if len(rows) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    return tuple(sorted((r.verdict, r.pattern) for r in rows if r.kind == "rule")), tuple(sorted(r.pattern for r in rows if r.kind == "glob"))
+
+
 def host_glob(rule: str) -> str:
     """The glob of a host and path rule, over '.' + host + path; '*' keeps to the host."""
     return f"*.{rule}**"
@@ -133,8 +174,8 @@ def verdicts(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, globs
     """key, host, path, rule, verdict and the method's glob (null if none fits) for every row."""
     host, path = host_and_path(F.col("url"))
     ranked = sorted(range(len(rules)), key=lambda k: (-len(rules[k][1].encode()), rules[k][1]))
-    machine = compile_rules([*(host_glob(rules[k][1]) for k in ranked), *globs])
-    names = [*(rules[k][1] for k in ranked), *globs]
+    machine, method = compile_rules([host_glob(rules[k][1]) for k in ranked]), compile_rules(list(globs))
+    names = [rules[k][1] for k in ranked]
     effects = [rules[k][0] for k in ranked]
     names_ = ("host", "path", "rule", "verdict", "glob")
     schema = T.StructType([pages.schema[key], *(T.StructField(n, T.StringType()) for n in names_)])
@@ -143,13 +184,13 @@ def verdicts(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, globs
         for batch in batches:
             hosts, paths = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             fits = simulate(machine, [f".{h}{p}".encode() if h or p else b"" for h, p in zip(hosts, paths, strict=True)])
+            block = simulate(method, [canonical(h, p) for h, p in zip(hosts, paths, strict=True)])
             rule, verdict, glob = [], [], []
-            n = len(effects)
-            for row, h, p in zip(fits, hosts, paths, strict=True):
-                own = int(np.argmax(row[:n])) if row[:n].any() else None
-                other = int(np.argmax(row[n:])) if row[n:].any() else None
+            for row, also, h, p in zip(fits, block, hosts, paths, strict=True):
+                own = int(np.argmax(row)) if row.any() else None
+                other = int(np.argmax(also)) if also.any() else None
                 rule.append(None if own is None else names[own])
-                glob.append(None if other is None else names[n + other])
+                glob.append(None if other is None else globs[other])
                 verdict.append(effects[own] if own is not None else "block" if other is not None or not (h or p) else "allow")
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *(pa.array(x, pa.string()) for x in (rule, verdict, glob))], [key, *names_])
 

@@ -1,31 +1,40 @@
 """WARC fixity audit with Merkle trees.
 
-``records`` makes WARC response records of pages and lays them out in archive
-files: each has its file, its ordinal and its byte offset.  ``tree`` hashes the
-records of a replica: level 0 has one SHA-256 per ordered range of ``leaf``
-bytes of offsets, each next level one hash per ``fanout`` ranges, up to one
-root per file.  ``audit`` compares the roots of two replicas and goes down
-only below branches that differ; ranges of level 0 that differ are compared
-record by record, which tells changed, missing, extra and moved records.
-
-``read_warc`` reads records from real .warc and .warc.gz files.
-
-A null url or html is written as an empty one.  Files with no counterpart
-differ at the root.  Repeated pages are records of their own.  Empty replicas
-give no differences.  Other columns pass no further.
+``lay_out`` deals pages to archive files and ``archives`` writes each file's
+records one after another, as WARC/1.0 bytes.  ``read_archives`` walks such
+bytes: plain files record by record, .gz files member by member.  ``facts``
+gives each record's place, size and digest.  ``tree`` hashes the records of a
+replica: level 0 has one SHA-256 per ordered range of ``leaf`` bytes of
+offsets, each next level one hash per ``fanout`` ranges, up to one root per
+file.  ``audit`` compares the roots of two replicas and goes down only below
+branches that differ; ranges of level 0 that differ are compared record by
+record, which tells changed, missing, extra, moved and broken records.
+
+Damage is data here: what cannot be read as a record (junk between records, a
+bad header or length, a truncated file or gzip member) becomes a row with
+``error``, and reading goes on at the next record or member.  A null url or
+html is written as an empty one.  Files with no counterpart differ at the
+root.  Repeated pages are records of their own.  Pages without an id, and ids
+that repeat more often than a file holds, are dealt to several files.  Empty
+replicas give no differences.  Other columns pass no further.
+
+A file's bytes are one row, as WARC files are cut to about a gigabyte when they
+are written; Spark's reader refuses files over 2 GB.
 """
 
 from __future__ import annotations
 
-import gzip
+import hashlib
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import stored
+from .common import small_or_shuffled, stored
 
 #: Bytes of offsets under one leaf, and ranges under one node.
 LEAF, FANOUT = 64 << 10, 8
@@ -41,20 +50,133 @@ def record_bytes(page_id: Column, url: Column, html: Column) -> Column:
     return F.concat(head.cast("binary"), payload, F.lit("\r\n\r\n").cast("binary"))
 
 
-def records(pages: DataFrame, per_file: int = 500) -> DataFrame:
-    """page_id, file, ordinal, start, size, digest of each record, with pages laid out by id, per_file ids to a file.
+def lay_out(pages: DataFrame, per_file: int = 100) -> DataFrame:
+    """file, page_id, url, html: pages dealt to files by ranges of per_file ids.
 
-    Offsets are running sums within a file, which holds per_file records.
+    What one range holds beyond twice per_file is spread over files of its own.
     """
-    made = pages.select("page_id", F.coalesce(F.expr(f"page_id div {int(per_file)}"), F.lit(-1)).cast("long").alias("file"), record_bytes(F.col("page_id"), F.col("url"), F.col("html")).alias("record"))
-    facts = made.select("page_id", "file", F.octet_length("record").cast("long").alias("size"), F.sha2("record", 256).alias("digest"))
-    return laid_out(facts)
+    named = pages.select(F.coalesce(F.expr(f"page_id div {int(per_file)}").cast("string"), F.lit("none")).alias("range"), "page_id", "url", "html")
+    full = stored(named.groupBy("range").agg(F.count("*").alias("n")).where(F.col("n") > 2 * per_file).select("range", F.ceil(F.col("n") / per_file).alias("parts")))
+    joined = named.withColumn("row", F.monotonically_increasing_id()).join(small_or_shuffled(full), "range", "left")
+    part = F.when(F.col("parts").isNotNull(), F.concat(F.lit("-"), F.pmod(F.xxhash64("row"), F.col("parts")).cast("string"))).otherwise("")
+    return joined.select(F.concat(F.lit("pages-"), "range", part, F.lit(".warc")).alias("file"), "page_id", "url", "html")
 
 
-def laid_out(facts: DataFrame) -> DataFrame:
-    """Adds ordinal and start to records with page_id, file, size and digest."""
-    order = W.partitionBy("file").orderBy("page_id", "digest")
-    return facts.withColumn("ordinal", F.row_number().over(order) - 1).withColumn("start", F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
+def archives(records: DataFrame) -> DataFrame:
+    """file, content of the records (file, page_id, record): those of a file by id, then by digest."""
+
+    def one(group: pd.DataFrame) -> pd.DataFrame:
+        order = sorted((-1 if pd.isna(i) else int(i), hashlib.sha256(r).digest(), r) for i, r in zip(group["page_id"], group["record"], strict=True))
+        return pd.DataFrame({"file": [group["file"].iloc[0]], "content": [b"".join(x[2] for x in order)]})
+
+    return records.select("file", "page_id", "record").groupBy("file").applyInPandas(one, "file string, content binary")
+
+
+def write_warc(files: DataFrame, folder: str, compress: bool = False) -> None:
+    """Writes archives (file, content) below folder, which all executors must reach; with compress as .gz, one member a record.
+
+    A file appears by a rename when it is whole, so a task that runs again replaces it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        own, root = fs.FileSystem.from_uri(folder)
+        own.create_dir(root, recursive=True)
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                path = f"{root}/{name}{'.gz' if compress else ''}"
+                with own.open_output_stream(f"{path}.part", compression=None) as out:
+                    out.write(b"".join(_member(r[-1]) for r in parse(content)) if compress else content)
+                own.move(f"{path}.part", path)
+            yield batch.select([0])
+
+    files.select("file", "content").mapInArrow(run, "file string").write.format("noop").mode("overwrite").save()
+
+
+def _member(data: bytes) -> bytes:
+    packer = zlib.compressobj(wbits=31)
+    return packer.compress(data) + packer.flush()
+
+
+Found = tuple[int, int, str | None, str | None, str | None, str | None, bytes]
+
+
+def parse(data: bytes) -> Iterator[Found]:
+    """(start, size, type, id, uri, error, bytes) of the records of plain bytes, and of the stretches that are none."""
+    at = 0
+    while at < len(data):
+        following = data.find(b"WARC/1.", at + 1)
+        nxt = len(data) if following < 0 else following
+        error, stop, fields = "no record starts here", nxt, {}
+        if data.startswith(b"WARC/1.", at):
+            end = data.find(b"\r\n\r\n", at)
+            lines = data[at:end].split(b"\r\n")[1:] if end >= 0 else []
+            fields = {k.strip().lower(): v.strip().decode("utf-8", "replace") for k, _, v in (line.partition(b":") for line in lines)}
+            length = fields.get(b"content-length", "")
+            if end < 0 or not (length.isascii() and length.isdigit()):
+                error = "bad header"
+            elif not data.startswith(b"\r\n\r\n", end + 4 + int(length)):
+                error = "truncated" if end + 8 + int(length) > len(data) else "bad length"
+            else:
+                error, stop = None, end + 8 + int(length)
+        yield at, stop - at, fields.get(b"warc-type"), fields.get(b"warc-record-id"), fields.get(b"warc-target-uri"), error, data[at:stop]
+        at = stop
+
+
+def parse_members(data: bytes) -> Iterator[Found]:
+    """The same for gzip bytes, one member in memory at a time; offsets are those of the plain bytes."""
+    at = plain = 0
+    while at < len(data):
+        reader, out, error = zlib.decompressobj(wbits=31), b"", None
+        try:
+            out = reader.decompress(data[at:] if at else data)
+            error = None if reader.eof else "truncated member"
+        except zlib.error:
+            error = "bad member"
+        if error:
+            nxt = data.find(b"\x1f\x8b\x08", at + 1)
+            yield plain, len(out), None, None, None, error, out
+        else:
+            nxt = len(data) - len(reader.unused_data)
+            for start, *rest in parse(out):
+                yield plain + start, *rest
+        plain += len(out)
+        at = len(data) if nxt < 0 else nxt
+
+
+def read_archives(files: DataFrame) -> DataFrame:
+    """file, ordinal, start, size, type, id, uri, error, record of archives (file, content)."""
+    names = ["file", "ordinal", "start", "size", "type", "id", "uri", "error", "record"]
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), *[pa.string()] * 4, pa.binary()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0), batch.column(1), strict=True):
+                name, rows, held = name.as_py(), [], 0
+                data = content.as_py()
+                for n, found in enumerate(parse_members(data) if name.endswith(".gz") else parse(data)):
+                    rows.append((name, n, *found))
+                    held += found[1]
+                    if held > 1 << 23:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                        rows, held = [], 0
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    return files.select("file", "content").mapInArrow(run, "file string, ordinal long, start long, size long, type string, id string, uri string, error string, record binary")
+
+
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """The records of all .warc and .warc.gz files below path; see ``read_archives``."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.warc*").load(path)
+    return read_archives(files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content"))
+
+
+def facts(read: DataFrame) -> DataFrame:
+    """file, page_id, id, start, size, digest, error of the records that were read; a broken stretch has no id."""
+    page = F.regexp_extract("id", r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
+    return read.select("file", page.alias("page_id"), F.when(F.col("error").isNull(), F.col("id")).alias("id"), "start", "size", F.sha2("record", 256).alias("digest"), "error")
 
 
 def tree(replica: DataFrame, leaf: int = LEAF, fanout: int = FANOUT) -> DataFrame:
@@ -95,61 +217,22 @@ def differing(a: DataFrame, b: DataFrame, fanout: int = FANOUT) -> DataFrame:
 
 
 def audit(left: DataFrame, right: DataFrame, leaf: int = LEAF, fanout: int = FANOUT) -> DataFrame:
-    """page_id, file, kind, left_start, right_start of every record that differs between the replicas.
+    """page_id, file, kind, left_start, right_start of every record that differs between the replicas' facts.
 
-    kind: changed (same place or id, other bytes), moved (same bytes, other
-    offset), missing (only left) or extra (only right).
+    kind: changed (same id, other bytes), moved (same bytes, other offset),
+    missing (only left), extra (only right) or broken (no record, on any side).
     """
     found = differing(tree(left, leaf, fanout), tree(right, leaf, fanout), fanout)
     cut = lambda r: r.withColumn("node", F.floor(F.col("start") / leaf).cast("long")).join(found, ["file", "node"], "left_semi")
-    copy = W.partitionBy("file", "page_id").orderBy("start")
+    copy = W.partitionBy("file", "id").orderBy("start")  # the records of one file
     x = cut(left).withColumn("copy", F.row_number().over(copy)).alias("x")
     y = cut(right).withColumn("copy", F.row_number().over(copy)).alias("y")
-    met = x.join(y, (F.col("x.file") == F.col("y.file")) & F.col("x.page_id").eqNullSafe(F.col("y.page_id")) & (F.col("x.copy") == F.col("y.copy")), "full_outer")
-    kind = F.when(F.col("y.file").isNull(), "missing").when(F.col("x.file").isNull(), "extra").when(F.col("x.digest") != F.col("y.digest"), "changed").when(F.col("x.start") != F.col("y.start"), "moved")
+    met = x.join(y, (F.col("x.file") == F.col("y.file")) & (F.col("x.id") == F.col("y.id")) & (F.col("x.copy") == F.col("y.copy")), "full_outer")
+    kind = (
+        F.when(F.col("x.error").isNotNull() | F.col("y.error").isNotNull(), "broken")
+        .when(F.col("y.file").isNull(), "missing")
+        .when(F.col("x.file").isNull(), "extra")
+        .when(F.col("x.digest") != F.col("y.digest"), "changed")
+        .when(F.col("x.start") != F.col("y.start"), "moved")
+    )
     return met.select(F.coalesce("x.page_id", "y.page_id").alias("page_id"), F.coalesce("x.file", "y.file").alias("file"), kind.alias("kind"), F.col("x.start").alias("left_start"), F.col("y.start").alias("right_start")).where("kind is not null")
-
-
-def damaged_replica(pages: DataFrame, per_file: int = 500) -> DataFrame:
-    """A second replica of the pages' archive with known damage, for audits to find.
-
-    Ids that leave 7 when divided by 97 have their last character replaced.
-    Lost are ids that leave 999 when divided by 1000 (the end of a file) and
-    1700 when divided by 4000 (amid a file, so that what follows moves up).
-    """
-    hit = F.col("page_id") % 97 == 7
-    html = F.when(hit & (F.length("html") > 0), F.concat(F.expr("left(html, length(html) - 1)"), F.lit("\x00"))).otherwise(F.col("html"))
-    lost = (F.col("page_id") % 1000 == 999) | (F.col("page_id") % 4000 == 1700)
-    kept = pages.where(~F.coalesce(lost, F.lit(False))).withColumn("html", html)
-    return records(kept, per_file)
-
-
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """file, ordinal, start, size, type, uri, record of the .warc and .warc.gz files under path.
-
-    A file is read by one task, as a gzip stream has no other way; start and
-    size are offsets in the plain bytes.
-    """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.warc*").load(path).select("path", "content")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, content in zip(batch["path"], batch["content"], strict=True):
-                yield pd.DataFrame(parse(name, gzip.decompress(content) if name.endswith(".gz") else bytes(content)), columns=["file", "ordinal", "start", "size", "type", "uri", "record"])
-
-    return files.mapInPandas(run, "file string, ordinal long, start long, size long, type string, uri string, record binary")
-
-
-def parse(name: str, data: bytes) -> list[tuple]:
-    """The records of one file; bytes after a broken record are left out."""
-    out, at = [], 0
-    while data.startswith(b"WARC/", at):
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
-            break
-        fields = dict(line.split(b":", 1) for line in data[at:end].split(b"\r\n")[1:] if b":" in line)
-        fields = {k.strip().lower(): v.strip().decode("utf-8", "replace") for k, v in fields.items()}
-        stop = end + 4 + int(fields.get(b"content-length", 0)) + 4
-        out.append((name, len(out), at, min(stop, len(data)) - at, fields.get(b"warc-type"), fields.get(b"warc-target-uri"), data[at:stop]))
-        at = stop
-    return out

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter
 
@@ -103,3 +104,107 @@ def url_rule(url, rules):
             fits.append((len(rule), rule, verdict))
     best = max(fits, default=(0, None, None))
     return host, path, best[1], best[2]
+
+
+def license_labels(docs, templates, phrases, common, least):
+    """{doc: (labels, score)}: for each template and shift, the weight of the words that stand where the template has them."""
+    texts = {i: WORD6.findall(lower(t or "")) for i, t in docs}
+    index = {w for _, notice, _ in templates for w in notice.split() if w not in common}
+    df = Counter(w for words in texts.values() for w in index & set(words))
+    idf = {w: math.log((len(texts) + 1) / (df[w] + 1)) + 0.1 for w in index}
+    out = {}
+    for i, words in texts.items():
+        labels, best = set(license_places(" ".join(words), phrases)[4].split(",")) - {""}, 0.0
+        for label, notice, key in templates:
+            if f" {key} " not in f" {' '.join(words)} ":
+                continue
+            own = [(w, at) for at, w in enumerate(notice.split()) if w not in common]
+            total, shifts = sum(idf[w] for w, _ in own), Counter()
+            for place, word in enumerate(words):
+                for w, at in own:
+                    if w == word:
+                        shifts[place - at] += idf[w] / total
+            top = round(max(shifts.values(), default=0.0), 9)
+            best = max(best, top)
+            labels |= {label} if top >= least else set()
+        out[i] = (",".join(sorted(labels)), min(1.0, round(best, 6)))
+    return out
+
+
+def quality_kept(rows, metrics, prior):
+    """{doc: kept} of (doc, lang, source, text): fences from whole sorted lists of the values' buckets."""
+    def facts(text):
+        n_words, chars, symbols, dup, repeat, failed = quality(text)
+        text = text or ""
+        lines = sum(bool(WORD5.search(x)) for x in text.split("\n"))
+        upper, letters = (len(re.findall(p, text)) for p in ("[A-Z]", "[A-Za-z]"))
+        values = {"symbols": symbols * 1000 // max(n_words, 1), "dup_lines": dup * 1000 // max(lines, 1), "repeats": repeat * 1000 // max(n_words, 1), "upper": upper * 1000 // max(letters, 1), "word_length": chars * 100 // max(n_words, 1)}
+        return failed, values
+
+    def bucket(v):
+        shift = max(v.bit_length() - 5, 0)
+        return v >> shift << shift
+
+    def shrink(own, parent):
+        whole = sum(parent.values())
+        return {b: own[b] * 1000 + n * 1000 * prior // whole for b, n in parent.items()}
+
+    def quantile(counts, percent):
+        seen, whole = 0, sum(counts.values())
+        for b in sorted(counts):
+            seen += counts[b]
+            if seen * 100 >= whole * percent:
+                return b
+
+    known = {doc: (lang, source, *facts(text)) for doc, lang, source, text in rows}
+    good = [(lang, source, values) for lang, source, failed, values in known.values() if not failed]
+    out = {}
+    for doc, (lang, source, failed, values) in known.items():
+        kept = not failed
+        for name, (_, spread, tolerance, both) in metrics.items():
+            if failed:
+                break
+            count = lambda fits: Counter(bucket(v[name]) for a, b, v in good if fits(a, b))  # noqa: B023, E731
+            top = count(lambda a, b: True)
+            own = shrink(count(lambda a, b: (a, b) == (lang, source)), shrink(count(lambda a, b: a == lang), top))  # noqa: B023
+            lo, hi = quantile(own, 25), quantile(own, 75)
+            reach = max(spread * (hi - lo), tolerance)
+            kept = kept and values[name] <= hi + reach and not (both and values[name] < lo - reach)
+        out[doc] = kept
+    return out
+
+
+def propagate(texts, shards, rounds=3):
+    """{doc: shard}: label propagation row by row; a document moves to the shard of most of its copies while that shard has room."""
+    docs = sorted(texts)
+    where = {d: k % shards for k, d in enumerate(docs)}
+    quota = [len(docs) // shards + (s < len(docs) % shards) for s in range(shards)]
+    groups = {}
+    for d in docs:
+        if texts[d] is not None:
+            groups.setdefault(texts[d], []).append(d)
+    for _ in range(rounds):
+        for d in docs:
+            copies = groups.get(texts[d], [])
+            votes = Counter(where[x] for x in copies)
+            size = Counter(where.values())
+            best = max(votes, key=lambda s: (votes[s], -s), default=None)
+            if best is not None and votes[best] > votes[where[d]] and size[best] < quota[best] + 1:
+                where[d] = best
+    size = Counter(where.values())
+    for d in docs:  # back to even sizes
+        if size[where[d]] > quota[where[d]]:
+            to = min(range(shards), key=lambda s: size[s] - quota[s])
+            size[where[d]] -= 1
+            size[to] += 1
+            where[d] = to
+    return where
+
+
+def cut_edges(texts, where):
+    """Pairs of equal texts in different shards."""
+    groups = {}
+    for d, t in texts.items():
+        if t is not None:
+            groups.setdefault(t, Counter())[where[d]] += 1
+    return sum((sum(c.values()) ** 2 - sum(n * n for n in c.values())) // 2 for c in groups.values())
