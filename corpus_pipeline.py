@@ -2,8 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir), works on all rows its predecessor
 kept, and returns the columns of documents, but for the last, which returns
-token ids.  Rows with a null text fail the quality rules and go.  Every row is
-judged by itself: ids may be null or repeated.
+token ids.  Rows with a null or empty text fail the quality rules and go.
+Every row is judged by itself: ids may be null or repeated, and rows that
+repeat are near duplicates like any others, of which one stays.  Further
+columns pass through, whatever their names.  An empty table, or one that a
+stage has emptied, gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,25 +19,30 @@ from lexiloom.llm import bpe, decontam, lang_id, ngram_join, quality
 from lexiloom.llm.common import read_table, stored
 
 
+def _wrapped(docs: DataFrame, *columns: str) -> DataFrame:
+    """The whole row as one column, beside those that an operator reads, so that no names clash."""
+    return docs.select(F.struct(*docs.columns).alias("_whole_row"), *columns)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps what passes the base rules and its group's adaptive fences."""
-    measured = stored(quality.measure(docs, docs.columns))
-    limits = stored(quality.thresholds(stored(quality.sketch(measured, ["lang", "source"]))))  # its size is known, so a small one is not shuffled
-    return quality.apply_rules(measured, limits).where("kept").select(docs.columns)
+    measured = stored(quality.measure(_wrapped(docs, "lang", "source", "text"), ["_whole_row", "lang", "source"]))
+    limits = stored(quality.thresholds(stored(quality.sketch(measured, ["lang", "source"]))))
+    return quality.apply_rules(measured, limits).where("kept").select("_whole_row.*")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps what is near enough to a learned language; learns from the rows not held out."""
     model = lang_id.fit(docs.where(~lang_id.held_out(F.col("doc_id"))))
-    return lang_id.predict(docs, model, docs.columns).where(~F.col("rejected")).select(docs.columns)
+    return lang_id.predict(_wrapped(docs, "text"), model, ["_whole_row"]).where(~F.col("rejected")).select("_whole_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of linked rows one with the least doc_id, or any if all ids are null; rows without words have no group."""
-    keyed = stored(docs.withColumn("_row", F.monotonically_increasing_id()))
+    keyed = stored(_wrapped(docs, "doc_id", "text").withColumn("_row", F.monotonically_increasing_id()))
     linked = stored(ngram_join.link(keyed, 80, 5, ["doc_id", "_row"]).select("doc_id", "_row", "label"))
     first = linked.where("label is not null").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first")).select("first._row")
-    return keyed.join(first.union(linked.where("label is null").select("_row")), "_row", "left_semi").select(docs.columns)
+    return keyed.join(first.union(linked.where("label is null").select("_row")), "_row", "left_semi").select("_whole_row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
