@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .numbers import round_half_up, units
+from .numbers import let, round_half_up, units
 from .text import plain_words, strip, strip_tags, text_or_empty, word_count
 
 #: Fixed values.
-VOID_ELEMENTS = "area base br col embed hr img input link meta param source track wbr".split()
+VOID_ELEMENTS = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
 SEO_FIELDS = ("focusKeyword", "seoTitle", "slug", "metaDescription", "h1", "imageAltText", "imagePrompt")
 MEMORY_FIELDS = ("concepts_taught", "misconceptions_used", "examples_used", "pedagogical_strategy", "article_shape", "question_types", "sources")
 CLICHES = ("delve", "tapestry", "crucial role", "pivotal role", "holistic", "seamless", "comprehensive guide", "game-changer", "unlock", "it is important to note", "furthermore", "moreover")
@@ -24,8 +24,8 @@ def ids(html: Column) -> Column:
 
 
 def duplicates(items: Column) -> Column:
-    """Distinct items that occur more than once, in the order of the second occurrence."""
-    return F.array_distinct(F.filter(items, lambda x: F.size(F.filter(items, lambda y: y == x)) > 1))
+    """Distinct items that occur more than once, sorted: those that equal their neighbour in the sorted array."""
+    return let(F.sort_array(items), lambda s: F.array_distinct(F.array_compact(F.transform(s, lambda x, i: F.when((i > 0) & (x == F.element_at(s, F.greatest(i, F.lit(1)))), x)))))
 
 
 def hrefs(html: Column) -> Column:
@@ -72,7 +72,7 @@ def tag_issues(html: Column) -> Column:
     """
     tags = F.filter(find_all(html, r"</?[a-zA-Z][a-zA-Z0-9-]*\b[^>]*>", 0), lambda t: ~F.endswith(t, F.lit("/>")))
     named = F.transform(tags, lambda t: F.struct(F.startswith(t, F.lit("</")).alias("closes"), F.lower(F.regexp_extract(t, "^</?([a-zA-Z][a-zA-Z0-9-]*)", 1)).alias("name")))
-    named = F.filter(named, lambda t: ~t["name"].isin(VOID_ELEMENTS))
+    named = F.filter(named, lambda t: ~t["name"].isin(*VOID_ELEMENTS))
     strings = "array<string>"
     start = F.struct(F.array().cast(strings).alias("stack"), F.array().cast(strings).alias("codes"))
 
@@ -141,19 +141,20 @@ def bundle_warnings(seo: Column, html: Column, notes: Column, memory: Column) ->
     )
 
 
+#: What takes from an article's quality (each error, each warning and their most, a bad length, a bad number of adverts, each cliche and their most) and the weights of overlaps in novelty.
+PER_ERROR, PER_WARNING, MOST_WARNINGS, BAD_LENGTH, BAD_ADS, PER_CLICHE, MOST_CLICHES = 0.25, 0.03, 0.3, 0.1, 0.1, 0.05, 0.2
+LEAST_WORDS, MOST_WORDS, AD_SLOTS = 3000, 6500, 3
+CONCEPTS, EXAMPLES, MISCONCEPTIONS, QUESTIONS, CARDS, LEXICAL = 0.25, 0.2, 0.15, 0.1, 0.15, 0.15
+
+
 def quality_score(n_errors: Column, n_warnings: Column, words: Column, ads: Column, cliches: Column) -> Column:
-    penalty = (
-        F.least(F.lit(1.0), n_errors * 0.25)
-        + F.least(F.lit(0.3), n_warnings * 0.03)
-        + F.when((words < 3000) | (words > 6500), 0.1).otherwise(0.0)
-        + F.when(ads != 3, 0.1).otherwise(0.0)
-        + F.least(F.lit(0.2), cliches * 0.05)
-    )
+    off_length = (words < LEAST_WORDS) | (words > MOST_WORDS)
+    penalty = F.least(F.lit(1.0), n_errors * PER_ERROR) + F.least(F.lit(MOST_WARNINGS), n_warnings * PER_WARNING) + F.when(off_length, BAD_LENGTH).otherwise(0.0) + F.when(ads != AD_SLOTS, BAD_ADS).otherwise(0.0) + F.least(F.lit(MOST_CLICHES), cliches * PER_CLICHE)
     return round_half_up(1 - F.least(F.lit(1.0), penalty), 3)
 
 
 def novelty_score(concepts: Column, examples: Column, misconceptions: Column, questions: Column, cards: Column, lexical: Column) -> Column:
-    weighted = concepts * 0.25 + examples * 0.2 + misconceptions * 0.15 + questions * 0.1 + cards * 0.15 + lexical * 0.15
+    weighted = concepts * CONCEPTS + examples * EXAMPLES + misconceptions * MISCONCEPTIONS + questions * QUESTIONS + cards * CARDS + lexical * LEXICAL
     return round_half_up(1 - F.least(F.lit(1.0), weighted), 3)
 
 
@@ -200,7 +201,16 @@ def keyphrase_counts(text: Column, phrase: Column) -> Column:
     return F.when(key == "", F.struct(zero.alias("exact"), zero.alias("variant"), zero.alias("total"))).otherwise(F.struct(exact.alias("exact"), F.greatest(zero, total - exact).alias("variant"), total.alias("total")))
 
 
-def hard_failures(seo: Column, html: Column, least_words: int = 2500) -> Column:
+#: Words below which a long article fails, and below which it is only flagged.
+LONG_LEAST, LONG_SHORT = 2500, 6000
+
+
+def soft_warnings(html: Column, parsed: Column, short: int = LONG_SHORT) -> Column:
+    """Codes of a long article that may be published but should be looked at: those of its parser, and its length."""
+    return F.concat(parsed, F.array_compact(F.array(F.when(prose_words(html) < short, "SHORT_ARTICLE"))))
+
+
+def hard_failures(seo: Column, html: Column, least_words: int = LONG_LEAST) -> Column:
     """Codes that keep a long article from being published."""
     body = text_or_empty(html)
     empty = lambda f: F.coalesce(seo[f], F.lit("")) == ""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -198,34 +200,31 @@ PRIMARY, UPPER, SENIOR = "Primary (Class 1–5)", "Upper Primary/Secondary (Clas
 LEVEL_UNSTATED = "Not explicitly stated"
 
 
+#: Words of an exam's name that state its level, the first line that fits.
+LEVEL_WORDS = (
+    (PRIMARY, ("class 1-5", "class 1–5", "classes 1-5", "class i-v", "primary teacher", "primary (class", "prt")),
+    (UPPER, ("class 6-8", "class 6–8", "class 9-10", "class 6-10", "upper primary", "tgt")),
+    (SENIOR, ("class 11", "class 12", "senior secondary", "pgt")),
+    (UPPER, ("paper ii", "paper 2")),
+    (PRIMARY, ("paper i", "paper 1")),
+)
+
+
 def teaching_level(exam: Column) -> Column:
     low = F.lower(text_or_empty(exam))
-
-    def any_of(*words: str) -> Column:
-        out = F.lit(False)
-        for w in words:
-            out = out | F.contains(low, F.lit(w))
-        return out
-
-    second = any_of("paper ii", "paper 2")
-    return (
-        F.when(any_of("class 1-5", "class 1–5", "classes 1-5", "class i-v", "primary teacher", "primary (class", "prt"), PRIMARY)
-        .when(any_of("class 6-8", "class 6–8", "class 9-10", "class 6-10", "upper primary", "tgt"), UPPER)
-        .when(any_of("class 11", "class 12", "senior secondary", "pgt"), SENIOR)
-        .when(any_of("paper i", "paper 1") & ~second, PRIMARY)
-        .when(second, UPPER)
-        .otherwise(LEVEL_UNSTATED)
-    )
+    fits = [F.when(reduce(lambda a, b: a | b, (F.contains(low, F.lit(w)) for w in words)), level) for level, words in LEVEL_WORDS]
+    return F.coalesce(*fits, F.lit(LEVEL_UNSTATED))
 
 
 def level_key(label: Column) -> Column:
     return F.when(F.startswith(label, F.lit(PRIMARY)), "primary").when(F.startswith(label, F.lit("Upper Primary/Secondary")), "upper_primary_secondary").when(F.startswith(label, F.lit("Senior Secondary")), "senior_secondary_pgt")
 
 
-def split_fixed(text: Column, limit: int) -> Column:
+def split_fixed(text: Column, limit: int | Column) -> Column:
     """Pieces of at most ``limit`` UTF-16 units, in order; an astral character stays whole, so a piece may be a unit shorter."""
+    limit = limit if isinstance(limit, Column) else F.lit(limit)
     n = F.ceil(F.length(text) / limit).cast("int")
-    plain = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.substring(text, i * limit + 1, F.lit(limit)))
+    plain = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.substring(text, i * limit + 1, limit))
     chars = F.split(text, "")
     walk = F.aggregate(
         F.filter(chars, lambda c: c != ""),

@@ -27,7 +27,7 @@ def clean_text(text: Column) -> Column:
     same = lambda r: F.array_distinct(F.array_compact(F.transform(r, lambda x, i: F.when((i >= REPEATS - 1) & (x == F.try_element_at(r, F.greatest(i - REPEATS + 2, F.lit(1)))), x))))
 
     def kept(ls: Column) -> Column:
-        return let(let(F.array_sort(ls), same), lambda often: F.filter(ls, lambda x: ~F.rlike(x, F.lit(r"^\d{1,4}$")) & ~((F.length(x) < SHORT) & F.array_contains(often, x))))
+        return let(let(F.sort_array(ls), same), lambda often: F.filter(ls, lambda x: ~F.rlike(x, F.lit(r"^\d{1,4}$")) & ~((F.length(x) < SHORT) & F.array_contains(often, x))))
 
     def body(k: Column) -> Column:
         head = F.transform(F.slice(k, 1, TOC_LINES), lambda x: F.size(F.split(x, r"\s+")) >= TOC_WORDS)

@@ -169,3 +169,30 @@ def gate(df: DataFrame, key: str, own_host: str) -> DataFrame:
     bad = tree.where("tier = 'hard' and not ok").groupBy(key).agg(F.array_sort(F.collect_list("check")).alias("bad"))  # ten checks at most
     failed = F.concat(own, F.coalesce("bad", F.array().cast("array<string>")))
     return df.select(key, "seo", "html").join(bad, key, "left").select(key, (F.size(failed) == 0).alias("publishable"), failed.alias("failed"))
+
+
+def note_bundles(replies: DataFrame, key: str = "reply_id", own_host: str = "example.com") -> DataFrame:
+    """key, publishable, failed, warnings, bundle of raw replies (key, raw): parsed, gated and, if all hard checks hold, bundled.
+
+    A reply without a body of 200 characters, slug or key phrase fails before
+    the checks.  The warnings are those of the parser and of the soft checks;
+    the bundle is a struct of seo, html and publisher_notes, else null.
+    """
+    from pyspark.sql import functions as F
+
+    from lexiloom.functions.numbers import units
+    from lexiloom.functions.text import strip
+    from lexiloom.operators.replies import parse_replies
+
+    parsed = parse_replies(replies, key)
+    empty = lambda f: F.coalesce(F.col(f"seo.{f}"), F.lit("")) == ""
+    first = F.array_compact(F.array(F.when(units(strip(F.col("html"))) < 200, "EMPTY_BODY"), F.when(empty("slug"), "MISSING_SLUG"), F.when(empty("focusKeyword"), "MISSING_FOCUS_KEYWORD")))
+    parsed = parsed.withColumn("first", first)
+    ready = parsed.where(F.size("first") == 0)
+    gated = gate(ready.select(key, "seo", "html"), key, own_host).select(key, F.col("failed").alias("hard"))
+    soft = checks(ready.select(key, "html", F.col("seo.focusKeyword").alias("phrase")), key, "html", "phrase", own_host).where("tier = 'soft' and not ok").groupBy(key).agg(F.array_sort(F.collect_list("check")).alias("soft"))
+    none = F.array().cast("array<string>")
+    failed = F.concat("first", F.coalesce("hard", none))
+    out = parsed.join(gated, key, "left").join(soft, key, "left")
+    bundle = F.when(F.size(failed) == 0, F.struct("seo", "html", "publisher_notes"))
+    return out.select(key, (F.size(failed) == 0).alias("publishable"), failed.alias("failed"), F.concat("warnings", F.coalesce("soft", none)).alias("warnings"), bundle.alias("bundle"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lexiloom.functions.numbers import clamp, code_unit_hash, ewma, round_half_up
+from lexiloom.functions.numbers import clamp, code_unit_hash, round_half_up
 from lexiloom.functions.text import truncate
 
 from . import statistics as st
@@ -65,10 +65,10 @@ def opening_catalogue(spark: SparkSession) -> DataFrame:
 
 def recently_used(contexts: DataFrame, records: DataFrame, field: str, n: int = USED_WINDOW) -> DataFrame:
     """ctx_id, recent: the field's values in the n latest records that fit each context, latest first."""
-    met = st.match_contexts(contexts.select("ctx_id", F.col("exam").alias("c_exam"), F.col("subject").alias("c_subject")), records.where(F.coalesce(field, F.lit("")) != "").select("exam", "subject", "published", "id", F.col(field).alias("_v")))
-    order = W.partitionBy("ctx_id").orderBy(F.desc("published"), "id")
-    last = met.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= n)
-    return last.groupBy("ctx_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "_v"))), lambda x: x["_v"]).alias("recent"))
+    named = contexts.select("ctx_id", F.col("exam").alias("c_exam"), F.col("subject").alias("c_subject"))
+    some = records.where(F.coalesce(field, F.lit("")) != "").select("exam", "subject", "published", "id", F.col(field).alias("_v"))
+    last = st.latest_of_contexts(named, some, [F.desc("published"), F.col("id")], n)
+    return last.groupBy("ctx_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "_v"))), lambda x: x["_v"]).alias("recent"))  # n at most
 
 
 def _select(contexts: DataFrame, catalogue: DataFrame, recent: DataFrame, score: Column, hashed: Column) -> DataFrame:
@@ -133,8 +133,8 @@ def structure_state(records: DataFrame, by: list[str]) -> DataFrame:
 
     p = st.probabilities(st.frequency(shapes(st.recent(records)), by), by)
     q = st.probabilities(st.frequency(shapes(st.historical(records)), by), by)
-    series = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("seq")).alias("_o"), F.size("article_shape").cast("double").alias("_v")))), lambda x: x["_v"])
-    base = records.groupBy(*by).agg(F.count("*").alias("sample_size"), ewma(series).alias("_e"))  # one number for each record of a context
+    sections = st.ewma_by(records, by, F.size("article_shape").cast("double")).withColumnRenamed("ewma", "_e")
+    base = records.groupBy(*by).agg(F.count("*").alias("sample_size")).join(sections, by)
     out = base.join(st.divergence(p, q, by), by, "left").join(st.entropy(p, by).select(*by, "normalized"), by, "left")
     return out.select(*by, "sample_size", F.col("jsd").alias("structural_divergence"), (1 - F.col("normalized")).alias("structural_repetitiveness"), round_half_up(F.col("_e"), 2).alias("section_count_ewma"))
 
@@ -189,17 +189,22 @@ def brief(genomes: DataFrame) -> DataFrame:
 
 
 def evidence(hits: DataFrame, by: list[str], top_k: int = 5) -> DataFrame:
-    """by, provenance, source_confidence, excerpts from ranked hits with reasons (see functions.text.hit_reasons)."""
+    """by, n_valid, n_invalid, all_valid, provenance, chapters, source_confidence, excerpts from ranked hits with reasons (see functions.text.hit_reasons).
+
+    chapters are the distinct chapters of valid hits in the order of their rank.
+    """
     valid = F.size("reasons") == 0
     chapter = F.concat_ws("::", F.coalesce("book", F.lit("")), F.coalesce("chapter", "chapter_title", F.lit("")))
     made = hits.groupBy(*by).agg(
         F.count("*").alias("_all"),
-        F.count_if(valid).alias("_valid"),
-        F.count_distinct(F.when(valid, chapter)).alias("provenance"),
+        F.count_if(valid).alias("n_valid"),
+        F.array_sort(F.collect_list(F.when(valid, F.struct("rank", chapter.alias("chapter"))))).alias("_c"),
         F.array_sort(F.collect_list(F.when(valid & (F.col("rank") <= 3), F.struct("rank", chapter.alias("source"), truncate(F.col("text"), 160).alias("excerpt"))))).alias("excerpts"),
     )  # the top hits of one query
-    share = F.least(F.lit(1.0), F.col("_valid") / top_k) * F.col("_valid") / F.col("_all")
-    return made.select(*by, "provenance", round_half_up(share, 2).alias("source_confidence"), "excerpts")
+    share = F.least(F.lit(1.0), F.col("n_valid") / top_k) * F.col("n_valid") / F.col("_all")
+    chapters = F.array_distinct(F.transform("_c", lambda c: c["chapter"]))
+    bad = F.col("_all") - F.col("n_valid")
+    return made.select(*by, "n_valid", bad.alias("n_invalid"), (bad == 0).alias("all_valid"), F.size(chapters).alias("provenance"), chapters.alias("chapters"), round_half_up(share, 2).alias("source_confidence"), "excerpts")
 
 
 def next_post(pairs: DataFrame, coverage: DataFrame | None = None) -> DataFrame:
@@ -210,3 +215,30 @@ def next_post(pairs: DataFrame, coverage: DataFrame | None = None) -> DataFrame:
     rows = rows.crossJoin(F.broadcast(totals)).withColumn("id", F.concat_ws("::", "exam", "subject")).withColumn("exploit", exploit.cast("double"))
     scored = rows.withColumn("bonus", st.exploration_bonus(F.col("_t"), F.col("used"))).withColumn("total", F.col("exploit") + F.col("bonus"))
     return scored.drop("_t")
+
+
+#: The parts of a brief that make up the sections of a decision document.
+GENOME = ("opening", "concept_order", "example_density", "comparison_need", "table_need", "classroom_examples", "misconception_depth", "revision_density", "question_integration", "analogy_use", "section_count")
+STATISTICS = ("sample_size", "structural_divergence", "structural_repetitiveness", "section_count_ewma", "posterior_concepts_taught", "posterior_examples_used", "posterior_misconceptions_used", "posterior_question_types")
+
+
+def decision_documents(briefs: DataFrame, by: list[str]) -> DataFrame:
+    """by, confidence, document: state, evidence, statistics, genome and brief of each context (see ``brief``) as one JSON record."""
+    group = lambda name, columns: F.struct(*columns).alias(name)
+    document = F.struct(
+        *by,
+        F.lit("full").alias("mode"),
+        group("evidence", ["provenance", "source_confidence", "average_coverage", "gaps"]),
+        group("statistics", STATISTICS),
+        group("editorial_genome", GENOME),
+        group("editorial_brief", ["clarify", "emphasize", "avoid_repeating", "block"]),
+        "confidence",
+    )
+    return briefs.select(*by, "confidence", F.to_json(document).alias("document"))
+
+
+def recommendation(ranked: DataFrame, open_topics: DataFrame) -> DataFrame:
+    """One row: the best pair of ``next_post`` (exam, subject, total), its first open topic and how many are left; the mode is recommend-only."""
+    best = ranked.orderBy(F.desc("total"), "id").limit(1).select("exam", "subject", "total", "n_open")
+    first = open_topics.join(F.broadcast(best.select("exam", "subject")), ["exam", "subject"]).groupBy("exam", "subject").agg(F.min("topic").alias("suggestion"))
+    return best.join(first, ["exam", "subject"], "left").withColumn("mode", F.lit("recommend-only"))

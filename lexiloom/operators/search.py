@@ -1,25 +1,28 @@
 """BM25 search: index tables, scoring and ranked retrieval.
 
-The index is four tables: docs, postings(doc_id, term, tf), df(term, n) and a
-one-row meta.  Scoring explodes the queries' terms, joins them with the
-postings and df, and sums per (query, document); a query set is sent to all
-tasks only while it is small, so the postings are read once and never shuffled
-for it.
+The index is four tables: docs, postings(doc_id, term, tf, doc_len), df(term,
+n) and a one-row meta.  It is built in one pass over the texts: a document's
+terms are counted within its row, so only terms are shuffled.  ``publish_index``
+stores it as a version that ``load_index`` reads.  Scoring explodes the
+queries' terms, joins them with the postings and df, and sums per (query,
+document); a query set is sent to all tasks only while it is small, so the
+postings are read once and never shuffled for it.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from lexiloom.functions.numbers import let
 from lexiloom.functions.text import search_tokens
+from lexiloom.session import small_or_shuffled
+from lexiloom.sources import sinks
 
 K1, B = 1.5, 0.75
-#: Rows of query terms that may be sent to all tasks.
-BROADCAST_TERMS = 200_000
 
 
 @dataclass
@@ -30,23 +33,66 @@ class Index:
     meta: DataFrame  # doc_count, avg_doc_len
 
 
+def term_counts(tokens: Column) -> Column:
+    """array of struct(term, tf) of an array of tokens: the runs of the sorted array."""
+    none = F.array().cast("array<struct<term:string,tf:int>>")
+
+    def runs(s: Column) -> Column:
+        n = F.size(s)
+        starts = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i == 1) | (F.element_at(s, i) != F.element_at(s, F.greatest(i - 1, F.lit(1)))))
+        made = let(starts, lambda at: F.transform(at, lambda i, k: F.struct(F.element_at(s, i).alias("term"), (F.coalesce(F.try_element_at(at, k + 2), n + 1) - i).alias("tf"))))
+        return F.when(n == 0, none).otherwise(made)
+
+    return let(F.sort_array(tokens), runs)
+
+
+def bags(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, doc_len, terms (array of struct(term, tf)) of each document."""
+    tokens = docs.select(key, let(search_tokens(F.col(text)), lambda t: F.struct(F.size(t).alias("doc_len"), term_counts(t).alias("terms"))).alias("_b"))
+    return tokens.select(key, "_b.doc_len", "_b.terms")
+
+
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, term, tf, doc_len."""
-    tokens = docs.select(key, search_tokens(F.col(text)).alias("_t"))
-    # the outer form keeps Catalyst from testing the array's size, and so splitting the text, below the scan
-    return tokens.select(key, F.size("_t").alias("doc_len"), F.explode_outer("_t").alias("term")).where("term is not null").groupBy(key, "doc_len", "term").agg(F.count("*").alias("tf"))
+    """key, doc_len, term, tf."""
+    return _postings(bags(docs, key, text), key)
 
 
-def document_lengths(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    return docs.select(key, F.size(search_tokens(F.col(text))).alias("doc_len"))
+def _postings(made: DataFrame, key: str) -> DataFrame:
+    # the outer form keeps Catalyst from testing the array's size, and so splitting the text, below the scan
+    each = made.select(key, "doc_len", F.explode_outer("terms").alias("_t")).where("_t is not null")
+    return each.select(key, "doc_len", "_t.term", F.col("_t.tf").cast("long").alias("tf"))
 
 
 def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Index:
     """Statistics cover all documents, whatever filter a search has."""
-    made = postings(docs, key, text)
-    df = made.groupBy("term").agg(F.count("*").alias("n"))
-    meta = document_lengths(docs, key, text).agg(F.count("*").alias("doc_count"), F.avg("doc_len").alias("avg_doc_len"))
-    return Index(docs, made, df, meta)
+    made = bags(docs, key, text)
+    meta = made.agg(F.count("*").alias("doc_count"), F.avg("doc_len").alias("avg_doc_len"))
+    each = _postings(made, key)
+    return Index(docs, each, each.groupBy("term").agg(F.count("*").alias("n")), meta)
+
+
+def publish_index(docs: DataFrame, target: str, key: str = "doc_id", text: str = "text") -> Index:
+    """Builds the index of docs, stores it as a new version below target and gives it back as stored.
+
+    The texts are tokenised once, into bags; the other tables are made of those.
+    """
+    spark = docs.sparkSession
+
+    def problem(tables: dict[str, DataFrame]) -> str | None:
+        row = tables["meta"].first()
+        return "NO_META" if row is None else "BAD_DOC_COUNT" if row.doc_count != tables["bags"].count() else None
+
+    def tables(read: DataFrame) -> dict[str, DataFrame]:
+        each = _postings(read, key)
+        return {"postings": each, "df": each.groupBy("term").agg(F.count("*").alias("n")), "meta": read.agg(F.count("*").alias("doc_count"), F.avg("doc_len").alias("avg_doc_len"))}
+
+    sinks.publish(spark, target, {"bags": bags(docs, key, text)}, problem, derived=tables)
+    return load_index(spark, target, docs)
+
+
+def load_index(spark: SparkSession, target: str, docs: DataFrame) -> Index:
+    """The published index of docs."""
+    return Index(docs, *(sinks.published(spark, target, name) for name in ("postings", "df", "meta")))
 
 
 def term_score(tf: Column, doc_len: Column, n: Column, doc_count: Column, avg_doc_len: Column) -> Column:
@@ -62,11 +108,9 @@ def query_terms(queries: DataFrame, key: str = "query_id", text: str = "query")
 def score(index: Index, queries: DataFrame, doc_key: str = "doc_id", query_key: str = "query_id", query_text: str = "query") -> DataFrame:
     """query_key, doc_key, score (9 places, so that equal texts tie) of every pair with a common term."""
     terms = query_terms(queries, query_key, query_text)
-    asked = terms.select("term").distinct()
-    if terms.count() <= BROADCAST_TERMS:
-        terms, asked = F.broadcast(terms), F.broadcast(asked)
-    # semi joins on a grouping key are pushed below the aggregations of an index that is not stored yet
-    wanted = index.postings.join(asked, "term", "left_semi").join(terms, "term")
+    asked = small_or_shuffled(terms.select("term").distinct())
+    terms = small_or_shuffled(terms)
+    wanted = index.postings.join(terms, "term")
     with_df = wanted.join(index.df.join(asked, "term", "left_semi"), "term").crossJoin(F.broadcast(index.meta))  # meta has one row
     one = term_score(F.col("tf"), F.col("doc_len"), F.col("n"), F.col("doc_count"), F.col("avg_doc_len"))
     return with_df.groupBy(query_key, doc_key).agg(F.round(F.sum(one), 9).alias("score")).where("score > 0")

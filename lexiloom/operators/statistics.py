@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lexiloom.functions.numbers import beta_posterior, exploration_bonus, kl_term, round_half_up
+from lexiloom.functions.numbers import beta_posterior, exploration_bonus, kl_term, let, round_half_up
+from lexiloom.session import small_or_shuffled, stored
 
 RECENT, TOP, OVERUSED = 10, 5, 2
 
@@ -33,24 +34,67 @@ def loose_match(column: Column, wanted: Column) -> Column:
     return blank(column) | blank(wanted) | (column == wanted)
 
 
+#: Which fields of a context are given: both, exam, subject, none.
+LEVELS = ("both", "exam", "subject", "none")
+
+
+def _blank(c: str) -> Column:
+    return F.coalesce(F.col(c), F.lit("")) == ""
+
+
+def record_levels(records: DataFrame) -> DataFrame:
+    """records with level, k1, k2: once for each kind of context, under the fields that such a context looks at.
+
+    A field that a record leaves blank is the key '', which contexts ask for too.
+    """
+    exam, subject, none = F.coalesce("exam", F.lit("")), F.coalesce("subject", F.lit("")), F.lit("")
+    keys = [F.struct(F.lit(level).alias("level"), k1.alias("k1"), k2.alias("k2")) for level, k1, k2 in (("both", exam, subject), ("exam", exam, none), ("subject", none, subject), ("none", none, none))]
+    return records.select("*", F.inline(F.array(*keys)))
+
+
+def context_levels(contexts: DataFrame) -> DataFrame:
+    """contexts (c_exam, c_subject) with level, k1, k2: once for each key whose records fit loosely.
+
+    Blank fields are wildcards on both sides, so a context asks for its own
+    value and for blank ones, which makes the loose join an equality join.
+    """
+    exam, subject, none = F.coalesce("c_exam", F.lit("")), F.coalesce("c_subject", F.lit("")), F.lit("")
+    key = lambda level, k1, k2: F.struct(F.lit(level).alias("level"), k1.alias("k1"), k2.alias("k2"))
+    both = F.array(key("both", exam, subject), key("both", exam, none), key("both", none, subject), key("both", none, none))
+    some = F.when(_blank("c_exam") & _blank("c_subject"), F.array(key("none", none, none))).when(_blank("c_exam"), F.array(key("subject", none, subject), key("subject", none, none))).when(_blank("c_subject"), F.array(key("exam", exam, none), key("exam", none, none))).otherwise(both)
+    return contexts.select("*", F.inline(some))
+
+
 def match_contexts(contexts: DataFrame, records: DataFrame) -> DataFrame:
     """Pairs of contexts (c_exam, c_subject) and records whose exam and subject fit loosely.
 
-    Blanks are wildcards, so the join runs once for each combination of blank
-    and given fields, as equality joins.
+    Use ``context_totals`` or ``latest_of_contexts`` where sums or the latest
+    records are wanted: they cut the records down before they meet contexts.
+    """
+    keys = ["level", "k1", "k2"]
+    return context_levels(contexts).join(record_levels(records), keys).drop(*keys)
+
+
+def context_totals(contexts: DataFrame, records: DataFrame, sums: dict[str, Column]) -> DataFrame:
+    """contexts with sums over the records that fit loosely; contexts without records are absent.
+
+    Records are added up by their keys before contexts meet them.
+    """
+    keys = ["level", "k1", "k2"]
+    parts = record_levels(records).groupBy(*keys).agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
+    return context_levels(contexts).join(parts, keys).groupBy(*contexts.columns).agg(*[F.sum(f"_{n}").alias(n) for n in sums])
+
+
+def latest_of_contexts(contexts: DataFrame, records: DataFrame, order: list[Column], n: int) -> DataFrame:
+    """contexts with the n first records by order of those that fit loosely, and rank (from 1).
+
+    Each key keeps its n first records before contexts meet them, so a context
+    meets at most 4 n rows.
     """
-    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
-    out = None
-    for ctx_exam in (False, True):
-        for ctx_subject in (False, True):
-            c = contexts.where((blank("c_exam") == ctx_exam) & (blank("c_subject") == ctx_subject))
-            for rec_exam in (False, True):
-                for rec_subject in (False, True):
-                    r = records.where((blank("exam") == rec_exam) & (blank("subject") == rec_subject))
-                    keys = ([F.col("c_exam") == F.col("exam")] if not (ctx_exam or rec_exam) else []) + ([F.col("c_subject") == F.col("subject")] if not (ctx_subject or rec_subject) else [])
-                    met = c.join(r, keys) if keys else c.crossJoin(r)  # a record without context belongs to every context
-                    out = met if out is None else out.unionByName(met)
-    return out
+    keys = ["level", "k1", "k2"]
+    cut = record_levels(records).withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("_r") <= n).drop("_r")
+    met = context_levels(contexts).join(cut, keys).drop(*keys)
+    return met.withColumn("rank", F.row_number().over(W.partitionBy(*contexts.columns).orderBy(*order))).where(F.col("rank") <= n)
 
 
 def frequency(items: DataFrame, by: list[str], item: str = "item") -> DataFrame:
@@ -114,23 +158,76 @@ def fill_posterior(records: DataFrame, by: list[str], field: str) -> DataFrame:
     return made.select(*by, "observations", F.col("_b.alpha").alias("alpha"), F.col("_b.beta").alias("beta"), F.col("_b.mean").alias("mean"), F.col("_b.variance").alias("variance"))
 
 
-def coverage_probability(concepts: DataFrame, records: DataFrame) -> DataFrame:
-    """concept, coverage_probability, observations for a bounded list of concepts.
+#: Characters of the pieces by which concepts and texts meet.
+PIECE = 3
+
+
+def _pieces(text: Column, sizes: list[int]) -> Column:
+    """The distinct pieces of a text of each size; characters are split once, as a place in a long text takes a walk to find."""
+    none = F.array().cast("array<string>")
+
+    def cut(c: Column, k: int) -> Column:
+        made = F.transform(F.sequence(F.lit(1), F.size(c) - (k - 1)), lambda i: F.concat(*[F.element_at(c, i + n) for n in range(k)]))
+        return F.when(F.size(c) >= k, made).otherwise(none)
+
+    return let(F.filter(F.split(text, ""), lambda x: x != ""), lambda c: F.array_distinct(F.concat(*[cut(c, k) for k in sizes])))
+
+
+#: Concepts that may be sent to all tasks.
+CONCEPTS = 1000
+
 
-    Records are counted in one pass: each keeps the concepts that its joined,
-    lower-cased text holds, looked up in an array of all concepts.
+def coverage_probability(concepts: DataFrame, records: DataFrame, most: int = CONCEPTS) -> DataFrame:
+    """concept, coverage_probability, observations: in how many records' joined, lower-cased texts each concept stands.
+
+    Equal texts are counted once with their number.  At most CONCEPTS concepts
+    are sent to all tasks and looked for in every text; of more, a concept
+    meets the texts that hold its rarest piece of PIECE characters, by an
+    equality join over digests, and is then looked for in them.
     """
-    wanted = concepts.select(F.trim("concept").alias("concept")).where("concept <> ''")
-    listed = wanted.agg(F.collect_set("concept").alias("_all"))
+    wanted = stored(concepts.select(F.trim("concept").alias("concept")).where("concept <> ''").distinct())
     hay = F.lower(F.array_join(F.coalesce("concepts_taught", F.array().cast("array<string>")), " | "))
-    held = records.select(hay.alias("_h")).crossJoin(F.broadcast(listed)).select(F.explode(F.filter("_all", lambda c: F.contains(F.col("_h"), F.lower(c)))).alias("concept"))
-    hits = held.groupBy("concept").agg(F.count("*").alias("_s"))
+    few = wanted.limit(most + 1).count() <= most
+    hits = _hits_of_few(wanted, records.select(hay.alias("text"))) if few else _hits_by_pieces(wanted, records.select(hay.alias("text")))
     total = records.agg(F.count("*").alias("observations"))
-    joined = wanted.join(hits, "concept", "left").crossJoin(F.broadcast(total))
+    joined = wanted.join(hits, "concept", "left").crossJoin(F.broadcast(total))  # one row
     s = F.coalesce("_s", F.lit(0))
     return joined.select("concept", round_half_up(beta_posterior(s, F.col("observations") - s)["mean"], 2).alias("coverage_probability"), "observations")
 
 
+def _hits_of_few(wanted: DataFrame, rows: DataFrame) -> DataFrame:
+    listed = F.broadcast(wanted.agg(F.collect_list("concept").alias("all")))  # one row of counted size
+    held = rows.crossJoin(listed).select(F.explode(F.filter("all", lambda c: F.contains("text", F.lower(c)))).alias("concept"))
+    return held.groupBy("concept").agg(F.count("*").alias("_s"))
+
+
+def _hits_by_pieces(wanted: DataFrame, rows: DataFrame) -> DataFrame:
+    low = F.lower("concept")
+    texts = stored(rows.groupBy("text").agg(F.count("*").alias("n")).withColumn("id", F.md5(F.col("text").cast("binary"))))
+    sizes = sorted(r[0] for r in wanted.select(F.least(F.length(low), F.lit(PIECE))).distinct().collect())  # PIECE values at most
+    own = stored(wanted.select("concept", F.explode(F.when(F.length(low) <= PIECE, F.array(low)).otherwise(_pieces(low, [PIECE]))).alias("piece")))
+    # only pieces that some concept has are kept
+    held = texts.select("id", F.explode(_pieces(F.col("text"), sizes or [PIECE])).alias("piece"))
+    pieces = stored(held.join(small_or_shuffled(own.select("piece").distinct()), "piece", "left_semi"))
+    seen = own.join(pieces.groupBy("piece").agg(F.count("*").alias("df")), "piece")
+    rarest = seen.groupBy("concept").agg(F.min(F.struct("df", "piece")).alias("p")).select("concept", F.col("p.piece").alias("piece"))
+    met = pieces.join(rarest, "piece").select("id", "concept")
+    return met.join(texts, "id").where(F.contains("text", low)).groupBy("concept").agg(F.sum("n").alias("_s"))
+
+
+def ewma_by(rows: DataFrame, by: list[str], value: Column, alpha: float = 0.3) -> DataFrame:
+    """by, ewma over rows with seq (0 is the latest): a weighted sum, so a long history is added up in parts.
+
+    The oldest value seeds the average; values that are no numbers are left out
+    of the series, which needs seq to be counted over numbers only.
+    """
+    oldest = F.max_by(value, F.col("seq"))
+    weighted = F.sum(F.lit(alpha) * F.pow(F.lit(1 - alpha), F.col("seq")) * value)
+    made = rows.groupBy(*by).agg(weighted.alias("_w"), oldest.alias("_o"), F.max("seq").alias("_n"))
+    # the oldest value counts in full where the formula gives it alpha only
+    return made.select(*by, (F.col("_w") + F.pow(F.lit(1 - alpha), F.col("_n") + 1) * F.col("_o")).alias("ewma"))
+
+
 def coverage_summary(items: DataFrame, gap: float = 0.35) -> DataFrame:
     """One row: data_available, average_coverage, gaps."""
     p = F.col("coverage_probability")
@@ -146,7 +243,9 @@ def drift(scores: DataFrame, by: list[str], order: str = "seq", value: str = "sc
 def rank_with_exploration(candidates: DataFrame, by: list[str], weight: float = 1.0, trials: Column | None = None) -> DataFrame:
     """Adds bonus, total and rank to candidates (id, exploit, used): exploitation plus a bonus for what was rarely used."""
     used = F.greatest(F.coalesce("used", F.lit(0)), F.lit(0))
-    every = W.partitionBy(*by)
-    total = trials if trials is not None else F.sum(used).over(every)
-    scored = candidates.withColumn("bonus", exploration_bonus(total, used, weight)).withColumn("total", F.coalesce("exploit", F.lit(0.0)) + F.col("bonus"))
-    return scored.withColumn("rank", F.row_number().over(every.orderBy(F.desc("total"), F.col("id").cast("string"))))
+    if trials is None:
+        totals = candidates.groupBy(*by).agg(F.sum(used).alias("_trials"))
+        candidates = candidates.join(totals, by) if by else candidates.crossJoin(F.broadcast(totals))
+        trials = F.col("_trials")
+    scored = candidates.withColumn("bonus", exploration_bonus(trials, used, weight)).withColumn("total", F.coalesce("exploit", F.lit(0.0)) + F.col("bonus")).drop("_trials")
+    return scored.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(F.desc("total"), F.col("id").cast("string"))))

@@ -1,7 +1,7 @@
 """Selecting the sections of a long prompt for one context.
 
-A prompt has a few dozen sections at most, so the closure over dependencies
-is a bounded loop over a small table.
+A prompt has a few dozen sections at most; the closure over their needs is a
+loop of joins that ends when nothing is added.
 """
 
 from __future__ import annotations
@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lexiloom.functions.numbers import units
-from lexiloom.functions.text import text_or_empty
+from lexiloom.functions.numbers import let, units
+from lexiloom.functions.text import split_fixed, text_or_empty
+from lexiloom.session import stored
 
 #: Section headings without metadata, their ids, and tools that they are for.
 HEADING_IDS = (
@@ -76,17 +77,26 @@ def keep_subject(subject: str) -> Callable[[Column], Column]:
     return lambda line: F.rlike(line, F.lit(rf"(?i)^- \*\*(?:{wanted}):\*\*"))
 
 
-def closure(chosen: DataFrame, needs: DataFrame, most: int = 64) -> DataFrame:
-    """id of all chosen sections and those that they need (id, needed), directly or not; cycles end."""
-    known = chosen.select("id").distinct()
-    size = known.count()
-    for _ in range(most):
-        known = known.union(needs.join(known, "id", "left_semi").select(F.col("needed").alias("id"))).distinct()
-        grown = known.count()
-        if grown == size:
-            break
-        size = grown
-    return known
+def closure(chosen: DataFrame, needs: DataFrame, places: DataFrame) -> DataFrame:
+    """prompt_id, id, turn, at, nth of the chosen sections (prompt_id, id) and those that they need, directly or not.
+
+    needs has prompt_id, id, nth and needed; places has prompt_id, id and pos.
+    Sections are walked in order of pos, again and again until nothing is
+    added; a section that is needed is found in turn ``turn`` by the section at
+    ``at`` as its ``nth`` need, and the first way to be found counts.  Chosen
+    ones have turn 0.  Cycles end, as a section is found once.  The number of
+    rounds is bounded by the longest chain of needs.
+    """
+    by = ["prompt_id", "id"]
+    zero = F.struct(F.lit(0).alias("turn"), F.lit(0).alias("at"), F.lit(0).alias("nth"))
+    known = stored(chosen.select(*by).distinct().withColumn("found", zero))
+    while True:
+        timed = known.join(places, by).withColumn("turn", F.when((F.col("found.turn") > 0) & (F.col("pos") > F.col("found.at")), F.col("found.turn")).otherwise(F.col("found.turn") + 1))
+        more = timed.join(needs, by).select("prompt_id", F.col("needed").alias("id"), F.struct("turn", F.col("pos").alias("at"), "nth").alias("found"))
+        grown = stored(known.unionByName(more).groupBy(*by).agg(F.min("found").alias("found")))
+        if grown.join(known, [*by, "found"], "left_anti").isEmpty():
+            return grown.select(*by, "found.*")
+        known = grown
 
 
 def assemble(df: DataFrame, subject: str = "", exam: str = "", level: str = "", tool: str = "") -> DataFrame:
@@ -110,11 +120,13 @@ def assemble(df: DataFrame, subject: str = "", exam: str = "", level: str = "",
         plain = plain.unionByName(some.drop("body").join(cut, ["prompt_id", "pos"]).select(*plain.columns))
     title = F.coalesce(F.try_element_at(F.filter(F.split("body", "\n"), lambda x: F.startswith(x, F.lit("# "))), F.lit(1)), F.lit(""))
     plain = plain.withColumn("body", F.when(preamble, title).otherwise(F.col("body")))
-    needs = made.where("meta is not null").select("id", F.explode(F.try_element_at("meta", F.lit("depends_on"))).alias("needed")).join(made.select(F.col("id").alias("needed")).distinct(), "needed", "left_semi")
-    known = closure(plain.where("fits").select("id"), needs)
-    marked = plain.join(known.withColumn("in", F.lit(True)), "id", "left").withColumn("chosen", F.coalesce("in", F.lit(False)) & (F.col("fits") | F.col("meta").isNotNull()))
-    # sections that were only needed follow those that fit
-    listed = F.array_sort(F.collect_list(F.when(F.col("chosen"), F.struct((~F.col("fits")).alias("late"), "pos", "id", "body"))))
+    named = made.where("meta is not null").select("prompt_id", "id", F.posexplode(F.try_element_at("meta", F.lit("depends_on"))).alias("nth", "needed"))
+    needs = named.join(made.where("meta is not null").select("prompt_id", F.col("id").alias("needed")).distinct(), ["prompt_id", "needed"], "left_semi")
+    known = closure(plain.where("fits").select("prompt_id", "id"), needs, made.groupBy("prompt_id", "id").agg(F.min("pos").alias("pos")))
+    marked = plain.join(known, ["prompt_id", "id"], "left").withColumn("chosen", F.col("turn").isNotNull() & (F.col("fits") | F.col("meta").isNotNull()))
+    # sections that were only needed follow those that fit, in the order in which they are found
+    late = F.when(F.col("fits"), F.struct(F.lit(0).alias("turn"), F.lit(0).alias("at"), F.lit(0).alias("nth"))).otherwise(F.struct("turn", "at", "nth"))
+    listed = F.array_sort(F.collect_list(F.when(F.col("chosen"), F.struct(late.alias("late"), "pos", "id", "body"))))
     out = marked.groupBy("prompt_id").agg(listed.alias("l"), F.array_sort(F.collect_list(F.when(~F.col("chosen"), F.col("id")))).alias("excluded"))
     master = df.select("prompt_id", units(F.col("text")).alias("master_length"))
     prompt = F.array_join(F.transform("l", lambda x: x["body"]), "\n")
@@ -146,21 +158,29 @@ def reference_sources(subject: Column, general: list[str], by_subject: dict[str,
     return F.concat(F.array(*map(F.lit, general)).cast("array<string>"), F.coalesce(F.try_element_at(own, subject), F.array().cast("array<string>")))
 
 
-def pieces_with_markers(text: str | None, limit: int, marker: Callable[[int, int], str] = lambda i, n: f"[{i}/{n}]", embed: bool = False) -> list[tuple[int, int, str, str]]:
-    """(index, count, marker, text) of one text cut to at most ``limit`` UTF-16 units, with room for the marker if it is embedded."""
-    raw = (text or "").encode("utf-16-le", "surrogatepass")
-    total = len(raw) // 2
-
-    def cut(size: int) -> list[str]:
-        return [raw[2 * i : 2 * (i + size)].decode("utf-16-le", "surrogatepass") for i in range(0, max(total, 1), size)]
-
-    if not embed:
-        parts = cut(limit)
-        return [(i + 1, len(parts), marker(i + 1, len(parts)), p) for i, p in enumerate(parts)]
-    count = len(cut(limit))
-    for _ in range(5):
-        parts = cut(max(1, limit - len(marker(count, count)) - 1))
-        if len(parts) == count:
-            return [(i + 1, count, marker(i + 1, count), f"{marker(i + 1, count)}\n{p}") for i, p in enumerate(parts)]
-        count = len(parts)
-    raise ValueError("the number of pieces does not settle")
+def numbered_marker(index: Column, count: Column) -> Column:
+    return F.concat(F.lit("["), index.cast("string"), F.lit("/"), count.cast("string"), F.lit("]"))
+
+
+def marked_pieces(df: DataFrame, key: str, text: str, limit: int, marker: Callable[[Column, Column], Column] = numbered_marker, embed: bool = False) -> DataFrame:
+    """key, index, count, marker, piece: each text cut to at most ``limit`` UTF-16 units, from index 1; an empty text is one piece.
+
+    An embedded marker stands on a line of its own before the piece and takes
+    room from it, so the number of pieces, on which the marker's length
+    depends, is settled first, in at most five steps; it is an error if it does
+    not settle.
+    """
+    whole = text_or_empty(F.col(text))
+    size = lambda count: F.greatest(F.lit(1), F.lit(limit) - units(marker(count, count)) - 1)
+    count = lambda room: F.greatest(F.lit(1), F.ceil(units(whole) / room)).cast("int")
+
+    def settled(guess: Column, steps: int) -> Column:
+        """The first count that gives itself, as the room that its markers leave."""
+        failed = F.raise_error(F.lit("the number of pieces does not settle")).cast("int")
+        return let(guess, lambda c: let(count(size(c)), lambda d: F.when(c == d, size(c)).otherwise(settled(d, steps - 1) if steps > 1 else failed)))
+
+    pieces = let(settled(count(F.lit(limit)), 5), lambda room: split_fixed(whole, room)) if embed else split_fixed(whole, limit)
+    cut = df.select(key, pieces.alias("pieces"))
+    each = cut.select(key, F.size("pieces").alias("count"), F.posexplode("pieces").alias("index", "piece")).withColumn("index", F.col("index") + 1)
+    mark = marker(F.col("index"), F.col("count"))
+    return each.select(key, "index", "count", mark.alias("marker"), (F.concat(mark, F.lit("\n"), F.col("piece")) if embed else F.col("piece")).alias("piece"))

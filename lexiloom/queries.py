@@ -18,7 +18,8 @@ from lexiloom.functions import numbers as fn
 from lexiloom.functions import text as ft
 from lexiloom.operators import cleaning, coverage, dom, editorial, packages, replies, search, similarity
 from lexiloom.operators import statistics as st
-from lexiloom.session import spread
+from lexiloom.session import shared_folder, spread
+from lexiloom.sources import sinks
 from lexiloom.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,7 +88,12 @@ SQL_RANK = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id
 
 
 def _index(spark: SparkSession, sf_dir: str) -> search.Index:
-    return search.build_index(table(spark, sf_dir, "documents"))
+    """The published index of the documents; it is built where there is none of the same files yet."""
+    docs = table(spark, sf_dir, "documents")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{sf_dir}/documents.parquet")
+    state = files.agg(F.bit_xor(F.xxhash64("path", "length", "modificationTime")).alias("state")).first().state
+    target = f"{shared_folder(spark)}/lexiloom/index-{state & (2**64 - 1):016x}"
+    return search.load_index(spark, target, docs) if sinks.is_published(spark, target) else search.publish_index(docs, target)
 
 
 def _benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +107,7 @@ def tokens_df(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(f"WITH {SQL_POSTINGS} SELECT doc_id, term, tf, doc_len FROM post JOIN len USING (doc_id)")
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.postings(table(spark, sf_dir, "documents")).select("doc_id", "term", "tf", "doc_len")
+    return _index(spark, sf_dir).postings.select("doc_id", "term", "tf", "doc_len")
 
 
 @register(f"WITH {SQL_POSTINGS} SELECT dc AS doc_count, round(al, 9) AS avg_doc_len FROM meta")
@@ -120,28 +126,41 @@ def bm25_filtered_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.retrieve(_index(spark, sf_dir), _benchmark(spark, sf_dir), 0, condition).select("query_id", "doc_id", "score", "rank")
 
 
-@register(f"WITH {SQL_BM25} SELECT query_id, doc_id, score, {SQL_RANK} AS rank FROM score JOIN documents USING (doc_id) WHERE lower(source) = 'nowhere' OR NOT EXISTS (SELECT 1 FROM documents WHERE lower(source) = 'nowhere') QUALIFY rank <= 5")
+def _sql_fallback(source: str) -> str:
+    return f"SELECT '{source}' AS wanted, query_id, doc_id, score, {SQL_RANK} AS rank FROM score JOIN documents USING (doc_id) WHERE lower(source) = '{source}' OR NOT EXISTS (SELECT 1 FROM documents WHERE lower(source) = '{source}') QUALIFY rank <= 5"
+
+
+@register(f"WITH {SQL_BM25} SELECT * FROM ({_sql_fallback('nowhere')}) UNION ALL SELECT * FROM ({_sql_fallback('src3')})")
 def bm25_filtered_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    condition = search.matches_filter({"subject": "nowhere"}, {"subject": F.col("source")})
-    return search.retrieve(_index(spark, sf_dir), _benchmark(spark, sf_dir), 5, condition, fallback=True).select("query_id", "doc_id", "score", "rank")
+    """A filter that no document fits, so that all are searched, and one that some fit."""
+    index, asked = _index(spark, sf_dir), _benchmark(spark, sf_dir)
+
+    def one(source: str) -> DataFrame:
+        condition = search.matches_filter({"subject": source}, {"subject": F.col("source")})
+        return search.retrieve(index, asked, 5, condition, fallback=True).select(F.lit(source).alias("wanted"), "query_id", "doc_id", "score", "rank")
 
+    return one("nowhere").union(one("src3"))
 
-SQL_REASONS = r"""list_filter([CASE WHEN trim(text) = '' THEN 'EMPTY_TEXT' WHEN length(trim(text)) < 20 THEN 'TEXT_TOO_SHORT' END,
+
+SQL_LEGACY = r"len(regexp_extract_all(coalesce({}, ''), '\b(?:esa|gSa|osQ|fd|dks|gS)\b'))"
+SQL_REASONS = """list_filter([CASE WHEN trim(text) = '' THEN 'EMPTY_TEXT' WHEN length(trim(text)) < 20 THEN 'TEXT_TOO_SHORT' END,
   CASE WHEN trim(coalesce(source, '')) = '' THEN 'MISSING_SUBJECT' END,
   CASE WHEN lang IS NULL THEN 'MISSING_CHAPTER_IDENTITY' END,
   CASE WHEN score <= 0 THEN 'SCORE_NOT_POSITIVE' END,
-  CASE WHEN regexp_matches(trim(text), '(?i)</?[a-z][a-z0-9]*[^>]*>') THEN 'LOOKS_LIKE_MARKUP' END], lambda r: r IS NOT NULL)"""
+  CASE WHEN regexp_matches(trim(text), '(?i)</?[a-z][a-z0-9]*[^>]*>') THEN 'LOOKS_LIKE_MARKUP' END,
+  CASE WHEN {hits} > 0 AND {hits} >= greatest(2, floor(greatest({words}, 1) / 50)) THEN 'LEGACY' END], lambda r: r IS NOT NULL)""".format(hits=SQL_LEGACY.format("text"), words=f"len({sql_words('text')})")
 
 
 @register(f"""WITH {SQL_BM25}, hit AS (SELECT query_id, doc_id, score, {SQL_RANK} AS rank FROM score QUALIFY rank <= 5),
-checked AS (SELECT query_id, lang, source, len({SQL_REASONS}) = 0 AS valid FROM hit JOIN documents USING (doc_id))
-SELECT query_id, count(DISTINCT CASE WHEN valid THEN source || '::' || lang END) AS provenance,
-  {sql_half_up('least(1.0, count_if(valid) / 5.0) * count_if(valid) / count(*)', 2)} AS source_confidence FROM checked GROUP BY query_id""")
+checked AS (SELECT query_id, rank, lang, source, len({SQL_REASONS}) = 0 AS valid, text FROM hit JOIN documents USING (doc_id)),
+chap AS (SELECT query_id, string_agg(c, ',' ORDER BY r) AS chapters FROM (SELECT query_id, source || '::' || lang AS c, min(rank) AS r FROM checked WHERE valid GROUP BY ALL) GROUP BY query_id)
+SELECT query_id, count_if(valid)::BIGINT AS n_valid, count_if(NOT valid)::BIGINT AS n_invalid, bool_and(valid) AS all_valid, count(DISTINCT CASE WHEN valid THEN source || '::' || lang END) AS provenance, coalesce(any_value(chapters), '') AS chapters,
+  {sql_half_up('least(1.0, count_if(valid) / 5.0) * count_if(valid) / count(*)', 2)} AS source_confidence FROM checked LEFT JOIN chap USING (query_id) GROUP BY query_id""")
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     hits = bm25_top5(spark, sf_dir).join(docs, "doc_id").select("query_id", "rank", "score", "text", F.col("source").alias("book"), F.col("lang").alias("chapter"), F.lit(None).cast("string").alias("chapter_title"), "source")
     checked = hits.withColumn("reasons", ft.hit_reasons(F.col("text"), F.col("source"), F.col("chapter_title"), F.col("chapter"), F.col("score")))
-    return editorial.evidence(checked, ["query_id"]).select("query_id", "provenance", "source_confidence")
+    return editorial.evidence(checked, ["query_id"]).select("query_id", "n_valid", "n_invalid", "all_valid", "provenance", F.array_join("chapters", ",").alias("chapters"), "source_confidence")
 
 
 @register("""WITH d AS (SELECT source, doc_id::VARCHAR AS k, sha256(doc_id::VARCHAR || chr(0) || coalesce(text, '') || chr(0)) AS h, left(md5(doc_id::VARCHAR), 2) AS b FROM documents),
@@ -244,9 +263,7 @@ def coverage_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("""WITH h AS (SELECT user_id, list(value ORDER BY ts, event_id DESC) AS v FROM events GROUP BY user_id)
 SELECT user_id, round(list_reduce(v, lambda a, x: 0.3::DOUBLE * x + 0.7::DOUBLE * a), 6) AS ewma FROM h""")
 def ewma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _history(spark, sf_dir)
-    series = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("seq")).alias("o"), "value"))), lambda x: x["value"])
-    return rows.groupBy("user_id").agg(F.round(fn.ewma(series), 6).alias("ewma"))
+    return st.ewma_by(_history(spark, sf_dir), ["user_id"], F.col("value")).select("user_id", F.round("ewma", 6).alias("ewma"))
 
 
 @register(f"WITH {SQL_HISTORY} SELECT user_id, CASE WHEN count(*) < 2 THEN 0 ELSE {sql_half_up('coalesce(regr_slope(value, seq), 0)', 3)} END AS slope, count(*) >= 2 AS data_available FROM hist GROUP BY user_id")
@@ -313,45 +330,49 @@ def _baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(f"""WITH b AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS i FROM lineitem), s AS (SELECT o, count(*) AS n FROM b GROUP BY o),
-p AS (SELECT x.o AS a, y.o AS b, count(*) AS c FROM b x JOIN b y USING (i) WHERE x.o % 2 = 0 AND y.o % 2 = 1 GROUP BY ALL),
+p AS (SELECT x.o AS a, y.o AS b, count(*) AS c FROM b x JOIN b y USING (i) WHERE x.o <> y.o GROUP BY ALL),
 m AS (SELECT a, max(c / (sa.n + sb.n - c)) AS v FROM p JOIN s sa ON sa.o = a JOIN s sb ON sb.o = b GROUP BY a)
-SELECT o AS cand_id, {sql_half_up('coalesce(v, 0.0)', 3)} AS overlap FROM s LEFT JOIN m ON a = o WHERE o % 2 = 0""")
+SELECT o AS cand_id, {sql_half_up('coalesce(v, 0.0)', 3)} AS overlap FROM s LEFT JOIN m ON a = o""")
 def item_jaccard_max(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Even orders as candidates against odd ones as history."""
+    """Every order as a candidate against all other orders."""
     all_ = _baskets(spark, sf_dir)
-    return similarity.max_overlap(all_.where("cand_id % 2 = 0"), all_.where("cand_id % 2 = 1").withColumnRenamed("cand_id", "hist_id"), "items")
+    return similarity.max_overlap(all_, all_.withColumnRenamed("cand_id", "hist_id"), "items", condition=F.col("cand_id") != F.col("hist_id"))
 
 
 @register(f"""WITH b AS (SELECT DISTINCT l_suppkey AS o, l_partkey AS i FROM lineitem), s AS (SELECT o, count(*) AS n FROM b GROUP BY o),
-p AS (SELECT x.o AS a, y.o AS b, count(*) AS c FROM b x JOIN b y USING (i) WHERE y.o < x.o GROUP BY ALL),
-m AS (SELECT a, max(c / (sa.n + sb.n - c)) AS v FROM p JOIN s sa ON sa.o = a JOIN s sb ON sb.o = b GROUP BY a)
+h AS (SELECT DISTINCT o_custkey AS o, l_partkey AS i FROM lineitem JOIN orders ON l_orderkey = o_orderkey), hs AS (SELECT o, count(*) AS n FROM h GROUP BY o),
+p AS (SELECT x.o AS a, y.o AS b, count(*) AS c FROM b x JOIN b y USING (i) WHERE y.o < x.o GROUP BY ALL), r AS (SELECT x.o AS a, y.o AS b, count(*) AS c FROM b x JOIN h y USING (i) GROUP BY ALL),
+m AS (SELECT a, max(v) AS v FROM (SELECT a, c / (sa.n + sb.n - c) AS v FROM p JOIN s sa ON sa.o = a JOIN s sb ON sb.o = b UNION ALL SELECT a, c / (sa.n + sb.n - c) FROM r JOIN s sa ON sa.o = a JOIN hs sb ON sb.o = b) GROUP BY a)
 SELECT o AS seq, {sql_half_up('coalesce(v, 0.0)', 3)} AS overlap FROM s LEFT JOIN m ON a = o""")
 def prefix_batch_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers as a batch in key order: each against those before it."""
-    batch = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("seq")).agg(F.collect_set(F.col("l_partkey").cast("string")).alias("items"))
-    return similarity.batch_overlap(batch, batch.limit(0).select(F.col("seq").alias("id"), "items"), "items")
+    """Suppliers as a batch in key order: each against those before it and the customers as history, by the parts they deal in."""
+    lines = table(spark, sf_dir, "lineitem")
+    parts = F.collect_set(F.col("l_partkey").cast("string")).alias("items")
+    batch = lines.groupBy(F.col("l_suppkey").alias("seq")).agg(parts)
+    history = lines.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_custkey").alias("id")).agg(parts)
+    return similarity.batch_overlap(batch, history, "items")
 
 
 SQL_LINES = r"list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x)), lambda x: x <> '')"
 
 
-@register(f"WITH l AS (SELECT doc_id, unnest({SQL_LINES}) AS s, generate_subscripts({SQL_LINES}, 1) - 1 AS pos FROM documents) SELECT doc_id AS cand_id, pos, s AS sentence FROM l WHERE doc_id % 2 = 0 AND s IN (SELECT s FROM l WHERE doc_id % 2 = 1)")
+@register(f"WITH l AS (SELECT doc_id, unnest({SQL_LINES}) AS s, generate_subscripts({SQL_LINES}, 1) - 1 AS pos FROM documents) SELECT doc_id AS cand_id, pos, s AS sentence FROM l WHERE s IN (SELECT s FROM l GROUP BY s HAVING count(DISTINCT doc_id) > 1)")
 def repeated_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of even documents that an odd document has too."""
+    """Lines of documents that another document has too."""
     lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), F.trim), lambda x: x != "")
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("cand_id"), lines.alias("cards"))
-    return similarity.repeated_sentences(docs.where("cand_id % 2 = 0"), docs.where("cand_id % 2 = 1"), "cards")
+    return similarity.repeated_among(docs, "cards")
 
 
-@register("""WITH s AS (SELECT user_id, event_type AS item FROM events), q AS (SELECT item, count(*) / sum(count(*)) OVER () AS q FROM s WHERE user_id % 2 = 1 GROUP BY item),
-p AS (SELECT user_id, item, count(*) / sum(count(*)) OVER (PARTITION BY user_id) AS p FROM s WHERE user_id % 2 = 0 GROUP BY user_id, item),
+@register("""WITH s AS (SELECT user_id, event_type AS item FROM events), q AS (SELECT item, count(*) / sum(count(*)) OVER () AS q FROM s GROUP BY item),
+p AS (SELECT user_id, item, count(*) / sum(count(*)) OVER (PARTITION BY user_id) AS p FROM s GROUP BY user_id, item),
 k AS (SELECT DISTINCT user_id FROM p), j AS (SELECT k.user_id, coalesce(p, 0) AS x, coalesce(q, 0) AS y FROM k CROSS JOIN (SELECT item FROM q UNION SELECT item FROM p) i LEFT JOIN p ON p.user_id = k.user_id AND p.item = i.item LEFT JOIN q ON q.item = i.item),
 d AS (SELECT user_id, floor(sum(CASE WHEN x > 0 THEN x * log2(x / ((x + y) / 2)) ELSE 0 END + CASE WHEN y > 0 THEN y * log2(y / ((x + y) / 2)) ELSE 0 END) / 2 * 1000 + 0.5) / 1000 AS divergence FROM j GROUP BY user_id)
 SELECT user_id AS cand_id, divergence, floor((1 - divergence) * 1000 + 0.5) / 1000 AS repetitiveness FROM d""")
 def structural_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event types of even users as shapes, against those of all odd users."""
+    """Event types of each user as a shape, against those of all users."""
     shapes = table(spark, sf_dir, "events").select(F.col("user_id").alias("cand_id"), F.col("event_type").alias("item"))
-    return similarity.structural_similarity(shapes.where("cand_id % 2 = 0"), shapes.where("cand_id % 2 = 1").drop("cand_id"))
+    return similarity.structural_similarity(shapes, shapes.drop("cand_id"))
 
 
 @register(f"""SELECT count(*) AS n, {sql_half_up('avg(value)', 3)} AS avg_quality, {sql_half_up('avg(value / 10)', 3)} AS avg_novelty, {sql_half_up('regr_slope(value, event_id)', 3)} AS drift, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END)::BIGINT AS total_repeats FROM events""")
@@ -379,29 +400,28 @@ def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(packages.safety_errors(text), ",").alias("errors"), (F.size(packages.safety_warnings(text)) > 0).alias("mentions_executable"))
 
 
-@register(r"""WITH c AS (SELECT doc_id % 50 AS pkg, doc_id, trim(text, ' ') AS t, row_number() OVER (PARTITION BY doc_id % 50, source ORDER BY doc_id) AS nth FROM documents WHERE text IS NOT NULL)
+@register(r"""WITH c AS (SELECT doc_id // 50 AS pkg, doc_id, trim(coalesce(text, ''), ' ') AS t, row_number() OVER (PARTITION BY doc_id // 50, source ORDER BY doc_id) AS nth FROM documents)
 SELECT pkg, doc_id, array_to_string(list_filter([CASE WHEN nth > 1 THEN 'DUPLICATE_CHUNK_ID' END, CASE WHEN t = '' THEN 'MISSING_CHUNK_TEXT' WHEN length(t) < 10 THEN 'CHUNK_TOO_SHORT' WHEN length(t) > 20000 THEN 'CHUNK_WAY_TOO_LONG' END,
 CASE WHEN doc_id % 7 = 0 THEN 'INVALID_PAGE_TYPE' END, CASE WHEN doc_id % 5 = 0 THEN 'INVALID_METADATA_ENTRY' END], lambda x: x IS NOT NULL), ',') AS errors,
 CASE WHEN length(t) BETWEEN 8001 AND 20000 THEN 'CHUNK_LONG' ELSE '' END AS warnings, length(t) BETWEEN 10 AND 20000 AS usable FROM c""")
 def chunk_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as chunks of 50 packages, ids by source, some with a page or topics of the wrong type."""
-    docs = table(spark, sf_dir, "documents").where("text is not null")
+    """Documents as chunks of packages of 50, ids by source, some with a page or topics of the wrong type."""
+    docs = table(spark, sf_dir, "documents")
     page = F.when(F.col("doc_id") % 7 == 0, F.lit('"p"')).otherwise(F.lit("1"))
     topics = F.when(F.col("doc_id") % 5 == 0, F.lit('["a",1]')).otherwise(F.lit('["a"]'))
     head = F.to_json(F.struct(F.col("source").alias("id"), "text"))
     json = F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(',"page":'), page, F.lit(',"topics":'), topics, F.lit("}"))
-    chunks = docs.select((F.col("doc_id") % 50).alias("pkg"), F.col("doc_id").alias("idx"), F.parse_json(json).alias("chunk"))
+    chunks = docs.select(F.expr("doc_id div 50").alias("pkg"), F.col("doc_id").alias("idx"), F.parse_json(json).alias("chunk"))
     out = packages.chunk_issues(chunks, "pkg")
     return out.select("pkg", F.col("idx").alias("doc_id"), F.array_join("errors", ",").alias("errors"), F.array_join("warnings", ",").alias("warnings"), "usable")
 
 
-@register("SELECT doc_id, md5(text) AS text_md5, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS nth FROM documents WHERE text IS NOT NULL QUALIFY nth > 1")
+@register("SELECT doc_id, md5(text) AS text_md5, f AS first_id FROM documents d JOIN (SELECT text AS t, min(doc_id) AS f FROM documents GROUP BY text) ON text IS NOT DISTINCT FROM t WHERE doc_id > f")
 def duplicate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Second and later documents with an equal text."""
-    from pyspark.sql import Window as W
-
-    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
-    return docs.withColumn("nth", F.row_number().over(W.partitionBy("text_md5").orderBy("doc_id"))).where("nth > 1")
+    """Second and later documents with an equal text, and the first of them; null texts are equal."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+    first = docs.groupBy("text_md5").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").withColumnRenamed("text_md5", "m")
+    return docs.join(first, F.col("text_md5").eqNullSafe(F.col("m"))).where("doc_id > first_id").select("doc_id", "text_md5", "first_id")
 
 
 # --- cleaning --------------------------------------------------------------
@@ -422,37 +442,6 @@ def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", F.md5(F.col("t").cast("binary")).alias("clean_md5"), F.length("t").cast("long").alias("n_chars"))
 
 
-@register(f"""WITH w AS (SELECT source, lang, len({sql_words('text')}) AS w, text FROM documents),
-f AS (SELECT *, w < 100 OR (length(regexp_replace(coalesce(text, ''), '\\s', '', 'g')) > 0) AS flagged FROM w)
-SELECT source, lang, count(*) AS files, sum(w)::BIGINT AS words, floor(sum(w) / count(*))::BIGINT AS avg_words, count_if(flagged)::BIGINT AS flagged FROM f GROUP BY source, lang""".replace("\\\\", "\\"))
-def quality_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Corpus figures by source and language; Latin script texts are all flagged for their script."""
-    return cleaning.corpus_stats(table(spark, sf_dir, "documents"), ["source", "lang"])
-
-
-@register(rf"""SELECT doc_id, len({sql_words('text')}) AS words, len({sql_similarity_words('text')}) AS similarity_words,
-regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(left(text, 60), '^\s+|\s+$', '', 'g')), '^/+|/+$', '', 'g'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug,
-md5(regexp_replace(lower(regexp_replace(text, '^\s+|\s+$', '', 'g')), '\s+', ' ', 'g')) AS topic_md5,
-CASE WHEN length(regexp_replace(text, '^\s+|\s+$', '', 'g')) > 80 THEN regexp_replace(left(regexp_replace(text, '^\s+|\s+$', '', 'g'), 80), '\s+$', '') || '…' ELSE regexp_replace(text, '^\s+|\s+$', '', 'g') END AS short,
-md5(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')) AS escaped_md5,
-CASE WHEN length(text) = 0 THEN 1 ELSE ceil(length(text) / 1000)::BIGINT END AS n_pieces,
-0::BIGINT AS legacy_hits FROM documents WHERE text IS NOT NULL""")
-def text_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("text")
-    md5 = lambda c: F.md5(c.cast("binary"))
-    return table(spark, sf_dir, "documents").where("text is not null").select(
-        "doc_id",
-        ft.word_count(t).alias("words"),
-        F.size(ft.similarity_words(t)).alias("similarity_words"),
-        ft.slugify(F.left(t, F.lit(60))).alias("slug"),
-        md5(ft.normalize_topic(t)).alias("topic_md5"),
-        ft.truncate(t, 80).alias("short"),
-        md5(ft.escape_html(t)).alias("escaped_md5"),
-        F.size(ft.split_fixed(t, 1000)).alias("n_pieces"),
-        ft.legacy_hits(t).alias("legacy_hits"),
-    )
-
-
 # --- pages -----------------------------------------------------------------
 
 SQL_HREFS = r"""regexp_extract_all(html, '(?i)<a\b[^>]*href="([^"]*)"', 1)"""
@@ -482,20 +471,6 @@ def page_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@register(rf"""WITH w AS (SELECT page_id, len(list_filter(string_split_regex({SQL_STRIPPED}, '\s+'), lambda w: w <> '')) AS words, regexp_matches(html, '(?i)<script\b')::INT AS e,
-list_sum(list_transform([{', '.join(f"'{c}'" for c in fh.CLICHES)}], lambda c: contains(lower({SQL_STRIPPED}), c)::INT)) AS c, len(regexp_extract_all(html, 'id="ad-slot-\d+"')) AS ads FROM pages)
-SELECT page_id, {sql_half_up('1 - least(1.0::DOUBLE, least(1.0::DOUBLE, e * 0.25::DOUBLE) + CASE WHEN words < 3000 OR words > 6500 THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN ads <> 3 THEN 0.1::DOUBLE ELSE 0 END + least(0.2::DOUBLE, c * 0.05::DOUBLE))', 3)} AS quality FROM w""")
-def page_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The quality score with leftover marks and scripts as the only errors."""
-    h = F.col("html")
-    return table(spark, sf_dir, "pages").select("page_id", fh.quality_score(F.size(fh.artifact_issues(h)), F.lit(0), ft.word_count(ft.strip_tags(h)), fh.ad_slots(h), fh.cliche_count(h)).alias("quality"))
-
-
-@register(None)
-def tag_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", fh.tag_issues(F.col("html")).alias("issues"))
-
-
 @register(None)
 def dom_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dom.checks(table(spark, sf_dir, "pages"), "page_id", own_host="example.com")
@@ -582,7 +557,7 @@ def learned_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One aggregate for each context, over the records that fit it loosely: suppliers as records, customers' nations and segments as contexts."""
     c = table(spark, sf_dir, "customer").select(F.when(F.col("c_nationkey") % 5 == 0, "").otherwise(F.col("c_nationkey").cast("string")).alias("c_exam"), F.col("c_mktsegment").alias("c_subject")).distinct()
     r = table(spark, sf_dir, "supplier").select(F.when(F.col("s_nationkey") % 7 != 0, F.col("s_nationkey").cast("string")).alias("exam"), F.when(F.col("s_suppkey") % 3 == 0, "").otherwise("BUILDING").alias("subject"), F.col("s_acctbal").alias("v"))
-    return st.match_contexts(c, r).groupBy(F.col("c_exam").alias("exam"), F.col("c_subject").alias("subject")).agg(F.count("*").alias("n"), F.round(F.sum("v"), 6).alias("total"))
+    return st.context_totals(c, r, {"n": F.lit(1), "total": F.col("v")}).select(F.col("c_exam").alias("exam"), F.col("c_subject").alias("subject"), "n", F.round("total", 6).alias("total"))
 
 
 @register("""WITH r AS (SELECT p_name || ' ' || p_type AS query, count(*)::DOUBLE AS impressions, count_if(l_returnflag = 'R') / count(*) / 10 AS ctr, avg(l_linenumber) * 6 AS position FROM part JOIN lineitem ON l_partkey = p_partkey GROUP BY 1),
@@ -595,60 +570,14 @@ def search_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage.search_confidence(coverage.search_matches(rows, "Blue ring"))
 
 
-FOLDERS = ("hindi-vasant", "bhugol-7", "our-pasts", "science-8", "social-science", "ganit", "jeev-vigyan", "rasayan", "arthashastra", "misc")
-EXAMS = ("CTET Paper 1", "CTET Paper II", "BPSC TRE Class 6-8", "DSSSB TGT", "KVS PGT", "Bihar TRE", "RAS", "", "UPTET class 11", "nvs")
-SUBJECTS_OF = ("Hindi", "Geography", "History", "Science", "Political Science", "Maths", "Biology", "Chemistry", "Economics", "General")
-LEVELS_OF = (ft.PRIMARY, ft.UPPER, ft.UPPER, ft.UPPER, ft.SENIOR, ft.LEVEL_UNSTATED, ft.LEVEL_UNSTATED, ft.LEVEL_UNSTATED, ft.SENIOR, ft.LEVEL_UNSTATED)
-PROFILES_OF = ("ctet", "ctet", "bpsc tre", "dsssb tgt", "kvs", "bpsc tre", None, "ctet", "uptet", "nvs")
-
-
-def _sql_list(values: tuple) -> str:
-    return "[" + ", ".join("NULL" if v is None else "'" + v + "'" for v in values) + "]"
-
-
-@register(f"""SELECT p_partkey, {_sql_list(SUBJECTS_OF)}[p_partkey % 10 + 1] AS subject, {_sql_list(LEVELS_OF)}[p_partkey % 10 + 1] AS level, {_sql_list(PROFILES_OF)}[p_partkey % 10 + 1] AS profile,
-{_sql_list(('primary', 'upper_primary_secondary', 'upper_primary_secondary', 'upper_primary_secondary', 'senior_secondary_pgt', None, None, None, 'senior_secondary_pgt', None))}[p_partkey % 10 + 1] AS level_key FROM part""")
-def rule_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ordered rules over folder and exam names, one of each for every part."""
-    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("p_partkey") % 10 + 1).cast("int"))
-    level = ft.teaching_level(pick(EXAMS))
-    return table(spark, sf_dir, "part").select("p_partkey", ft.guess_subject(pick(FOLDERS)).alias("subject"), level.alias("level"), editorial.exam_profile(pick(EXAMS))["key"].alias("profile"), ft.level_key(level).alias("level_key"))
-
-
-@register("""SELECT p_partkey AS id, p_name AS concepts, lower(p_type) AS shape, CASE WHEN p_size % 2 = 0 THEN 'ncert.nic.in' ELSE '' END AS sources, 'Note ' || p_name || ' & more' AS cards,
-CASE WHEN p_size % 3 = 0 THEN 'DUPLICATE_ID,BROKEN_ANCHOR' ELSE '' END AS issues FROM part""")
-def derived_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An article for every part, and what is derived from its HTML."""
-    html = F.concat(
-        F.lit('<h2 id="toc">★</h2><h2 class="x" id="'), F.col("p_type"), F.lit('">★ <b>'), F.col("p_name"), F.lit('</b></h2><div style="border-left:6px solid red"><p>Note '), F.col("p_name"), F.lit(" &amp; more</p></div>"),
-        F.when(F.col("p_size") % 2 == 0, '<a href="https://www.ncert.nic.in/a">n</a>').otherwise('<a href="https://other.org/">o</a>'),
-        F.when(F.col("p_size") % 3 == 0, '<i id="q"></i><i id="q"></i><a href="#none">z</a>').otherwise(""),
-    )
-    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.lit("note").alias("type"), F.col("p_name").alias("topic"), F.col("p_type").alias("subject"), F.col("p_brand").alias("exam"), html.alias("html"), F.lit("2026").alias("published"))
-    records = similarity.derive_records(parts, ["ncert.nic.in"]).join(parts.select("id", "html"), "id")
-    return records.select("id", F.array_join("concepts_taught", ",").alias("concepts"), F.array_join("article_shape", ",").alias("shape"), F.array_join("sources", ",").alias("sources"), F.array_join(fh.card_sentences(F.col("html")), ",").alias("cards"), F.array_join(fh.integrity_issues(F.col("html")), ",").alias("issues"))
-
-
 @register(f"SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, {sql_half_up('1 - least(1.0::DOUBLE, l_discount * 0.25::DOUBLE + l_tax * 0.2::DOUBLE + l_discount * 0.15::DOUBLE + l_tax * 0.1::DOUBLE + 0.5::DOUBLE * 0.15::DOUBLE + l_tax * 0.15::DOUBLE)', 3)} AS novelty FROM lineitem")
 def novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, t = F.col("l_discount"), F.col("l_tax")
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", fh.novelty_score(d, t, d, t, F.lit(0.5), t).alias("novelty"))
 
 
-@register("SELECT c_custkey AS id, c_acctbal AS v, c_custkey % 2 = 0 AS derived FROM customer WHERE c_custkey < 1000 UNION ALL SELECT s_suppkey + 950, s_acctbal, true FROM supplier WHERE s_suppkey + 950 NOT IN (SELECT c_custkey FROM customer WHERE c_custkey < 1000)")
+@register("SELECT c_custkey AS id, c_acctbal AS v, c_custkey % 2 = 0 AS derived FROM customer UNION ALL SELECT s_suppkey * 20, s_acctbal, true FROM supplier WHERE s_suppkey * 20 NOT IN (SELECT c_custkey FROM customer)")
 def history_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers inserted among customers as records, where their id is new."""
-    from lexiloom.sources.sinks import insert_missing
-
-    old = table(spark, sf_dir, "customer").where("c_custkey < 1000").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("v"), (F.col("c_custkey") % 2 == 0).alias("derived"))
-    return insert_missing(old, table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + 950).alias("id"), F.col("s_acctbal").alias("v"), F.lit(True).alias("derived")))
-
-
-@register(r"""WITH a AS (SELECT p_partkey, p_name AS k, upper(p_name) || ' notes' AS title, replace(p_name, ' ', '-') || '-x' AS slug FROM part)
-SELECT p_partkey, length(title) <= 60 AS title_ok, true AS slug_ok, 2::BIGINT AS exact, 1::BIGINT AS variant FROM a""")
-def search_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lexiloom.functions import seo
-
-    k = F.col("p_name")
-    counts = fh.keyphrase_counts(F.concat(k, F.lit(", "), F.upper(k), F.lit(" "), F.replace(k, F.lit(" "), F.lit("-"))), k)
-    return table(spark, sf_dir, "part").select("p_partkey", seo.title_ok(F.concat(F.upper(k), F.lit(" notes")), k).alias("title_ok"), seo.slug_ok(F.concat(F.replace(k, F.lit(" "), F.lit("-")), F.lit("-x")), k).alias("slug_ok"), counts["exact"].alias("exact"), counts["variant"].alias("variant"))
+    old = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("v"), (F.col("c_custkey") % 2 == 0).alias("derived"))
+    return sinks.insert_missing(old, table(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 20).alias("id"), F.col("s_acctbal").alias("v"), F.lit(True).alias("derived")))

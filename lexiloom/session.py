@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "12g") -> SparkSession:
@@ -26,6 +28,37 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "12g
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, which only a local session may leave so, a temporary
+    folder is made and set for the rest of the session.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="lexiloom-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows of df, written as Parquet to the shared folder and read from there; it cuts the lineage."""
+    path = f"{shared_folder(df.sparkSession)}/lexiloom/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a narrow table that may be sent to all tasks.
+BROADCAST_ROWS = 200_000
+
+
+def small_or_shuffled(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df, marked for broadcast if it is counted to have at most so many rows; otherwise joins shuffle it."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores where its files come in fewer splits than half the cores; else as it is.
 

@@ -15,44 +15,61 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm.org.apache.hadoop.fs.Path
 
 
-def publish(spark: SparkSession, target: str, tables: dict[str, DataFrame], validate: Callable[[dict[str, DataFrame]], str | None]) -> str:
-    """Writes the tables as a new version below target and moves the pointer to it if validate finds nothing.
+def publish(spark: SparkSession, target: str, tables: dict[str, DataFrame], validate: Callable[[dict[str, DataFrame]], str | None], derived: Callable[[DataFrame], dict[str, DataFrame]] | None = None) -> str:
+    """Writes the tables as a new version below target and points to it if validate finds nothing.
 
-    The pointer is a folder ``current`` with one row, replaced by a rename; any
-    failure before leaves the published version untouched.
+    ``derived`` makes further tables of the first table as it was written.  A
+    pointer is a folder ``current-<number>`` with one row; it appears by one
+    rename when its row is whole, and readers take the highest number, so at
+    every moment the old version or the new one is published.
     """
     version = f"{target}/v-{uuid.uuid4().hex}"
     for name, df in tables.items():
         df.write.parquet(f"{version}/{name}")
+    if derived:
+        for name, df in derived(spark.read.parquet(f"{version}/{next(iter(tables))}")).items():
+            df.write.parquet(f"{version}/{name}")
+            tables = tables | {name: df}
     problem = validate({name: spark.read.parquet(f"{version}/{name}") for name in tables})
     if problem:
         raise ValueError(f"not published: {problem}")
     fs, _, path = _fs(spark, target)
-    made, current = f"{target}/pointer-{uuid.uuid4().hex}", f"{target}/current"
+    made, before = f"{target}/pointer-{uuid.uuid4().hex}", _pointers(spark, target)
     spark.createDataFrame([(version,)], "version string").coalesce(1).write.json(made)
-    old = f"{target}/old-{uuid.uuid4().hex}"
-    if fs.exists(path(current)):
-        fs.rename(path(current), path(old))
-    if not fs.rename(path(made), path(current)):
+    number = int(before[-1].rsplit("-", 1)[1]) + 1 if before else 1
+    if not fs.rename(path(made), path(f"{target}/current-{number:012d}")):
         raise OSError(f"could not move the pointer of {target}")
-    if fs.exists(path(old)):
-        fs.delete(path(old), True)
+    for old in before:
+        fs.delete(path(f"{target}/{old}"), True)
     return version
 
 
+def _pointers(spark: SparkSession, target: str) -> list[str]:
+    fs, folder, _ = _fs(spark, target)
+    return sorted(x.getPath().getName() for x in fs.listStatus(folder) if x.getPath().getName().startswith("current-")) if fs.exists(folder) else []
+
+
+def is_published(spark: SparkSession, target: str) -> bool:
+    return bool(_pointers(spark, target))
+
+
 def published(spark: SparkSession, target: str, name: str, schema: str | None = None) -> DataFrame:
     """A table of the published version; empty with the schema where nothing is published."""
-    fs, _, path = _fs(spark, target)
-    if not fs.exists(path(f"{target}/current")):
+    pointers = _pointers(spark, target)
+    if not pointers:
         if schema is None:
             raise FileNotFoundError(target)
         return spark.createDataFrame([], schema)
-    return spark.read.parquet(f"{spark.read.json(f'{target}/current').first()['version']}/{name}")
+    return spark.read.parquet(f"{spark.read.json(f'{target}/{pointers[-1]}').first()['version']}/{name}")
+
 
+def route(files: DataFrame, verdicts: DataFrame, target: str, run: str) -> None:
+    """Packages (file, content) and their verdicts (file, status, ...) below target, by status.
 
-def route(verdicts: DataFrame, target: str) -> None:
-    """Verdicts to target/status=approved and target/status=rejected."""
-    verdicts.write.mode("append").partitionBy("status").json(target)
+    Each run has its own folder, so a run that is repeated replaces its rows.
+    """
+    verdicts.write.mode("overwrite").partitionBy("status").json(f"{target}/verdicts/run={run}")
+    files.join(verdicts.select("file", "status"), "file").write.mode("overwrite").partitionBy("status").parquet(f"{target}/packages/run={run}")
 
 
 def state_file(state: DataFrame, target: str) -> None:

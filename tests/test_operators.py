@@ -59,6 +59,10 @@ def test_loose_contexts(spark):
     got = sorted((r.c_exam or "", r.c_subject or "", r.id) for r in st.match_contexts(ctx, rec).collect())
     want = sorted((a, s or "", i) for a, s in (("A", "x"), ("", "x"), ("A", None)) for e, u, i in (("A", "x", 1), ("B", "x", 2), (None, "y", 3), ("A", "", 4)) if (not a or not e or a == e) and (not s or not u or s == u))
     assert got == want
+    sums = {(r.c_exam, r.c_subject): (r.n, r.ids) for r in st.context_totals(ctx, rec, {"n": F.lit(1), "ids": F.col("id")}).collect()}
+    assert sums == {(a, s): (len(i), sum(i)) for a, s in (("A", "x"), ("", "x"), ("A", None)) if (i := [x[2] for x in want if x[:2] == (a, s or "")])}
+    last = st.latest_of_contexts(ctx, rec, [F.desc("id")], 2)
+    assert sorted((r.c_exam or "", r.c_subject or "", r.id) for r in last.collect()) == sorted(x for x in want if sum(y[:2] == x[:2] and y[2] > x[2] for y in want) < 2)
     marked = rec.select("id", st.loose_match(F.col("exam"), F.lit("A")).alias("ok")).collect()
     assert [r.ok for r in marked] == [True, False, True, True]
 
@@ -68,6 +72,10 @@ def test_coverage(spark):
     items = st.coverage_probability(spark.createDataFrame([("cell",), ("Atoms",)], "concept string"), rec)
     assert {(r.concept, r.coverage_probability, r.observations) for r in items.collect()} == {("cell", 0.4, 3), ("Atoms", 0.2, 3)}
     assert tuple(st.coverage_summary(items).first()) == (True, 0.3, ["Atoms"])
+    wanted = spark.createDataFrame([("cell",), ("Atoms",), ("l w",), ("ce",), ("s",), ("kings",), (" ",), ("cell",)], "concept string")
+    rec = rec.union(rec).union(spark.createDataFrame([(["a", "tom"],), (None,)], rec.schema))
+    few, many = (sorted(map(tuple, st.coverage_probability(wanted, rec, most).collect())) for most in (1000, 0))
+    assert few == many and {c: p for c, p, _ in few}["l w"] == 0.3
     assert tuple(st.coverage_summary(items.limit(0)).first()) == (False, 0.0, [])
 
 
@@ -208,7 +216,18 @@ def test_replies(spark):
     assert (got["labels"].seo.focusKeyword, got["labels"].seo.slug, got["labels"].html) == ("key", "my-slug", "<h2>A</h2>text")
     assert got["labels"].publisher_notes == "END OF NOTES tail" and "BODY_FROM_H2" in got["labels"].warnings
     assert got["none"].html == "" and got["null"].html == ""
-    assert replies.block_header("tip: A") == ("tip", "A") and replies.block_header("def word") == ("def", "word") and replies.block_header("what") == ("plain", "what")
+    heads = {"tip: A": ("tip", "A"), "def word": ("def", "word"), "def\tword": ("def", "word"), "what": ("plain", "what"), "FAQ": ("faq", ""), "ti\u200bp： x : y": ("tip", "x : y"), "zzz: t": ("plain", "t"), "": ("plain", "")}
+    df = spark.createDataFrame([(h,) for h in heads], "h string")
+    assert {r.h: (r.b.kind, r.b.title) for r in df.select("h", replies.block_header(F.col("h")).alias("b")).collect()} == heads
+
+
+def test_expand_blocks(spark):
+    texts = ["no marks [[AD]]", "head [[AD]]{*h2: A & B*} one [[AD]] {*end*} gap [[AD]] {*tip*}two[[wc: 5]]{*faq: Q*}[[AD]]", "", None, "{* end *}x"]
+    got = {r.t: r.x for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", replies.expand_blocks(F.col("t")).alias("x")).collect()}
+    assert tuple(got[texts[0]]) == ("no marks [[AD]]", 0, 0) and tuple(got[""]) == ("", 0, 0) == tuple(got[None]) and tuple(got["{* end *}x"]) == ("x\n", 0, 0)
+    slot = lambda n: f'<ins id="ad-slot-{n}"></ins>'
+    html = f'head [[AD]]<h2 id="a-b">A &amp; B</h2>\none {slot(1)}\ngap {slot(2)}\n<div class="block-tip"><div>two</div></div>\n<div class="block-faq"><h3>Q</h3><div>{slot(3)}</div></div>\n'
+    assert tuple(got[texts[1]]) == (html, 3, 2)
 
 
 def test_dom():
@@ -253,17 +272,27 @@ def test_prompts(spark):
     assert "**Maths:**" in r.prompt and "**Language:**" not in r.prompt and "**Other subjects:**" in r.prompt
     assert "  more" in r.prompt and "rest" not in r.prompt and "tail" in r.prompt
     assert "SELECTED: 00_CORE/title" in prompts.diagnostic(prompts.assemble(df)).first().diagnostic
-    cyclic = spark.createDataFrame([("a", "b"), ("b", "a")], "id string, needed string")
-    assert {x.id for x in prompts.closure(spark.createDataFrame([("a",)], "id string"), cyclic).collect()} == {"a", "b"}
+    needs = spark.createDataFrame([("p", "a", 0, "c"), ("p", "a", 1, "b"), ("p", "b", 0, "a"), ("p", "c", 0, "d"), ("q", "a", 0, "z")], "prompt_id string, id string, nth int, needed string")
+    places = spark.createDataFrame([("p", x, n) for n, x in enumerate("dcab")] + [("q", "a", 0), ("q", "z", 1)], "prompt_id string, id string, pos int")
+    found = {x.id: (x.turn, x["at"], x.nth) for x in prompts.closure(spark.createDataFrame([("p", "a")], "prompt_id string, id string"), needs, places).collect()}
+    assert found == {"a": (0, 0, 0), "c": (1, 2, 0), "b": (1, 2, 1), "d": (2, 1, 0)}
+    chain = spark.createDataFrame([("p", f"s{i}", 0, f"s{i + 1}") for i in range(12)], needs.schema)
+    spots = spark.createDataFrame([("p", f"s{i}", 20 - i) for i in range(13)], places.schema)
+    assert prompts.closure(spark.createDataFrame([("p", "s0")], "prompt_id string, id string"), chain, spots).count() == 13
     filled = df.select(prompts.fill_template(F.lit("a {{X}} b {{X}}"), {"X": F.lit(1)}).alias("x")).first().x
     assert filled == "a 1 b 1"
 
 
-def test_pieces():
-    assert [p[3] for p in prompts.pieces_with_markers("abcdefg", 3)] == ["abc", "def", "g"]
-    made = prompts.pieces_with_markers("x" * 100, 20, embed=True)
-    assert all(len(p[3]) <= 20 for p in made) and "".join(p[3].split("\n", 1)[1] for p in made) == "x" * 100
-    assert prompts.pieces_with_markers(None, 5) == [(1, 1, "[1/1]", "")]
+def test_pieces(spark):
+    df = spark.createDataFrame([(1, "abcdefg"), (2, None), (3, "x" * 100), (4, "🙂" * 7)], "id int, t string")
+    rows = lambda **k: sorted((r.id, r["index"], r["count"], r.marker, r.piece) for r in prompts.marked_pieces(df, "id", "t", **k).collect())
+    plain = rows(limit=3)
+    assert [r[4] for r in plain if r[0] == 1] == ["abc", "def", "g"] and [r for r in plain if r[0] == 2] == [(2, 1, 1, "[1/1]", "")]
+    made = rows(limit=20, embed=True)
+    assert all(len(r[4].encode("utf-16-le")) <= 40 for r in made)
+    for i, t in ((3, "x" * 100), (4, "🙂" * 7)):
+        own = [r for r in made if r[0] == i]
+        assert "".join(r[4].split("\n", 1)[1] for r in own) == t and [r[3] for r in own] == [f"[{k + 1}/{len(own)}]" for k in range(len(own))]
 
 
 def test_files(spark, tmp_path):
@@ -327,6 +356,7 @@ def test_evidence(spark):
     assert [r.reasons for r in made.orderBy("rank").collect()] == [[], ["LOOKS_LIKE_MARKUP"], ["MISSING_SUBJECT", "MISSING_CHAPTER_IDENTITY"]]
     r = editorial.evidence(made, ["q"]).first()
     assert (r.provenance, r.source_confidence, len(r.excerpts), len(r.excerpts[0].excerpt)) == (1, 0.07, 1, 161)
+    assert (r.n_valid, r.n_invalid, r.all_valid, r.chapters) == (1, 2, False, ["b::c1"])
 
 
 def test_evaluate(spark):
@@ -352,13 +382,57 @@ def test_gate(spark):
     assert {"title", "slug", "h1", "meta", "first-100"} <= set(got[2].failed)
 
 
+def test_note_bundles(spark):
+    body = "<p>number system " + "w " * 110 + '</p><img alt="Number system">' + "".join(f'<a href="/p{i}">i</a>' for i in range(5)) + '<a href="https://o.org/">o</a><a href="https://n.org/">n</a>' + "".join(f'<sup id="cite-{i}"><a href="#ref-{i}">x</a></sup>' for i in range(4)) + "<ol>" + "".join(f'<li id="ref-{i}">r</li>' for i in range(4)) + "</ol>"
+    seo = {"focusKeyword": "number system", "seoTitle": "Number System Notes", "slug": "number-system", "metaDescription": "number system " + "x" * 137, "h1": "संख्या पद्धति क्या है", "imageAltText": "a", "imagePrompt": "p"}
+    raw = f"<<<SEO_JSON>>>{json.dumps(seo)}<<<END_SEO_JSON>>><<<NOTES_BODY_HTML>>>{body}<<<END_NOTES_BODY_HTML>>><<<PUBLISHER_NOTES>>>notes<<<END_PUBLISHER_NOTES>>>"
+    got = {r.reply_id: r for r in dom.note_bundles(spark.createDataFrame([("good", raw), ("bad", raw.replace("<img", "<b")), ("none", None)], "reply_id string, raw string")).collect()}
+    assert got["good"].publishable and got["good"].failed == [] and got["good"].bundle.seo.slug == "number-system" and got["good"].warnings == ["NO_BLOCKS", "ad-slots", "toc"]
+    assert got["bad"].bundle is None and "image-alt" in got["bad"].failed
+    assert got["none"].failed == ["EMPTY_BODY", "MISSING_SLUG", "MISSING_FOCUS_KEYWORD"] and got["none"].bundle is None
+
+
+def test_decisions(spark):
+    rows = [(1, i, "x", ["a"], [], ["m"], [], [], ["s1", "s2"]) for i in range(3)]
+    records = spark.createDataFrame(rows, "user_id int, seq int, item string, concepts_taught array<string>, examples_used array<string>, misconceptions_used array<string>, question_types array<string>, card_sentences_used array<string>, article_shape array<string>")
+    made = editorial.decision_documents(editorial.brief(editorial.genome(editorial.topic_state(records, ["user_id"]), "user_id")), ["user_id"]).first()
+    document = json.loads(made.document)
+    assert document["mode"] == "full" and document["editorial_genome"]["section_count"] == 2.0 and document["statistics"]["sample_size"] == 3 and document["confidence"] == made.confidence
+    pairs = coverage.known_pairs(spark.createDataFrame([("E", "S")] * 3, "exam string, subject string"), spark.createDataFrame([("E", "S", "t"), ("F", "S", "v"), ("F", "S", "u")], "exam string, subject string, topic string"))
+    best = editorial.recommendation(editorial.next_post(pairs), spark.createDataFrame([("F", "S", "v"), ("F", "S", "u")], "exam string, subject string, topic string")).first()
+    assert (best.exam, best.suggestion, best.n_open, best.mode) == ("F", "u", 2, "recommend-only")
+
+
+def test_long_articles(spark):
+    from lexiloom.functions import html as fh
+
+    df = spark.createDataFrame([("w " * 100,), ("w " * 3000,), ("w " * 6000,)], "h string")
+    got = [(r.f, r.s) for r in df.select(fh.hard_failures(F.struct(F.lit("k").alias("focusKeyword"), F.lit("t").alias("seoTitle"), F.lit("s").alias("slug")), F.col("h")).alias("f"), fh.soft_warnings(F.col("h"), F.array(F.lit("P"))).alias("s")).collect()]
+    assert got == [(["EMPTY_BODY", "TOO_FEW_WORDS"], ["P", "SHORT_ARTICLE"]), ([], ["P", "SHORT_ARTICLE"]), ([], ["P"])]
+
+
+def test_index_is_stored(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "Cell wall, cell"), (2, "kings"), (3, "")], "doc_id int, text string")
+    stored, built = search.publish_index(docs, str(tmp_path / "i")), search.build_index(docs)
+    for name in ("postings", "df", "meta"):
+        a, b = (sorted(map(str, getattr(x, name).collect())) for x in (stored, built))
+        assert a == b
+    assert sorted((r.doc_id, r.term, r.tf, r.doc_len) for r in stored.postings.collect()) == [(1, "cell", 2, 3), (1, "wall", 1, 3), (2, "kings", 1, 1)]
+    assert sinks.is_published(spark, str(tmp_path / "i")) and not sinks.is_published(spark, str(tmp_path / "none"))
+    assert search.load_index(spark, str(tmp_path / "i"), docs).meta.first().doc_count == 3
+
+
 def test_corpus_sinks(spark, tmp_path):
     rows = spark.createDataFrame([("Bio", "b", 'a "q", x\ny'), ("Hist", "h", "z")], "subject string, book string, text string")
     sinks.corpus(rows, str(tmp_path / "corpus"))
     sinks.corpus(rows, str(tmp_path / "corpus"))
     assert sorted(r.text for r in files.csv_rows(spark, str(tmp_path / "corpus" / "csv")).collect()) == ['a "q", x\ny', "z"]
-    sinks.route(rows.withColumn("status", F.lit("approved")), str(tmp_path / "routed"))
-    assert spark.read.json(str(tmp_path / "routed")).where("status = 'approved'").count() == 2
+    packs = spark.createDataFrame([("a", b"1"), ("b", b"2")], "file string, content binary")
+    verdict = spark.createDataFrame([("a", "approved", []), ("b", "rejected", ["EMPTY_CORPUS"])], "file string, status string, errors array<string>")
+    for _ in range(2):  # a run that is repeated replaces its rows
+        sinks.route(packs, verdict, str(tmp_path / "routed"), "r1")
+    assert sorted((r.file, r.status, bytes(r.content)) for r in spark.read.parquet(str(tmp_path / "routed" / "packages")).collect()) == [("a", "approved", b"1"), ("b", "rejected", b"2")]
+    assert spark.read.json(str(tmp_path / "routed" / "verdicts")).where("status = 'rejected'").first().errors == ["EMPTY_CORPUS"]
     sinks.state_file(rows.limit(1), str(tmp_path / "state"))
     assert spark.read.json(str(tmp_path / "state")).count() == 1
     checks = cleaning.cross_checks(rows, rows.limit(1), spark.createDataFrame([(1,)], "doc_count int"))
