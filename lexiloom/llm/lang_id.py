@@ -16,8 +16,8 @@ with letters is learned.  The model is sent to the tasks in parts of
 ``LANGS_AT_ONCE`` languages, so any number of languages works.
 
 A null text, or one without letters, is ``und`` with score 0.  With no training
-rows every text is ``und``.  Of centroids with equal cosines the first language
-by name wins.  Very long texts are counted in blocks of ``BLOCK`` characters.
+rows every text is ``und``.  Cosines have 6 places; of centroids with equal ones the first
+language by name wins.  Very long texts are counted in blocks of ``BLOCK`` characters.
 Columns named like the results are replaced; others are never read.
 """
 
@@ -114,7 +114,7 @@ class Part:
         counts = gram_counts(text) if len(self.langs) else None
         if counts is None:
             return "und", 0.0, True
-        cosines = self.centroids @ vector(counts, self.idf)
+        cosines = np.round(self.centroids @ vector(counts, self.idf), 6)  # so that equal centroids tie
         best = int(np.argmax(cosines))
         lang, score = int(self.owner[best]), float(min(1.0, max(0.0, cosines[best])))
         # a short text lies further from every centroid; the limit falls with the n-grams it has
@@ -203,13 +203,13 @@ def fit(train: DataFrame, per_lang: int = 1000, k: int = 4, text: str = "text",
         name = group["lang"].iloc[0]
         found = [c for c in map(gram_counts, group.sort_values("text")["text"]) if c is not None]
         if not found:
-            return pd.DataFrame({"lang": [], "centroid": [], "least": []})
+            return pd.DataFrame({"lang": pd.Series([], dtype=object), "centroid": pd.Series([], dtype=object), "least": pd.Series([], dtype=float)})
         vectors = np.stack([vector(c, idf) for c in found])
         centres = _clusters(vectors, k)
         scale = np.minimum(1.0, (np.array([np.count_nonzero(c) for c in found]) / 400) ** 0.5)
         best = (vectors @ centres.T).max(axis=1) / scale
         least = 0.6 * float(np.quantile(best, 0.01))
-        return pd.DataFrame({"lang": name, "centroid": [c.tobytes() for c in centres], "least": least})
+        return pd.DataFrame({"lang": pd.Series([name] * len(centres), dtype=object), "centroid": pd.Series([c.tobytes() for c in centres], dtype=object), "least": least})
 
     made = stored(sample(rows, per_lang).groupBy("lang").applyInPandas(one, "lang string, centroid binary, least double"))
     return Model(idf, sorted(r.lang for r in made.select("lang").distinct().collect()), made)

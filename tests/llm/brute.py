@@ -7,6 +7,8 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
+
 WORD5 = re.compile(r"[^\x20\x09-\x0D]+")
 WORD6 = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -208,3 +210,75 @@ def cut_edges(texts, where):
         if t is not None:
             groups.setdefault(t, Counter())[where[d]] += 1
     return sum((sum(c.values()) ** 2 - sum(n * n for n in c.values())) // 2 for c in groups.values())
+
+
+M64 = (1 << 64) - 1
+
+
+def language_grams(text, bits=13):
+    """Counts of a text's hashed n-grams, character by character; None without letters."""
+    def spot(x):
+        x = x * 0x9E3779B97F4A7C15 & M64
+        return ((x ^ x >> 29) * 0xBF58476D1CE4E5B9 & M64) >> 64 - bits
+
+    if not any(c.isalpha() for c in text or ""):
+        return None
+    cps = [0] + [ord(c.lower()) if c.isalpha() and len(c.lower()) == 1 else ord(c) if c.isalpha() else 0 for c in text] + [0]
+    out = Counter()
+    for i, c in enumerate(cps):
+        if c:
+            out[spot(c)] += 1
+        if i and (two := cps[i - 1] << 21 | c):
+            out[spot(two + (1 << 62))] += 1
+        if 0 < i < len(cps) - 1 and c:
+            out[spot(cps[i - 1] << 42 | c << 21 | cps[i + 1])] += 1
+    return out
+
+
+def languages(train, texts, k=4, rounds=12):
+    """[(language, score, rejected)] of texts: TF-IDF, spherical k-means over each language's distinct texts, nearest centroid."""
+    found = [(lang, language_grams(t)) for lang, t in train if lang is not None and t is not None]
+    df, n = Counter(), 0
+    for _, g in found:
+        if g:
+            n += 1
+            df.update(g.keys())
+
+    def weigh(g):
+        v = {i: math.log1p(c) * (math.log((1 + n) / (1 + df[i])) + 0.1) for i, c in g.items()}
+        size = math.sqrt(sum(x * x for x in v.values())) or 1.0
+        return {i: x / size for i, x in v.items()}
+
+    def dot(a, b):
+        return sum(x * b.get(i, 0.0) for i, x in a.items())
+
+    centroids = []
+    for lang in sorted({x for x, _ in found}):
+        own = [g for t in sorted({t for x, t in train if x == lang and t is not None}) if (g := language_grams(t))]
+        if not own:
+            continue
+        vectors = [weigh(g) for g in own]
+        centres = [vectors[i] for i in np.linspace(0, len(vectors) - 1, min(k, len(vectors))).astype(int)]
+        for _ in range(rounds):
+            near = [max(range(len(centres)), key=lambda j: (dot(v, centres[j]), -j)) for v in vectors]
+            for j in range(len(centres)):
+                mine = [v for v, x in zip(vectors, near, strict=True) if x == j]
+                if mine:
+                    total = Counter()
+                    for v in mine:
+                        total.update(v)
+                    size = math.sqrt(sum(x * x for x in total.values()))
+                    centres[j] = {i: x / size for i, x in total.items()}
+        scale = lambda g: min(1.0, math.sqrt(len(g) / 400))
+        least = 0.6 * float(np.quantile([max(dot(v, c) for c in centres) / scale(g) for v, g in zip(vectors, own, strict=True)], 0.01))
+        centroids += [(lang, c, least) for c in centres]
+    out = []
+    for t in texts:
+        g = language_grams(t)
+        if g is None or not centroids:
+            out.append(("und", 0.0, True))
+            continue
+        v = weigh(g)
+        score, lang, least = max(((round(dot(v, c), 6), lang, least) for lang, c, least in centroids), key=lambda x: x[0])
+        out.append((lang, score, score < least * min(1.0, math.sqrt(len(g) / 400))))
+    return out

@@ -323,6 +323,47 @@ def test_language_id(spark, small):
     assert {r.doc_id for r in rows if r.held_out} == {r.doc_id for r in rows if zlib.crc32(str(r.doc_id).encode()) % 4 == 2}
 
 
+def _language_rows(spark):
+    docs = [(r.lang, r.text[:300]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).collect()]
+    return docs + [docs[0]] * 30 + [("one", "zebra quokka xylophone"), ("none", "123 !"), (None, "abc"), ("en", None), ("twin a", "same words here"), ("twin b", "same words here")]
+
+
+def test_language_id_against_plain_version(spark, monkeypatch):
+    """Copies, a language of one text, one without letters, and two languages with equal centroids."""
+    rows = _language_rows(spark)
+    texts = [t for _, t in rows] + ["", None, "??", "quokka", "same words"]
+    train = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute.languages(rows, texts)
+    for at_once in (256, 2):
+        monkeypatch.setattr(lang_id, "LANGS_AT_ONCE", at_once)
+        model = lang_id.fit(train)
+        assert model.langs == sorted({x for x, _ in rows} - {None, "none"})
+        got = sorted(lang_id.predict(docs, model, ["doc_id"]).collect(), key=lambda r: r.doc_id)
+        assert [(r.lang_pred, r.rejected) for r in got] == [(a, c) for a, _, c in want]
+        assert all(abs(r.score - b) < 1e-4 for r, (_, b, _) in zip(got, want, strict=True))
+
+
+def test_language_id_learns_languages_of_copies(spark):
+    """Sampling never loses a language, whatever its texts repeat."""
+    words = ["alpha", "bravo", "charlie", "delta", "echo", "foxtrot", "golf", "hotel", "india", "juliet", "kilo", "lima"]
+    rows = [(f"l{n:02d}", f"{w} {w[::-1]} {w * 3}") for n, w in enumerate(words) for _ in range(400)] + [("many", f"number {i} of many texts") for i in range(900)]
+    train = spark.createDataFrame(rows, "lang string, text string")
+    assert lang_id.fit(train, per_lang=50).langs == sorted({x for x, _ in rows})
+    sizes = {r.lang: r["count"] for r in lang_id.sample(train, 50).groupBy("lang").count().collect()}
+    assert sizes == {f"l{n:02d}": 1 for n in range(12)} | {"many": 50}
+
+
+def test_names_of_results_may_clash(spark):
+    """Columns named like those of the operators do no harm."""
+    names = ["lang_pred", "score", "rejected", "keep", "best", "row", "shard", "slot", "seen", "keys", "key", "hits", "bin", "class", "label", "n", "ids", "text_crc32"]
+    docs = spark.createDataFrame([(i, t, "en", "s", *["x"] * len(names)) for i, t in enumerate(TEXTS[:8])], "doc_id long, text string, lang string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    items = spark.createDataFrame([(1, PASSAGE)], "item_id long, text string")
+    assert lang_id.identify(docs).count() == shards.assign(docs, 24).count() == ngram_join.link_components(docs).count() == decontam.judge(docs, items).count() == licenses.scan(docs).count() == 8
+    assert quality.measure(docs, ["doc_id"]).count() == token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")).count() == 8
+    assert bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).columns == [c for c in docs.columns if c != "ids"] + ["ids"]
+
+
 def test_language_id_edges(spark, hard):
     got = {r.doc_id: r for r in lang_id.identify(hard.select("doc_id", "text", "lang")).collect()}
     for i, t in enumerate(TEXTS):

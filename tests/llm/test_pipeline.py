@@ -84,5 +84,19 @@ def test_null_and_repeated_ids(spark):
     assert sorted(r.text for r in corpus_pipeline.near_duplicates(spark, none, SF).collect()) == [a, b]
 
 
+def test_further_columns_and_empty_tables(spark):
+    """Columns named like those inside the operators come back as they were; empty tables give empty ones."""
+    docs = stored(spark.read.parquet(f"{SF}/documents.parquet").where("length(text) > 400").limit(25))
+    names = ["n_words", "kept", "score", "rejected", "label", "key", "_row", "hits", "row", "all"]
+    wide = docs.select("*", *[F.concat(F.lit("mine"), F.col("doc_id").cast("string")).alias(n) for n in names])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stored(stage(spark, wide, SF))
+        assert out.columns == wide.columns and out.count() > 0
+        assert all(r[n] == f"mine{r.doc_id}" for r in out.collect() for n in names)
+        assert stored(stage(spark, wide.limit(0), SF)).count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, wide, SF).count() == 25
+    assert corpus_pipeline.STAGES[-1][1](spark, wide.limit(0), SF).count() == 0
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 50
