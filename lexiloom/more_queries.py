@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexiloom.functions import html as fh
 from lexiloom.functions import seo
 from lexiloom.functions import text as ft
-from lexiloom.operators import cleaning, coverage, editorial, packages, replies, search, similarity
+from lexiloom.operators import cleaning, coverage, dom, editorial, packages, replies, search, similarity
 from lexiloom.operators import statistics as st
 from lexiloom.plans import prompts
 from lexiloom.queries import SQL_HREFS, SQL_LEGACY, SQL_LINES, SQL_SAFETY, SQL_SHINGLES, SQL_STRIPPED, _index, register, sql_half_up, sql_similarity_words, sql_words, table
@@ -457,3 +457,108 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = editorial.decision_documents(made, ["user_id"])
     doc = F.from_json("document", "mode string, confidence double, statistics struct<section_count_ewma: double>, editorial_genome struct<opening: string, concept_order: string, example_density: double, misconception_depth: double, question_integration: double, analogy_use: double, section_count: double>")
     return out.join(made.select("user_id", "signature_confidence"), "user_id").withColumn("d", doc).select("user_id", "signature_confidence", "d.confidence", "d.editorial_genome.*", "d.statistics.section_count_ewma", "d.mode")
+
+
+# --- variety ---------------------------------------------------------------
+
+#: Words of topics and subjects that speak for strategies.
+TOPIC_WORDS = ("definition", "vs difference", "history timeline", "process stages cycle", "quiz", "")
+SUBJECT_WORDS = ("Maths", "History", "Hindi", "EVS", "CDP", "Art")
+
+
+def _sql_pick(c: str, words: tuple[str, ...]) -> str:
+    return f"[{', '.join(map(sql_q, words))}][{c} % {len(words)} + 1]"
+
+
+def _sql_selection(name: str, options: tuple[str, ...], score: str, suffix: str, chosen: str) -> str:
+    values = ", ".join(f"({n}, {sql_q(o)})" for n, o in enumerate(options))
+    return f"""{name}_u AS (SELECT exam, subject, k::VARCHAR AS id, [{', '.join(map(sql_q, options))}][{chosen} + 1] AS v FROM ctx),
+{name}_r AS (SELECT k, list(v ORDER BY rn) AS recent FROM (SELECT c.k, u.v, row_number() OVER (PARTITION BY c.k ORDER BY u.id DESC) AS rn FROM ctx c JOIN {name}_u u USING (exam, subject) QUALIFY rn <= {editorial.USED_WINDOW}) GROUP BY k),
+{name}_s AS (SELECT k, pos, o, {score} - CASE WHEN list_position(recent, o) > 0 THEN (len(recent) - list_position(recent, o) + 1) * {editorial.REPEAT_PENALTY}::DOUBLE ELSE 0 END AS score, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(topic || '|' || exam || '|' || subject || '{suffix}', ''), lambda c: ord(c)::BIGINT)), lambda h, c: (h * 31 + c) & 4294967295) AS h
+  FROM ctx JOIN {name}_r USING (k) CROSS JOIN (VALUES {values}) t(pos, o)),
+{name}_t AS (SELECT *, CASE WHEN h >= 2147483648 THEN abs(h - 4294967296) ELSE h END AS hash, max(score) OVER (PARTITION BY k) AS best, row_number() OVER (PARTITION BY k ORDER BY score DESC, pos) AS rn FROM {name}_s),
+{name} AS (SELECT k, list(o ORDER BY rn) FILTER (WHERE score >= best - {editorial.TIE}) AS tied, any_value(hash) AS hash, array_to_string(list(o || '=' || round(score, 3) ORDER BY rn) FILTER (WHERE rn <= 3), ',') AS candidates FROM {name}_t GROUP BY k)"""
+
+
+_flavours = tuple(f for f, _ in editorial.FLAVOURS)
+_hits = "CASE o " + " ".join(f"WHEN {sql_q(f)} THEN len(list_filter([{', '.join(map(sql_q, words))}], lambda w: contains(lower(topic), w)))" for f, words in editorial.FLAVOURS) + " END"
+_leaning = " + ".join(f"CASE WHEN {_sql_contains(words, 'lower(subject)')} AND o IN ({', '.join(map(sql_q, options))}) THEN {points}.0::DOUBLE ELSE 0 END" for words, options, points in editorial.SUBJECT_LEANINGS)
+_score = f"({_hits} * 3.0::DOUBLE + CASE WHEN o = 'concept-first' THEN 0.1::DOUBLE ELSE 0 END + {_leaning})"
+
+
+@register(f"""WITH ctx AS (SELECT p_partkey AS k, p_name || ' ' || {_sql_pick('p_size', TOPIC_WORDS)} AS topic, p_brand AS exam, {_sql_pick('p_size', SUBJECT_WORDS)} AS subject, p_size FROM part),
+{_sql_selection("f", _flavours, _score, "", f"p_size % {len(_flavours)}")}, {_sql_selection("g", editorial.OPENINGS, "0.0::DOUBLE", "|opening", f"p_size % {len(editorial.OPENINGS)}")}
+SELECT f.k AS ctx_id, f.tied[(f.hash % len(f.tied) + 1)::INT] AS flavour, f.candidates, g.tied[(g.hash % len(g.tied) + 1)::INT] AS opening FROM f JOIN g USING (k)""")
+def flavour_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Teaching strategy and opening for every part as a topic, with the parts of its exam and subject as the history of choices."""
+    pick = lambda words: F.element_at(F.array(*map(F.lit, words)), (F.col("p_size") % len(words) + 1).cast("int"))
+    key = F.col("p_partkey").cast("string")
+    named = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ctx_id"), F.concat_ws(" ", "p_name", pick(TOPIC_WORDS)).alias("topic"), F.col("p_brand").alias("exam"), pick(SUBJECT_WORDS).alias("subject"), key.alias("id"), key.alias("published"), pick(_flavours).alias("flavour"), pick(editorial.OPENINGS).alias("openingStyle"))
+    contexts = named.select("ctx_id", "topic", "exam", "subject")
+    a = editorial.select_flavour(contexts, named).select("ctx_id", F.col("selected").alias("flavour"), F.array_join(F.transform("candidates", lambda c: F.concat(c["id"], F.lit("="), F.round(c["score"], 3).cast("string"))), ",").alias("candidates"))
+    b = editorial.select_opening(contexts, named).select("ctx_id", F.col("selected").alias("opening"))
+    return a.join(b, "ctx_id")
+
+
+# --- replies and document trees --------------------------------------------
+
+SQL_BODY = f"'<p>' || replace({sql_strip('text')}, '<', '(') || '</p>'"
+
+
+@register(rf"""WITH t AS (SELECT conv_id || '-' || turn AS reply_id, turn % 4 AS kind, {SQL_BODY} AS b, turn FROM conversations)
+SELECT reply_id, CASE WHEN kind = 3 THEN '' ELSE 'key ' || turn END AS phrase, CASE WHEN kind = 3 THEN '' ELSE 's-' || turn END AS slug, md5(CASE kind WHEN 2 THEN '<h2>A</h2>' || b ELSE b END) AS html_md5,
+md5(CASE kind WHEN 0 THEN 'notes' WHEN 1 THEN '=== PUBLISHER NOTES ===' || chr(10) || 'n' WHEN 2 THEN 'END OF NOTES tail' ELSE '' END) AS notes_md5,
+CASE kind WHEN 0 THEN 'sentinel-json + sentinel-html' WHEN 1 THEN 'json-fence + body-comments' WHEN 2 THEN 'label-text + h2-scan' ELSE 'label-text + sentinel-html' END AS method, kind = 3 AS truncated FROM t""")
+def reply_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as raw replies in four forms: marked, fenced with comments, labelled with headings, and cut off; each cascade takes another step."""
+    n = F.col("turn").cast("string")
+    body = F.concat(F.lit("<p>"), F.replace(ft.strip(F.col("text")), F.lit("<"), F.lit("(")), F.lit("</p>"))
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    json = text('{"focusKeyword":"key ', n, '","seoTitle":"T","slug":"s-', n, '"}')
+    forms = (
+        text("<<<SEO_JSON>>>{}<<<END_SEO_JSON>>><<<SEO_JSON>>>", json, "<<<END_SEO_JSON>>><<<NOTES_BODY_HTML>>>", body, "<<<END_NOTES_BODY_HTML>>><<<PUBLISHER_NOTES>>>notes<<<END_PUBLISHER_NOTES>>>"),
+        text("```json\n", json, "\n```\n<!-- NOTES BODY START -->", body, "<!-- NOTES BODY END -->\n=== PUBLISHER NOTES ===\nn"),
+        text("Focus Keyword: **key ", n, "**\nSlug: /S ", n, "/\n<h2>A</h2>", body, "END OF NOTES tail"),
+        text("<<<NOTES_BODY_HTML>>>", body),
+    )
+    kind = F.col("turn") % 4
+    raw = F.when(kind == 0, forms[0]).when(kind == 1, forms[1]).when(kind == 2, forms[2]).otherwise(forms[3])
+    turns = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("reply_id"), raw.alias("raw"))
+    out = replies.parse_replies(turns)
+    return out.select("reply_id", F.coalesce("seo.focusKeyword", F.lit("")).alias("phrase"), F.coalesce("seo.slug", F.lit("")).alias("slug"), _md5(F.col("html")).alias("html_md5"), _md5(F.col("publisher_notes")).alias("notes_md5"), "method", "truncated")
+
+
+SQL_OWN = r"regexp_replace(regexp_extract(h, '(?i)^https?://(?:[^/@?#]*@)?([^/:?#]*)', 1), '^www\.', '') = 'example.com'"
+
+
+@register(rf"""WITH a AS (SELECT page_id, html, {SQL_HREFS} AS hs, regexp_extract_all(html, '(?i)<[a-z][^>]*\sid="([^"]*)"', 1) AS ids, len(regexp_extract_all(html, '(?i)<script[\s>]')) AS scripts, len(regexp_extract_all(html, '(?i)<img[\s>]')) AS imgs, len(regexp_extract_all(html, '(?i)<h3[\s>]')) AS h3 FROM pages),
+b AS (SELECT *, len(list_filter(hs, lambda h: trim(h) = '#')) AS bare, len(list_filter(hs, lambda h: starts_with(trim(h), '/') OR (regexp_matches(h, '(?i)^https?://') AND {SQL_OWN}))) AS own, len(list_filter(hs, lambda h: regexp_matches(h, '(?i)^https?://') AND NOT {SQL_OWN})) AS web FROM a)
+SELECT page_id, unnest(['image-alt', 'links', 'dup-ids', 'bare-h3', 'no-script', 'citations', 'toc', 'ad-slots']) AS check, unnest([false, own >= 5 AND web >= 2 AND bare = 0, len(ids) = len(list_distinct(ids)), h3 = 0, scripts = 0, false, false, false]) AS ok,
+unnest([imgs || ' images', own || ' internal, ' || web || ' external, ' || bare || ' bare', '', h3 || ' bare', scripts || ' scripts', '0 citations, 0 references, 0 and 0 orphans', '0 anchors', '']) AS detail FROM b""")
+def dom_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The checks of document trees that SQL can count in the given pages: all but the longest paragraph and the first words, which need a tree."""
+    made = dom.checks(table(spark, sf_dir, "pages"), "page_id", own_host="example.com")
+    return made.where(~F.col("check").isin("paragraphs", "first-100")).select("page_id", "check", "ok", "detail")
+
+
+@register(None)
+def dom_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All checks of document trees; tests/test_operators.py has the plain version of those that need a tree."""
+    return dom.checks(table(spark, sf_dir, "pages"), "page_id", own_host="example.com")
+
+
+_LINKS = "".join(f'<a href="/p{i}">i</a>' for i in range(5)) + '<a href="https://o.org/">o</a><a href="https://n.org/">n</a>'
+_CITES = "".join(f'<sup id="cite-{i}"><a href="#ref-{i}">x</a></sup>' for i in range(4)) + "<ol>" + "".join(f'<li id="ref-{i}">r</li>' for i in range(4)) + "</ol>"
+_IMAGE = '<img alt="Number System">'
+_NOTE_SEO = '{"focusKeyword":"number system","seoTitle":"Number System Notes","slug":"number-system","metaDescription":"number system ' + "x" * 137 + '","h1":"संख्या पद्धति क्या है"}'
+
+
+@register(f"""WITH b AS (SELECT page_id, '<p>number system ' || url || '</p>' || CASE WHEN page_id % 3 = 1 THEN '' ELSE '{_IMAGE}' END || '{_LINKS}' || CASE WHEN page_id % 4 = 2 THEN '<script>x</script>' ELSE '' END || '{_CITES}' AS h FROM pages)
+SELECT page_id, page_id % 3 <> 1 AND page_id % 4 <> 2 AS publishable, array_to_string({sql_compact("CASE WHEN page_id % 3 = 1 THEN 'image-alt' END", "CASE WHEN page_id % 4 = 2 THEN 'no-script' END")}, ',') AS failed, CASE WHEN page_id % 3 <> 1 AND page_id % 4 <> 2 THEN md5(h) END AS bundle_md5 FROM b""")
+def note_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """URLs of pages in notes of which some lack an image and some hold a script, through parser, gate and bundling."""
+    i = F.col("page_id")
+    body = F.concat(F.lit("<p>number system "), "url", F.lit("</p>"), F.when(i % 3 == 1, "").otherwise(_IMAGE), F.lit(_LINKS), F.when(i % 4 == 2, "<script>x</script>").otherwise(""), F.lit(_CITES))
+    raw = F.concat(F.lit(f"<<<SEO_JSON>>>{_NOTE_SEO}<<<END_SEO_JSON>>><<<NOTES_BODY_HTML>>>"), body, F.lit("<<<END_NOTES_BODY_HTML>>>"))
+    made = dom.note_bundles(table(spark, sf_dir, "pages").select(i.alias("reply_id"), raw.alias("raw")))
+    return made.select(F.col("reply_id").alias("page_id"), "publishable", F.array_join("failed", ",").alias("failed"), _md5(F.col("bundle.html")).alias("bundle_md5"))

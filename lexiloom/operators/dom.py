@@ -183,11 +183,12 @@ def note_bundles(replies: DataFrame, key: str = "reply_id", own_host: str = "exa
     from lexiloom.functions.numbers import units
     from lexiloom.functions.text import strip
     from lexiloom.operators.replies import parse_replies
+    from lexiloom.session import stored
 
     parsed = parse_replies(replies, key)
     empty = lambda f: F.coalesce(F.col(f"seo.{f}"), F.lit("")) == ""
     first = F.array_compact(F.array(F.when(units(strip(F.col("html"))) < 200, "EMPTY_BODY"), F.when(empty("slug"), "MISSING_SLUG"), F.when(empty("focusKeyword"), "MISSING_FOCUS_KEYWORD")))
-    parsed = parsed.withColumn("first", first)
+    parsed = stored(parsed.withColumn("first", first))  # read four times
     ready = parsed.where(F.size("first") == 0)
     gated = gate(ready.select(key, "seo", "html"), key, own_host).select(key, F.col("failed").alias("hard"))
     soft = checks(ready.select(key, "html", F.col("seo.focusKeyword").alias("phrase")), key, "html", "phrase", own_host).where("tier = 'soft' and not ok").groupBy(key).agg(F.array_sort(F.collect_list("check")).alias("soft"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from lexiloom.functions import html as fh
 from lexiloom.functions import numbers as fn
 from lexiloom.functions import text as ft
-from lexiloom.operators import cleaning, coverage, dom, editorial, packages, replies, search, similarity
+from lexiloom.operators import cleaning, coverage, editorial, packages, search, similarity
 from lexiloom.operators import statistics as st
 from lexiloom.session import shared_folder, spread
 from lexiloom.sources import sinks
@@ -120,9 +120,9 @@ def bm25_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.retrieve(_index(spark, sf_dir), _benchmark(spark, sf_dir)).select("query_id", "doc_id", "score", "rank")
 
 
-@register(f"WITH {SQL_BM25} SELECT query_id, doc_id, score, {SQL_RANK} AS rank FROM score JOIN documents USING (doc_id) WHERE lower(source) = 'src1' QUALIFY rank <= 5")
+@register(f"WITH {SQL_BM25} SELECT query_id, doc_id, score, {SQL_RANK} AS rank FROM score JOIN documents USING (doc_id) WHERE lower(source) = 'src1' AND lower(lang) = 'en' QUALIFY rank <= 5")
 def bm25_filtered_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    condition = search.matches_filter({"subject": "SRC1"}, {"subject": F.col("source")})
+    condition = search.matches_filter({"subject": "SRC1", "language": "EN"}, {"subject": F.col("source"), "language": F.col("lang")})
     return search.retrieve(_index(spark, sf_dir), _benchmark(spark, sf_dir), 0, condition).select("query_id", "doc_id", "score", "rank")
 
 
@@ -293,16 +293,6 @@ def signature_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return editorial.signature(_records(spark, sf_dir), ["user_id"]).select("user_id", "confidence")
 
 
-@register(None)
-def flavour_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Teaching strategy and opening for every part as a topic, with orders as the history of choices."""
-    contexts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ctx_id"), F.col("p_name").alias("topic"), F.col("p_brand").alias("exam"), F.col("p_type").alias("subject"))
-    used = table(spark, sf_dir, "part").select(F.col("p_brand").alias("exam"), F.col("p_type").alias("subject"), F.col("p_partkey").cast("string").alias("id"), F.col("p_partkey").cast("string").alias("published"), F.element_at(F.array(*[F.lit(f) for f, _ in editorial.FLAVOURS]), (F.col("p_size") % 15 + 1).cast("int")).alias("flavour"), F.element_at(F.array(*map(F.lit, editorial.OPENINGS)), (F.col("p_size") % 6 + 1).cast("int")).alias("openingStyle"))
-    a = editorial.select_flavour(contexts, used).select("ctx_id", F.col("selected").alias("flavour"), "candidates")
-    b = editorial.select_opening(contexts, used).select("ctx_id", F.col("selected").alias("opening"))
-    return a.join(b, "ctx_id")
-
-
 @register("""WITH w AS (SELECT p_partkey, p_name, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(p_name || '|' || p_brand, ''), lambda c: ord(c)::BIGINT)), lambda h, c: (h * 31 + c) & 4294967295) AS h FROM part)
 SELECT p_partkey, CASE WHEN h >= 2147483648 THEN abs(h - 4294967296) ELSE h END AS hash, list_sum(list_transform(string_split(p_name, ''), lambda c: ord(c)))::BIGINT % 999 + 1 AS seed FROM w""")
 def hash_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -471,18 +461,6 @@ def page_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@register(None)
-def dom_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dom.checks(table(spark, sf_dir, "pages"), "page_id", own_host="example.com")
-
-
-@register(None)
-def block_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Assistant turns as replies."""
-    turns = table(spark, sf_dir, "conversations").where("role = 'assistant'").select(F.concat_ws("-", "conv_id", "turn").alias("reply_id"), F.col("text").alias("raw"))
-    return replies.parse_replies(turns)
-
-
 # --- coverage and dashboard ------------------------------------------------
 
 
