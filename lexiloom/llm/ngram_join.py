@@ -19,12 +19,14 @@ join runs over classes, so copies cost nothing.
    list's blocks are linked first, which joins a group of near copies by few
    pairs.
 4. *Partial overlaps.*  In each fragment, segments meet and give a partial
-   count; the counts are summed per pair.  Classes of one component meet in
-   pairs of blocks of ``BLOCK`` classes, so all links within it are found while
-   each segment is sent once for each block, not once for each pair.
-   Candidates whose ends lie in different components meet pair by pair.
-   Bounds by length, position and bitmap, and by the part of the difference
-   that a fragment shows, drop pairs that cannot link; they never drop a link.
+   count; the counts are summed per pair.  Candidates whose ends lie in
+   different components meet pair by pair, and the sum runs over rows of
+   (pair, fragment).  Classes of one component meet in pairs of blocks of
+   ``BLOCK`` classes, fragment after fragment, and the sum runs inside the task:
+   all links within a component are found, while a row is sent for each class
+   and pair of blocks, not for each pair.  Bounds by length, position and
+   bitmap, and by the difference that the fragments so far show, drop pairs
+   that cannot link; they never drop a link.
 5. *Links.*  Every link between different texts is found and counted.
 
 Widths: shingles have 64 bits, the keys of classes 128 (64 inside the join),
@@ -60,15 +62,15 @@ from .shingles import shingle_set
 #: Contiguous ranges of the global order.
 FRAGMENTS = 4
 #: N-grams of a bin, on average, and the least number of bits of a bin's number.
-BIN, LEAST_BIN_BITS = 1_000_000, 6
+BIN, LEAST_BIN_BITS = 1_000_000, 7
 #: N-grams that a batch gathers before its blocks are sent.
-BATCH = 1_500_000
+BATCH = 500_000
 #: Bits of an n-gram below its band in a key, and those sent besides the bin.
 BITS, SENT = 56, 48
 #: 64-bit words of a bitmap that bounds the overlap of two sets.
 BITMAP = 8
 #: Classes of a block of a prefix list, and of a block of a component, on average.
-LIST, BLOCK = 512, 192
+LIST, BLOCK = 512, 64
 
 
 def _digest(found: np.ndarray) -> bytes:
@@ -92,7 +94,7 @@ def classes(docs: DataFrame, width: int, keep: list[str]) -> DataFrame:
 
 
 def _blocks(docs: DataFrame, width: int, bin_bits: int) -> DataFrame:
-    """bin, grams (6 bytes each), classes (8 bytes each) and runs (grams of each class, 4 bytes)."""
+    """bin, grams (6 bytes each), classes (8 bytes each) and runs (grams of each class, 4 bytes; none if a class stands there for each gram)."""
 
     def pack(sets: dict[int, np.ndarray]) -> pa.RecordBatch:
         keys = np.fromiter(sets, np.int64, len(sets))
@@ -107,8 +109,11 @@ def _blocks(docs: DataFrame, width: int, bin_bits: int) -> DataFrame:
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             own = owner[a:b]
             first = np.flatnonzero(np.diff(own, prepend=-1))
+            runs = np.diff(np.append(first, b - a)).astype(np.int32).tobytes()
+            if 3 * len(first) > 2 * (b - a):  # many classes have one n-gram here: runs would not pay
+                first, runs = np.arange(b - a), b""
             low = np.ascontiguousarray(grams[a:b]).astype("<u8").view(np.uint8).reshape(-1, 8)[:, : SENT // 8]
-            for column, x in zip(rows, (int(part[a]), low.tobytes(), keys[own[first]].tobytes(), np.diff(np.append(first, b - a)).astype(np.int32).tobytes()), strict=True):
+            for column, x in zip(rows, (int(part[a]), low.tobytes(), keys[own[first]].tobytes(), runs), strict=True):
                 column.append(x)
         return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(c, pa.binary()) for c in rows[1:])], ["bin", "grams", "classes", "runs"])
 
@@ -151,7 +156,7 @@ def _shared(blocks: DataFrame, bin_bits: int) -> DataFrame:
         grams = np.zeros((len(raw), 8), np.uint8)
         grams[:, : SENT // 8] = raw
         grams = grams.view("<u8").ravel().astype(np.int64)
-        owner = np.repeat(np.frombuffer(b"".join(group["classes"]), np.int64), np.frombuffer(b"".join(group["runs"]), np.int32))
+        owner = np.concatenate([np.repeat(np.frombuffer(c, np.int64), np.frombuffer(r, np.int32)) if r else np.frombuffer(c, np.int64) for c, r in zip(group["classes"], group["runs"], strict=True)])
         order = np.lexsort((owner, grams))
         grams, owner = grams[order], owner[order]
         new = np.ones(len(grams), bool)
@@ -262,29 +267,23 @@ def _across(prefixes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     return met.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
 
 
-def _segments(sets: DataFrame, of: DataFrame, cuts: list[int]) -> DataFrame:
-    """class, n, many, fragment, before, seg of the classes in ``of``: their keys in each fragment, and how many lie before."""
+def _cut(sets: DataFrame, of: DataFrame, cuts: list[int]) -> DataFrame:
+    """class, n, many, segments of the classes in ``of``: their keys, cut into one array for each fragment."""
     edges = [F.lit(-1).cast("long"), *(F.lit(c).cast("long") for c in cuts), F.lit((1 << 63) - 1).cast("long")]
     inside = lambda lo, hi: F.filter("keys", lambda k: (k >= lo) & (k < hi))
-    before = lambda lo: F.size(F.filter("keys", lambda k: k < lo))
-    pieces = [F.struct(F.lit(f).alias("fragment"), before(lo).alias("before"), inside(lo, hi).alias("seg")) for f, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True))]
-    some = sets.join(small_or_shuffled(of), "class", "left_semi")
-    return some.select("class", "n", F.size("keys").alias("many"), F.explode(F.array(*pieces)).alias("s")).select("class", "n", "many", "s.*")
-
-
-def _enough(pairs: DataFrame, percent: int) -> DataFrame:
-    """a, b of partial counts (a, b, na, nb, c) whose sums link; the partial sums of a pair come from all fragments."""
-    summed = pairs.groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
-    return summed.where(100 * F.col("c") >= percent * (F.col("na") + F.col("nb") - F.col("c"))).select("a", "b")
+    segments = F.array(*[inside(lo, hi) for lo, hi in zip(edges[:-1], edges[1:], strict=True)])
+    return sets.join(small_or_shuffled(of), "class", "left_semi").select("class", "n", F.size("keys").alias("many"), segments.alias("segments"))
 
 
 def _linked_pairs(pairs: DataFrame, sets: DataFrame, cuts: list[int], percent: int) -> DataFrame:
-    """The pairs that link: each fragment counts its part of a pair's overlap."""
+    """The pairs that link: each fragment counts its part of a pair's overlap, and the parts are summed."""
     ends = stored(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct())
-    segments = stored(_segments(sets, ends, cuts))
+    segments = stored(_cut(sets, ends, cuts).select("class", "n", F.posexplode("segments").alias("fragment", "seg")))
     left = segments.select(F.col("class").alias("a"), F.col("n").alias("na"), "fragment", F.col("seg").alias("x"))
     right = segments.select(F.col("class").alias("b"), F.col("n").alias("nb"), "fragment", F.col("seg").alias("y"))
-    return _enough(pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("x", "y")).alias("c")), percent)
+    parts = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("x", "y")).alias("c"))
+    summed = parts.groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
+    return summed.where(100 * F.col("c") >= percent * (F.col("na") + F.col("nb") - F.col("c"))).select("a", "b")
 
 
 def partial_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -307,36 +306,54 @@ def partial_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarra
     return out.astype(np.int64)
 
 
-def _within(labels: DataFrame, sets: DataFrame, cuts: list[int], percent: int) -> DataFrame:
-    """All links inside components of three or more classes: pairs of blocks meet in each fragment."""
+def linked(x: list[list[np.ndarray]], y: list[list[np.ndarray]], n: tuple[np.ndarray, np.ndarray], many: tuple[np.ndarray, np.ndarray], percent: int) -> np.ndarray:
+    """Which classes of x (rows) link with which of y (columns); each class is a list of segments.
+
+    The partial overlaps of the fragments are summed, the rarest n-grams first,
+    until no pair is left whose difference so far allows a link.
+    """
+    na, nb = n[0][:, None], n[1][None, :]
+    most = (na + nb) * (100 - percent) // (100 + percent)
+    overlap = np.zeros((len(x), len(y)), np.int64)
+    differ = na - many[0][:, None] + nb - many[1][None, :]  # n-grams of one class only
+    for f in range(len(x[0])):
+        a, b = [c[f] for c in x], [c[f] for c in y]
+        part = partial_counts(a, b)
+        overlap += part
+        differ = differ + np.array([len(s) for s in a])[:, None] + np.array([len(s) for s in b])[None, :] - 2 * part
+        if not (differ <= most).any():
+            break
+    return (differ <= most) & (100 * overlap >= percent * (na + nb - overlap))
+
+
+def _within(labels: DataFrame, sets: DataFrame, copies: DataFrame, cuts: list[int], percent: int) -> DataFrame:
+    """class, linked: of classes in components of three or more, the copies of all classes of the component that they link with.
+
+    Pairs of blocks of a component meet in one task each and send one row for
+    each class, so links are counted without a row for each of them.
+    """
     sizes = labels.groupBy("label").agg(F.count("*").alias("members")).where("members > 2")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     member = stored(labels.join(sizes, "label").select(F.col("node").alias("class"), "label", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")))
-    segments = _segments(sets, member.select("class"), cuts).join(member, "class")
+    rows = _cut(sets, member.select("class"), cuts).join(member, "class").join(copies, "class")
     # every pair of blocks has one meeting place; a block meets itself too
     place = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j"))))
-    met = segments.withColumn("p", place).select("label", "p.i", "p.j", "fragment", "block", "class", "n", "many", "before", "seg")
+    met = rows.withColumn("p", place).select("label", "p.i", "p.j", "block", "class", "n", "many", "copies", "segments")
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
         x, y = (group[group["block"] == b] for b in (i, j))
         if not len(x) or not len(y):
-            return pd.DataFrame({"a": [], "b": [], "na": [], "nb": [], "c": []})
-        c = partial_counts([np.asarray(s) for s in x["seg"]], [np.asarray(s) for s in y["seg"]])
-        size = lambda g: np.array([len(s) for s in g["seg"]])
-        col = lambda name: (x[name].to_numpy()[:, None], y[name].to_numpy()[None, :])
-        (na, nb), (ma, mb), (ha, hb), (ca, cb) = col("n"), col("many"), col("before"), col("class")
-        sa, sb = size(x)[:, None], size(y)[None, :]
-        # what differs: n-grams of one class only, those of this fragment, and at least the lengths before and after it
-        differ = (na - ma) + (nb - mb) + sa + sb - 2 * c + np.abs(ha - hb) + np.abs((ma - ha - sa) - (mb - hb - sb))
-        ok = (c > 0) & (differ <= (na + nb) * (100 - percent) // (100 + percent)) & ((ca < cb) if i == j else np.ones(c.shape, bool))
-        p, q = np.nonzero(ok)
-        a, b = x["class"].to_numpy()[p], y["class"].to_numpy()[q]
-        na, nb = x["n"].to_numpy()[p], y["n"].to_numpy()[q]
-        swap = a > b
-        return pd.DataFrame({"a": np.where(swap, b, a), "b": np.where(swap, a, b), "na": np.where(swap, nb, na), "nb": np.where(swap, na, nb), "c": c[p, q]})
-
-    return _enough(met.groupBy("label", "i", "j", "fragment").applyInPandas(one, "a long, b long, na long, nb long, c long"), percent)
+            return pd.DataFrame({"class": pd.Series([], dtype="int64"), "linked": pd.Series([], dtype="int64")})
+        column = lambda name: (x[name].to_numpy(), y[name].to_numpy())
+        hit = linked(x["segments"].tolist(), y["segments"].tolist(), column("n"), column("many"), percent)
+        (a, b), (ca, cb) = column("class"), column("copies")
+        if i == j:
+            np.fill_diagonal(hit, False)  # both sides hold the same classes in the same order
+            return pd.DataFrame({"class": a, "linked": hit @ cb})
+        return pd.DataFrame({"class": np.append(a, b), "linked": np.append(hit @ cb, hit.T @ ca)})
+
+    return met.groupBy("label", "i", "j").applyInPandas(one, "class long, linked long")
 
 
 def link_components(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
@@ -362,26 +379,26 @@ def link(docs: DataFrame, percent: int, width: int, keep: list[str]) -> DataFram
     bin_bits = max(LEAST_BIN_BITS, (total // BIN).bit_length())
     shared = stored(_shared(_blocks(docs, width, bin_bits), bin_bits))
     cuts = _cuts(shared)
-    keys = shared.groupBy("class").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # the set of one text
+    keys = shared.repartition(1 << bin_bits, "class").groupBy("class").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # the set of one text
     sets = stored(keys.join(known.select("class", "n"), "class"))
     discard(shared)
 
     prefixes = stored(_prefixes(sets, percent))
     first = stored(_linked_pairs(stored(_chains(prefixes, percent)), sets, cuts, percent))
     labels = components(first)
-    within = _within(labels, sets, cuts, percent)
+    copies = known.select("class", "copies")
+    within = _within(labels, sets, copies, cuts, percent)
     pairs_of_two = first.join(labels.select(F.col("node").alias("a"), "label"), "a").join(labels.groupBy("label").agg(F.count("*").alias("members")).where("members = 2"), "label").select("a", "b")
     across = stored(_linked_pairs(stored(_across(prefixes, labels, percent)), sets, cuts, percent))
-    links = stored(within.union(pairs_of_two).union(across))
+    pairs = pairs_of_two.union(across)
+    other = pairs.union(pairs.select("b", "a")).toDF("class", "other").join(copies.toDF("other", "linked"), "other").select("class", "linked")
+    links = stored(within.union(other).groupBy("class").agg(F.sum("linked").alias("linked")))
     joined = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(across)
     final = components(joined)
     discard(sets, prefixes)
 
-    copies = known.select("class", "copies")
-    both = links.union(links.select("b", "a")).toDF("class", "other")
-    linked = both.join(copies.toDF("other", "n_other"), "other").groupBy("class").agg(F.sum("n_other").alias("n_other"))
-    member = known.join(final, known["class"] == final["node"], "left").select("class_key", "class", "least", "copies", F.coalesce("label", "class").alias("label")).join(linked, "class", "left")
+    member = known.join(final, known["class"] == final["node"], "left").select("class_key", "class", "least", "copies", F.coalesce("label", "class").alias("label")).join(links, "class", "left")
     least = member.groupBy("label").agg(F.min("least").alias("component"))
-    named = member.join(least, "label").select("class_key", "least", "component", "label", (F.col("copies") - 1 + F.coalesce("n_other", F.lit(0))).alias("n_links"))
+    named = member.join(least, "label").select("class_key", "least", "component", "label", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
     out = per_doc.alias("d").join(named.alias("n"), F.col("d.class_key") == F.col("n.class_key"), "left")
     return out.select(*[F.col(f"d.{c}") for c in keep], "d.n_shingles", F.coalesce("n.least", "d.doc_id").alias("class_id"), F.coalesce("n.component", "d.doc_id").alias("component_id"), "n.label", F.coalesce("n.n_links", F.lit(0)).cast("long").alias("n_links"))

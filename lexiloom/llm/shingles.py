@@ -47,7 +47,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 #: Bytes hashed at one time; a longer text is taken in blocks cut between words.
-BLOCK = 1 << 22
+BLOCK = 1 << 20
 
 
 def _block_hashes(raw: np.ndarray, lower: bool) -> np.ndarray:
