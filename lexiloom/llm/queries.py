@@ -38,7 +38,7 @@ def damaged(laid: DataFrame) -> DataFrame:
 
 def op3_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two replicas of the pages' archive are written as WARC bytes, one with damage, read back and audited."""
-    laid = stored(warc.lay_out(read_table(spark, sf_dir, "pages")))
+    laid = warc.lay_out(read_table(spark, sf_dir, "pages"))
     whole = laid.select("file", "page_id", warc.record_bytes(F.col("page_id"), F.col("url"), F.col("html")).alias("record"))
     left, right = (stored(warc.facts(warc.read_archives(warc.archives(r)))) for r in (whole, damaged(laid)))
     return warc.audit(left, right)

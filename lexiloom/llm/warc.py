@@ -57,9 +57,12 @@ def lay_out(pages: DataFrame, per_file: int = 100) -> DataFrame:
     """
     named = pages.select(F.coalesce(F.expr(f"page_id div {int(per_file)}").cast("string"), F.lit("none")).alias("range"), "page_id", "url", "html")
     full = stored(named.groupBy("range").agg(F.count("*").alias("n")).where(F.col("n") > 2 * per_file).select("range", F.ceil(F.col("n") / per_file).alias("parts")))
+    whole = F.concat(F.lit("pages-"), "range", F.lit(".warc"))
+    if full.isEmpty():
+        return named.select(whole.alias("file"), "page_id", "url", "html")
     joined = named.withColumn("row", F.monotonically_increasing_id()).join(small_or_shuffled(full), "range", "left")
-    part = F.when(F.col("parts").isNotNull(), F.concat(F.lit("-"), F.pmod(F.xxhash64("row"), F.col("parts")).cast("string"))).otherwise("")
-    return joined.select(F.concat(F.lit("pages-"), "range", part, F.lit(".warc")).alias("file"), "page_id", "url", "html")
+    part = F.concat(F.lit("pages-"), "range", F.lit("-"), F.pmod(F.xxhash64("row"), F.col("parts")).cast("string"), F.lit(".warc"))
+    return stored(joined.select(F.when(F.col("parts").isNull(), whole).otherwise(part).alias("file"), "page_id", "url", "html"))  # so that a page stays where it was dealt
 
 
 def archives(records: DataFrame) -> DataFrame:
