@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,9 @@ from lexiloom.operators import cleaning, coverage, dom, editorial, packages, rep
 from lexiloom.operators import statistics as st
 from lexiloom.plans import prompts
 from lexiloom.queries import SQL_HREFS, SQL_LEGACY, SQL_LINES, SQL_SAFETY, SQL_SHINGLES, SQL_STRIPPED, _index, register, sql_half_up, sql_similarity_words, sql_words, table
+from lexiloom.session import shared_folder
 from lexiloom.sources import files as sources
+from lexiloom.sources import sinks
 
 SPACES = r"[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
@@ -253,28 +257,34 @@ SQL_PACK_SAFETY = SQL_SAFETY.replace("coalesce(text, '')", "s")
 
 
 def _packages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every ten documents as one package file; ids that leave 13 when divided by 40 are not text, and every seventh file has no title."""
+    """Every ten documents as one package file, every second of JSON lines; ids that leave 13 when divided by 40 are not text, and every seventh file has no title."""
     i = F.col("doc_id")
     body = F.regexp_replace(F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("text"))), r"^\{|\}$", "")
     chunk = F.concat(F.lit('{"id":"d'), i.cast("string"), F.lit('",'), F.when(i % 40 == 13, '"text":5').otherwise(body), F.lit(',"topics":["t"]}'))
-    made = table(spark, sf_dir, "documents").select(F.expr("doc_id div 10").alias("nr"), i, chunk.alias("chunk")).groupBy("nr").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "chunk"))), lambda x: x["chunk"]), ",").alias("c"))  # ten chunks
+    made = table(spark, sf_dir, "documents").select(F.expr("doc_id div 10").alias("nr"), i, chunk.alias("chunk")).groupBy("nr").agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "chunk"))), lambda x: x["chunk"]).alias("c"))  # ten chunks
     title = F.when(F.col("nr") % 7 == 3, "").otherwise(F.concat(F.lit('"title":"T'), F.col("nr").cast("string"), F.lit('"')))
-    content = F.concat(F.lit('{"schema_version":"1","source":{'), title, F.lit('},"chunks":['), "c", F.lit("]}"))
-    return made.select(F.concat(F.lit("p"), F.col("nr").cast("string"), F.lit(".json")).alias("file"), content.cast("binary").alias("content"))
+    head = F.concat(F.lit('{"schema_version":"1","source":{'), title, F.lit("}"))
+    lines = F.col("nr") % 2 == 1
+    content = F.when(lines, F.concat(head, F.lit("}\n"), F.array_join("c", "\n"))).otherwise(F.concat(head, F.lit(',"chunks":['), F.array_join("c", ","), F.lit("]}")))
+    return made.select(F.concat(F.lit("p"), F.col("nr").cast("string"), F.when(lines, ".jsonl").otherwise(".json")).alias("file"), content.cast("binary").alias("content"))
 
 
+SQL_FILE = "'p' || nr || CASE WHEN nr % 2 = 1 THEN '.jsonl' ELSE '.json' END"
+SQL_CHUNK = """'{"id":"d' || doc_id || '",' || CASE WHEN doc_id % 40 = 13 THEN '"text":5' ELSE '"text":' || to_json(t)::VARCHAR END || ',"topics":["t"]}'"""
+SQL_HEAD = """'{"schema_version":"1","source":{' || CASE WHEN nr % 7 = 3 THEN '' ELSE '"title":"T' || nr || '"' END || '}'"""
+SQL_CONTENT = f"{SQL_HEAD} || CASE WHEN nr % 2 = 1 THEN '}}' || chr(10) || string_agg({SQL_CHUNK}, chr(10) ORDER BY doc_id) ELSE ',\"chunks\":[' || string_agg({SQL_CHUNK}, ',' ORDER BY doc_id) || ']}}' END"
 SQL_VERDICTS = f"""WITH d AS ({SQL_PACKAGE}), c AS (SELECT *, doc_id % 40 <> 13 AND bare <> '' AS has, length(bare) AS n FROM d),
 g AS (SELECT nr, count(*) AS chunks, count_if(has AND n BETWEEN 10 AND 20000) AS usable, count_if(NOT has) AS no_text, count_if(has AND n < 10) AS short, count_if(has AND n > 20000) AS too_long, count_if(has AND n BETWEEN 8001 AND 20000) AS warned,
-  '1' || chr(10) || CASE WHEN nr % 7 = 3 THEN '' ELSE 'T' || nr || chr(10) END || string_agg('d' || doc_id || chr(10) || CASE WHEN doc_id % 40 = 13 THEN '' ELSE t || chr(10) END || 't', chr(10) ORDER BY doc_id) AS s FROM c GROUP BY nr),
+  '1' || chr(10) || CASE WHEN nr % 7 = 3 THEN '' ELSE 'T' || nr || chr(10) END || string_agg('d' || doc_id || chr(10) || CASE WHEN doc_id % 40 = 13 THEN '' ELSE t || chr(10) END || 't', chr(10) ORDER BY doc_id) AS s, sha256({SQL_CONTENT}) AS content_hash FROM c GROUP BY nr),
 v AS (SELECT *, list_concat(CASE WHEN nr % 7 = 3 THEN ['MISSING_SOURCE_TITLE'] ELSE [] END, list_filter([{SQL_PACK_SAFETY}], lambda x: x IS NOT NULL)) AS own FROM g)"""
 
 
-@register(SQL_VERDICTS + """ SELECT 'p' || nr || '.json' AS file, CASE WHEN len(own) + no_text + short + too_long = 0 THEN 'approved' ELSE 'rejected' END AS status, CASE WHEN nr % 7 <> 3 THEN 'T' || nr END AS source, chunks, usable::BIGINT AS usable_chunks, (len(own) + no_text + short + too_long)::BIGINT AS n_errors,
+@register(SQL_VERDICTS + f""" SELECT {SQL_FILE} AS file, content_hash, CASE WHEN len(own) + no_text + short + too_long = 0 THEN 'approved' ELSE 'rejected' END AS status, CASE WHEN nr % 7 <> 3 THEN 'T' || nr END AS source, chunks, usable::BIGINT AS usable_chunks, (len(own) + no_text + short + too_long)::BIGINT AS n_errors,
 array_to_string(list_sort(list_distinct(list_concat(own, CASE WHEN no_text > 0 THEN ['MISSING_CHUNK_TEXT'] ELSE [] END, CASE WHEN short > 0 THEN ['CHUNK_TOO_SHORT'] ELSE [] END, CASE WHEN too_long > 0 THEN ['CHUNK_WAY_TOO_LONG'] ELSE [] END))), ',') AS codes, warned::BIGINT AS long_chunks FROM v""")
 def package_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts over package files made of documents."""
     out = packages.validate(_packages(spark, sf_dir))
-    return out.select("file", "status", "source", "chunks", "usable_chunks", F.size("errors").alias("n_errors"), F.array_join(F.sort_array(F.array_distinct("errors")), ",").alias("codes"), F.size(F.filter("warnings", lambda w: w == "CHUNK_LONG")).alias("long_chunks"))
+    return out.select("file", "content_hash", "status", "source", "chunks", "usable_chunks", F.size("errors").alias("n_errors"), F.array_join(F.sort_array(F.array_distinct("errors")), ",").alias("codes"), F.size(F.filter("warnings", lambda w: w == "CHUNK_LONG")).alias("long_chunks"))
 
 
 @register(SQL_VERDICTS + """ SELECT 'T' || nr AS source, 'd' || doc_id AS id, md5(t) AS text_md5, 't' AS topics FROM d JOIN (SELECT nr FROM v WHERE len(own) + no_text + short + too_long = 0) USING (nr)""")
@@ -284,12 +294,29 @@ def approved_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("source", "id", _md5(F.col("text")).alias("text_md5"), F.array_join("topics", ",").alias("topics"))
 
 
-@register("""SELECT CASE WHEN count(*) = 0 THEN 'EMPTY_INDEX' WHEN count_if(trim(coalesce(text, '')) = '') > 0 THEN 'BLANK_TEXT' WHEN count(DISTINCT doc_id) <> count(*) THEN 'DUPLICATE_ID' ELSE 'NONE' END AS failure, count(*) AS doc_count FROM documents""")
+@register(SQL_VERDICTS + """ SELECT CASE WHEN len(own) + no_text + short + too_long = 0 THEN 'approved' ELSE 'rejected' END AS status, count(*) AS files, sum(chunks)::BIGINT AS chunks FROM v GROUP BY status""")
+def package_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packages and verdicts routed to folders by status, and read back from there."""
+    made, target = _packages(spark, sf_dir), f"{shared_folder(spark)}/lexiloom/routed-{uuid.uuid4().hex}"
+    sinks.route(made, packages.validate(made), target, "first")
+    verdicts = spark.read.json(f"{target}/verdicts").select("file", "chunks", F.col("status").alias("verdict"))
+    routed = spark.read.parquet(f"{target}/packages").join(verdicts, "file").where("status = verdict")
+    return routed.groupBy("status").agg(F.count("*").alias("files"), F.sum("chunks").alias("chunks"))
+
+
+@register("SELECT nr AS package, left(sha256(string_agg(doc_id || chr(0) || t || chr(0), '' ORDER BY doc_id::VARCHAR)), 16) AS index_version FROM (" + SQL_PACKAGE + ") GROUP BY nr")
+def package_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plain digest over ids and texts of every ten documents."""
+    docs = table(spark, sf_dir, "documents").withColumn("package", F.expr("doc_id div 10"))
+    return search.content_version(docs, "doc_id", by=["package"], whole=True)
+
+
+@register("""SELECT count(*) > 0 AS has_corpus, CASE WHEN count(*) = 0 THEN 'EMPTY_INDEX' WHEN count_if(trim(coalesce(text, '')) = '') > 0 THEN 'BLANK_TEXT' WHEN count(DISTINCT doc_id) <> count(*) THEN 'DUPLICATE_ID' ELSE 'NONE' END AS failure, count(*) AS doc_count FROM documents""")
 def index_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first invariant of the published index that does not hold."""
     index = _index(spark, sf_dir)
     failure = packages.index_failure(index.docs.withColumnRenamed("doc_id", "id"), index.df, index.meta)
-    return index.meta.select(F.lit(failure or "NONE").alias("failure"), "doc_count")
+    return index.meta.select(F.lit(search.has_corpus(index.docs)).alias("has_corpus"), F.lit(failure or "NONE").alias("failure"), "doc_count")
 
 
 # --- evaluation ------------------------------------------------------------
@@ -446,17 +473,19 @@ f AS (SELECT user_id, count(*) AS n, {sql_half_up('(1.0 + count_if(value > 5)) /
 c AS (SELECT user_id, {sql_half_up("least(1.0, count(*) / 10.0) * (1.0 + avg(CASE WHEN kind <> 'view' THEN 1.0 ELSE 0.0 END) + avg(CASE WHEN value > 5 THEN 1.0 ELSE 0.0 END)) / 3", 2)} AS sc FROM hist WHERE seq < 10 GROUP BY user_id),
 m AS (SELECT user_id, k, min(seq) AS first FROM hist WHERE kind <> 'view' GROUP BY ALL), u AS (SELECT user_id, count_if(first >= 10) > 0 AS underused FROM m GROUP BY user_id),
 g AS (SELECT f.user_id, n, ex, mis, qt, sc, coalesce(underused, false) AS underused, least(1.0::DOUBLE, n / 10.0) AS sample FROM f JOIN c USING (user_id) LEFT JOIN u USING (user_id)),
+i AS (SELECT user_id, seq, least(n, 10) AS m, unnest([kind, k]) AS item, unnest([0, 1]) AS pos FROM hist WHERE seq < 10),
+aw AS (SELECT user_id, item, sum(m - seq) AS w, min(seq * 10 + pos) AS f FROM i GROUP BY ALL), av AS (SELECT user_id, string_agg(item, ',' ORDER BY w DESC, f) AS avoid, count(*) AS na FROM (SELECT * FROM aw WHERE w >= 2 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY w DESC, f) <= 5) GROUP BY user_id),
 h AS (SELECT *, least(1.0::DOUBLE, {sql_half_up('least(1.0::DOUBLE, mis + CASE WHEN underused THEN 0.2::DOUBLE ELSE 0 END)', 2)}) AS depth FROM g)
 SELECT user_id, sc AS signature_confidence, {sql_half_up('(sc + sample) / 3', 2)} AS confidence, CASE WHEN underused THEN 'misconception' ELSE 'concept' END AS opening, CASE WHEN underused THEN 'misconception_to_rule' ELSE 'definition_to_application' END AS concept_order,
-ex AS example_density, depth AS misconception_depth, qt AS question_integration, {sql_half_up('(ex + depth) / 2 * 0.8', 2)} AS analogy_use, 2.0::DOUBLE AS section_count, 2.0::DOUBLE AS section_count_ewma, 'full' AS mode FROM h""")
+ex AS example_density, depth AS misconception_depth, qt AS question_integration, {sql_half_up('(ex + depth) / 2 * 0.8', 2)} AS analogy_use, 2.0::DOUBLE AS section_count, 2.0::DOUBLE AS section_count_ewma, CASE WHEN na = 5 THEN avoid END AS avoid_repeating, 'full' AS mode FROM h LEFT JOIN av USING (user_id)""")
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The decision document of every user's history, read back from its JSON."""
     from lexiloom.queries import _records
 
     made = editorial.brief(editorial.genome(editorial.topic_state(_records(spark, sf_dir), ["user_id"]), "user_id"))
     out = editorial.decision_documents(made, ["user_id"])
-    doc = F.from_json("document", "mode string, confidence double, statistics struct<section_count_ewma: double>, editorial_genome struct<opening: string, concept_order: string, example_density: double, misconception_depth: double, question_integration: double, analogy_use: double, section_count: double>")
-    return out.join(made.select("user_id", "signature_confidence"), "user_id").withColumn("d", doc).select("user_id", "signature_confidence", "d.confidence", "d.editorial_genome.*", "d.statistics.section_count_ewma", "d.mode")
+    doc = F.from_json("document", "mode string, confidence double, statistics struct<section_count_ewma: double>, editorial_brief struct<avoid_repeating: array<string>>, editorial_genome struct<opening: string, concept_order: string, example_density: double, misconception_depth: double, question_integration: double, analogy_use: double, section_count: double>")
+    return out.join(made.select("user_id", "signature_confidence"), "user_id").withColumn("d", doc).select("user_id", "signature_confidence", "d.confidence", "d.editorial_genome.*", "d.statistics.section_count_ewma", F.when(F.size("d.editorial_brief.avoid_repeating") == 5, F.array_join("d.editorial_brief.avoid_repeating", ",")).alias("avoid_repeating"), "d.mode")
 
 
 # --- variety ---------------------------------------------------------------
@@ -562,3 +591,57 @@ def note_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.concat(F.lit(f"<<<SEO_JSON>>>{_NOTE_SEO}<<<END_SEO_JSON>>><<<NOTES_BODY_HTML>>>"), body, F.lit("<<<END_NOTES_BODY_HTML>>>"))
     made = dom.note_bundles(table(spark, sf_dir, "pages").select(i.alias("reply_id"), raw.alias("raw")))
     return made.select(F.col("reply_id").alias("page_id"), "publishable", F.array_join("failed", ",").alias("failed"), _md5(F.col("bundle.html")).alias("bundle_md5"))
+
+
+# --- sources and sinks -----------------------------------------------------
+
+
+@register("SELECT doc_id, source AS subject, md5(text) AS text_md5 FROM documents WHERE text IS NOT NULL")
+def corpus_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as a corpus and read back from its CSV; a corpus holds no null texts."""
+    docs = table(spark, sf_dir, "documents").where("text is not null").select(F.col("source").alias("subject"), "doc_id", "text")
+    target = f"{shared_folder(spark)}/lexiloom/corpus-{uuid.uuid4().hex}"
+    sinks.corpus(docs, target)
+    back = sources.csv_rows(spark, f"{target}/csv")
+    return back.select(F.col("doc_id").cast("long").alias("doc_id"), "subject", _md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
+
+
+@register("SELECT trim(p_brand) AS subject, trim(p_name || ', \"' || p_type || '\" ' || p_partkey) AS topic FROM part")
+def topic_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts written as a topic list with quotes and commas, and read back."""
+    target = f"{shared_folder(spark)}/lexiloom/topics-{uuid.uuid4().hex}"
+    topic = F.concat("p_name", F.lit(', "'), "p_type", F.lit('" '), F.col("p_partkey").cast("string"))
+    table(spark, sf_dir, "part").select(F.col("p_partkey").alias("S.No."), F.col("p_brand").alias("Subject"), topic.alias("Topic")).write.csv(target, header=True, quote='"', escape='"')
+    return sources.topic_bank(spark, target)
+
+
+@register("""SELECT p_name || ' ' || p_type AS query, count_if(l_returnflag = 'R')::DOUBLE AS clicks, count(*)::DOUBLE AS impressions, round(count_if(l_returnflag = 'R') / count(*), 4) AS ctr, round(avg(l_linenumber) * 6, 1) AS position FROM part JOIN lineitem ON l_partkey = p_partkey GROUP BY 1""")
+def search_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search report over sold parts, landed as JSON and read back."""
+    target = f"{shared_folder(spark)}/lexiloom/report-{uuid.uuid4().hex}"
+    sold = table(spark, sf_dir, "part").join(table(spark, sf_dir, "lineitem"), F.col("l_partkey") == F.col("p_partkey"))
+    rows = sold.groupBy(F.concat_ws(" ", "p_name", "p_type").alias("q")).agg(F.count_if(F.col("l_returnflag") == "R").cast("double").alias("clicks"), F.count("*").cast("double").alias("impressions"), F.avg("l_linenumber").alias("a"))
+    rows.select(F.array("q").alias("keys"), "clicks", "impressions", (F.col("clicks") / F.col("impressions")).alias("ctr"), (F.col("a") * 6).alias("position")).write.json(target)
+    return sources.search_rows(spark, target)
+
+
+@register("SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def manifest_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as records of which a manifest lists those labelled as good."""
+    records = table(spark, sf_dir, "documents").select("doc_id", "lang", F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".json")).alias("file_name"))
+    listed = table(spark, sf_dir, "labels").where("quality = 1").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("slug"))
+    return sources.by_manifest(records, listed).select("doc_id", "lang")
+
+
+@register("SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d') AS published FROM orders")
+def dashboard_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as records, the newest first."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("published"))
+    return coverage.newest_first(rows)
+
+
+@register(rf"""SELECT page_id, md5({sql_strip("regexp_replace(html, '(?s)<!--.*?-->', '', 'g')")}) AS comments_md5, md5({sql_strip("replace(regexp_replace('```html ' || chr(10) || html || '```', '```(?:json|html)?\\s*', '', 'g'), '```', '')")}) AS fences_md5 FROM pages""")
+def stripped_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages without comments, and without the fences that are put around them."""
+    fenced = F.concat(F.lit("```html \n"), "html", F.lit("```"))
+    return table(spark, sf_dir, "pages").select("page_id", _md5(ft.strip_comments(F.col("html"))).alias("comments_md5"), _md5(ft.strip_fences(fenced)).alias("fences_md5"))
