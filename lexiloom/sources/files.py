@@ -34,15 +34,14 @@ def numbered_topics(spark: SparkSession, path: str, start: int = 0, limit: int |
     """pos, number, subject, topic of rows start to start + limit of a topic list, in file order.
 
     subjects decodes the list's labels; rows with a blank number are skipped.
-    Positions come from the line order of one file, which is small.
+    Positions are those in the array of one file's lines; a topic list is small.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", "^\ufeff", ""), r"\r?\n")).alias("line", "value"))
-    row = F.from_csv("value", F.lit("a string, b string, c string"), {"quote": '"', "escape": '"'})
-    rows = lines.where("line > 0 and trim(value) <> ''").select("line", row.alias("r")).where("r.c is not null and trim(r.a) <> ''")
-    from pyspark.sql import Window as W
-
+    lines = F.split(F.regexp_replace("value", "^\ufeff", ""), r"\r?\n")
+    row = lambda x: F.from_csv(x, F.lit("a string, b string, c string"), {"quote": '"', "escape": '"'})
+    rows = F.transform(F.slice(lines, 2, F.size(lines)), lambda x: F.when(F.trim(x) != "", row(x)))
+    good = F.filter(rows, lambda r: r["c"].isNotNull() & (F.trim(F.coalesce(r["a"], F.lit(""))) != ""))
+    placed = spark.read.text(path, wholetext=True).select(F.posexplode(good).alias("pos", "r"))
     decoded = F.col("r.b") if subjects is None else F.coalesce(F.create_map(*[F.lit(x) for kv in subjects.items() for x in kv])[F.trim("r.b")], F.lit(default))
-    placed = rows.withColumn("pos", F.row_number().over(W.orderBy("line")) - 1)
     kept = placed.where(F.col("pos") >= start) if limit is None else placed.where(F.col("pos").between(start, start + limit - 1))
     return kept.select("pos", F.trim("r.a").alias("number"), decoded.alias("subject"), F.trim("r.c").alias("topic"))
 
