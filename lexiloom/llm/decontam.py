@@ -32,7 +32,7 @@ from pyspark.sql import Window as W
 from lexiloom.functions.numbers import let
 
 from .common import BROADCAST_ROWS, small_or_shuffled, stored
-from .words import GAP_ANY_CASE, WORD_ANY_CASE, word_array
+from .words import GAP_ANY_CASE, WORD_ANY_CASE, word_array, word_count
 
 
 def _print(words: Column) -> Column:
@@ -103,7 +103,7 @@ def judge(docs: DataFrame, items: DataFrame, width: int = 10, broadcast_rows: in
     hits = stored(find_hits(docs, grams, broadcast_rows=broadcast_rows))
     n_hit = passages(hits).groupBy("key").agg(F.sum(F.col("hi") - F.col("lo")).alias("n_hit"))
     verdicts = stored(n_hit.join(items_hit(hits, grams), "key", "left"))
-    rows = docs.select("doc_id", text_key(F.col("text")).alias("key"), F.coalesce(F.regexp_count("text", F.lit(WORD_ANY_CASE)), F.lit(0)).alias("n_words"))
+    rows = docs.select("doc_id", text_key(F.col("text")).alias("key"), word_count(F.col("text")).alias("n_words"))
     joined = rows.join(small_or_shuffled(verdicts, broadcast_rows), "key", "left")
     items_ = F.coalesce("items", F.array().cast("array<string>"))
     return joined.select(
