@@ -231,16 +231,16 @@ def _near_enough(x: str, y: str, percent: int) -> Column:
     return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & (differ <= nx + ny - 2 * _least_overlap(nx, ny, percent))
 
 
-def _in_blocks(rows: DataFrame) -> DataFrame:
-    """rows with ``blocks``, into how many blocks the list of a key is cut, and ``block``, the row's own."""
-    blocks = F.greatest(F.ceil(_most_of_band(F.col("key")) / LIST), F.lit(1)).cast("int")
+def _in_blocks(rows: DataFrame, most: Column) -> DataFrame:
+    """rows with ``blocks``, into how many blocks a list of at most so many classes is cut, and ``block``, the row's own."""
+    blocks = F.greatest(F.ceil(most / LIST), F.lit(1)).cast("int")
     return rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
 
 
 def _chains(prefixes: DataFrame, percent: int) -> DataFrame:
     """Pairs of neighbours, by set size, in each block of a prefix list, pairs with the block's least class, and pairs of a list's leasts."""
     entry = F.struct("n", "class", "many", *[f"b{w}" for w in range(BITMAP)])
-    rows = _in_blocks(prefixes).select("key", "block", entry.alias("e"))
+    rows = _in_blocks(prefixes, _most_of_band(F.col("key"))).select("key", "block", entry.alias("e"))
     order = W.partitionBy("key", "block").orderBy("e.n", "e.class")
     chain = rows.withColumn("o", F.lag("e").over(order)).where("o is not null").select("e", "o")
     hubs = rows.groupBy("key", "block").agg(F.min("e").alias("o"))
@@ -254,8 +254,8 @@ def _across(prefixes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """All candidates whose ends lie in different components; lists meet block by block."""
     rows = prefixes.join(labels.select(F.col("node").alias("class"), "label"), "class", "left").withColumn("label", F.coalesce("label", "class"))
     # a list whose classes are all in one component has nothing left to join
-    mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    rows = stored(_in_blocks(rows.join(mixed, "key", "left_semi")))
+    mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("listed")).where("lo <> hi").select("key", "listed")
+    rows = stored(_in_blocks(rows.join(mixed, "key"), F.col("listed")))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     x = rows.withColumn("other", F.explode(every)).alias("x")  # x is the longer set
     y = rows.where("is_index").withColumn("other", F.explode(every)).alias("y")
