@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -11,12 +13,24 @@ from pyspark.sql import Window as W
 from lexiloom.session import shared_folder, ship_code
 
 
+#: Rows of an Arrow batch: texts are long, and a batch is held by Spark and by Python at the same time.
+BATCH_ROWS = 1000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Sees to it that Arrow batches have at most BATCH_ROWS rows; a session that asks for fewer keeps its own number."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The rows of df, written as Parquet to the shared folder and read from there.
 
     It cuts the lineage: a lost executor costs a read, not the steps before.
     """
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{shared_folder(spark)}/lexiloom/{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -42,11 +56,30 @@ def small_or_shuffled(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of sf_dir; sees to it that the workers have this library's code."""
+    """A table of sf_dir; sees to it that the workers have this library's code and that batches are bounded."""
     ship_code(spark)
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def kept_text(keep: list[str], text: str) -> tuple[list[str], str]:
+    """Columns to send to a function that keeps ``keep`` and reads ``text``, and where it finds the text.
+
+    A text that lies in a kept column, or in a field of one (column.field), is
+    sent once.
+    """
+    return ([*keep], text) if text.split(".")[0] in keep else ([*keep, text], text)
+
+
+def column_at(batch: pa.RecordBatch, path: str) -> pa.Array:
+    """The column of a batch, or the field of a struct column."""
+    name, *fields = path.split(".")
+    found = batch.column(batch.schema.get_field_index(name))
+    for field in fields:
+        found = pc.struct_field(found, field)
+    return found
+
+
 #: Rows that one window of an exact rank may hold on average.
 RANK_BLOCK = 100_000
 

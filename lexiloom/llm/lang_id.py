@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import small_or_shuffled, stored
+from .common import column_at, kept_text, small_or_shuffled, stored
 
 #: Buckets that n-grams are hashed into.
 DIMS = 1 << 13
@@ -216,32 +216,38 @@ def fit(train: DataFrame, per_lang: int = 1000, k: int = 4, text: str = "text",
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
-    """keep, lang_pred, score and rejected for every row; reads only the text.
+    """keep, lang_pred, score and rejected for every row; reads only the text, which may be a field of a kept column (column.field).
 
     Each part of the model is one pass over the texts and keeps what is best so far.
     """
-    made = ("lang_pred", "score", "rejected")
-    keep = [c for c in keep if c not in made]
+    keep = [c for c in keep if c not in ("lang_pred", "score", "rejected")]
     own = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
-    out = docs.select(F.struct(*keep).alias("keep"), F.col(text).alias("text"), F.lit(None).cast(own).alias("best"))
+    sent, at = kept_text(keep, text)
+    apart = len(sent) > len(keep)  # the text is no part of what is kept, and goes no further than the last pass
+    rows = F.struct(*[F.col(c).alias(c) for c in keep]).alias("row")
+    out = docs.select(rows, *([F.col(text).alias("text")] if apart else []), F.lit(None).cast(own).alias("best"))
+
+    def one(model, last: bool) -> DataFrame:
+        kept = [c for c in out.columns if c != "best" and not (last and c == "text")]
 
-    def one(sent) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for a in range(0, batch.num_rows, 1024):
                     part = batch.slice(a, 1024)
                     best = []
-                    for t, before in zip(part.column(1), part.column(2), strict=True):
-                        lang, score, rejected = sent.value.judge(t.as_py())
+                    for t, before in zip(column_at(part, "text" if apart else f"row.{at}"), column_at(part, "best"), strict=True):
+                        lang, score, rejected = model.value.judge(t.as_py())
                         old = before.as_py()
                         best.append(old if old and old["score"] >= score else {"lang_pred": lang, "score": score, "rejected": rejected})
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(best, part.schema.field(2).type)], part.schema.names)
+                    kind = part.schema.field("best").type
+                    yield pa.RecordBatch.from_arrays([*(column_at(part, c) for c in kept), pa.array(best, kind)], [*kept, "best"])
 
-        return out.mapInArrow(run, out.schema)
+        return out.mapInArrow(run, out.select(*kept, "best").schema)
 
-    for part in model.parts():
-        out = one(docs.sparkSession.sparkContext.broadcast(part))  # LANGS_AT_ONCE * k * DIMS floats at most
-    return out.select("keep.*", "best.*")
+    parts = -(-max(1, len(model.langs)) // LANGS_AT_ONCE)
+    for n, part in enumerate(model.parts()):
+        out = one(docs.sparkSession.sparkContext.broadcast(part), n == parts - 1)  # LANGS_AT_ONCE * k * DIMS floats at most
+    return out.select(*[F.col("row").getField(c).alias(c) for c in keep], "best.*")
 
 
 def held_out(doc_id: Column) -> Column:

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_or_shuffled
+from .common import column_at, kept_text, small_or_shuffled
 from .shingles import _SPACE, word_hashes
 
 _SYMBOL = np.zeros(256, bool)
@@ -88,18 +88,18 @@ def measure_text(text: str | None) -> tuple[int, ...]:
 
 
 def measure(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns of ``keep`` and COUNTS, all long."""
+    """The columns of ``keep`` and COUNTS, all long; text may be a field of a kept column (column.field)."""
     schema = T.StructType([*(docs.schema[c] for c in keep), *(T.StructField(c, T.LongType()) for c in COUNTS)])
-    out = docs.select(*keep, F.col(text).alias("_text"))
+    sent, at = kept_text(keep, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 1024):
                 part = batch.slice(a, 1024)
-                found = np.array([measure_text(t.as_py()) for t in part.column(len(keep))], np.int64).reshape(-1, len(COUNTS))
+                found = np.array([measure_text(t.as_py()) for t in column_at(part, at)], np.int64).reshape(-1, len(COUNTS))
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *(pa.array(found[:, k]) for k in range(len(COUNTS)))], [*keep, *COUNTS])
 
-    return out.mapInArrow(run, schema)
+    return docs.select(*sent).mapInArrow(run, schema)
 
 
 def bucket(value: Column) -> Column:
