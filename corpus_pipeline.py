@@ -20,27 +20,29 @@ from lexiloom.llm.common import read_table, stored
 
 
 def _wrapped(docs: DataFrame, *columns: str) -> DataFrame:
-    """The whole row as one column, beside those that an operator reads, so that no names clash."""
+    """The whole row as one column, beside those that an operator reads, so that no names clash; the text is read in it."""
     return docs.select(F.struct(*docs.columns).alias("_whole_row"), *columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps what passes the base rules and its group's adaptive fences."""
-    measured = stored(quality.measure(_wrapped(docs, "lang", "source", "text"), ["_whole_row", "lang", "source"]))
-    limits = stored(quality.thresholds(stored(quality.sketch(measured, ["lang", "source"]))))
+    # texts are measured twice, which costs less than to store whole rows with their counts
+    known = quality.measure(docs, ["lang", "source"])
+    limits = stored(quality.thresholds(stored(quality.sketch(known, ["lang", "source"]))))
+    measured = quality.measure(_wrapped(docs, "lang", "source"), ["_whole_row", "lang", "source"], "_whole_row.text")
     return quality.apply_rules(measured, limits).where("kept").select("_whole_row.*")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps what is near enough to a learned language; learns from the rows not held out."""
     model = lang_id.fit(docs.where(~lang_id.held_out(F.col("doc_id"))))
-    return lang_id.predict(_wrapped(docs, "text"), model, ["_whole_row"]).where(~F.col("rejected")).select("_whole_row.*")
+    return lang_id.predict(_wrapped(docs), model, ["_whole_row"], "_whole_row.text").where(~F.col("rejected")).select("_whole_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of linked rows one with the least doc_id, or any if all ids are null; rows without words have no group."""
-    keyed = stored(_wrapped(docs, "doc_id", "text").withColumn("_row", F.monotonically_increasing_id()))
-    linked = stored(ngram_join.link(keyed, 80, 5, ["doc_id", "_row"]).select("doc_id", "_row", "label"))
+    keyed = stored(_wrapped(docs, "doc_id").withColumn("_row", F.monotonically_increasing_id()))
+    linked = stored(ngram_join.link(keyed.select("doc_id", "_row", F.col("_whole_row.text").alias("text")), 80, 5, ["doc_id", "_row"]).select("doc_id", "_row", "label"))
     first = linked.where("label is not null").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first")).select("first._row")
     return keyed.join(first.union(linked.where("label is null").select("_row")), "_row", "left_semi").select("_whole_row.*")
 
