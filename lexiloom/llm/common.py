@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from lexiloom.session import shared_folder, ship_code
@@ -102,3 +104,10 @@ def ranked(df: DataFrame, parts: list[str], spread: Column, order: list[Column],
     starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     joined = inner.alias("a").join(starts.alias("b"), [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys])
     return joined.select("a.*", (F.col("a._rank") + F.col("b._start")).cast("long").alias(name)).drop("_block", "_rank")
+
+
+def in_tasks(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """df.mapInArrow, after the workers have been given this library's code and batches a bound."""
+    ship_code(df.sparkSession)
+    bound_batches(df.sparkSession)
+    return df.mapInArrow(run, schema)

@@ -120,3 +120,23 @@ k AS (SELECT a.page_id, a.nr, CASE WHEN b.page_id IS NULL THEN 'missing' WHEN a.
   FROM a LEFT JOIN (SELECT * FROM b WHERE copy = 1 AND page_id % 1000 <> 230) b USING (page_id)
   UNION ALL SELECT page_id, nr, 'extra', NULL, start FROM b WHERE copy = 2 UNION ALL SELECT NULL, nr, 'broken', NULL, start FROM b WHERE page_id % 1000 = 230)
 SELECT page_id, 'pages-' || nr || '.warc' AS file, kind, l::BIGINT AS left_start, r::BIGINT AS right_start FROM k WHERE kind IS NOT NULL"""
+
+
+def vector_codes(parts: int = 16, width: int = 4, entries: int = 64, rounds: int = 2) -> str:
+    """For vectors of parts * width components, as the given tables have."""
+    xs = [f"x{i}" for i in range(width)]
+    apart = " + ".join(f"(p.{x} - b.{x}) * (p.{x} - b.{x})" for x in xs)
+    near = f"SELECT p.vec_id, p.label, p.part, min((({apart}) * {entries} + b.k)) AS best FROM p JOIN b{{0}} b USING (part) GROUP BY ALL"
+    mean = ", ".join(f"floor(sum(p.{x}) / count(*))::BIGINT AS {x}" for x in xs)
+    steps = ""
+    for r in range(rounds):
+        steps += f"""a{r} AS MATERIALIZED ({near.format(r)}), m{r} AS (SELECT p.part, best % {entries} AS k, {mean} FROM a{r} JOIN p USING (vec_id, part) GROUP BY ALL),
+b{r + 1} AS MATERIALIZED (SELECT b.part, b.k, {", ".join(f"coalesce(m.{x}, b.{x}) AS {x}" for x in xs)} FROM b{r} b LEFT JOIN m{r} m USING (part, k)),
+"""
+    return f"""WITH e AS (SELECT vec_id, label, embedding FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT vec_id, label, part, {", ".join(f"floor(256 * embedding[part * {width} + {i + 1}]::DOUBLE)::BIGINT AS {x}" for i, x in enumerate(xs))} FROM e, (SELECT unnest(range({parts})) AS part)),
+b0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS k, {", ".join(xs)} FROM p QUALIFY k < {entries}),
+{steps}z AS MATERIALIZED ({near.format(rounds)}),
+c AS (SELECT vec_id, label, string_agg(printf('%02x', best % {entries}), '' ORDER BY part) AS code, sum(best // {entries})::BIGINT AS error FROM z GROUP BY vec_id, label),
+h AS (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY part, k, i)) AS codebooks_sha256 FROM (SELECT part, k, unnest([{", ".join(xs)}]) AS x, unnest(range({width})) AS i FROM b{rounds}))
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM c, h"""
