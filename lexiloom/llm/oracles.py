@@ -140,3 +140,20 @@ b0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY v
 c AS (SELECT vec_id, label, string_agg(printf('%02x', best % {entries}), '' ORDER BY part) AS code, sum(best // {entries})::BIGINT AS error FROM z GROUP BY vec_id, label),
 h AS (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY part, k, i)) AS codebooks_sha256 FROM (SELECT part, k, unnest([{", ".join(xs)}]) AS x, unnest(range({width})) AS i FROM b{rounds}))
 SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM c, h"""
+
+
+def importance(buckets: int = 10_000, least: int = 20, percent: int = 25, seed: int = 7) -> str:
+    """CRC-32 is computed bit by bit, once for each distinct feature."""
+    runs = "unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f"
+    byte = "('0x' || substr(x, 2 * (i // 8) + 1, 2))::BIGINT"
+    return f"""WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents), b AS (SELECT {WORDS} AS w FROM benchmark),
+fd AS (SELECT doc_id, f, count(*) AS n FROM (SELECT doc_id, {runs} FROM d) GROUP BY ALL), fb AS (SELECT f, count(*) AS n FROM (SELECT {runs} FROM b) GROUP BY ALL),
+x AS (SELECT f, hex(encode(f)) AS x FROM (SELECT f FROM fd UNION SELECT f FROM fb)),
+bits AS (SELECT f, list_transform(range(4 * length(x)), lambda i: ({byte} >> (i % 8)) & 1) AS bits FROM x),
+k AS MATERIALIZED (SELECT f, xor(list_reduce(list_concat([4294967295::BIGINT], bits), lambda c, z: xor(c >> 1, 3988292384 * (xor(c, z) & 1))), 4294967295) % {buckets} AS k FROM bits),
+s AS (SELECT k, sum(n) AS n FROM fd JOIN k USING (f) GROUP BY k), t AS (SELECT k, sum(n) AS n FROM fb JOIN k USING (f) GROUP BY k),
+g AS (SELECT k, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * (coalesce((SELECT sum(n) FROM s), 0) + {buckets})::DOUBLE / ((s.n + 1)::DOUBLE * (coalesce((SELECT sum(n) FROM t), 0) + {buckets})::DOUBLE)))::BIGINT AS gain FROM s LEFT JOIN t USING (k)),
+m AS (SELECT doc_id, sum(n)::BIGINT AS n_features, floor(sum(n * gain) / sum(n))::BIGINT AS weight FROM fd JOIN k USING (f) JOIN g USING (k) GROUP BY doc_id),
+c AS (SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || left(sha256('{seed}:' || doc_id::VARCHAR), 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM d LEFT JOIN m USING (doc_id)),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS able FROM c WHERE n_words >= {least})
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= {percent} * able // 100 THEN rank END AS rank FROM c LEFT JOIN r USING (doc_id)"""
