@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, importance, lang_id, licenses, ngram_join, oracles, quality, shards, token_counts, url_filters, vector_codes, warc
+from . import bpe, decontam, importance, lang_id, licenses, minhash, ngram_join, oracles, quality, shards, token_counts, url_filters, vector_codes, warc
 from .common import read_table, stored
 
 
@@ -82,9 +82,13 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), least_words=20, percent=25, seed=7)
 
 
+def op13_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), percent=80, width=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language_id, op2_bpe_round_trip, op3_warc_fixity, op4_balanced_shards, op5_ngram_jaccard_join, op6_decontamination, op7_url_filters, op8_quality_rules, op9_license_scan, op10_token_counts, op11_vector_codes, op12_importance_resampling)
+    for f in (op1_language_id, op2_bpe_round_trip, op3_warc_fixity, op4_balanced_shards, op5_ngram_jaccard_join, op6_decontamination, op7_url_filters, op8_quality_rules, op9_license_scan, op10_token_counts, op11_vector_codes, op12_importance_resampling, op13_minhash_near_dedup)
 }
 
 #: Queries with a DuckDB equivalent; the others are tested in tests/llm.
@@ -97,4 +101,5 @@ ORACLES: dict[str, str] = {
     "op9_license_scan": oracles.licenses(),
     "op11_vector_codes": oracles.vector_codes(),
     "op12_importance_resampling": oracles.importance(),
+    "op13_minhash_near_dedup": oracles.near_duplicates(),
 }

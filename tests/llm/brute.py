@@ -25,8 +25,8 @@ def shingles(text, width=5):
     return frozenset(tuple(words[i : i + n]) for i in range(len(words) - n + 1))
 
 
-def components(docs, percent=80):
-    sets = {i: shingles(t) for i, t in docs}
+def components(docs, percent=80, width=5):
+    sets = {i: shingles(t, width) for i, t in docs}
     parent = {i: i for i in sets}
 
     def find(x):
