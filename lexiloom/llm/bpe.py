@@ -3,7 +3,10 @@
 ``encode`` splits a text by the pattern, merges each match by the ranks and
 adds an ``ids`` column; ``decode`` turns ids into raw bytes.  Long texts are
 encoded piece by piece; the cuts lie where no match of the pattern can cross
-them (see ``safe_pieces``), so the ids equal those of the whole text.
+them (see ``safe_pieces``), so the ids equal those of the whole text.  Runs of
+white space of ``LONG`` characters or more, over which the library's matching
+of a pattern fails at about a million, are matched here and only merged there
+(see ``white_runs``).
 
 Nulls and empty texts have no ids and decode to no bytes; null ids decode to
 null.  All other columns, of whatever name, pass through, except that columns
@@ -27,7 +30,13 @@ PIECE = 1 << 16
 #: Bytes of text, or of ids, that go into one Arrow batch of results.
 BATCH = 1 << 20
 
+#: Characters of white space that are matched without the library.
+LONG = 4096
+
 _cut = re.compile(r"(?<=[A-Za-z0-9])(?=[ \n])")
+#: The white space of the library's patterns, and how a pattern must end to treat it as ``white_runs`` does.
+WHITE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+WHITE_END = r"|\s+(?!\S)|\s+"
 
 
 def safe_pieces(text: str, size: int = PIECE) -> Iterator[str]:
@@ -48,6 +57,24 @@ def safe_pieces(text: str, size: int = PIECE) -> Iterator[str]:
     yield text[at:] if at else text
 
 
+def white_runs(text: str, long: int = LONG) -> Iterator[tuple[str, bool]]:
+    """The text in parts, each with whether it is one match as a whole: those of long runs of white space.
+
+    For patterns that take white space by ``WHITE_END`` only, or as the one
+    space before a word: a run starts a match, which reaches to its end where
+    the text ends, and else leaves its last character to what follows.
+    """
+    at = 0
+    for run in re.finditer(f"{WHITE}{{{max(long, 2)},}}", text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        if run.start() > at:
+            yield text[at : run.start()], False
+        yield text[run.start() : end], True
+        at = end
+    if at < len(text):
+        yield text[at:], False
+
+
 def read_ranks(path: str) -> bytes:
     """The rank file's bytes, read on the driver and sent with the function."""
     with open(path, "rb") as f:
@@ -68,7 +95,10 @@ def encode_text(text: str | None, ranks: bytes, pattern: str) -> list[int]:
     own = encoding(ranks, pattern)
     if len(text) <= PIECE:
         return own.encode_ordinary(text)
-    return [i for piece in safe_pieces(text) for i in own.encode_ordinary(piece)]
+    if not pattern.endswith(WHITE_END) or r"\s" in pattern.removesuffix(WHITE_END).replace(r"[^\s", ""):
+        return [i for piece in safe_pieces(text) for i in own.encode_ordinary(piece)]
+    parts = (part for piece in safe_pieces(text) for part in white_runs(piece))
+    return [i for part, whole in parts for i in (own._encode_single_piece(part.encode()) if whole else own.encode_ordinary(part))]
 
 
 def _slices(sizes: Iterable[int], most: int) -> Iterator[tuple[int, int]]:
