@@ -38,6 +38,8 @@ from .common import small_or_shuffled, stored
 
 #: Bytes of offsets under one leaf, and ranges under one node.
 LEAF, FANOUT = 64 << 10, 8
+#: Bytes of a gzip member that are read first.
+STEP = 8 << 10
 
 
 def record_bytes(page_id: Column, url: Column, html: Column) -> Column:
@@ -128,20 +130,27 @@ def parse(data: bytes) -> Iterator[Found]:
 
 
 def parse_members(data: bytes) -> Iterator[Found]:
-    """The same for gzip bytes, one member in memory at a time; offsets are those of the plain bytes."""
-    at = plain = 0
+    """The same for gzip bytes, one member in memory at a time; offsets are those of the plain bytes.
+
+    A member is fed in blocks that grow, so that what is read beyond its end is
+    little, however many members or bytes the file has.
+    """
+    view, at, plain = memoryview(data), 0, 0
     while at < len(data):
-        reader, out, error = zlib.decompressobj(wbits=31), b"", None
+        reader, parts, error, place, step = zlib.decompressobj(wbits=31), [], None, at, STEP
         try:
-            out = reader.decompress(data[at:] if at else data)
+            while place < len(data) and not reader.eof:
+                parts.append(reader.decompress(view[place : place + step]))
+                place, step = min(len(data), place + step), min(2 * step, 64 * STEP)
             error = None if reader.eof else "truncated member"
         except zlib.error:
-            error = "bad member"
+            error, parts = "bad member", []
+        out = b"".join(parts)
         if error:
             nxt = data.find(b"\x1f\x8b\x08", at + 1)
             yield plain, len(out), None, None, None, error, out
         else:
-            nxt = len(data) - len(reader.unused_data)
+            nxt = place - len(reader.unused_data)
             for start, *rest in parse(out):
                 yield plain + start, *rest
         plain += len(out)

@@ -256,6 +256,35 @@ def test_bpe_pieces():
         assert [i for p in pieces for i in own.encode_ordinary(p)] == own.encode_ordinary(text)
 
 
+def test_bpe_of_long_white_space(spark):
+    """Runs over which the library's own matching fails; the merges of long runs are checked by those of whole tokens."""
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    ranks = bpe.read_ranks(path)
+    own = bpe.encoding(ranks, pattern)
+    for white in (" ", "\n", " \t", "\n  \u3000"):
+        for before, after in (("", ""), ("", "word"), ("a, b", ""), ("x", "!"), ("x", "\x1c y"), ("é", " z")):
+            text = before + white * 40_000 + after
+            assert bpe.encode_text(text, ranks, pattern) == own.encode_ordinary(text)
+            parts = list(bpe.white_runs(text, 50))
+            assert "".join(p for p, _ in parts) == text and sum(w for _, w in parts) == 1
+            assert [i for p, w in parts for i in (own._encode_single_piece(p.encode()) if w else own.encode_ordinary(p))] == own.encode_ordinary(text)
+    texts = [" " * 2_000_000, "\n" * 2_000_000, " \n\t" * 700_000 + "word", "word " + "\r\n" * 1_000_000, ("a" + " " * 1_500_000) * 2]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in bpe.round_trip_digests(docs, path, pattern).collect()}
+    for i, t in enumerate(texts):
+        assert got[i].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
+    longest = max((len(own.decode_bytes([k])), k) for k in range(own.n_vocab) if not own.decode_bytes([k]).strip(b" "))
+    assert got[0].n_tokens >= 2_000_000 / longest[0]
+
+
+def test_bpe_of_other_patterns():
+    """A pattern that treats white space otherwise is left to the library."""
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    for pattern in (r"\w+|\s*[\r\n]+|\s+(?!\S)|\s+|.", r"\S+|\s+"):
+        text = "a" + " " * 70_000 + "\n b"
+        assert bpe.encode_text(text, ranks, pattern) == bpe.encoding(ranks, pattern).encode_ordinary(text)
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"])
 def test_token_counts(docs, name):
     path = public_tokenizers.path(name)
@@ -438,3 +467,21 @@ def test_warc_files(spark, tmp_path):
     (tmp_path / "damaged.warc.gz").write_bytes(b"".join(packed))
     assert {r.error is None for r in warc.read_warc(spark, str(tmp_path / "damaged.warc.gz")).collect()} == {True, False}
     assert [r[5] for r in warc.parse_members(member(a + b))] == [None, None]
+
+
+def test_warc_members_in_linear_time():
+    """Twice the bytes take about twice the time, for many small members and for one large one."""
+    import random
+    import time
+
+    def took(data, n):
+        start = time.process_time()
+        assert sum(r[5] is None for r in warc.parse_members(data)) == n
+        return time.process_time() - start
+
+    body = random.Random(1).randbytes(5000)
+    record = b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 5000\r\n\r\n" + body + b"\r\n\r\n"
+    small = warc._member(record)
+    for half, n in ((small * 6000, 6000), (warc._member(record * 6000), 6000)):
+        first = took(half, n)
+        assert took(half * 2, 2 * n) < 2.5 * first + 0.2
