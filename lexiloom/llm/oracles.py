@@ -70,8 +70,8 @@ SELECT page_id, host, path, rule, CASE {effect} WHEN "glob" IS NOT NULL OR (host
 
 
 def quality() -> str:
-    values = " UNION ALL ".join(f"SELECT doc_id, lang, source, {_q(k)} AS metric, ({e[0].replace(' div ', ' // ')})::BIGINT AS v FROM m WHERE NOT base_failed" for k, e in METRICS.items())
-    of = lambda n: "CASE metric " + " ".join(f"WHEN {_q(k)} THEN {e[n]}" for k, e in METRICS.items()) + " END"
+    values = " UNION ALL ".join(f"SELECT doc_id, lang, source, {_q(k)} AS metric, ({m.value(div='//')})::BIGINT AS v, ({m.value(m.slack, '//')})::BIGINT AS less FROM m WHERE NOT base_failed" for k, m in METRICS.items())
+    of = lambda field: "CASE metric " + " ".join(f"WHEN {_q(k)} THEN {getattr(m, field)}" for k, m in METRICS.items()) + " END"
     shrunk = lambda own, parent, keys, on: f"""SELECT {", ".join("g." + c for c in keys)}, p.metric, p.b, coalesce(o.n, 0) * 1000 + (p.n * {1000 * PRIOR}) // p.whole AS n
   FROM (SELECT DISTINCT {", ".join(keys)}, metric FROM {own}) g JOIN (SELECT *, sum(n) OVER (PARTITION BY {", ".join([*on, "metric"])}) AS whole FROM {parent}) p ON {" AND ".join(f"g.{c} IS NOT DISTINCT FROM p.{c}" for c in [*on, "metric"])}
   LEFT JOIN {own} o ON {" AND ".join(f"g.{c} IS NOT DISTINCT FROM o.{c}" for c in keys)} AND o.metric = p.metric AND o.b = p.b"""
@@ -87,9 +87,9 @@ v AS ({values}), k AS (SELECT *, (v >> greatest(length(bin(v)) - 5, 0)) << great
 g3 AS (SELECT lang, source, metric, b, count(*) AS n FROM k GROUP BY ALL), g2 AS (SELECT lang, metric, b, sum(n) AS n FROM g3 GROUP BY ALL), g1 AS (SELECT metric, b, sum(n) AS n FROM g2 GROUP BY ALL),
 s2 AS ({shrunk("g2", "g1", ["lang"], [])}), s3 AS ({shrunk("g3", "s2", ["lang", "source"], ["lang"])}),
 c AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, metric ORDER BY b) AS seen, sum(n) OVER (PARTITION BY lang, source, metric) AS whole FROM s3),
-q AS (SELECT lang, source, metric, min(CASE WHEN seen * 100 >= whole * 25 THEN b END) AS lo, min(CASE WHEN seen * 100 >= whole * 75 THEN b END) AS hi FROM c GROUP BY ALL),
-f AS (SELECT *, greatest({of(1)} * (hi - lo), {of(2)}) AS reach, {of(3)} AS both_sides FROM q),
-bad AS (SELECT DISTINCT v.doc_id FROM v JOIN f ON v.lang IS NOT DISTINCT FROM f.lang AND v.source IS NOT DISTINCT FROM f.source AND v.metric = f.metric WHERE v.v > hi + reach OR (both_sides AND v.v < lo - reach))
+q AS (SELECT lang, source, metric, min(CASE WHEN seen * 100 >= whole * 25 THEN b END) AS lo, min(CASE WHEN seen * 100 >= whole * {of('upper')} THEN b END) AS hi FROM c GROUP BY ALL),
+f AS (SELECT *, greatest({of('spread')} * (hi - lo), {of('tolerance')}) AS reach, {of('both_sides')} AS both_sides FROM q),
+bad AS (SELECT DISTINCT v.doc_id FROM v JOIN f ON v.lang IS NOT DISTINCT FROM f.lang AND v.source IS NOT DISTINCT FROM f.source AND v.metric = f.metric WHERE v.less > hi + reach OR (both_sides AND v.v < lo - reach))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM m"""
 
 

@@ -9,12 +9,16 @@
    and each (language, source) sketch towards its language's: ``PRIOR``
    documents spread like the parent's are added, so a large group speaks for
    itself and a small one mostly for its parent, without a switch between them.
-   The quartiles of the shrunk sketch give the group's fences.
+   Quantiles of the shrunk sketch give the group's fences.
 4. ``apply_rules`` joins the fences and rejects what lies beyond them.
 
-A fence lies ``spread`` times the distance of the quartiles beyond the outer
-one, and at least ``tolerance``: where most texts of a group have none of a
-thing, quartiles are 0 and say nothing of how much is still ordinary.
+Repeated lines and words are rejected beyond the group's quantile 0.99.  Symbols,
+capitals and word lengths, in which junk may be a tenth of a group, are rejected
+beyond ``spread`` times the distance of the quartiles from the outer one: what
+most texts of a group have none of has a fence of 0 there, and a high one where
+it is usual.  Short texts get a ``slack``: that many symbols, lines or words are
+not counted against the fence.  Capitals and word lengths have a least distance
+instead (``tolerance``), since a sketch does not tell values within 1/16 apart.
 
 Words are ``[^\\x20\\x09-\\x0D]+``.  A null or empty text has no words, so it
 fails the base rule.  Null languages and sources are groups like any other.
@@ -28,6 +32,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -47,13 +52,29 @@ _LETTER[65:91] = _LETTER[97:123] = True
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters")
 
-#: Metrics: an integer column expression, spread, tolerance, and whether low values are rejected too.
+
+class Metric(NamedTuple):
+    """count * scale div per is the value; its fence lies spread times the distance of quantiles 0.25 and upper beyond the latter."""
+
+    count: str
+    per: str
+    scale: int
+    upper: int  # percent
+    spread: int
+    tolerance: int
+    slack: int  # of count
+    both_sides: bool
+
+    def value(self, slack: int = 0, div: str = "div") -> str:
+        return f"greatest({self.count} - {slack}, 0) * {self.scale} {div} greatest({self.per}, 1)"
+
+
 METRICS = {
-    "symbols": ("n_symbols * 1000 div greatest(n_words, 1)", 6, 250, False),
-    "dup_lines": ("n_dup_lines * 1000 div greatest(n_lines, 1)", 6, 500, False),
-    "repeats": ("n_repeat_words * 1000 div greatest(n_words, 1)", 6, 250, False),
-    "upper": ("n_upper * 1000 div greatest(n_letters, 1)", 6, 30, False),
-    "word_length": ("word_chars * 100 div greatest(n_words, 1)", 4, 100, True),
+    "symbols": Metric("n_symbols", "n_words", 1000, 75, 6, 0, 12, False),
+    "dup_lines": Metric("n_dup_lines", "n_lines", 1000, 99, 0, 0, 3, False),
+    "repeats": Metric("n_repeat_words", "n_words", 1000, 99, 0, 0, 50, False),
+    "upper": Metric("n_upper", "n_letters", 1000, 75, 6, 30, 0, False),
+    "word_length": Metric("word_chars", "n_words", 100, 75, 4, 100, 0, True),
 }
 #: Documents of the parent's sketch that a group's sketch is shrunk by.
 PRIOR = 50
@@ -113,7 +134,7 @@ def sketch(measured: DataFrame, by: list[str]) -> DataFrame:
 
     Documents that fail the base rule are no measure of what is usual.
     """
-    values = [F.struct(F.lit(k).alias("metric"), F.expr(e[0]).cast("long").alias("value")) for k, e in METRICS.items()]
+    values = [F.struct(F.lit(k).alias("metric"), F.expr(m.value()).cast("long").alias("value")) for k, m in METRICS.items()]
     long = measured.where(~base_failed()).select(*by, F.explode(F.array(*values)).alias("m"))
     return long.groupBy(*by, F.col("m.metric").alias("metric"), bucket(F.col("m.value")).alias("bucket")).agg(F.count("*").alias("n"))
 
@@ -134,18 +155,18 @@ def shrunk(own: DataFrame, parent: DataFrame, by: list[str], above: list[str]) -
 
 
 def fences(sketches: DataFrame, by: list[str]) -> DataFrame:
-    """by, metric, low, high.  A sketch has few buckets, so its quartiles come from one small array."""
+    """by, metric, low, high.  A sketch has few buckets, so its quantiles come from one small array."""
     packed = sketches.groupBy(*by, "metric").agg(F.array_sort(F.collect_list(F.struct("bucket", "n"))).alias("b"), F.sum("n").alias("whole"))
 
-    def quantile(percent: int) -> Column:
+    def quantile(percent: Column) -> Column:
         enough = lambda seen: seen * 100 >= F.col("whole") * percent
         step = F.aggregate("b", F.struct(F.lit(0).cast("long").alias("seen"), F.lit(-1).cast("long").alias("at")), lambda a, x: F.struct((a["seen"] + x["n"]).alias("seen"), F.when((a["at"] < 0) & enough(a["seen"] + x["n"]), x["bucket"]).otherwise(a["at"]).alias("at")))
         return step["at"]
 
-    of = lambda k: F.create_map(*[F.lit(x) for name, e in METRICS.items() for x in (name, e[k])])[F.col("metric")]
-    quartiles = packed.select(*by, "metric", quantile(25).alias("lo"), quantile(75).alias("hi"))
-    reach = F.greatest(of(1) * (F.col("hi") - F.col("lo")), of(2))
-    return quartiles.select(*by, "metric", F.when(of(3), F.col("lo") - reach).alias("low"), (F.col("hi") + reach).alias("high"))
+    of = lambda field: F.create_map(*[F.lit(x) for name, m in METRICS.items() for x in (name, getattr(m, field))])[F.col("metric")]
+    quantiles = packed.select(*by, "metric", quantile(F.lit(25)).alias("lo"), quantile(of("upper")).alias("hi"))
+    reach = F.greatest(of("spread") * (F.col("hi") - F.col("lo")), of("tolerance"))
+    return quantiles.select(*by, "metric", F.when(of("both_sides"), F.col("lo") - reach).alias("low"), (F.col("hi") + reach).alias("high"))
 
 
 def thresholds(sketches: DataFrame) -> DataFrame:
@@ -170,5 +191,6 @@ def apply_rules(measured: DataFrame, limits: DataFrame) -> DataFrame:
     """
     names = [f"{side}_{k}" for k in METRICS for side in ("min", "max")]
     joined = measured.alias("d").join(small_or_shuffled(limits).alias("t"), F.col("d.lang").eqNullSafe(F.col("t.lang")) & F.col("d.source").eqNullSafe(F.col("t.source")), "left").select("d.*", *[F.col(f"t.{c}") for c in names])
-    over = F.array_compact(F.array(*[F.when((F.expr(e[0]) > F.col(f"max_{k}")) | F.coalesce(F.expr(e[0]) < F.col(f"min_{k}"), F.lit(False)), F.lit(k)) for k, e in METRICS.items()]))
+    beyond = lambda k, m: (F.expr(m.value(m.slack)) > F.col(f"max_{k}")) | F.coalesce(F.expr(m.value()) < F.col(f"min_{k}"), F.lit(False))
+    over = F.array_compact(F.array(*[F.when(beyond(k, m), F.lit(k)) for k, m in METRICS.items()]))
     return joined.withColumn("base_failed", base_failed()).withColumn("rejected_by", over).drop(*names).withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0))

@@ -140,7 +140,9 @@ def quality_kept(rows, metrics, prior):
         text = text or ""
         lines = sum(bool(WORD5.search(x)) for x in text.split("\n"))
         upper, letters = (len(re.findall(p, text)) for p in ("[A-Z]", "[A-Za-z]"))
-        values = {"symbols": symbols * 1000 // max(n_words, 1), "dup_lines": dup * 1000 // max(lines, 1), "repeats": repeat * 1000 // max(n_words, 1), "upper": upper * 1000 // max(letters, 1), "word_length": chars * 100 // max(n_words, 1)}
+        counts = {"n_words": n_words, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": dup, "n_repeat_words": repeat, "n_lines": lines, "n_upper": upper, "n_letters": letters}
+        value = lambda m, slack: max(counts[m.count] - slack, 0) * m.scale // max(counts[m.per], 1)
+        values = {k: (value(m, 0), value(m, m.slack)) for k, m in metrics.items()}
         return failed, values
 
     def bucket(v):
@@ -163,15 +165,15 @@ def quality_kept(rows, metrics, prior):
     out = {}
     for doc, (lang, source, failed, values) in known.items():
         kept = not failed
-        for name, (_, spread, tolerance, both) in metrics.items():
+        for name, m in metrics.items():
             if failed:
                 break
-            count = lambda fits: Counter(bucket(v[name]) for a, b, v in good if fits(a, b))  # noqa: B023, E731
+            count = lambda fits: Counter(bucket(v[name][0]) for a, b, v in good if fits(a, b))  # noqa: B023, E731
             top = count(lambda a, b: True)
             own = shrink(count(lambda a, b: (a, b) == (lang, source)), shrink(count(lambda a, b: a == lang), top))  # noqa: B023
-            lo, hi = quantile(own, 25), quantile(own, 75)
-            reach = max(spread * (hi - lo), tolerance)
-            kept = kept and values[name] <= hi + reach and not (both and values[name] < lo - reach)
+            lo, hi = quantile(own, 25), quantile(own, m.upper)
+            reach = max(m.spread * (hi - lo), m.tolerance)
+            kept = kept and values[name][1] <= hi + reach and not (m.both_sides and values[name][0] < lo - reach)
         out[doc] = kept
     return out
 

@@ -134,6 +134,31 @@ def test_quality_fences_adapt(spark):
     assert quality.apply_rules(measured.limit(0), stored(limits.limit(0))).count() == 0
 
 
+def test_quality_fences_of_given_groups(spark):
+    """On the given documents fences differ between groups, clean texts stay and junk goes."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
+    measured = stored(quality.measure(docs, ["doc_id", "lang", "source"]))
+    limits = stored(quality.thresholds(quality.sketch(measured, ["lang", "source"])))
+    found = limits.collect()
+    assert len(found) == 80
+    for k in ("dup_lines", "repeats", "upper", "word_length"):
+        assert len({r[f"max_{k}"] for r in found}) >= 4, k
+    judged = quality.apply_rules(measured, limits).where("not base_failed").join(labels, "doc_id")
+    kept = {r.quality: (r.n, r.kept) for r in judged.groupBy("quality").agg(F.count("*").alias("n"), F.sum(F.col("kept").cast("int")).alias("kept")).collect()}
+    assert kept[1][1] >= 0.997 * kept[1][0] and kept[0][1] <= 0.01 * kept[0][0], kept
+
+
+def test_quality_slack_is_for_short_texts(spark):
+    """A dozen symbols pass in a short text of a group that has none, and a share of symbols that is usual in its group passes anywhere."""
+    words = [f"word{i}" for i in range(80)]
+    few, many = " ".join(words + ["#"] * 12), " ".join(words + ["#"] * 60)
+    rows = [("en", "prose", " ".join(words))] * 300 + [("en", "code", many)] * 300 + [("en", "prose", few), ("en", "prose", many)]
+    table = spark.createDataFrame([(i, t, a, b) for i, (a, b, t) in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    measured = quality.measure(table, ["doc_id", "lang", "source"])
+    kept = {r.doc_id: r.kept for r in quality.apply_rules(measured, stored(quality.thresholds(quality.sketch(measured, ["lang", "source"])))).collect()}
+    assert all(kept[i] for i in range(601)) and not kept[601]
+
+
 def test_quality_sketches_merge(spark, small):
     measured = quality.measure(small, ["doc_id", "lang", "source"])
     whole = sorted(map(tuple, quality.merge(quality.sketch(measured, ["lang"]), ["lang"]).collect()), key=str)
