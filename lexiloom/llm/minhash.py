@@ -10,7 +10,9 @@ the first and the last step work on classes.
    bitmap: a bit says whether an odd number of them fall on it.  The XOR of two
    bitmaps is the odd sketch of the symmetric difference of the samples, so its
    population count estimates, most precisely where sets are alike, how many
-   samples differ.
+   samples differ.  A second, wider bitmap folds the shingles themselves: its
+   count is never above the number of shingles in which two sets differ, which
+   for sets up to some thousand shingles is the sharper screen.
 3. *Bands.*  ``ROWS`` samples make a band's key.  Sets linked at the limit of
    0.8 miss each other in all bands with a probability of 1.3e-7, and more
    similar ones with a smaller one.  Keys of one class only are dropped; lists
@@ -50,10 +52,10 @@ from .common import discard, in_tasks, small_or_shuffled, stored
 from .components import components
 from .shingles import mix, shingle_set
 
-#: Bands, samples of a band, and 64-bit words of an odd sketch.
-BANDS, ROWS, WORDS = 40, 5, 8
+#: Bands, samples of a band, and 64-bit words of the odd sketch of samples and of that of shingles.
+BANDS, ROWS, WORDS, WIDE = 40, 5, 8, 16
 #: Classes of a block of a list, roughly.
-LIST = 512
+LIST = 1024
 #: Standard deviations by which the population count may exceed its mean at the limit of similarity.
 DEVIATIONS = 6.5
 
@@ -61,7 +63,8 @@ _random = np.random.default_rng(13)
 _A = (_random.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _B = _random.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
 _SALT = _random.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
-_SKETCH = [f"b{w}" for w in range(WORDS)]
+_SAMPLED, _FOLDED = [f"b{w}" for w in range(WORDS)], [f"f{w}" for w in range(WIDE)]
+_SKETCH = [*_SAMPLED, *_FOLDED]
 
 
 def samples(shingles: np.ndarray) -> np.ndarray:
@@ -81,11 +84,15 @@ def band_keys(least: np.ndarray) -> np.ndarray:
     return value.view(np.int64)
 
 
+def parities(spots: np.ndarray, words: int) -> np.ndarray:
+    """64-bit words whose bits say whether an odd number of the 64-bit values fall on them."""
+    counts = np.bincount((spots % np.uint64(64 * words)).astype(np.int64), minlength=64 * words)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view("<i8")
+
+
 def odd_sketch(least: np.ndarray) -> np.ndarray:
-    """WORDS 64-bit words: the parities of how many samples fall on each bit."""
-    bits = 64 * WORDS
-    spot = mix(least.astype(np.uint64) ^ _SALT) % np.uint64(bits)
-    return np.packbits((np.bincount(spot.astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").view("<i8")
+    """The odd sketch of samples, WORDS words."""
+    return parities(mix(least.astype(np.uint64) ^ _SALT), WORDS)
 
 
 def estimate(apart: float) -> float:
@@ -118,16 +125,16 @@ def sketched(docs: DataFrame, width: int, keep: list[str]) -> DataFrame:
                 if not len(found):
                     keys.append(None)
                     bands.append(None)
-                    words.append([None] * WORDS)
+                    words.append([None] * len(_SKETCH))
                     continue
                 key = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
                 if key not in known:  # copies of a batch are sampled once
                     least = samples(found)
-                    known[key] = (band_keys(least), odd_sketch(least).tolist())
+                    known[key] = (band_keys(least), [*odd_sketch(least).tolist(), *parities(found, WIDE).tolist()])
                 keys.append(key)
                 bands.append(known[key][0])
                 words.append(known[key][1])
-            columns = [pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), *(pa.array([w[k] for w in words], pa.int64()) for k in range(WORDS))]
+            columns = [pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), *(pa.array([w[k] for w in words], pa.int64()) for k in range(len(_SKETCH)))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *columns], schema.names)
 
     return in_tasks(docs.select(*keep, "text"), run, schema)
@@ -149,14 +156,16 @@ def full_sets(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
     return sets.join(small_or_shuffled(wanted), "class_key").groupBy("class").agg(F.first("keys").alias("keys"))
 
 
-def _apart(x: str, y: str) -> Column:
+def _apart(x: str, y: str, sketch: list[str]) -> Column:
     """The population count of the XOR of two sketches."""
-    return sum((F.bit_count(F.col(f"{x}.{b}").bitwiseXOR(F.col(f"{y}.{b}"))) for b in _SKETCH), F.lit(0))
+    return sum((F.bit_count(F.col(f"{x}.{b}").bitwiseXOR(F.col(f"{y}.{b}"))) for b in sketch), F.lit(0))
 
 
 def _near_enough(x: str, y: str, percent: int) -> Column:
+    """False only of pairs that do not link: by their sizes, their shingles' parities and, all but surely, their samples'."""
     nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
-    return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & (_apart(x, y) <= most_apart(percent))
+    alike = (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & (_apart(x, y, _SAMPLED) <= most_apart(percent))
+    return alike & (_apart(x, y, _FOLDED) * (100 + percent) <= (nx + ny) * (100 - percent))
 
 
 def listed(classes: DataFrame) -> DataFrame:
@@ -176,22 +185,27 @@ def _first_pairs(rows: DataFrame, percent: int) -> DataFrame:
     hubs = rows.groupBy("key", "block").agg(F.min("e").alias("o"))
     star = rows.join(hubs, ["key", "block"]).where("e.class <> o.class").select("e", "o")
     tops = hubs.select(F.col("o").alias("e"), F.lag("o").over(W.partitionBy("key").orderBy("o.n", "o.class")).alias("o")).where("o is not null")  # one row for LIST classes
-    near = chain.union(star).union(tops).where(_near_enough("e", "o", percent)).select(F.col("e.class").alias("a"), F.col("o.class").alias("b"), F.col("o.n").alias("n"), _apart("e", "o").alias("apart"))
+    near = chain.union(star).union(tops).where(_near_enough("e", "o", percent)).select(F.col("e.class").alias("a"), F.col("o.class").alias("b"), F.col("o.n").alias("n"), _apart("e", "o", _FOLDED).alias("apart"))
     best = near.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("nearest"), F.min(F.struct("n", "b")).alias("least"))
     return best.select("a", F.explode(F.array_distinct(F.array("nearest.b", "least.b"))).alias("b"))
 
 
 def _other_pairs(rows: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """a, b: all near enough pairs of a list whose components differ; lists meet block by block."""
+    """a, b: all near enough pairs of a list whose components differ.
+
+    Of each such pair one end at least lies outside the list's largest
+    component; only such ends go to all blocks of their list.
+    """
     known = rows.join(labels.select(F.col("node").alias("class"), "label"), "class", "left").withColumn("label", F.coalesce("label", "class"))
+    counts = known.groupBy("key", "label").agg(F.count("*").alias("many"))
     # a list whose classes are all in one component has nothing left to join
-    mixed = known.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    left = stored(known.join(mixed, "key", "left_semi"))
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    x, y = (left.withColumn("other", F.explode(every)).alias(side) for side in "xy")
-    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.block") == F.col("y.other")) & (F.col("x.other") == F.col("y.block"))
-    met = x.join(y, same & (F.col("x.class") < F.col("y.class")) & (F.col("x.label") != F.col("y.label")) & _near_enough("x", "y", percent))
-    return met.select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
+    mixed = counts.groupBy("key").agg(F.max(F.struct("many", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1").select("key", F.col("top.label").alias("top"))
+    left = stored(known.join(mixed, "key"))
+    x = left.where("label <> top").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("x")
+    y = left.alias("y")
+    once = (F.col("y.label") == F.col("y.top")) | (F.col("x.class") < F.col("y.class"))
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.other") == F.col("y.block")) & (F.col("x.label") != F.col("y.label")) & once & _near_enough("x", "y", percent))
+    return met.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct()
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
