@@ -18,9 +18,9 @@ the first and the last step work on classes.
    similar ones with a smaller one.  Keys of one class only are dropped; lists
    of longer keys are cut into blocks of about ``LIST`` classes.
 4. *First links.*  Within the blocks of a list, each class meets its neighbour by
-   size and the block's least class, blocks meet by their least ones, and of
-   those whose sketches are near enough a class keeps the nearest and the
-   least.  Links that are confirmed on the full sets give components, so a
+   size, the block's least class and some that are drawn, blocks meet by their least ones, and of
+   those whose sketches are near enough a class keeps the least and the few
+   nearest.  Links that are confirmed on the full sets give components, so a
    group of copies costs a few pairs a class, not all pairs.
 5. *Remaining links.*  Pairs of a list whose components differ, block by block,
    if their sketches are near enough, are confirmed on the full sets too.  The
@@ -56,6 +56,10 @@ from .shingles import mix, shingle_set
 BANDS, ROWS, WORDS, WIDE = 40, 5, 8, 16
 #: Classes of a block of a list, roughly.
 LIST = 1024
+#: Neighbours of a class that are confirmed first; with fewer, a group of near copies falls into many components.
+NEAREST = 4
+#: Classes drawn from each block that all others of the block meet, besides the least one.
+HUBS = 3
 #: Standard deviations by which the population count may exceed its mean at the limit of similarity.
 DEVIATIONS = 6.5
 
@@ -178,16 +182,17 @@ def listed(classes: DataFrame) -> DataFrame:
 
 
 def _first_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """a, b: of each class's near enough neighbours and hubs in its lists, the nearest and the least."""
+    """a, b: of each class's near enough neighbours and hubs in its lists, the NEAREST nearest and the least."""
     entry = F.struct("n", "class", *_SKETCH)
     rows = rows.select("key", "block", entry.alias("e"))
     chain = rows.withColumn("o", F.lag("e").over(W.partitionBy("key", "block").orderBy("e.n", "e.class"))).where("o is not null").select("e", "o")
-    hubs = rows.groupBy("key", "block").agg(F.min("e").alias("o"))
-    star = rows.join(hubs, ["key", "block"]).where("e.class <> o.class").select("e", "o")
-    tops = hubs.select(F.col("o").alias("e"), F.lag("o").over(W.partitionBy("key").orderBy("o.n", "o.class")).alias("o")).where("o is not null")  # one row for LIST classes
+    drawn = [F.min_by("e", F.xxhash64("e.class", F.lit(k))) for k in range(HUBS)]
+    hubs = rows.groupBy("key", "block").agg(F.min("e").alias("least"), F.array(F.min("e"), *drawn).alias("hubs"))
+    star = rows.join(hubs, ["key", "block"]).select("e", F.explode(F.array_distinct("hubs")).alias("o")).where("e.class <> o.class")
+    tops = hubs.select("key", F.col("least").alias("o")).select(F.col("o").alias("e"), F.lag("o").over(W.partitionBy("key").orderBy("o.n", "o.class")).alias("o")).where("o is not null")  # one row for LIST classes
     near = chain.union(star).union(tops).where(_near_enough("e", "o", percent)).select(F.col("e.class").alias("a"), F.col("o.class").alias("b"), F.col("o.n").alias("n"), _apart("e", "o", _FOLDED).alias("apart"))
-    best = near.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("nearest"), F.min(F.struct("n", "b")).alias("least"))
-    return best.select("a", F.explode(F.array_distinct(F.array("nearest.b", "least.b"))).alias("b"))
+    best = near.groupBy("a").agg(F.array_sort(F.collect_set(F.struct("apart", "b"))).alias("nearest"), F.min(F.struct("n", "b")).alias("least"))  # a few of a list
+    return best.select("a", F.explode(F.array_distinct(F.concat(F.array("least.b"), F.slice("nearest.b", 1, NEAREST)))).alias("b"))
 
 
 def _other_pairs(rows: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
