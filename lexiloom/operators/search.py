@@ -1,12 +1,11 @@
 """BM25 search: index tables, scoring and ranked retrieval.
 
-The index is four tables: docs, postings(doc_id, term, tf, doc_len), df(term,
-n) and a one-row meta.  It is built in one pass over the texts: a document's
-terms are counted within its row, so only terms are shuffled.  ``publish_index``
-stores it as a version that ``load_index`` reads.  Scoring explodes the
-queries' terms, joins them with the postings and df, and sums per (query,
-document); a query set is sent to all tasks only while it is small, so the
-postings are read once and never shuffled for it.
+The index is docs, postings(doc_id, term, tf, doc_len), df(term, n) and a
+one-row meta.  It is built in one pass over the texts: a document's terms are
+counted within its row, so only terms are shuffled.  ``publish_index`` stores it
+as a version that ``load_index`` reads, with the blocks by which the best
+documents are found from a part of the postings (see ``ranking``).  ``score``
+scores every pair with a common term; it serves indexes that are not stored.
 """
 
 from __future__ import annotations
@@ -19,11 +18,10 @@ from pyspark.sql import Window as W
 
 from lexiloom.functions.numbers import let
 from lexiloom.functions.text import search_tokens
-from lexiloom.session import small_or_shuffled
+from lexiloom.operators import ranking
+from lexiloom.session import small_or_shuffled, stored
 from lexiloom.sources import sinks
 
-K1, B = 1.5, 0.75
-
 
 @dataclass
 class Index:
@@ -31,6 +29,8 @@ class Index:
     postings: DataFrame
     df: DataFrame
     meta: DataFrame  # doc_count, avg_doc_len
+    bags: DataFrame | None = None  # a stored index has its documents' terms, with the number of their block
+    blocks: DataFrame | None = None  # and the postings by blocks
 
 
 def term_counts(tokens: Column) -> Column:
@@ -54,10 +54,11 @@ def bags(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, doc_len, term, tf."""
-    return _postings(bags(docs, key, text), key)
+    return exploded(bags(docs, key, text), key)
 
 
-def _postings(made: DataFrame, key: str) -> DataFrame:
+def exploded(made: DataFrame, key: str) -> DataFrame:
+    """The postings of bags."""
     # the outer form keeps Catalyst from testing the array's size, and so splitting the text, below the scan
     each = made.select(key, "doc_len", F.explode_outer("terms").alias("_t")).where("_t is not null")
     return each.select(key, "doc_len", "_t.term", F.col("_t.tf").cast("long").alias("tf"))
@@ -67,7 +68,7 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Ind
     """Statistics cover all documents, whatever filter a search has."""
     made = bags(docs, key, text)
     meta = made.agg(F.count("*").alias("doc_count"), F.avg("doc_len").alias("avg_doc_len"))
-    each = _postings(made, key)
+    each = exploded(made, key)
     return Index(docs, each, each.groupBy("term").agg(F.count("*").alias("n")), meta)
 
 
@@ -83,22 +84,16 @@ def publish_index(docs: DataFrame, target: str, key: str = "doc_id", text: str =
         return "NO_META" if row is None else "BAD_DOC_COUNT" if row.doc_count != tables["bags"].count() else None
 
     def tables(read: DataFrame) -> dict[str, DataFrame]:
-        each = _postings(read, key)
-        return {"postings": each, "df": each.groupBy("term").agg(F.count("*").alias("n")), "meta": read.agg(F.count("*").alias("doc_count"), F.avg("doc_len").alias("avg_doc_len"))}
+        each = exploded(read, key)
+        return {"postings": each, "df": each.groupBy("term").agg(F.count("*").alias("n")), "meta": read.agg(F.count("*").alias("doc_count"), F.avg("doc_len").alias("avg_doc_len")), "blocks": ranking.make_blocks(read, key)}
 
-    sinks.publish(spark, target, {"bags": bags(docs, key, text)}, problem, derived=tables)
+    sinks.publish(spark, target, {"bags": ranking.with_block(bags(docs, key, text))}, problem, derived=tables)
     return load_index(spark, target, docs)
 
 
 def load_index(spark: SparkSession, target: str, docs: DataFrame) -> Index:
     """The published index of docs."""
-    return Index(docs, *(sinks.published(spark, target, name) for name in ("postings", "df", "meta")))
-
-
-def term_score(tf: Column, doc_len: Column, n: Column, doc_count: Column, avg_doc_len: Column) -> Column:
-    idf = F.log(1 + (doc_count - n + 0.5) / (n + 0.5))
-    average = F.when(avg_doc_len > 0, avg_doc_len).otherwise(F.lit(1.0))
-    return idf * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * (doc_len / average))))
+    return Index(docs, *(sinks.published(spark, target, name) for name in ("postings", "df", "meta", "bags", "blocks")))
 
 
 def query_terms(queries: DataFrame, key: str = "query_id", text: str = "query") -> DataFrame:
@@ -107,12 +102,12 @@ def query_terms(queries: DataFrame, key: str = "query_id", text: str = "query")
 
 def score(index: Index, queries: DataFrame, doc_key: str = "doc_id", query_key: str = "query_id", query_text: str = "query") -> DataFrame:
     """query_key, doc_key, score (9 places, so that equal texts tie) of every pair with a common term."""
-    terms = query_terms(queries, query_key, query_text)
+    terms = stored(query_terms(queries, query_key, query_text))
     asked = small_or_shuffled(terms.select("term").distinct())
     terms = small_or_shuffled(terms)
     wanted = index.postings.join(terms, "term")
     with_df = wanted.join(index.df.join(asked, "term", "left_semi"), "term").crossJoin(F.broadcast(index.meta))  # meta has one row
-    one = term_score(F.col("tf"), F.col("doc_len"), F.col("n"), F.col("doc_count"), F.col("avg_doc_len"))
+    one = ranking.idf(F.col("n"), F.col("doc_count")) * ranking.weight(F.col("tf"), F.col("doc_len"), F.col("avg_doc_len"))
     return with_df.groupBy(query_key, doc_key).agg(F.round(F.sum(one), 9).alias("score")).where("score > 0")
 
 
@@ -148,7 +143,11 @@ def filter_pool(docs: DataFrame, condition: Column, fallback: bool = False) -> D
 
 
 def retrieve(index: Index, queries: DataFrame, k: int | None = 5, condition: Column | None = None, fallback: bool = False, doc_key: str = "doc_id", query_key: str = "query_id", query_text: str = "query") -> DataFrame:
-    """query_key, doc_key, score, rank of the best documents within the filtered pool."""
+    """query_key, doc_key, score, rank of the best documents within the filtered pool; 0 and None for k mean 5."""
+    if index.blocks is not None:
+        pool = None if condition is None else filter_pool(index.docs, condition, fallback).select(doc_key).distinct()
+        weights = ranking.query_weights(query_terms(queries, query_key, query_text), index.df, index.meta, query_key)
+        return ranking.best(index.bags, index.blocks, weights, k or 5, doc_key, query_key, pool)
     scores = score(index, queries, doc_key, query_key, query_text)
     if condition is not None:
         scores = scores.join(filter_pool(index.docs, condition, fallback).select(doc_key), doc_key, "left_semi")

@@ -8,6 +8,7 @@ first), parts are syllabus topics, line items are what has been published.
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from lexiloom.functions import html as fh
 from lexiloom.functions import numbers as fn
 from lexiloom.functions import text as ft
-from lexiloom.operators import cleaning, coverage, editorial, packages, search, similarity
+from lexiloom.operators import cleaning, coverage, editorial, packages, search, segments, similarity
 from lexiloom.operators import statistics as st
 from lexiloom.session import shared_folder, spread
 from lexiloom.sources import sinks
@@ -142,6 +143,33 @@ def bm25_filtered_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one("nowhere").union(one("src3"))
 
 
+SQL_UPDATED = SQL_BM25.replace("FROM documents", "FROM (SELECT * FROM documents WHERE doc_id % 7 <> 3)")
+
+
+def updated_index(spark: SparkSession, docs: DataFrame, compacted: bool) -> search.Index:
+    """An index with a history: every document was first written with its source for a text where its id is divisible by 3, then
+    those were given their own texts, then ids that leave 3 when divided by 7 were deleted; after that it may have been compacted."""
+    target = f"{shared_folder(spark)}/lexiloom/segments-{uuid.uuid4().hex}"
+    segments.update(spark, target, docs.select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("source")).otherwise(F.col("text")).alias("text")))
+    segments.update(spark, target, docs.where("doc_id % 3 = 0"))
+    segments.update(spark, target, deleted=docs.where("doc_id % 7 = 3"))
+    if compacted:
+        segments.compact(spark, target)
+    return segments.load(spark, target, docs)
+
+
+@register(f"WITH {SQL_UPDATED} SELECT query_id, doc_id, score, {SQL_RANK} AS rank FROM score QUALIFY rank <= 5")
+def bm25_after_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = updated_index(spark, table(spark, sf_dir, "documents"), compacted=False)
+    return search.retrieve(index, _benchmark(spark, sf_dir)).select("query_id", "doc_id", "score", "rank")
+
+
+@register(f"WITH {SQL_UPDATED} SELECT term, n, dc AS doc_count, round(al, 9) AS avg_doc_len FROM df CROSS JOIN meta")
+def df_after_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = updated_index(spark, table(spark, sf_dir, "documents"), compacted=True)
+    return index.df.crossJoin(F.broadcast(index.meta)).select("term", "n", "doc_count", F.round("avg_doc_len", 9).alias("avg_doc_len"))
+
+
 SQL_LEGACY = r"len(regexp_extract_all(coalesce({}, ''), '\b(?:esa|gSa|osQ|fd|dks|gS)\b'))"
 SQL_REASONS = """list_filter([CASE WHEN trim(text) = '' THEN 'EMPTY_TEXT' WHEN length(trim(text)) < 20 THEN 'TEXT_TOO_SHORT' END,
   CASE WHEN trim(coalesce(source, '')) = '' THEN 'MISSING_SUBJECT' END,
