@@ -5,19 +5,49 @@ A history has an explicit order: ``seq`` counts from 0, the most recent first.
 
 from __future__ import annotations
 
+import functools
+import operator
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lexiloom.functions.numbers import beta_posterior, exploration_bonus, kl_term, let, round_half_up
-from lexiloom.session import small_or_shuffled, stored
+from lexiloom.session import ship_code, small_or_shuffled, stored
 
 RECENT, TOP, OVERUSED = 10, 5, 2
 
 
-def with_seq(records: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
-    """Adds seq (from 0) and n_records within each context."""
-    return records.withColumn("seq", F.row_number().over(W.partitionBy(*by).orderBy(*order)) - 1)
+#: Records of a context that one window may number.
+WINDOW = 1_000_000
+
+
+def with_seq(records: DataFrame, by: list[str], order: list[Column], most: int = WINDOW) -> DataFrame:
+    """Adds seq, the place of a record (from 0) within its context.
+
+    A context of more than ``most`` records is cut into ranges of its order;
+    each range numbers its own records, and ranges start where those before
+    them end.  Records that tie are numbered in any order.
+    """
+    numbered = lambda df, parts: df.withColumn("seq", F.row_number().over(W.partitionBy(*parts).orderBy(*order)) - 1)
+    hot = stored(records.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > most))
+    ranges = sum(-(-r[0] // most) for r in hot.select("_n").collect())  # each has over ``most`` records, so there are few
+    if not ranges:
+        return numbered(records, by)
+    same = lambda x, y: functools.reduce(operator.and_, [F.col(f"{x}.{c}").eqNullSafe(F.col(f"{y}.{c}")) for c in by])
+    hot = F.broadcast(hot)
+    large = records.alias("r").join(hot.alias("h"), same("r", "h"), "left_semi").withColumn("_row", F.monotonically_increasing_id())
+    cut = stored(large.repartitionByRange(2 * ranges, *by, *order, "_row").withColumn("_range", F.spark_partition_id()))
+    inner = numbered(cut, [*by, "_range"])
+    counts = cut.groupBy(*by, "_range").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
+    starts = F.broadcast(counts.withColumn("_start", F.coalesce(before, F.lit(0))).select(*by, "_range", "_start"))  # one row for a range and a context in it
+    shifted = inner.alias("r").join(starts.alias("s"), same("r", "s") & (F.col("r._range") == F.col("s._range"))).select(*[F.col(f"r.{c}") for c in records.columns], (F.col("r.seq") + F.col("s._start")).cast("int").alias("seq"))
+    rest = records.alias("r").join(hot.alias("h"), same("r", "h"), "left_anti")
+    return numbered(rest, by).unionByName(shifted)
 
 
 def recent(records: DataFrame, n: int = RECENT) -> DataFrame:
@@ -158,61 +188,56 @@ def fill_posterior(records: DataFrame, by: list[str], field: str) -> DataFrame:
     return made.select(*by, "observations", F.col("_b.alpha").alias("alpha"), F.col("_b.beta").alias("beta"), F.col("_b.mean").alias("mean"), F.col("_b.variance").alias("variance"))
 
 
-#: Characters of the pieces by which concepts and texts meet.
-PIECE = 3
-
-
-def _pieces(text: Column, sizes: list[int]) -> Column:
-    """The distinct pieces of a text of each size; characters are split once, as a place in a long text takes a walk to find."""
-    none = F.array().cast("array<string>")
+#: Concepts of one automaton, some hundred bytes each; more are looked for in several passes.
+AUTOMATON = 100_000
 
-    def cut(c: Column, k: int) -> Column:
-        made = F.transform(F.sequence(F.lit(1), F.size(c) - (k - 1)), lambda i: F.concat(*[F.element_at(c, i + n) for n in range(k)]))
-        return F.when(F.size(c) >= k, made).otherwise(none)
 
-    return let(F.filter(F.split(text, ""), lambda x: x != ""), lambda c: F.array_distinct(F.concat(*[cut(c, k) for k in sizes])))
-
-
-#: Concepts that may be sent to all tasks.
-CONCEPTS = 1000
-
-
-def coverage_probability(concepts: DataFrame, records: DataFrame, most: int = CONCEPTS) -> DataFrame:
+def coverage_probability(concepts: DataFrame, records: DataFrame, most: int = AUTOMATON) -> DataFrame:
     """concept, coverage_probability, observations: in how many records' joined, lower-cased texts each concept stands.
 
-    Equal texts are counted once with their number.  At most CONCEPTS concepts
-    are sent to all tasks and looked for in every text; of more, a concept
-    meets the texts that hold its rarest piece of PIECE characters, by an
-    equality join over digests, and is then looked for in them.
+    All concepts are found in one run over a text, overlapping and nested ones
+    too (see ``texts_with``).
     """
-    wanted = stored(concepts.select(F.trim("concept").alias("concept")).where("concept <> ''").distinct())
+    wanted = stored(concepts.select(F.trim("concept").alias("concept")).where("concept <> ''").distinct().withColumn("key", F.lower("concept")))
     hay = F.lower(F.array_join(F.coalesce("concepts_taught", F.array().cast("array<string>")), " | "))
-    few = wanted.limit(most + 1).count() <= most
-    hits = _hits_of_few(wanted, records.select(hay.alias("text"))) if few else _hits_by_pieces(wanted, records.select(hay.alias("text")))
+    hits = texts_with(wanted.select("key").distinct(), records.select(hay.alias("text")), most)
     total = records.agg(F.count("*").alias("observations"))
-    joined = wanted.join(hits, "concept", "left").crossJoin(F.broadcast(total))  # one row
+    joined = wanted.join(small_or_shuffled(stored(hits)), "key", "left").crossJoin(F.broadcast(total))  # one row
     s = F.coalesce("_s", F.lit(0))
     return joined.select("concept", round_half_up(beta_posterior(s, F.col("observations") - s)["mean"], 2).alias("coverage_probability"), "observations")
 
 
-def _hits_of_few(wanted: DataFrame, rows: DataFrame) -> DataFrame:
-    listed = F.broadcast(wanted.agg(F.collect_list("concept").alias("all")))  # one row of counted size
-    held = rows.crossJoin(listed).select(F.explode(F.filter("all", lambda c: F.contains("text", F.lower(c)))).alias("concept"))
-    return held.groupBy("concept").agg(F.count("*").alias("_s"))
-
-
-def _hits_by_pieces(wanted: DataFrame, rows: DataFrame) -> DataFrame:
-    low = F.lower("concept")
-    texts = stored(rows.groupBy("text").agg(F.count("*").alias("n")).withColumn("id", F.md5(F.col("text").cast("binary"))))
-    sizes = sorted(r[0] for r in wanted.select(F.least(F.length(low), F.lit(PIECE))).distinct().collect())  # PIECE values at most
-    own = stored(wanted.select("concept", F.explode(F.when(F.length(low) <= PIECE, F.array(low)).otherwise(_pieces(low, [PIECE]))).alias("piece")))
-    # only pieces that some concept has are kept
-    held = texts.select("id", F.explode(_pieces(F.col("text"), sizes or [PIECE])).alias("piece"))
-    pieces = stored(held.join(small_or_shuffled(own.select("piece").distinct()), "piece", "left_semi"))
-    seen = own.join(pieces.groupBy("piece").agg(F.count("*").alias("df")), "piece")
-    rarest = seen.groupBy("concept").agg(F.min(F.struct("df", "piece")).alias("p")).select("concept", F.col("p.piece").alias("piece"))
-    met = pieces.join(rarest, "piece").select("id", "concept")
-    return met.join(texts, "id").where(F.contains("text", low)).groupBy("concept").agg(F.sum("n").alias("_s"))
+def texts_with(keys: DataFrame, rows: DataFrame, most: int = AUTOMATON) -> DataFrame:
+    """key, _s: how many texts (text) hold each of the distinct keys (key), by an Aho-Corasick automaton.
+
+    ``most`` keys at most make an automaton, which every task builds from a
+    broadcast list; a text is walked once for each automaton, however many keys
+    that has.  Tasks send one row for each key they found.  Null texts hold
+    nothing; empty keys are not looked for.
+    """
+    ship_code(rows.sparkSession)
+    keys = stored(keys.where("key <> ''"))
+    parts = max(1, -(-keys.count() // most))
+    out = None
+    for part in range(parts):
+        listed = sorted(r.key for r in keys.where(F.pmod(F.xxhash64("key"), F.lit(parts)) == part).collect())  # about ``most``
+        held = rows.sparkSession.sparkContext.broadcast(listed)
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            machine, counts = ahocorasick.Automaton(), Counter()
+            for k, key in enumerate(held.value):
+                machine.add_word(key, k)
+            machine.make_automaton()
+            for batch in batches:
+                for text in batch.column(0).to_pylist() if held.value else []:
+                    counts.update({k for _, k in machine.iter(text)} if text else ())
+            yield pa.RecordBatch.from_arrays([pa.array([held.value[k] for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], ["key", "_s"])
+
+        found = rows.select("text").mapInArrow(run, "key string, _s long")
+        out = found if out is None else out.unionByName(found)
+    return out.groupBy("key").agg(F.sum("_s").alias("_s"))
 
 
 def ewma_by(rows: DataFrame, by: list[str], value: Column, alpha: float = 0.3) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.functions.text import chapter_number, slugify_unicode
+from lexiloom.session import ship_code
 
 
 def csv_rows(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
@@ -100,33 +102,40 @@ def plain_text(html: str) -> str:
     return "\n".join(line for line in (re.sub(r"[ \t]+", " ", x).strip() for x in "".join(parser.parts).split("\n")) if line)
 
 
-def book_archives(spark: SparkSession, path: str, least_words: int = 80) -> DataFrame:
+def zip_entries(spark: SparkSession, path: str, suffix: str = "", partition_bytes: int = 64 << 20) -> DataFrame:
+    """archive, entry, number, content, error of the entries of all .zip files below path, read by ranges of entries."""
+    from pyspark import cloudpickle
+
+    from lexiloom.sources import archives
+
+    cloudpickle.register_pickle_by_value(archives)  # the planner's process need not have this library
+    spark.dataSource.register(archives.ArchiveSource)
+    return spark.read.format("zip_entries").option("path", path).option("suffix", suffix).option("partitionBytes", str(partition_bytes)).load()
+
+
+def book_archives(spark: SparkSession, path: str, least_words: int = 80, partition_bytes: int = 64 << 20) -> DataFrame:
     """book, inner, chapter, text of zip archives of EPUB files; chapters under least_words are left out, broken ones too.
 
-    An archive is read by one task, as a zip has its directory at the end.
+    An EPUB file is read by one task, an archive by as many as its size asks for.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.zip").load(path).select("path", "content")
+    ship_code(spark)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for name, content in zip(batch["path"], batch["content"], strict=True):
-                rows = []
+            rows = []
+            for name, inner, content in zip(batch["archive"], batch["entry"], batch["content"], strict=True):
                 try:
-                    outer = zipfile.ZipFile(io.BytesIO(content))
-                except zipfile.BadZipFile:
-                    continue
-                for inner in sorted(n for n in outer.namelist() if n.lower().endswith(".epub")):
-                    try:
-                        book = zipfile.ZipFile(io.BytesIO(outer.read(inner)))
-                    except zipfile.BadZipFile:
-                        continue
+                    book = zipfile.ZipFile(io.BytesIO(content))
                     pages = sorted(n for n in book.namelist() if n.lower().endswith((".html", ".xhtml", ".htm")))
                     text = "\n".join(plain_text(book.read(n).decode("utf-8", "replace")) for n in pages)
-                    if len(text.split()) >= least_words:
-                        rows.append((name.rsplit("/", 1)[-1].removesuffix(".zip"), inner, text))
-                yield pd.DataFrame(rows, columns=["archive", "inner", "text"])
+                except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError):
+                    continue
+                if len(text.split()) >= least_words:
+                    rows.append((re.sub(r"(?i)\.zip$", "", name), inner, text))
+            yield pd.DataFrame(rows, columns=["archive", "inner", "text"])
 
-    found = files.mapInPandas(run, "archive string, inner string, text string")
+    whole = zip_entries(spark, path, ".epub", partition_bytes).where("error is null").select("archive", "entry", "content")
+    found = whole.mapInPandas(run, "archive string, inner string, text string")
     return found.select(slugify_unicode(F.col("archive")).alias("book"), "inner", chapter_number(F.col("inner")).alias("chapter"), "text")
 
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,6 +78,29 @@ def state_file(state: DataFrame, target: str) -> None:
     state.coalesce(1).write.mode("overwrite").json(target)
 
 
+def write_files(rows: DataFrame, target: str) -> None:
+    """One file below target, which all executors must reach, for each row (name, content).
+
+    A file appears by a rename when it is whole, so a task that runs again
+    replaces it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        own, root = fs.FileSystem.from_uri(target)
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                path = f"{root}/{name}"
+                own.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                with own.open_output_stream(f"{path}.part", compression=None) as out:
+                    out.write(content.as_buffer())
+                own.move(f"{path}.part", path)
+            yield batch.select([0])
+
+    rows.select("name", "content").mapInArrow(run, "name string").write.format("noop").mode("overwrite").save()
+
+
 def corpus(rows: DataFrame, target: str) -> None:
     """A CSV with header, and the texts by subject, both rebuilt from scratch."""
     rows.write.mode("overwrite").csv(f"{target}/csv", header=True, quote='"', escape='"')

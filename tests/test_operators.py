@@ -74,11 +74,45 @@ def test_coverage(spark):
     assert tuple(st.coverage_summary(items).first()) == (True, 0.3, ["Atoms"])
     wanted = spark.createDataFrame([("cell",), ("Atoms",), ("l w",), ("ce",), ("s",), ("kings",), (" ",), ("cell",)], "concept string")
     rec = rec.union(rec).union(spark.createDataFrame([(["a", "tom"],), (None,)], rec.schema))
-    few, many = (sorted(map(tuple, st.coverage_probability(wanted, rec, most).collect())) for most in (1000, 0))
+    few, many = (sorted(map(tuple, st.coverage_probability(wanted, rec, most).collect())) for most in (1000, 2))
     assert few == many and {c: p for c, p, _ in few}["l w"] == 0.3
     assert tuple(st.coverage_summary(items.limit(0)).first()) == (False, 0.0, [])
 
 
+def test_coverage_of_nested_and_overlapping_concepts(spark):
+    texts = ["abcabc abd", "xABCx", "ab", "bc ca", "", None, "cab | bca", "İstanbul ıssız", "a" * 5000]
+    words = ["a", "ab", "abc", "bc", "bca", "cab", "abcabc", "c a", "İ", "ss", "aa", "aaa", "zz", "b"]
+    rec = spark.createDataFrame([([t],) for t in texts] + [(None,)], "concepts_taught array<string>").repartition(3)
+    low = {r.t: r.low for r in spark.createDataFrame([(t,) for t in texts + words if t], "t string").selectExpr("t", "lower(t) AS low").collect()}
+    for most in (100, 3):
+        got = {r.concept: r.coverage_probability for r in st.coverage_probability(spark.createDataFrame([(w,) for w in words], "concept string"), rec, most).collect()}
+        for w in words:
+            n = sum(low[w] in low[t] for t in texts if t)
+            assert got[w] == int((1 + n) / (2 + len(texts) + 1) * 100 + 0.5) / 100, w
+    assert st.coverage_probability(spark.createDataFrame([], "concept string"), rec).count() == 0
+    assert st.texts_with(spark.createDataFrame([("a",)], "key string"), rec.limit(0).selectExpr("'' AS text")).count() == 0
+
+
+def test_histories_of_hot_contexts(spark):
+    """A context with most records is numbered in ranges, with ties, nulls and contexts that are null."""
+    rows = [("hot" if i % 3 else None if i % 2 else f"c{i % 5}", f"2024-{i % 12:02d}", f"{i:04d}" if i % 7 else None, i) for i in range(900)]
+    rec = spark.createDataFrame(rows, "ctx string, published string, id string, seq_before int").repartition(5)
+    order = [F.desc("published"), F.col("id")]
+    whole, cut = ({r.seq_before: r.seq for r in st.with_seq(rec, ["ctx"], order, most).collect()} for most in (10_000, 50))
+    assert len(cut) == 900
+    key = {i: (c, p, x) for c, p, x, i in rows}
+    for seqs in (whole, cut):
+        for ctx in {c for c, *_ in rows}:
+            own = sorted((s, i) for i, s in seqs.items() if key[i][0] == ctx)
+            assert [s for s, _ in own] == list(range(len(own)))
+            pairs = [(key[i][1], key[i][2]) for _, i in own]
+            assert pairs == sorted(sorted(pairs, key=lambda x: (x[1] is not None, x[1] or "")), key=lambda x: x[0], reverse=True)
+    plan = st.with_seq(rec, ["ctx"], order, 50)
+    sizes = [r.n for r in plan.where("ctx = 'hot'").groupBy(F.floor(F.col("seq") / 100)).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 600 and max(sizes) == 100
+    assert st.with_seq(rec.limit(0), ["ctx"], order, 50).count() == 0
+
+
 def test_similarity(spark):
     text = " ".join(f"w{i}" for i in range(50))
     new = spark.createDataFrame([("n", f"<p>{text}</p>")], "new_id string, text string")
@@ -338,6 +372,31 @@ def test_book_archives(spark, tmp_path):
     assert [(r.book, r.chapter, r.text.endswith("last")) for r in rows] == [("my-book", 2, True)]
 
 
+def test_archives_are_read_by_ranges_of_entries(spark, tmp_path):
+    """One archive gives many tasks; a damaged entry loses only itself, a damaged archive only its own."""
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "many.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for i in range(40):
+            z.writestr(f"dir/part{i:02d}.txt", f"text {i} " * 500)
+        z.writestr("other.bin", b"1")
+        z.writestr("empty.txt", b"")
+    data = bytearray((tmp_path / "many.zip").read_bytes())
+    at = zipfile.ZipFile(tmp_path / "many.zip").infolist()[7].header_offset
+    data[at + 45 : at + 60] = b"\0" * 15
+    (tmp_path / "many.zip").write_bytes(data)
+    (tmp_path / "sub").mkdir()
+    with zipfile.ZipFile(tmp_path / "sub" / "B.ZIP", "w") as z:
+        z.writestr("x.TXT", "y")
+    (tmp_path / "bad.zip").write_bytes(b"PK nothing")
+    found = files.zip_entries(spark, f"file://{tmp_path}", ".txt", partition_bytes=20_000)
+    assert found.rdd.getNumPartitions() >= 8
+    rows = {(r.archive, r.entry): r for r in found.collect()}
+    assert len(rows) == 42 and [k for k, r in rows.items() if r.error] == [("many.zip", "dir/part07.txt")]
+    assert bytes(rows["many.zip", "dir/part39.txt"].content) == b"text 39 " * 500 and bytes(rows["B.ZIP", "x.TXT"].content) == b"y"
+    assert files.zip_entries(spark, str(tmp_path / "sub" / "B.ZIP")).count() == 1 and files.zip_entries(spark, str(tmp_path / "sub"), ".none").count() == 0
+
+
 def test_stream(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
