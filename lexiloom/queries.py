@@ -354,7 +354,7 @@ SELECT o AS cand_id, {sql_half_up('coalesce(v, 0.0)', 3)} AS overlap FROM s LEFT
 def item_jaccard_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order as a candidate against all other orders."""
     all_ = _baskets(spark, sf_dir)
-    return similarity.max_overlap(all_, all_.withColumnRenamed("cand_id", "hist_id"), "items", condition=F.col("cand_id") != F.col("hist_id"))
+    return similarity.max_overlap(all_, all_.withColumnRenamed("cand_id", "hist_id"), "items", others_only=True)
 
 
 @register(f"""WITH b AS (SELECT DISTINCT l_suppkey AS o, l_partkey AS i FROM lineitem), s AS (SELECT o, count(*) AS n FROM b GROUP BY o),

@@ -1,6 +1,8 @@
 """Operators on small fixtures."""
 
 import json
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -505,3 +507,39 @@ def test_dashboard(spark):
     assert rows.select(prompts.reference_sources(F.col("topic"), ["g"], {"Cell": ["own"]}).alias("s"), "id").orderBy("id").first().s == ["g", "own"]
     header = rows.limit(1).select(prompts.run_header(F.lit("t"), F.lit("e"), F.lit("s"), F.lit(70), F.lit(2026)).alias("x")).first().x
     assert "LANGUAGE MIX: Hindi 70% + English 30%" in header
+
+
+def _best(sets, history, allowed):
+    """The highest overlap of each set with those of history that are allowed, rounded."""
+    out = {}
+    for a, x in sets.items():
+        found = [len(x & y) / len(x | y) for b, y in history.items() if allowed(a, b) and x & y]
+        out[a] = math.floor(max(found, default=0.0) * 1000 + 0.5) / 1000
+    return out
+
+
+def test_overlap_with_hot_items(spark):
+    """Items in most sets, alone and together, beside rare ones; equal sets, sets without items, nulls."""
+    draw = random.Random(2)
+    sets = {i: {f"hot{k}" for k in range(4) if draw.random() < 0.6} | {f"rare{draw.randint(0, 150)}" for _ in range(draw.randint(0, 4))} for i in range(300)}
+    sets[7], sets[8], sets[9] = set(), {"hot0"}, {"hot0"}
+    rows = spark.createDataFrame([(i, sorted(s) if i != 7 else None) for i, s in sets.items()], "cand_id long, items array<string>").repartition(3)
+    hist = rows.withColumnRenamed("cand_id", "hist_id")
+    for hot in (20, similarity.HOT):
+        assert dict(map(tuple, similarity.max_overlap(rows, hist, "items", others_only=True, hot=hot).collect())) == _best(sets, sets, lambda a, b: a != b)
+        assert dict(map(tuple, similarity.max_overlap(rows.where("cand_id < 100"), hist.where("hist_id >= 100"), "items", hot=hot).collect())) == _best({i: s for i, s in sets.items() if i < 100}, {i: s for i, s in sets.items() if i >= 100}, lambda a, b: True)
+        old = {1000 + i: sets[i] for i in range(0, 60, 7)}
+        got = similarity.batch_overlap(rows.withColumnRenamed("cand_id", "seq"), spark.createDataFrame([(i, sorted(s)) for i, s in old.items()], "id long, items array<string>"), "items", hot=hot)
+        assert dict(map(tuple, got.collect())) == _best(sets, sets | old, lambda a, b: b < a or b >= 1000)
+    pairs = lambda hot: similarity.item_pairs(rows, hist, "items", keep=2, condition=F.col("cand_id") != F.col("hist_id"), hot=hot).count()
+    assert pairs(20) < 0.5 * pairs(similarity.HOT)
+    assert similarity.max_overlap(rows, hist.limit(0), "items", hot=20).where("overlap > 0").count() == 0
+
+
+def test_closest_with_a_hot_passage(spark):
+    passage = " ".join(f"p{i}" for i in range(12))
+    old = [(f"s{i:03d}", f"{passage} " + " ".join(f"x{i % 40}w{k}" for k in range(10 + i % 25))) for i in range(200)] + [("copy", f"own text here {passage} and its end")] + [("none", None), ("other", "nothing in common with any of those texts")]
+    new = spark.createDataFrame([(1, passage), (2, f"own text here {passage} and its end"), (3, "w " * 9), (4, None)], "new_id long, text string")
+    old = spark.createDataFrame(old, "slug string, text string").repartition(3)
+    few, whole = (sorted(map(tuple, similarity.closest(new, old, k=5, hot=hot).collect())) for hot in (50, similarity.HOT))
+    assert few == whole and len(few) == 10 and few[5][1:3] == ("copy", 1.0)
