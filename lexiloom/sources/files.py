@@ -139,6 +139,17 @@ def book_archives(spark: SparkSession, path: str, least_words: int = 80, partiti
     return found.select(slugify_unicode(F.col("archive")).alias("book"), "inner", chapter_number(F.col("inner")).alias("chapter"), "text")
 
 
+def report_pages(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
+    """The rows of a paged search report, as a table or as a stream that goes on where it ended (see ``reports``)."""
+    from pyspark import cloudpickle
+
+    from lexiloom.sources import reports
+
+    cloudpickle.register_pickle_by_value(reports)
+    spark.dataSource.register(reports.ReportSource)
+    return (spark.readStream if stream else spark.read).format("search_report_pages").option("path", path).load()
+
+
 def search_window(today: Column, lookback: int = 28, lag: int = 3) -> Column:
     """struct(start, end) of a search report as ISO days, which lags some days behind."""
     day = lambda n: F.date_format(F.date_sub(today, n), "yyyy-MM-dd")
