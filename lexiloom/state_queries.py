@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.operators import states
-from lexiloom.queries import register, table
+from lexiloom.operators import dom, packages, states
+from lexiloom.queries import _index, register, table
 from lexiloom.session import shared_folder, stored
 from lexiloom.sources import buckets, sinks
 from lexiloom.sources import files as sources
@@ -85,3 +85,51 @@ def gate_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as candidates that come over time: the first of a topic is accepted, those within thirty days of it are duplicates; the rule of the streamed gate over a table."""
     candidates = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("exam"), (F.col("o_custkey") % 50).cast("string").alias("topic"), F.col("o_orderdate").cast("timestamp").alias("at"), F.col("o_orderkey").cast("string").alias("slug"))
     return gate.judge(candidates).select("exam", "topic", F.date_format("at", "yyyy-MM-dd").alias("day"), "slug", "verdict")
+
+
+_CASES = ("whole", "none", "blank", "twice", "fewer", "average", "vocabulary")
+
+
+@register("""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), n AS (SELECT count(*) AS n FROM d),
+c AS (SELECT 'whole' AS kind, doc_id, text FROM d UNION ALL SELECT 'blank', doc_id, CASE WHEN doc_id % 2 = 0 THEN ' ' ELSE text END FROM d UNION ALL SELECT 'twice', doc_id, text FROM d UNION ALL SELECT 'twice', doc_id, text FROM d WHERE doc_id % 5 = 0
+  UNION ALL SELECT 'fewer', doc_id, text FROM d WHERE doc_id % 3 <> 0 UNION ALL SELECT 'average', doc_id, text FROM d UNION ALL SELECT 'vocabulary', doc_id, text FROM d),
+s AS (SELECT kind, count(*) AS rows, count_if(trim(text) = '') AS blank, count(DISTINCT doc_id) AS ids FROM c GROUP BY kind UNION ALL SELECT 'none', 0, 0, 0)
+SELECT kind, CASE WHEN rows = 0 THEN 'EMPTY_INDEX' WHEN blank > 0 THEN 'BLANK_TEXT' WHEN ids <> rows THEN 'DUPLICATE_ID' WHEN rows <> n THEN 'DOC_COUNT_MISMATCH' WHEN kind = 'average' THEN 'BAD_AVERAGE_LENGTH' WHEN kind = 'vocabulary' THEN 'EMPTY_VOCABULARY' ELSE 'NONE' END AS failure FROM s, n""")
+def index_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The published index as it is and with each of its invariants broken: no documents, blank texts, ids that repeat, a wrong count, no average, no terms."""
+    index = _index(spark, sf_dir)
+    docs = stored(index.docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text")))
+    meta = stored(index.meta.select("doc_count", "avg_doc_len"))
+    made = {
+        "none": docs.limit(0), "blank": docs.withColumn("text", F.when(F.col("id") % 2 == 0, " ").otherwise(F.col("text"))), "twice": docs.union(docs.where("id % 5 = 0")), "fewer": docs.where("id % 3 <> 0"),
+    }
+    rows = []
+    for kind in _CASES:
+        average = meta.withColumn("avg_doc_len", F.lit(0.0)) if kind == "average" else meta
+        rows.append((kind, packages.index_failure(made.get(kind, docs), index.df.limit(0) if kind == "vocabulary" else index.df, average) or "NONE"))
+    return spark.createDataFrame(rows, "kind string, failure string")
+
+
+def _ads(n: int) -> str:
+    return '<ins class="adsbygoogle x"></ins>' * n
+
+
+@register("""SELECT page_id, unnest(['image-alt', 'citations', 'toc', 'ad-slots', 'dup-ids', 'paragraphs']) AS check, unnest([page_id % 2 = 0, page_id % 3 <> 1, page_id % 5 <> 2, page_id % 4 = 0, page_id % 7 <> 3, page_id % 11 <> 4]) AS ok,
+unnest(['1 images', CASE page_id % 3 WHEN 1 THEN '4 citations, 4 references, 1 and 1 orphans' ELSE '4 citations, 4 references, 0 and 0 orphans' END, CASE WHEN page_id % 5 = 2 THEN '1 anchors' ELSE '2 anchors' END,
+  CASE page_id % 4 WHEN 0 THEN 'early, late, late' WHEN 1 THEN '' WHEN 2 THEN 'late, late, late' ELSE 'early' END, CASE WHEN page_id % 7 = 3 THEN 'one' ELSE '' END, CASE WHEN page_id % 11 = 4 THEN 'longest 130' ELSE 'longest ' || greatest(3, len(list_filter(string_split_regex(url, '\\s+'), lambda x: x <> ''))) END]) AS detail FROM pages""")
+def made_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """URLs of pages in articles with images, citations, anchors, adverts and ids, in which each check fails by rule; all of the tree's own checks but those of links."""
+    i = F.col("page_id")
+    when = lambda n, r, a, b: F.when(i % n == r, F.lit(a)).otherwise(F.lit(b))
+    cite = lambda k, ref: f'<sup id="cite-{k}"><a href="#ref-{ref}">x</a></sup>'
+    html = F.concat(
+        F.when((i % 4 == 0) | (i % 4 == 3), F.lit(_ads(1))).otherwise(""),
+        F.lit('<div><h2 id="one">a</h2><h2 id="two">b</h2><a href="#one">1</a>'), when(5, 2, '<a href="#three">2</a>', '<a href="#two">2</a>'), F.lit("</div><p>"), F.col("url"), F.lit("</p>"),
+        when(2, 0, '<img alt="Number  System in short">', '<img alt="a number system">'),
+        F.lit("".join(cite(k, k) for k in range(3))), when(3, 1, cite(3, 9), cite(3, 3)), F.lit("<ol>" + "".join(f'<li id="ref-{k}">r</li>' for k in range(4)) + "</ol>"),
+        when(7, 3, '<b id="one">c</b>', "<b>c</b>"), when(11, 4, "<p>" + "word " * 130 + "</p>", "<p>some more words</p>"),
+        F.when(i % 4 == 0, F.lit(f"<div>{_ads(2)}</div>")).when(i % 4 == 2, F.lit(f"<div>{_ads(3)}</div>")).otherwise(""),
+    )
+    rows = table(spark, sf_dir, "pages").select("page_id", html.alias("html"), F.lit("number system").alias("phrase"))
+    made = dom.checks(rows, "page_id", phrase="phrase")
+    return made.where(F.col("check").isin("image-alt", "citations", "toc", "ad-slots", "dup-ids", "paragraphs")).select("page_id", "check", "ok", "detail")
