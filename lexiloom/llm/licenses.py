@@ -4,13 +4,16 @@ Native: DataFrame functions only.
 
 1. ``scan`` splits each text into words once and keeps, per text, the places
    of the phrases and the places of all index words of the templates.
-2. Document frequencies of the index words over all texts give their IDF.
-3. Each text looks up all its licence words in the templates' postings; the
-   index is fixed, so their number is bounded.  Places are intersected by
-   relative position: occurrences that stand as far apart as in a template
-   share one shift.
+2. Document frequencies of the index words over all texts give their IDF.  A
+   template's rarest words, those of highest IDF that together carry over
+   ``1 - LEAST`` of its weight, are its entries in the rare-word index.
+3. Each text looks up its rarest licence words: templates are candidates where
+   one of their rarest words occurs; without any of them no shift can carry
+   enough.  Places of a candidate's words are intersected by relative position:
+   occurrences that stand as far apart as in the template share one shift.
 4. A template is found where the words of one shift carry at least ``LEAST``
-   of its IDF weight, and where its mandatory key phrase stands in the text.
+   of its IDF weight, and where, checked last, its mandatory key phrase stands
+   in the text.
 
 Null and empty texts have no words, no places and no labels; an empty table
 gives no rows.  Repeated rows are judged each.  Of templates with equal scores
@@ -95,10 +98,29 @@ def places(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     return first.select(*keep, "n_words", "seen", *[_places(p, _anchor(p)).alias(f"p{n}") for n, p in enumerate(PHRASES)], stands.alias("keys"))
 
 
+def rarest(index: DataFrame) -> DataFrame:
+    """template, word: of each template the words of highest IDF, as many as carry over 1 - LEAST of its weight; index has template, word, idf, weight."""
+    words = index.groupBy("template", "word").agg(F.max("idf").alias("idf"), F.sum("weight").alias("weight"))
+    before = W.partitionBy("template").orderBy(F.desc("idf"), "word").rowsBetween(W.unboundedPreceding, -1)  # the words of one template
+    return words.withColumn("before", F.round(F.coalesce(F.sum("weight").over(before), F.lit(0.0)), 9)).where(F.col("before") <= 1 - LEAST).select("template", "word")
+
+
+def shifts_of(found: DataFrame, index: DataFrame) -> DataFrame:
+    """row, label, key, keys, weight of the shifts at which words of candidate templates stand in the texts of found (row, seen, keys)."""
+    rare = F.broadcast(stored(rarest(index)))
+    distinct = found.select("row", F.explode(F.array_distinct(F.col("seen.word"))).alias("word"))
+    candidates = distinct.join(rare, "word").groupBy("row").agg(F.collect_set("template").alias("templates"))  # at most all templates
+    looked = found.join(candidates, "row").select("row", "keys", "templates", F.explode("seen").alias("s"))
+    # places of one template that stand as far apart as in it share a shift
+    met = looked.join(F.broadcast(index), (F.col("s.word") == F.col("word")) & F.array_contains("templates", F.col("template")))
+    return met.groupBy("row", "template", "label", "key", (F.col("s.at") - F.col("at")).alias("shift")).agg(F.round(F.sum("weight"), 9).alias("weight"), F.first("keys").alias("keys"))
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every row.
 
-    score is the largest share of a template's weight that stands in one shift.
+    score is the largest share of a candidate template's weight that stands in
+    one shift of a text with its key phrase.
     """
     spark = docs.sparkSession
     found = stored(places(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")), ["doc_id", "row"]))
@@ -106,11 +128,8 @@ def scan(docs: DataFrame) -> DataFrame:
     with_words = found.where(F.size("seen") > 0)
     df = with_words.select(F.explode(F.array_distinct(F.col("seen.word"))).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
     index = postings(spark).join(df, "word", "left").withColumn("idf", F.log((F.lit(total) + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 0.1)
-    index = F.broadcast(stored(index.withColumn("weight", F.col("idf") / F.sum("idf").over(W.partitionBy("template")))))  # as many rows as the templates have words
-    looked = with_words.where(F.size("keys") > 0).select("row", "keys", F.explode("seen").alias("s"))
-    # places of one template that stand as far apart as in it share a shift
-    met = looked.join(index, F.col("s.word") == F.col("word")).where(F.array_contains("keys", F.col("key")))
-    shifts = met.groupBy("row", "template", "label", (F.col("s.at") - F.col("at")).alias("shift")).agg(F.round(F.sum("weight"), 9).alias("weight"))
+    index = stored(index.withColumn("weight", F.col("idf") / F.sum("idf").over(W.partitionBy("template"))))  # as many rows as the templates have words
+    shifts = shifts_of(with_words.select("row", "seen", "keys"), index).where(F.array_contains("keys", F.col("key")))
     named = shifts.groupBy("row").agg(F.collect_set(F.when(F.col("weight") >= LEAST, F.col("label"))).alias("more"), F.max("weight").alias("best"))
     joined = found.join(named, "row", "left")
     parts = [F.col(f"p{n}") for n in range(len(PHRASES))]

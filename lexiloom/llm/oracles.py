@@ -100,8 +100,10 @@ def licenses() -> str:
 base AS ({phrase}), b AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word FROM base GROUP BY doc_id),
 seen AS (SELECT * FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM d) WHERE word IN (SELECT word FROM post)),
 idf AS (SELECT word, ln(((SELECT count(*) FROM documents) + 1) / (count(DISTINCT doc_id) + 1)) + 0.1::DOUBLE AS idf FROM (SELECT DISTINCT word FROM post) LEFT JOIN seen USING (word) GROUP BY word),
-wt AS (SELECT post.*, idf / sum(idf) OVER (PARTITION BY template) AS weight FROM post JOIN idf USING (word)),
-sh AS (SELECT s.doc_id, template, label, s.pos - wt.pos AS shift, round(sum(weight), 9) AS weight FROM seen s JOIN wt ON wt.word = s.word JOIN d ON d.doc_id = s.doc_id WHERE contains(' ' || array_to_string(w, ' ') || ' ', ' ' || key || ' ') GROUP BY ALL),
+wt AS (SELECT post.*, idf.idf AS idf, idf.idf / sum(idf.idf) OVER (PARTITION BY template) AS weight FROM post JOIN idf USING (word)),
+rare AS (SELECT template, word FROM (SELECT template, word, round(coalesce(sum(weight) OVER (PARTITION BY template ORDER BY idf DESC, word ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 9) AS seen_before FROM (SELECT template, word, max(idf) AS idf, sum(weight) AS weight FROM wt GROUP BY ALL)) WHERE seen_before <= {1 - LEAST_WEIGHT}::DOUBLE),
+cand AS (SELECT DISTINCT doc_id, template FROM seen JOIN rare USING (word)),
+sh AS (SELECT s.doc_id, wt.template, label, s.pos - wt.pos AS shift, round(sum(weight), 9) AS weight FROM seen s JOIN wt ON wt.word = s.word JOIN cand ON cand.doc_id = s.doc_id AND cand.template = wt.template JOIN d ON d.doc_id = s.doc_id WHERE contains(' ' || array_to_string(w, ' ') || ' ', ' ' || key || ' ') GROUP BY ALL),
 best AS (SELECT doc_id, max(weight) AS best FROM sh GROUP BY doc_id),
 lab AS (SELECT DISTINCT doc_id, label FROM base UNION SELECT doc_id, label FROM sh WHERE weight >= {LEAST_WEIGHT}),
 agg AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM lab GROUP BY doc_id), bl AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS base_labels FROM (SELECT DISTINCT doc_id, label FROM base) GROUP BY doc_id)

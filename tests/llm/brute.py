@@ -108,8 +108,8 @@ def url_rule(url, rules):
     return host, path, best[1], best[2]
 
 
-def license_labels(docs, templates, phrases, common, least):
-    """{doc: (labels, score)}: for each template and shift, the weight of the words that stand where the template has them."""
+def license_labels(docs, templates, phrases, common, least, whole=False):
+    """{doc: (labels, score)}: for each template, if the text has one of its rarest words (or whole), and shift, the weight of the words that stand where the template has them."""
     texts = {i: WORD6.findall(lower(t or "")) for i, t in docs}
     index = {w for _, notice, _ in templates for w in notice.split() if w not in common}
     df = Counter(w for words in texts.values() for w in index & set(words))
@@ -121,7 +121,12 @@ def license_labels(docs, templates, phrases, common, least):
             if f" {key} " not in f" {' '.join(words)} ":
                 continue
             own = [(w, at) for at, w in enumerate(notice.split()) if w not in common]
-            total, shifts = sum(idf[w] for w, _ in own), Counter()
+            total, shifts, before, rare = sum(idf[w] for w, _ in own), Counter(), 0.0, set()
+            for w in sorted({w for w, _ in own}, key=lambda w: (-idf[w], w)):
+                rare |= {w} if round(before, 9) <= 1 - least else set()
+                before += sum(idf[w] for x, _ in own if x == w) / total
+            if not whole and not rare & set(words):
+                own = []
             for place, word in enumerate(words):
                 for w, at in own:
                     if w == word:

@@ -171,8 +171,29 @@ def test_licenses(docs):
     got = {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in out}
     assert got == {i: brute.license_places(t, licenses.PHRASES) for i, t in pairs(docs)}
     want = brute.license_labels(pairs(docs), licenses.TEMPLATES, licenses.PHRASES, licenses.COMMON, licenses.LEAST)
+    full = brute.license_labels(pairs(docs), licenses.TEMPLATES, licenses.PHRASES, licenses.COMMON, licenses.LEAST, whole=True)
     for r in out:
         assert r.labels == want[r.doc_id][0] and r.score == pytest.approx(want[r.doc_id][1], abs=2e-6), r.doc_id
+        assert r.labels == full[r.doc_id][0]  # candidates by rarest words lose no label
+
+
+def test_license_candidates_are_few(spark):
+    """Texts with common licence words only are no candidates; what stands in a text is found by its rarest words."""
+    common = "the software and this license may be used for any purpose by any person in this version"
+    notices = [notice for _, notice, _ in licenses.TEMPLATES]
+    texts = [common] * 400 + notices + [" ".join(n.split()[: len(n.split()) // 2]) for n in notices]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = stored(licenses.places(docs.withColumn("row", F.col("doc_id")), ["doc_id", "row"]))
+    df = dict(found.select(F.explode(F.array_distinct(F.col("seen.word"))).alias("w")).groupBy("w").count().collect())
+    index = stored(licenses.postings(spark).withColumn("idf", F.log(F.lit(len(texts) + 1) / (F.create_map(*[F.lit(x) for kv in df.items() for x in kv])[F.col("word")] + 1)) + 0.1).selectExpr("*", "idf / sum(idf) OVER (PARTITION BY template) AS weight"))
+    rare = {(r.template, r.word) for r in licenses.rarest(index).collect()}
+    for t, (_, notice, _) in enumerate(licenses.TEMPLATES):
+        own = {w for w in notice.split() if w not in licenses.COMMON}
+        mine = {w for k, w in rare if k == t}
+        assert mine and mine <= own and max(df[w] for w in mine) <= min((df[w] for w in own - mine), default=10**9)
+    shifts = licenses.shifts_of(found.select("row", "seen", "keys"), index)
+    assert shifts.where("row < 400").count() < 0.2 * found.where("row < 400").select(F.sum(F.size("seen"))).first()[0] * len(notices)
+    assert shifts.where(f"weight >= {licenses.LEAST} and row >= 400 and row < {400 + len(notices)}").select("row").distinct().count() == len(notices)
 
 
 def test_license_templates(hard):
