@@ -3,18 +3,19 @@
 Native: DataFrame functions only.
 
 Documents are linked through groups (here: equal texts).  Every document
-starts with a shard by hash.  In each round the members of a group vote: a
-join brings the group's most frequent shard to its members, which move there
-while the shard's quota lasts; members that find no room take part again in
-the next round, with shards that still have room.  Documents without links,
-and those that never found room, then fill the shards up to their quotas, in
-the order of their groups, so that a group is cut only where a shard ends.
-
-The law is ``rows``: the counts of any two shards differ by at most one.
-Groups of more than a ``SHARE``-th of a quota, of which there can only be a
-few, are laid before the rounds, largest first, each whole in the fullest shard
-that can hold it.  A group is cut only where no shard has room for all of it:
-it fills the emptiest shard, and what is left of it is laid like a group.
+starts with a shard by hash.  In a round the members of each group claim the
+shard that most of them have; a shard admits claims, large groups first, while
+its quota lasts, and their members move there.  Groups that find no room claim
+a shard that still has room for all of them, drawn in proportion to the room,
+and take part in the next round.  Documents without links, and groups that no
+shard can hold any more or that found no room in ``rounds`` rounds, then fill
+the shards up to their quotas, in the order of their groups, so that a group is
+cut only where a shard ends.
+
+The law is ``rows``: the counts of any two shards differ by at most one.  Groups
+of more than a ``SHARE``-th of a quota, of which there can only be a few, go
+through their rounds before the others, until each has a shard or none has room
+for it.  A group of more than a quota claims in parts of a quota each.
 
 The result depends on the rows alone, not on how they are split into tasks:
 all order is by a hash of doc_id, text and the row's number among equal rows.
@@ -28,85 +29,81 @@ table gives no rows.  Other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
-import heapq
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .common import RANK_BLOCK, ranked, small_or_shuffled, stored
 
-#: Groups of more than this part of a quota are laid one by one.
+#: Groups of more than this part of a quota take part before the others.
 SHARE = 8
 #: Blocks in which the members of a large group are numbered, at least.
 BLOCKS = 256
 
 
-def lay(groups: list[tuple[str, int]], room: list[int]) -> list[tuple[str, int, int, int]]:
-    """unit, lo, hi, shard: where members lo to hi - 1 of each group go, largest first; takes their places from room."""
-    queue = [(-members, unit, 0) for unit, members in groups]
-    heapq.heapify(queue)
-    laid = []
-    while queue:
-        members, unit, lo = heapq.heappop(queue)
-        members = -members
-        shard = min((s for s in range(len(room)) if room[s] >= members), key=lambda s: room[s], default=None)
-        if shard is None:
-            shard = max(range(len(room)), key=lambda s: room[s])
-        hi = lo + min(members, room[shard])
-        room[shard] -= hi - lo
-        laid.append((unit, lo, hi, shard))
-        if hi - lo < members:
-            heapq.heappush(queue, (hi - lo - members, unit, hi))
-    return laid
-
-
 def propagate(nodes: DataFrame, shards: int, rounds: int = 3) -> DataFrame:
     """row, shard for nodes (row, tie, unit): exact quotas by rows, members of a unit together.
 
     ``row`` is a hash that tells rows apart, ``tie`` a second one that orders
     them, ``unit`` the linked group or null.
     """
-    spark = nodes.sparkSession
     n = nodes.count()
-    sizes = stored(nodes.where("unit is not null").groupBy("unit").agg(F.count("*").alias("members")).where("members > 1"))
-    # each has over 1 / (shards * SHARE) of the rows, so there are at most shards * SHARE
-    large = sizes.where(F.col("members") > max(1, n // shards // SHARE)).collect()
-    free = [n // shards + (s < n % shards) for s in range(shards)]
-    laid = F.broadcast(stored(spark.createDataFrame(lay([(r["unit"], r["members"]) for r in large], free), "unit string, lo long, hi long, shard int")))
-    room = spark.createDataFrame(list(enumerate(free)), "shard int, room long")
-    held = ranked(nodes.join(laid, "unit", "left_semi"), ["unit"], F.col("tie"), [F.col("tie"), F.col("row")], n, "member", BLOCKS)
-    fixed = stored(held.join(laid, "unit").where("member >= lo and member < hi").select("row", "shard"))
-    nodes = nodes.join(laid, "unit", "left_anti")
-    linked = nodes.where("unit is not null")
-    state = stored(linked.join(sizes, "unit").select("row", "unit", "members", F.pmod("tie", F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("placed")))
-    for turn in range(rounds):
-        # votes: the shard that most members have now; ties go to a shard drawn by the unit
-        votes = state.where("not placed").groupBy("unit", "members", "shard").agg(F.count("*").alias("votes"))
-        best = votes.groupBy("unit", "members").agg(F.max(F.struct("votes", F.xxhash64("unit", "shard").alias("draw"), "shard")).alias("best"))
-        claims = best.select("unit", "members", F.col("best.shard").alias("shard"), F.col("best.votes").alias("votes"))
-        claims = stored(claims)
-        admitted = _admit(claims, room, claims.count())
-        moved = state.alias("s").join(admitted.alias("a"), F.col("s.unit") == F.col("a.unit"), "left")
-        # who found no room asks for a shard with room, the same for the whole unit, in the next round
-        left = _left(room, admitted)
-        total = left.agg(F.sum("room")).first()[0] or 0
-        spans = F.broadcast(left.withColumn("hi", F.sum("room").over(W.orderBy("shard"))).withColumn("lo", F.col("hi") - F.col("room")))  # one row per shard
-        point = F.pmod(F.xxhash64(F.col("s.unit"), F.lit(turn)), F.lit(max(1, total)))
-        asked = moved.select("s.row", "s.unit", "s.members", F.col("s.shard").alias("old"), F.col("s.placed"), F.col("a.shard").alias("won"), point.alias("point"))
-        drawn = asked.join(spans.select("lo", "hi", F.col("shard").alias("next")), (F.col("point") >= F.col("lo")) & (F.col("point") < F.col("hi")), "left")
-        state = stored(drawn.select("row", "unit", "members", F.when(F.col("placed"), F.col("old")).otherwise(F.coalesce("won", "next", "old")).alias("shard"), (F.col("placed") | F.col("won").isNotNull()).alias("placed")))
-        room = stored(left)
-        if state.where("not placed").isEmpty():
-            break
-    done = state.where("placed").select("row", "shard")
+    low, high = n // shards, -(-n // shards)
+    room = [low + (s < n % shards) for s in range(shards)]
+    sizes = nodes.where("unit is not null").groupBy("unit").agg(F.count("*").alias("members"))
+    huge = F.broadcast(stored(sizes.where(F.col("members") > high).select("unit")))  # fewer than there are shards
+    held = ranked(nodes.join(huge, "unit", "left_semi"), ["unit"], F.col("tie"), [F.col("tie"), F.col("row")], n, "member", BLOCKS)
+    parts = held.select("row", "tie", F.concat_ws(":", "unit", F.expr(f"member div {max(low, 1)}").cast("string")).alias("unit"))
+    nodes = stored(nodes.join(huge, "unit", "left_anti").select("row", "tie", "unit").unionByName(parts))
+    # votes: the shard that most members have; ties go to a shard drawn by the unit
+    votes = nodes.where("unit is not null").groupBy("unit", F.pmod("tie", F.lit(shards)).cast("int").alias("shard")).agg(F.count("*").alias("votes"))
+    best = votes.groupBy("unit").agg(F.sum("votes").alias("members"), F.max(F.struct("votes", F.xxhash64("unit", "shard").alias("draw"), "shard")).alias("best")).where("members > 1")
+    claims = stored(best.select("unit", "members", "best.shard", "best.votes"))
+    large = F.col("members") > high // SHARE
+    # a round admits one unit at least, and there are at most shards * SHARE large ones
+    first, room = _rounds(claims.where(large), room, shards * SHARE + 1)
+    others, room = _rounds(claims.where(~large), room, rounds)
+    placed = stored(_union([*first, *others], claims))
+    placed = small_or_shuffled(placed)
+    done = nodes.join(placed, "unit").select("row", "shard")
     # the rest fills the shards up, units next to each other
-    rest = nodes.select("row", "tie", "unit").join(done, "row", "left_anti")
+    rest = nodes.join(placed, "unit", "left_anti")
     spread = F.xxhash64(F.coalesce("unit", F.col("tie").cast("string")))
-    placed = ranked(rest.withColumn("spread", spread), [], F.col("spread"), [F.col("spread"), F.col("tie"), F.col("row")], n, "place")
-    spans = F.broadcast(room.withColumn("hi", F.sum("room").over(W.orderBy("shard"))).withColumn("lo", F.col("hi") - F.col("room")).select("shard", "lo", "hi"))
-    filled = placed.join(spans, (F.col("place") >= F.col("lo")) & (F.col("place") < F.col("hi"))).select("row", "shard")
-    return fixed.unionByName(done).unionByName(filled)
+    filled = ranked(rest.withColumn("spread", spread), [], F.col("spread"), [F.col("spread"), F.col("tie"), F.col("row")], n, "place")
+    ends = [sum(room[: s + 1]) for s in range(shards)]
+    spans = F.broadcast(nodes.sparkSession.createDataFrame([(s, e - r, e) for s, (r, e) in enumerate(zip(room, ends, strict=True))], "shard int, lo long, hi long"))
+    return done.unionByName(filled.join(spans, (F.col("place") >= F.col("lo")) & (F.col("place") < F.col("hi"))).select("row", "shard"))
+
+
+def _union(parts: list[DataFrame], like: DataFrame) -> DataFrame:
+    out = like.select("unit", "shard").limit(0)
+    for part in parts:
+        out = out.unionByName(part)
+    return out
+
+
+def _rounds(claims: DataFrame, room: list[int], most: int) -> tuple[list[DataFrame], list[int]]:
+    """Tables (unit, shard) of the units admitted in up to ``most`` rounds, and the room that is left in each shard."""
+    spark, out = claims.sparkSession, []
+    for turn in range(most):
+        units = claims.count()
+        if not units:
+            break
+        admitted = stored(_admit(claims, spark.createDataFrame(list(enumerate(room)), "shard int, room long"), units))
+        taken = {r["shard"]: r["taken"] for r in admitted.groupBy("shard").agg(F.sum("members").alias("taken")).collect()}  # a row for each shard
+        room = [r - taken.get(s, 0) for s, r in enumerate(room)]
+        out.append(admitted.select("unit", "shard"))
+        claims = stored(_asking(claims.join(admitted.select("unit"), "unit", "left_anti"), room, turn))
+    return out, room
+
+
+def _asking(claims: DataFrame, room: list[int], turn: int) -> DataFrame:
+    """The claims with another shard that has room for the unit, drawn in proportion to the room; without those that no shard can hold."""
+    rooms = F.array(*[F.struct(F.lit(s).alias("shard"), F.lit(r).cast("long").alias("room")) for s, r in enumerate(room)])
+    even = lambda r: (F.pmod(F.xxhash64("unit", r["shard"], F.lit(turn)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    fits = F.filter(rooms, lambda r: r["room"] >= F.col("members"))
+    drawn = F.array_min(F.transform(fits, lambda r: F.struct((-F.log(even(r)) / r["room"]).alias("draw"), r["shard"].alias("shard"))))
+    return claims.withColumn("shard", drawn["shard"]).where("shard is not null")
 
 
 def _admit(claims: DataFrame, room: DataFrame, units: int) -> DataFrame:
@@ -125,11 +122,6 @@ def _admit(claims: DataFrame, room: DataFrame, units: int) -> DataFrame:
     return placed.where(F.col("start") + F.col("upto") <= F.col("room")).select("unit", "shard", "members")
 
 
-def _left(room: DataFrame, admitted: DataFrame) -> DataFrame:
-    taken = admitted.groupBy("shard").agg(F.sum("members").alias("taken"))
-    return stored(room.join(taken, "shard", "left").select("shard", (F.col("room") - F.coalesce("taken", F.lit(0))).alias("room")))
-
-
 def _numbered(facts: DataFrame, n: int) -> DataFrame:
     """facts with row and tie made of the row's hash and its number among equal rows.
 
