@@ -32,6 +32,7 @@ def stored(df: DataFrame) -> DataFrame:
     It cuts the lineage: a lost executor costs a read, not the steps before.
     """
     spark = df.sparkSession
+    ship_code(spark)
     bound_batches(spark)
     path = f"{shared_folder(spark)}/lexiloom/{uuid.uuid4().hex}"
     df.write.parquet(path)
