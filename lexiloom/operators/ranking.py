@@ -88,12 +88,15 @@ def _part(query: str) -> Column:
 
 
 def scores_of(pairs: DataFrame, bags: DataFrame, weights: DataFrame, doc_key: str, query_key: str) -> DataFrame:
-    """query_key, doc_key, score (9 places) of pairs (query_key, doc_key), each added up in the document's own row."""
-    asked = weights.groupBy(query_key).agg(F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("w"), F.max("avg_doc_len").alias("avg_doc_len"))  # the terms of one query
-    rows = bags.select(doc_key, "doc_len", "terms").join(small_or_shuffled(pairs), doc_key).join(small_or_shuffled(stored(asked)), query_key)
-    mine = F.filter("terms", lambda t: F.map_contains_key("w", t["term"]))
-    total = F.aggregate(mine, F.lit(0.0), lambda a, t: a + F.element_at("w", t["term"]) * weight(t["tf"], F.col("doc_len"), F.col("avg_doc_len")))
-    return rows.select(query_key, doc_key, F.round(total, 9).alias("score")).where("score > 0")
+    """query_key, doc_key, score (9 places) of pairs (query_key, doc_key), each added up in the document's own row; 0 without a common term."""
+    asked = weights.groupBy(query_key).agg(F.map_from_entries(F.collect_list(F.struct(F.xxhash64("term"), "idf"))).alias("w"), F.max("avg_doc_len").alias("avg_doc_len"))  # the terms of one query
+    split = bags.select(doc_key, "doc_len", F.transform("terms.term", lambda t: F.xxhash64(t)).alias("_terms"), F.col("terms.tf").alias("_tfs"))
+    rows = split.join(small_or_shuffled(pairs), doc_key).join(small_or_shuffled(stored(asked)), query_key)
+    # terms are 64-bit hashes here; the few common ones come from a hash set, and only they are looked up
+    mine = F.array_intersect("_terms", F.map_keys("w"))
+    tf = lambda t: F.element_at("_tfs", F.array_position("_terms", t).cast("int"))
+    total = F.aggregate(mine, F.lit(0.0), lambda a, t: a + F.element_at("w", t) * weight(tf(t), F.col("doc_len"), F.col("avg_doc_len")))
+    return rows.select(query_key, doc_key, F.round(total, 9).alias("score"))
 
 
 def limits(blocks: DataFrame, bags: DataFrame, weights: DataFrame, k: int, doc_key: str, query_key: str, pool: DataFrame | None = None) -> DataFrame:
@@ -144,4 +147,5 @@ def best(bags: DataFrame, blocks: DataFrame, weights: DataFrame, k: int, doc_key
     if pool is not None:
         found = found.join(pool, doc_key, "left_semi")
     scored = scores_of(stored(found), bags, weights, doc_key, query_key)
-    return scored.withColumn("rank", F.row_number().over(W.partitionBy(query_key).orderBy(F.desc("score"), doc_key))).where(F.col("rank") <= k)
+    ranked = scored.withColumn("rank", F.row_number().over(W.partitionBy(query_key).orderBy(F.desc("score"), doc_key)))
+    return ranked.where((F.col("rank") <= k) & (F.col("score") > 0))  # a filter on scores before the window would compute them twice
