@@ -21,12 +21,13 @@ join runs over classes, so copies cost nothing.
 4. *Partial overlaps.*  In each fragment, segments meet and give a partial
    count; the counts are summed per pair.  Candidates whose ends lie in
    different components meet pair by pair, and the sum runs over rows of
-   (pair, fragment).  Classes of one component meet in pairs of blocks of
-   ``BLOCK`` classes, fragment after fragment, and the sum runs inside the task:
-   all links within a component are found, while a row is sent for each class
-   and pair of blocks, not for each pair.  Bounds by length, position and
-   bitmap, and by the difference that the fragments so far show, drop pairs
-   that cannot link; they never drop a link.
+   (pair, fragment).  Classes of one component meet in pairs of blocks, ordered
+   by set size, of which only those meet whose sizes allow a link; the sum runs
+   inside the task, fragment after fragment, over ``BLOCK`` by ``BLOCK`` classes.
+   All links within a component are found, while a row is sent for each class
+   and each block that it may link with, not for each pair.  Bounds by length,
+   position and bitmap, and by the difference that the fragments so far show,
+   drop pairs that cannot link; they never drop a link.
 5. *Links.*  Every link between different texts is found and counted.
 
 Widths: shingles have 64 bits, the keys of classes 128 (64 inside the join),
@@ -69,8 +70,12 @@ BATCH = 500_000
 BITS, SENT = 56, 48
 #: 64-bit words of a bitmap that bounds the overlap of two sets.
 BITMAP = 8
-#: Classes of a block of a prefix list, and of a block of a component, on average.
-LIST, BLOCK = 512, 64
+#: Classes of a block of a prefix list, on average.
+LIST = 512
+#: Classes and shared n-grams of a block of a component, on average, which one task holds; classes that are compared at once.
+SENT_BLOCK, SENT_GRAMS, BLOCK = 1024, 500_000, 64
+#: Bands of set size between a size and the least one that it may link with.
+SIZE_BANDS = 4
 
 
 def _digest(found: np.ndarray) -> bytes:
@@ -326,34 +331,65 @@ def linked(x: list[list[np.ndarray]], y: list[list[np.ndarray]], n: tuple[np.nda
     return (differ <= most) & (100 * overlap >= percent * (na + nb - overlap))
 
 
+def _member_blocks(labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """class, label, band, block and meets: the blocks (band, block) of its component, its own included, that the class may link with.
+
+    A component that fits into one block is one band; beyond that classes are
+    banded by set size, so that sizes which may link are at most SIZE_BANDS
+    bands apart, and a band is cut into blocks by hash.
+    """
+    size = sets.select(F.col("class"), F.col("n"), F.size("keys").alias("many"))
+    member = stored(labels.withColumnRenamed("node", "class").join(size, "class"))
+    room = lambda members, grams: F.ceil(F.greatest(members / SENT_BLOCK, grams / SENT_GRAMS)).cast("int")
+    whole = member.groupBy("label").agg(F.count("*").alias("members"), F.sum("many").alias("grams")).where("members > 2")
+    step = float(np.log(100 / percent) / SIZE_BANDS) if percent < 100 else 1e-9
+    cut = room(F.col("members"), F.col("grams")) > 1
+    banded = stored(member.join(whole, "label").select("class", "label", "many", F.when(cut, F.floor(F.log("n") / step)).otherwise(0).alias("band")))
+    bands = banded.groupBy("label", "band").agg(room(F.count("*"), F.sum("many")).alias("blocks"))
+    listed = bands.groupBy("label").agg(F.collect_list(F.struct("band", "blocks")).alias("all"))  # a row for each band of sizes
+    placed = banded.join(bands, ["label", "band"]).join(listed, "label").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    near = F.filter("all", lambda o: F.abs(o["band"] - F.col("band")) <= SIZE_BANDS + 1)  # one more for the rounding of logarithms
+    every = F.flatten(F.transform(near, lambda o: F.transform(F.sequence(F.lit(0), o["blocks"] - 1), lambda k: F.struct(o["band"].alias("band"), k.alias("block")))))
+    return placed.select("class", "label", "band", "block", every.alias("meets"))
+
+
 def _within(labels: DataFrame, sets: DataFrame, copies: DataFrame, cuts: list[int], percent: int) -> DataFrame:
     """class, linked: of classes in components of three or more, the copies of all classes of the component that they link with.
 
     Pairs of blocks of a component meet in one task each and send one row for
     each class, so links are counted without a row for each of them.
     """
-    sizes = labels.groupBy("label").agg(F.count("*").alias("members")).where("members > 2")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    member = stored(labels.join(sizes, "label").select(F.col("node").alias("class"), "label", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")))
+    member = stored(_member_blocks(labels, sets, percent))
     rows = _cut(sets, member.select("class"), cuts).join(member, "class").join(copies, "class")
     # every pair of blocks has one meeting place; a block meets itself too
-    place = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j"))))
-    met = rows.withColumn("p", place).select("label", "p.i", "p.j", "block", "class", "n", "many", "copies", "segments")
+    own = F.struct("band", "block")
+    place = F.explode(F.transform("meets", lambda o: F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j"))))
+    met = rows.withColumn("p", place).select("label", F.col("p.i.band").alias("ib"), F.col("p.i.block").alias("i"), F.col("p.j.band").alias("jb"), F.col("p.j.block").alias("j"), "band", "block", "class", "n", "many", "copies", "segments")
+
+    at_once = BLOCK
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
-        x, y = (group[group["block"] == b] for b in (i, j))
-        if not len(x) or not len(y):
-            return pd.DataFrame({"class": pd.Series([], dtype="int64"), "linked": pd.Series([], dtype="int64")})
-        column = lambda name: (x[name].to_numpy(), y[name].to_numpy())
-        hit = linked(x["segments"].tolist(), y["segments"].tolist(), column("n"), column("many"), percent)
-        (a, b), (ca, cb) = column("class"), column("copies")
-        if i == j:
-            np.fill_diagonal(hit, False)  # both sides hold the same classes in the same order
-            return pd.DataFrame({"class": a, "linked": hit @ cb})
-        return pd.DataFrame({"class": np.append(a, b), "linked": np.append(hit @ cb, hit.T @ ca)})
-
-    return met.groupBy("label", "i", "j").applyInPandas(one, "class long, linked long")
+        head = group.iloc[0]
+        group = group.sort_values(["n", "class"])
+        sides = [group[(group["band"] == head[b]) & (group["block"] == k_of)] for b, k_of in (("ib", head["i"]), ("jb", head["j"]))]
+        same = head["ib"] == head["jb"] and head["i"] == head["j"]
+        counts = [np.zeros(len(s), np.int64) for s in sides]
+        parts = [[s.iloc[at : at + at_once] for at in range(0, len(s), at_once)] for s in sides]
+        for r, a in enumerate(parts[0]):
+            for c, b in enumerate(parts[1]):
+                (na, nb), (ca, cb) = ([p[name].to_numpy() for p in (a, b)] for name in ("n", "copies"))
+                if (same and c < r) or 100 * na.max() < percent * nb.min() or 100 * nb.max() < percent * na.min():
+                    continue
+                hit = linked(a["segments"].tolist(), b["segments"].tolist(), (na, nb), (a["many"].to_numpy(), b["many"].to_numpy()), percent)
+                if same and r == c:
+                    np.fill_diagonal(hit, False)  # both sides hold the same classes in the same order
+                counts[0][r * at_once : r * at_once + len(a)] += hit @ cb
+                if not (same and r == c):
+                    counts[0 if same else 1][c * at_once : c * at_once + len(b)] += hit.T @ ca
+        found = sides[:1] if same else sides
+        return pd.DataFrame({"class": np.concatenate([s["class"].to_numpy() for s in found]), "linked": np.concatenate(counts[: len(found)])})
+
+    return met.groupBy("label", "ib", "i", "jb", "j").applyInPandas(one, "class long, linked long")
 
 
 def link_components(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:

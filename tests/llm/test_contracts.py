@@ -47,10 +47,11 @@ def test_components(docs):
     assert got == brute.components(pairs(docs))
 
 
-@pytest.mark.parametrize("blocks", [(ngram_join.LIST, ngram_join.BLOCK), (9, 20)])
+@pytest.mark.parametrize("blocks", [(ngram_join.LIST, ngram_join.BLOCK, ngram_join.SENT_BLOCK), (9, 7, 20)])
 def test_components_of_many_near_copies(spark, monkeypatch, blocks):
     monkeypatch.setattr(ngram_join, "LIST", blocks[0])
     monkeypatch.setattr(ngram_join, "BLOCK", blocks[1])
+    monkeypatch.setattr(ngram_join, "SENT_BLOCK", blocks[2])
     words = [f"t{i}" for i in range(120)]
     rows = []
     for i in range(150):
@@ -60,10 +61,29 @@ def test_components_of_many_near_copies(spark, monkeypatch, blocks):
             w[(11 * i + 5) % 110] = f"other{i}"
         rows.append((i, " ".join(w)))
     rows += [(1000 + i, " ".join(words[:60] + [f"p{i}x{k}" for k in range(20)])) for i in range(100)]
+    rows += [(2000 + i, " ".join(words[:i])) for i in range(20, 120)]  # sizes of one component up to five times as large
     found = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in ngram_join.link_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found == brute.components(rows)
 
 
+def test_blocks_of_a_component_meet_by_size(spark, monkeypatch):
+    """A class is sent to blocks of sizes that it may link with only, and to as many as these sizes need."""
+    monkeypatch.setattr(ngram_join, "SENT_BLOCK", 16)
+    sizes = [20 + k % 400 for k in range(1600)]
+    labels = spark.createDataFrame([(k, 0) for k in range(1600)], "node long, label long")
+    sets = spark.createDataFrame([(k, n, list(range(n))) for k, n in enumerate(sizes)], "class long, n long, keys array<long>")
+    rows = ngram_join._member_blocks(labels, sets, 80).collect()
+    where = {r["class"]: (r.band, r.block) for r in rows}
+    meets = {r["class"]: {(m.band, m.block) for m in r.meets} for r in rows}
+    assert len(rows) == 1600 and all(where[k] in meets[k] for k in where)
+    for a in range(0, 1600, 37):
+        for b in range(1600):
+            lo, hi = sorted((sizes[a], sizes[b]))
+            assert 100 * lo < 80 * hi or where[b] in meets[a]
+    every = len(set(where.values()))
+    assert sum(map(len, meets.values())) < 0.45 * 1600 * every
+
+
 def test_null_and_repeated_ids(spark):
     df = spark.createDataFrame([(None, PASSAGE), (5, PASSAGE), (5, PASSAGE), (None, "q")], "doc_id long, text string")
     got = sorted((r.doc_id or -1, r.component_id or -1) for r in ngram_join.link_components(df).collect())
