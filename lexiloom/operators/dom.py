@@ -8,12 +8,20 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urlsplit
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from lexiloom.functions.html import VOID_ELEMENTS
+from lexiloom.functions import html as fh
+from lexiloom.functions import seo
+from lexiloom.functions.numbers import units
+from lexiloom.functions.text import strip
+from lexiloom.operators.replies import parse_replies
+from lexiloom.session import ship_code
 
-_VOID = frozenset(VOID_ELEMENTS)
+_VOID = frozenset(fh.VOID_ELEMENTS)
 
 
 class Tree(HTMLParser):
@@ -127,48 +135,64 @@ def tree_checks(html: str | None, phrase: str | None, own_host: str) -> dict[str
     return out
 
 
-def checks(df: DataFrame, key: str, html: str = "html", phrase: str | None = None, own_host: str = "example.com") -> DataFrame:
-    """key, check, tier, ok, detail: the tree checks of every document."""
-    kind = df.schema[key].dataType.simpleString()
-    columns = [key, html] + ([phrase] if phrase else [])
+#: The type of the column that ``with_checks`` adds.
+_RESULTS = T.ArrayType(T.StructType([T.StructField("check", T.StringType()), T.StructField("tier", T.StringType()), T.StructField("ok", T.BooleanType()), T.StructField("detail", T.StringType())]))
+
+
+def with_checks(df: DataFrame, html: str = "html", phrase: str | None = None, own_host: str = "example.com") -> DataFrame:
+    """df with ``tree``, an array of (check, tier, ok, detail): a document is parsed once, and its other columns pass through the batch.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    A null document is empty; a null phrase stands nowhere.
+    """
+    ship_code(df.sparkSession)
+    at, key = df.columns.index(html), df.columns.index(phrase) if phrase else None
+    kind = to_arrow_type(_RESULTS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for row in batch.itertuples(index=False):
-                for name, (ok, tier, detail) in tree_checks(row[1], row[2] if phrase else None, own_host).items():
-                    rows.append((row[0], name, tier, ok, detail))
-            yield pd.DataFrame(rows, columns=[key, "check", "tier", "ok", "detail"])
+            phrases = batch.column(key) if phrase else [None] * batch.num_rows
+            made = [[{"check": name, "tier": tier, "ok": ok, "detail": detail} for name, (ok, tier, detail) in tree_checks(text.as_py(), words and words.as_py(), own_host).items()] for text, words in zip(batch.column(at), phrases, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, kind)], [*batch.schema.names, "tree"])
 
-    return df.select(*columns).mapInPandas(run, f"{key} {kind}, check string, tier string, ok boolean, detail string")
+    return df.mapInArrow(run, T.StructType([*df.schema, T.StructField("tree", _RESULTS)]))
 
 
-def gate(df: DataFrame, key: str, own_host: str) -> DataFrame:
-    """key, publishable, failed: whether all hard checks hold for (key, seo, html), native ones and those of the tree.
+def checks(df: DataFrame, key: str, html: str = "html", phrase: str | None = None, own_host: str = "example.com") -> DataFrame:
+    """key, check, tier, ok, detail: the tree checks of every document."""
+    columns = [key, html] + ([phrase] if phrase else [])
+    return with_checks(df.select(*columns), html, phrase, own_host).select(key, F.explode("tree").alias("c")).select(key, "c.*")
 
-    The native checks are title, meta, slug and h1 of the search fields, tag
-    balance and template leftovers.
-    """
-    from pyspark.sql import functions as F
 
-    from lexiloom.functions import html as fh
-    from lexiloom.functions import seo
+def failing(tier: str) -> Column:
+    """The sorted names of the tree's checks of a tier that do not hold."""
+    return F.array_sort(F.transform(F.filter("tree", lambda c: (c["tier"] == tier) & ~c["ok"]), lambda c: c["check"]))
+
 
-    k, h = F.col("seo.focusKeyword"), F.col("html")
-    own = F.array_compact(
+def own_failures(html: Column) -> Column:
+    """The native hard checks that do not hold: title, meta, slug and h1 of the search fields (seo), tag balance and template leftovers."""
+    k = F.col("seo.focusKeyword")
+    no = lambda ok: ~F.coalesce(ok, F.lit(False))
+    return F.array_compact(
         F.array(
-            F.when(~F.coalesce(seo.title_ok(F.col("seo.seoTitle"), k), F.lit(False)), "title"),
-            F.when(~F.coalesce(seo.meta_ok(F.col("seo.metaDescription"), k), F.lit(False)), "meta"),
-            F.when(~F.coalesce(seo.slug_ok(F.col("seo.slug"), k), F.lit(False)), "slug"),
-            F.when(~F.coalesce(seo.heading_ok(F.col("seo.h1"), k), F.lit(False)), "h1"),
-            F.when(F.size(fh.tag_issues(h)) > 0, "tag-balance"),
-            F.when(F.size(seo.template_leftovers(h, F.to_json("seo"))) > 0, "pipeline-artifacts"),
+            F.when(no(seo.title_ok(F.col("seo.seoTitle"), k)), "title"),
+            F.when(no(seo.meta_ok(F.col("seo.metaDescription"), k)), "meta"),
+            F.when(no(seo.slug_ok(F.col("seo.slug"), k)), "slug"),
+            F.when(no(seo.heading_ok(F.col("seo.h1"), k)), "h1"),
+            F.when(F.size(fh.tag_issues(html)) > 0, "tag-balance"),
+            F.when(F.size(seo.template_leftovers(html, F.to_json("seo"))) > 0, "pipeline-artifacts"),
         )
     )
-    tree = checks(df.select(key, h, k.alias("phrase")), key, "html", "phrase", own_host)
-    bad = tree.where("tier = 'hard' and not ok").groupBy(key).agg(F.array_sort(F.collect_list("check")).alias("bad"))  # ten checks at most
-    failed = F.concat(own, F.coalesce("bad", F.array().cast("array<string>")))
-    return df.select(key, "seo", "html").join(bad, key, "left").select(key, (F.size(failed) == 0).alias("publishable"), failed.alias("failed"))
+
+
+def gate(df: DataFrame, key: str, own_host: str) -> DataFrame:
+    """key, publishable, failed, soft: whether all hard checks hold for (key, seo, html), which do not, and which soft ones do not.
+
+    Native checks come first, then those of the tree, from one pass over the
+    documents and without a shuffle.
+    """
+    rows = with_checks(df.select(key, "html", "seo", F.col("seo.focusKeyword").alias("phrase")), "html", "phrase", own_host)
+    failed = F.concat(own_failures(F.col("html")), failing("hard"))
+    return rows.select(key, failed.alias("failed"), failing("soft").alias("soft")).select(key, (F.size("failed") == 0).alias("publishable"), "failed", "soft")
 
 
 def note_bundles(replies: DataFrame, key: str = "reply_id", own_host: str = "example.com") -> DataFrame:
@@ -178,22 +202,17 @@ def note_bundles(replies: DataFrame, key: str = "reply_id", own_host: str = "exa
     the checks.  The warnings are those of the parser and of the soft checks;
     the bundle is a struct of seo, html and publisher_notes, else null.
     """
-    from pyspark.sql import functions as F
-
-    from lexiloom.functions.numbers import units
-    from lexiloom.functions.text import strip
-    from lexiloom.operators.replies import parse_replies
-    from lexiloom.session import stored
-
     parsed = parse_replies(replies, key)
     empty = lambda f: F.coalesce(F.col(f"seo.{f}"), F.lit("")) == ""
     first = F.array_compact(F.array(F.when(units(strip(F.col("html"))) < 200, "EMPTY_BODY"), F.when(empty("slug"), "MISSING_SLUG"), F.when(empty("focusKeyword"), "MISSING_FOCUS_KEYWORD")))
-    parsed = stored(parsed.withColumn("first", first))  # read four times
-    ready = parsed.where(F.size("first") == 0)
-    gated = gate(ready.select(key, "seo", "html"), key, own_host).select(key, F.col("failed").alias("hard"))
-    soft = checks(ready.select(key, "html", F.col("seo.focusKeyword").alias("phrase")), key, "html", "phrase", own_host).where("tier = 'soft' and not ok").groupBy(key).agg(F.array_sort(F.collect_list("check")).alias("soft"))
+    started = parsed.select(key, "seo", "html", "publisher_notes", "warnings", first.alias("first"), F.col("seo.focusKeyword").alias("phrase"))
+    ready = F.size("first") == 0
+    # a reply that fails before the checks is sent without its document, so that no tree is made of it
+    sent = started.select("*", F.when(ready, F.col("html")).alias("checked"))
+    made = with_checks(sent, "checked", "phrase", own_host)
     none = F.array().cast("array<string>")
-    failed = F.concat("first", F.coalesce("hard", none))
-    out = parsed.join(gated, key, "left").join(soft, key, "left")
-    bundle = F.when(F.size(failed) == 0, F.struct("seo", "html", "publisher_notes"))
-    return out.select(key, (F.size(failed) == 0).alias("publishable"), failed.alias("failed"), F.concat("warnings", F.coalesce("soft", none)).alias("warnings"), bundle.alias("bundle"))
+    of_ready = lambda found: F.when(ready, found).otherwise(none)
+    failed = F.concat("first", of_ready(F.concat(own_failures(F.col("html")), failing("hard"))))
+    out = made.select(key, "seo", "html", "publisher_notes", failed.alias("failed"), F.concat("warnings", of_ready(failing("soft"))).alias("warnings"))
+    bundle = F.when(F.size("failed") == 0, F.struct("seo", "html", "publisher_notes"))
+    return out.select(key, (F.size("failed") == 0).alias("publishable"), "failed", "warnings", bundle.alias("bundle"))

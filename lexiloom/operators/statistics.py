@@ -254,11 +254,17 @@ def ewma_by(rows: DataFrame, by: list[str], value: Column, alpha: float = 0.3) -
 
 
 def coverage_summary(items: DataFrame, gap: float = 0.35) -> DataFrame:
-    """One row: data_available, average_coverage, gaps."""
+    """One row: data_available, average_coverage, gaps, for a catalogue whose gaps fit into a row; ``coverage_gaps`` gives them as rows."""
     p = F.col("coverage_probability")
     return items.agg((F.count("*") > 0).alias("data_available"), F.coalesce(round_half_up(F.avg(p), 2), F.lit(0.0)).alias("average_coverage"), F.array_sort(F.collect_list(F.when(p < gap, F.col("concept")))).alias("gaps"))
 
 
+def coverage_gaps(items: DataFrame, by: list[str], gap: float = 0.35) -> DataFrame:
+    """by, concept, coverage_probability, rank of the concepts below the gap, the least covered first: gaps as rows, however many there are."""
+    low = items.where(F.col("coverage_probability") < gap).select(*by, "concept", "coverage_probability")
+    return low.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy("coverage_probability", "concept")))
+
+
 def drift(scores: DataFrame, by: list[str], order: str = "seq", value: str = "score") -> DataFrame:
     """by, slope (3 places), data_available: the trend of a score over its order."""
     made = scores.groupBy(*by).agg(F.count("*").alias("_n"), F.regr_slope(F.col(value), F.col(order).cast("double")).alias("_s"))

@@ -7,8 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.operators import dom, packages, states
-from lexiloom.queries import _index, register, table
+from lexiloom.functions import html as fh
+from lexiloom.more_queries import _bundles
+from lexiloom.operators import cleaning, dom, packages, similarity, states
+from lexiloom.operators import statistics as st
+from lexiloom.queries import _index, register, sql_half_up, sql_words, table
 from lexiloom.session import shared_folder, stored
 from lexiloom.sources import buckets, sinks
 from lexiloom.sources import files as sources
@@ -133,3 +136,70 @@ def made_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "pages").select("page_id", html.alias("html"), F.lit("number system").alias("phrase"))
     made = dom.checks(rows, "page_id", phrase="phrase")
     return made.where(F.col("check").isin("image-alt", "citations", "toc", "ad-slots", "dup-ids", "paragraphs")).select("page_id", "check", "ok", "detail")
+
+
+_KINDS = ("whole", "short", "doubled", "renamed", "unindexed")
+
+
+@register("""WITH n AS (SELECT count(*) AS n, count_if(doc_id % 4 = 0) AS q FROM documents), k AS (SELECT unnest(['whole', 'short', 'doubled', 'renamed', 'unindexed']) AS kind)
+SELECT kind, unnest(['files_rows', 'rows_index', 'books_present']) AS check, unnest([q = 0 OR kind NOT IN ('short', 'doubled'), q = 0 OR kind NOT IN ('short', 'doubled', 'unindexed'), q = 0 OR kind NOT IN ('short', 'renamed')]) AS ok FROM k, n""")
+def corpus_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files, as rows of the corpus and as indexed documents: whole, with rows missing, repeated or under other names, and with an index of fewer documents."""
+    index = _index(spark, sf_dir)
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("book"))
+    meta = stored(index.meta.select("doc_count"))
+    some, out = F.col("book") % 4 == 0, None
+    for kind in _KINDS:
+        rows = {"short": files.where(~some), "doubled": files.union(files.where(some)), "renamed": files.select(F.when(some, -1 - F.col("book")).otherwise(F.col("book")).alias("book"))}.get(kind, files)
+        counted = meta.crossJoin(files.agg(F.count_if(some).alias("some"))).select((F.col("doc_count") - F.col("some")).alias("doc_count")) if kind == "unindexed" else meta  # one row each
+        found = cleaning.cross_checks(files, rows, counted).select(F.lit(kind).alias("kind"), "check", "ok")
+        out = found if out is None else out.union(found)
+    return out
+
+
+_WORDS = "c AS (SELECT DISTINCT trim(p_name) AS concept, p_brand AS subject FROM part), t AS (SELECT lower(coalesce(text, '')) AS h FROM documents), s AS (SELECT subject, concept, count_if(contains(h, split_part(concept, ' ', 1))) AS s FROM c CROSS JOIN t GROUP BY ALL)"
+
+
+@register(f"""WITH {_WORDS}, p AS (SELECT subject, concept, {sql_half_up('(1.0 + s) / (2.0 + (SELECT count(*) FROM t))', 2)} AS p FROM s)
+SELECT subject, concept, p AS coverage_probability, row_number() OVER (PARTITION BY subject ORDER BY p, concept) AS rank FROM p WHERE p < 0.35""")
+def coverage_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as concepts of their brands, by colour: those that few documents cover, the least covered first."""
+    names = table(spark, sf_dir, "part").select(F.trim("p_name").alias("name"), F.col("p_brand").alias("subject")).distinct()
+    colours = names.withColumn("concept", F.element_at(F.split("name", " "), 1))
+    found = st.coverage_probability(colours, table(spark, sf_dir, "documents").select(F.array("text").alias("concepts_taught")))
+    return st.coverage_gaps(colours.join(found, "concept").select("subject", F.col("name").alias("concept"), "coverage_probability"), ["subject"])
+
+
+def _card(*sentences: Column) -> Column:
+    return F.concat(F.lit('<div style="border-left:4px solid red">'), *[x for s in sentences for x in (F.lit("<p>"), s, F.lit("</p>"))], F.lit("</div>"))
+
+
+_FILL = "word " * 3200
+
+
+@register(f"""WITH h AS (SELECT 'Number ' || doc_id % 60 AS s FROM documents WHERE doc_id % 2 = 0 UNION SELECT 'Odd ' || doc_id % 10 FROM documents WHERE doc_id % 2 = 1),
+b AS (SELECT item_id AS i, coalesce(text, '') AS text FROM benchmark),
+f AS (SELECT i, (('Number ' || i % 80) IN (SELECT s FROM h))::BIGINT + (('Odd ' || i % 20) IN (SELECT s FROM h))::BIGINT AS repeats,
+  list_filter([CASE WHEN i % 5 = 0 THEN 'MISSING_SEO' END, CASE WHEN i % 5 = 1 THEN 'MISSING_SEO_FIELD' END, CASE WHEN i % 7 = 3 THEN 'SCRIPT_TAG' END, CASE WHEN i % 6 = 4 THEN 'UNCLOSED_TAG_AT_END' END], lambda x: x IS NOT NULL) AS errors,
+  list_filter([CASE WHEN i % 4 = 1 THEN 'BARE_H3' END, CASE WHEN len({sql_words("text")}) > 130 THEN 'LONG_PARAGRAPH' END, CASE WHEN i % 3 = 0 THEN 'THIN_PUBLISHER_NOTES' END, CASE WHEN i % 2 = 0 THEN 'MISSING_CONTENT_MEMORY' END, CASE WHEN i % 8 = 3 THEN 'MISSING_CM_FLAVOUR' END], lambda x: x IS NOT NULL) AS warnings FROM b),
+q AS (SELECT *, least(1.0::DOUBLE, len(errors) * 0.25::DOUBLE) + least(0.3::DOUBLE, len(warnings) * 0.03::DOUBLE) + CASE WHEN i % 2 = 1 THEN 0.0::DOUBLE ELSE 0.1::DOUBLE END + CASE WHEN i % 3 = 1 THEN 0.0::DOUBLE ELSE 0.1::DOUBLE END + CASE WHEN i % 4 = 2 THEN 0.05::DOUBLE ELSE 0.0::DOUBLE END AS penalty FROM f)
+SELECT i AS cand_id, repeats, array_to_string(errors, ',') AS errors, array_to_string(warnings, ',') AS warnings, {sql_half_up('1 - least(1.0::DOUBLE, penalty)', 3)} AS quality FROM q""")
+def evaluation_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark texts in articles of which each lacks some parts by rule: repeated card sentences, errors, warnings and quality against documents as history."""
+    i, d = F.col("id"), F.col("id")
+    text = lambda c: c.cast("string")
+    fields = lambda keyword: F.struct(*[(keyword if f == "focusKeyword" else F.lit("x")).alias(f) for f in fh.SEO_FIELDS])
+    memory = F.struct(*[F.array(F.lit("x")).alias(f) for f in fh.MEMORY_FIELDS], F.when(i % 8 == 3, "").otherwise("plain").alias("flavour"))
+    part = lambda n, r, html: F.when(i % n == r, F.lit(html)).otherwise("")
+    html = F.concat(
+        _card(F.concat(F.lit("Number "), text(i % 80)), F.concat(F.lit("Odd "), text(i % 20)), F.lit("Never")), F.lit("<p>"), F.col("html"), F.lit("</p>"),
+        part(4, 1, "<h3>a</h3>"), part(3, 1, "".join(f'<i id="ad-slot-{k}"></i>' for k in range(3))), part(2, 1, f"<b>{_FILL}</b>"), part(7, 3, "<script>x</script>"), part(4, 2, f"<i>{fh.CLICHES[0]}</i>"), part(6, 4, "<section>"),
+        F.lit('<i class="' + "x" * 200 + '"></i>'),
+    )
+    cand = _bundles(table(spark, sf_dir, "benchmark"), "item_id").withColumn("html", html)
+    cand = cand.withColumn("seo", F.when(i % 5 != 0, fields(F.when(i % 5 == 1, "").otherwise("zz qq"))))
+    cand = cand.withColumn("publisher_notes", F.when(i % 3 == 0, "").otherwise("x" * 20)).withColumn("memory", F.when(i % 2 == 1, memory))
+    hist = _bundles(table(spark, sf_dir, "documents"), "doc_id").withColumn("html", _card(F.concat(F.lit("Number "), text(d % 60))))
+    hist = hist.withColumn("card_sentences_used", F.when(d % 2 == 1, F.array(F.concat(F.lit("Odd "), text(d % 10)))))
+    made = similarity.evaluate(cand, hist)
+    return made.select("cand_id", "repeats", F.array_join("errors", ",").alias("errors"), F.array_join("warnings", ",").alias("warnings"), "quality")

@@ -543,3 +543,21 @@ def test_closest_with_a_hot_passage(spark):
     old = spark.createDataFrame(old, "slug string, text string").repartition(3)
     few, whole = (sorted(map(tuple, similarity.closest(new, old, k=5, hot=hot).collect())) for hot in (50, similarity.HOT))
     assert few == whole and len(few) == 10 and few[5][1:3] == ("copy", 1.0)
+
+
+def test_trees_are_made_once_and_other_columns_pass(spark):
+    """Null documents and phrases, ties and a column named like a check; every row comes back with all checks."""
+    rows = [(1, None, None, "a"), (1, None, None, "a"), (2, "<p>number system </p><h3>x</h3>", "number system", None), (None, "", "x", "b")]
+    made = dom.with_checks(spark.createDataFrame(rows, "id long, html string, phrase string, check string"), "html", "phrase")
+    found = made.select("id", "check", dom.failing("hard").alias("hard"), dom.failing("soft").alias("soft")).collect()
+    assert sorted((r.id or 0, r.check or "") for r in found) == [(0, "b"), (1, "a"), (1, "a"), (2, "")]
+    assert [r.hard for r in found if r.id == 2] == [["bare-h3", "citations", "image-alt", "links"]]
+    assert [r.hard for r in found if r.id == 1] == [["citations", "first-100", "image-alt", "links"]] * 2
+    assert {tuple(r.soft) for r in found} == {("ad-slots", "toc")}
+    assert made.limit(0).count() == 0 and "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_gaps_as_rows(spark):
+    items = spark.createDataFrame([("s", "b", 0.1), ("s", "a", 0.1), ("s", "c", 0.35), ("t", "d", None), (None, "e", 0.0)], "subject string, concept string, coverage_probability double")
+    assert sorted((r.subject or "", r.concept, r.rank) for r in st.coverage_gaps(items, ["subject"]).collect()) == [("", "e", 1), ("s", "a", 1), ("s", "b", 2)]
+    assert st.coverage_gaps(items.limit(0), ["subject"]).count() == 0
