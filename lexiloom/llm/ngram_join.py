@@ -65,7 +65,7 @@ FRAGMENTS = 4
 #: N-grams of a bin, on average, and the least number of bits of a bin's number.
 BIN, LEAST_BIN_BITS = 1_000_000, 7
 #: N-grams that a batch gathers before its blocks are sent.
-BATCH = 500_000
+BATCH = 125_000
 #: Bits of an n-gram below its band in a key, and those sent besides the bin.
 BITS, SENT = 56, 48
 #: 64-bit words of a bitmap that bounds the overlap of two sets.

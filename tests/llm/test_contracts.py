@@ -1,9 +1,11 @@
 """Each operator against its plain version, on the small tables and on hard rows."""
 
 import hashlib
+import tracemalloc
 import zlib
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 import brute
@@ -66,6 +68,28 @@ def test_components_of_many_near_copies(spark, monkeypatch, blocks):
     assert found == brute.components(rows)
 
 
+def test_a_task_gathers_few_ngrams():
+    """The n-grams that a task gathers before it sends them, and what is made of them, stay small beside a worker."""
+
+    class Frame:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            return run
+
+    texts = [" ".join(f"w{k}x{i}" for i in range(4000)) for k in range(300)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[a : a + 50])], ["text"]) for a in range(0, 300, 50)]
+    run = ngram_join._blocks(Frame(), 5, 7)
+    sum(1 for _ in run(iter(batches[:1])))
+    tracemalloc.start()
+    sent = sum(sum(map(len, b.column(1).to_pylist())) for b in run(iter(batches)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sent == 300 * 3996 * ngram_join.SENT // 8  # every n-gram is sent
+    assert peak < 25e6, peak
+
+
 def test_blocks_of_a_component_meet_by_size(spark, monkeypatch):
     """A class is sent to blocks of sizes that it may link with only, and to as many as these sizes need."""
     monkeypatch.setattr(ngram_join, "SENT_BLOCK", 16)
