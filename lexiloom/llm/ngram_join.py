@@ -64,6 +64,8 @@ from .shingles import shingle_set
 FRAGMENTS = 4
 #: N-grams of a bin, on average, and the least number of bits of a bin's number.
 BIN, LEAST_BIN_BITS = 1_000_000, 7
+#: Bits by which the tasks that store shared n-grams or sets are fewer than bins; each writes a file.
+FILE_BITS = 2
 #: N-grams that a batch gathers before its blocks are sent.
 BATCH = 125_000
 #: Bits of an n-gram below its band in a key, and those sent besides the bin.
@@ -413,9 +415,10 @@ def link(docs: DataFrame, percent: int, width: int, keep: list[str]) -> DataFram
     known = stored(grouped.withColumn("class", to_long))
     total = known.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bin_bits = max(LEAST_BIN_BITS, (total // BIN).bit_length())
-    shared = stored(_shared(_blocks(docs, width, bin_bits), bin_bits))
+    files = 1 << (bin_bits - FILE_BITS)
+    shared = stored(_shared(_blocks(docs, width, bin_bits), bin_bits).coalesce(files))  # a task goes through its bins one by one
     cuts = _cuts(shared)
-    keys = shared.repartition(1 << bin_bits, "class").groupBy("class").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # the set of one text
+    keys = shared.repartition(files, "class").groupBy("class").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # the set of one text
     sets = stored(keys.join(known.select("class", "n"), "class"))
     discard(shared)
 

@@ -11,7 +11,7 @@ import pytest
 import brute
 from pyspark.sql import functions as F
 
-from lexiloom.llm import bpe, decontam, lang_id, licenses, ngram_join, quality, queries, shards, token_counts, url_filters, warc
+from lexiloom.llm import bpe, common, decontam, lang_id, licenses, ngram_join, quality, queries, shards, token_counts, url_filters, warc
 from lexiloom.llm.common import stored
 
 PASSAGE = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
@@ -90,6 +90,25 @@ def test_a_task_gathers_few_ngrams():
     assert peak < 25e6, peak
 
 
+def test_stored_ngrams_are_few_files(spark, monkeypatch):
+    """Each file takes two processes on a local file system, so bins share files; links stay as they are."""
+    made = []
+
+    def stored(df):
+        made.append(common.stored(df))
+        return made[-1]
+
+    monkeypatch.setattr(ngram_join, "stored", stored)
+    monkeypatch.setattr(ngram_join, "discard", lambda *tables: None)
+    rows = [(i, " ".join(f"w{i // 2}x{k}" for k in range(400 - i % 2))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: (r.component_id, r.n_links) for r in ngram_join.link_components(docs).collect()}
+    assert found == {i: (i - i % 2, 1) for i in range(400)}
+    files = {tuple(t.columns): len(t.inputFiles()) for t in made}
+    most = 1 << (ngram_join.LEAST_BIN_BITS - ngram_join.FILE_BITS)
+    assert files["class", "key"] <= most and files["class", "keys", "n"] <= most, files
+
+
 def test_blocks_of_a_component_meet_by_size(spark, monkeypatch):
     """A class is sent to blocks of sizes that it may link with only, and to as many as these sizes need."""
     monkeypatch.setattr(ngram_join, "SENT_BLOCK", 16)
