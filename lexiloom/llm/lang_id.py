@@ -170,9 +170,12 @@ def _clusters(vectors: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     for _ in range(rounds):
         near = np.argmax(vectors @ centres.T, axis=1)
         for j in range(k):
-            own = vectors[near == j]
+            own = np.flatnonzero(near == j)
             if len(own):
-                m = own.mean(axis=0)
+                m = np.zeros(vectors.shape[1], vectors.dtype)
+                for i in own:  # one by one, without a copy of the cluster
+                    m += vectors[i]
+                m /= len(own)
                 centres[j] = m / max(float(np.linalg.norm(m)), 1e-9)
     return centres
 
@@ -190,6 +193,26 @@ def sample(rows: DataFrame, per_lang: int) -> DataFrame:
     return hashed.join(small_or_shuffled(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text")
 
 
+def learned(texts: pd.Series, idf: np.ndarray, k: int) -> tuple[np.ndarray, float]:
+    """Up to k centroids of the texts, one row each, and the least cosine that is accepted; no centroids if no text has letters.
+
+    Only the vectors are held, in one matrix: idle workers keep what many small arrays took.
+    """
+    vectors, grams = np.empty((len(texts), DIMS), np.float32), []
+    for t in texts:
+        counts = gram_counts(t)
+        if counts is not None:
+            vectors[len(grams)] = vector(counts, idf)
+            grams.append(np.count_nonzero(counts))
+    vectors = vectors[: len(grams)]
+    if not grams:
+        return vectors, 0.0
+    centres = _clusters(vectors, k)
+    scale = np.minimum(1.0, (np.array(grams) / 400) ** 0.5)
+    best = (vectors @ centres.T).max(axis=1) / scale
+    return centres, 0.6 * float(np.quantile(best, 0.01))
+
+
 def fit(train: DataFrame, per_lang: int = 1000, k: int = 4, text: str = "text", lang: str = "lang") -> Model:
     """A model from the labelled rows of ``train``; rows with null lang or text are left out.
 
@@ -200,16 +223,8 @@ def fit(train: DataFrame, per_lang: int = 1000, k: int = 4, text: str = "text",
     idf = np.log((1 + n) / (1 + seen)).astype(np.float32) + np.float32(0.1)
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
-        name = group["lang"].iloc[0]
-        found = [c for c in map(gram_counts, group.sort_values("text")["text"]) if c is not None]
-        if not found:
-            return pd.DataFrame({"lang": pd.Series([], dtype=object), "centroid": pd.Series([], dtype=object), "least": pd.Series([], dtype=float)})
-        vectors = np.stack([vector(c, idf) for c in found])
-        centres = _clusters(vectors, k)
-        scale = np.minimum(1.0, (np.array([np.count_nonzero(c) for c in found]) / 400) ** 0.5)
-        best = (vectors @ centres.T).max(axis=1) / scale
-        least = 0.6 * float(np.quantile(best, 0.01))
-        return pd.DataFrame({"lang": pd.Series([name] * len(centres), dtype=object), "centroid": pd.Series([c.tobytes() for c in centres], dtype=object), "least": least})
+        centres, least = learned(group["text"].sort_values(), idf, k)
+        return pd.DataFrame({"lang": pd.Series([group["lang"].iloc[0]] * len(centres), dtype=object), "centroid": pd.Series([c.tobytes() for c in centres], dtype=object), "least": pd.Series([least] * len(centres), dtype=float)})
 
     made = stored(sample(rows, per_lang).groupBy("lang").applyInPandas(one, "lang string, centroid binary, least double"))
     return Model(idf, sorted(r.lang for r in made.select("lang").distinct().collect()), made)

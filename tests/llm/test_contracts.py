@@ -4,6 +4,8 @@ import hashlib
 import tracemalloc
 import zlib
 
+import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -502,6 +504,25 @@ def test_names_of_results_may_clash(spark):
     assert bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).columns == [c for c in docs.columns if c != "ids"] + ["ids"]
 
 
+def test_language_of_many_texts_is_learned_in_one_matrix():
+    """A worker that has learned a language stays small: it holds the vectors once, and no counts beside them."""
+    texts = pd.Series([" ".join(f"w{k * i % 997}x{i}" for i in range(60)) for k in range(1000)])
+    idf = np.linspace(0.1, 3, lang_id.DIMS).astype(np.float32)
+    plain = np.stack([lang_id.vector(lang_id.gram_counts(t), idf) for t in texts])
+    want = plain[np.linspace(0, 999, 4).astype(int)]
+    for _ in range(12):
+        near = np.argmax(plain @ want.T, axis=1)
+        means = [plain[near == j].mean(axis=0) if (near == j).any() else want[j] for j in range(4)]
+        want = np.stack([m / np.linalg.norm(m) for m in means])
+    tracemalloc.start()
+    got, least = lang_id.learned(texts, idf, 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(got, want, rtol=1e-4, atol=1e-6) and least > 0
+    assert peak < 1.3 * plain.nbytes, peak
+    assert len(lang_id.learned(pd.Series(["12", "", None], dtype=object), idf, 4)[0]) == 0
+
+
 def test_language_id_edges(spark, hard):
     got = {r.doc_id: r for r in lang_id.identify(hard.select("doc_id", "text", "lang")).collect()}
     for i, t in enumerate(TEXTS):
