@@ -28,6 +28,12 @@ def text_or_empty(text: Column) -> Column:
     return F.coalesce(text.cast("string"), F.lit(""))
 
 
+def text_lines(text: Column) -> Column:
+    """Lines that are not blank, without spaces at both ends: all of Unicode's separators (Zs), but no tabs or other controls."""
+    bare = F.transform(F.split(text_or_empty(text), "\n"), lambda x: F.regexp_replace(x, r"^\p{Zs}+|(?<!\p{Zs})\p{Zs}++\z", ""))
+    return F.filter(bare, lambda x: x != "")
+
+
 def search_tokens(text: Column) -> Column:
     """Lower-cased words of letters, marks and digits, longer than one character."""
     clean = F.regexp_replace(F.lower(text_or_empty(text)), r"[^\p{L}\p{M}\p{N}\s]", " ")

@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.functions.numbers import let
-from lexiloom.functions.text import quality_flags, word_count
+from lexiloom.functions.text import quality_flags, text_lines, word_count
 
 REPEATS, SHORT, TOC_WORDS, TOC_LINES = 4, 60, 8, 30
 
 
 def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = REPEATS) -> DataFrame:
     """key, line, n of the lines that a document repeats at least so often."""
-    lines = docs.select(key, F.explode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("_l")).select(key, F.trim("_l").alias("line")).where("line <> ''")
+    lines = docs.select(key, F.explode(text_lines(F.col(text))).alias("line"))
     return lines.groupBy(key, "line").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
@@ -23,18 +23,17 @@ def clean_text(text: Column) -> Column:
     A line is frequent if, among the sorted lines, it equals the line three
     places before it, so counting takes one sort.
     """
-    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), F.trim), lambda x: x != "")
     same = lambda r: F.array_distinct(F.array_compact(F.transform(r, lambda x, i: F.when((i >= REPEATS - 1) & (x == F.try_element_at(r, F.greatest(i - REPEATS + 2, F.lit(1)))), x))))
 
     def kept(ls: Column) -> Column:
-        return let(let(F.sort_array(ls), same), lambda often: F.filter(ls, lambda x: ~F.rlike(x, F.lit(r"^\d{1,4}$")) & ~((F.length(x) < SHORT) & F.array_contains(often, x))))
+        return let(let(F.sort_array(ls), same), lambda often: F.filter(ls, lambda x: ~F.rlike(x, F.lit(r"\A\d{1,4}\z")) & ~((F.length(x) < SHORT) & F.array_contains(often, x))))
 
     def body(k: Column) -> Column:
-        head = F.transform(F.slice(k, 1, TOC_LINES), lambda x: F.size(F.split(x, r"\s+")) >= TOC_WORDS)
+        head = F.transform(F.slice(k, 1, TOC_LINES), lambda x: F.size(F.split(x, r"[\t\n\f\r ]+")) >= TOC_WORDS)
         first = F.array_position(head, F.lit(True)).cast("int")
-        return F.trim(F.array_join(F.slice(k, F.greatest(first, F.lit(1)), F.greatest(F.size(k), F.lit(1))), "\n"))
+        return F.array_join(F.slice(k, F.greatest(first, F.lit(1)), F.greatest(F.size(k), F.lit(1))), "\n")
 
-    return let(let(lines, kept), body)
+    return let(let(text_lines(text), kept), body)
 
 
 def corpus_stats(docs: DataFrame, by: list[str], text: str = "text") -> DataFrame:

@@ -203,6 +203,15 @@ def test_cleaning(spark):
     assert [tuple(r) for r in cleaning.repeated_lines(df).collect()] == [(1, head, 4)]
 
 
+def test_cleaning_trims_spaces_alone(spark):
+    """The digit of a line's place stays; all of Unicode's spaces go, controls stay and make no page number."""
+    rows = [(1, "0 first \n1 second", "0 first\n1 second"), (2, "\u00a0 a\u3000 \n\u2003\n\tb\n 12 ", "a\n\tb"), (3, "12\r\n34\u0085\n5\n ", "12\r\n34\u0085"), (4, "x\na b c d e f g\x0bh", "x\na b c d e f g\x0bh"), (5, "x\na b c d e f g h", "a b c d e f g h")]
+    df = spark.createDataFrame(rows, "doc_id int, text string, want string")
+    assert [(r.doc_id, r.x) for r in df.select("doc_id", "want", cleaning.clean_text(F.col("text")).alias("x")).collect()] == [(i, want) for i, _, want in rows]
+    lines = spark.createDataFrame([(1, "l\n\u00a0l\nl\u3000\n l \n\tl")], "doc_id int, text string")
+    assert [tuple(r) for r in cleaning.repeated_lines(lines).collect()] == [(1, "l", 4)]
+
+
 def test_coverage_tables(spark):
     topics = spark.createDataFrame([("E", "S", "Cell  Wall"), ("E", "S", "Atoms")], "exam string, subject string, topic string")
     pub = spark.createDataFrame([("E", "cell wall")], "exam string, topic string")
