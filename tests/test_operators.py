@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lexiloom.catalogue import QUERIES
 from lexiloom.functions import text as ft
 from lexiloom.operators import cleaning, coverage, dom, editorial, packages, replies, search, similarity
 from lexiloom.operators import statistics as st
@@ -212,6 +213,13 @@ def test_cleaning_trims_spaces_alone(spark):
     assert [tuple(r) for r in cleaning.repeated_lines(lines).collect()] == [(1, "l", 4)]
 
 
+def test_repeated_items_keep_digits_and_lose_spaces(spark, tmp_path):
+    rows = [(1, "0 same\n\n1 same\u00a0\nown"), (2, "1 same\n 0 same\n\t1 same"), (3, None), (4, "10\nx"), (5, "x\n\u30001\n10")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in QUERIES["repeated_items"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 0, "0 same"), (1, 1, "1 same"), (2, 0, "1 same"), (2, 1, "0 same"), (4, 0, "10"), (4, 1, "x"), (5, 0, "x"), (5, 2, "10")}
+
+
 def test_coverage_tables(spark):
     topics = spark.createDataFrame([("E", "S", "Cell  Wall"), ("E", "S", "Atoms")], "exam string, subject string, topic string")
     pub = spark.createDataFrame([("E", "cell wall")], "exam string, topic string")
