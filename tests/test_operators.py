@@ -3,6 +3,7 @@
 import json
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -553,6 +554,26 @@ def test_overlap_with_hot_items(spark):
     assert similarity.max_overlap(rows, hist.limit(0), "items", hot=20).where("overlap > 0").count() == 0
 
 
+def _drawn_sets(n, seed):
+    draw = random.Random(seed)
+    return {i: {f"i{draw.randint(0, 40)}" for _ in range(draw.choice([0, 1, 3, 8]))} for i in range(n)}
+
+
+def test_batch_overlap_counts_pairs_in_tasks(spark):
+    """Blocks of a few sets give what all pairs give; ids may be text or null; no pair of sets is shuffled."""
+    sets, old = _drawn_sets(120, 3), _drawn_sets(60, 4)
+    batch = spark.createDataFrame([(i, sorted(s) + ["", None]) for i, s in sets.items()], "seq long, items array<string>").repartition(3)
+    history = spark.createDataFrame([(None if i == 5 else f"h{i % 50}", sorted(s)) for i, s in old.items() if i < 50] + [("none", None)], "id string, items array<string>")
+    want = _best(sets, sets | {1000 + i: s for i, s in old.items() if i < 50}, lambda a, b: b < a or b >= 1000)
+    for block in (30, similarity.BLOCK):
+        made = similarity.batch_overlap(batch, history, "items", block=block)
+        assert dict(map(tuple, made.collect())) == want
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "block_a" in plan and not re.search(r"hashpartitioning\(seq#\w+, other#", plan)
+    assert dict(map(tuple, similarity.batch_overlap(batch, history.limit(0), "items", block=30).collect())) == _best(sets, sets, lambda a, b: b < a)
+    assert similarity.batch_overlap(batch.limit(0), history, "items").count() == 0
+
+
 def test_closest_with_a_hot_passage(spark):
     passage = " ".join(f"p{i}" for i in range(12))
     old = [(f"s{i:03d}", f"{passage} " + " ".join(f"x{i % 40}w{k}" for k in range(10 + i % 25))) for i in range(200)] + [("copy", f"own text here {passage} and its end")] + [("none", None), ("other", "nothing in common with any of those texts")]
