@@ -574,6 +574,21 @@ def test_batch_overlap_counts_pairs_in_tasks(spark):
     assert similarity.batch_overlap(batch.limit(0), history, "items").count() == 0
 
 
+def test_overlap_with_others_counts_pairs_in_tasks(spark):
+    """Each record against all others, ids as text and a record without one, through one table and through two."""
+    sets = {f"k{i}": s for i, s in _drawn_sets(150, 5).items()}
+    rows = spark.createDataFrame([(i, sorted(s) or None) for i, s in sets.items()], "cand_id string, items array<string>").repartition(3)
+    want = _best(sets, sets, lambda a, b: a != b)
+    for hot, block in ((similarity.HOT, 40), (similarity.HOT, similarity.BLOCK), (10, 40)):
+        made = similarity.overlap_among(rows, "items", hot=hot, block=block)
+        assert dict(map(tuple, made.collect())) == want
+    made = similarity.max_overlap(rows, rows.withColumnRenamed("cand_id", "hist_id"), "items", others_only=True, block=40)
+    assert dict(map(tuple, made.collect())) == want
+    assert not re.search(r"hashpartitioning\(cand_id#\w+, hist_id#", made._jdf.queryExecution().executedPlan().toString())
+    lone = rows.unionByName(spark.createDataFrame([(None, ["i1"])], rows.schema))
+    assert {r.cand_id: r.overlap for r in similarity.overlap_among(lone, "items").collect()} == want | {None: 0.0}
+
+
 def test_closest_with_a_hot_passage(spark):
     passage = " ".join(f"p{i}" for i in range(12))
     old = [(f"s{i:03d}", f"{passage} " + " ".join(f"x{i % 40}w{k}" for k in range(10 + i % 25))) for i in range(200)] + [("copy", f"own text here {passage} and its end")] + [("none", None), ("other", "nothing in common with any of those texts")]
